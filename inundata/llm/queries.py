@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inundata.llm.linededup import dedup_lines
+from inundata.llm.mixing import mix_sources
 from inundata.llm.quality import apply_quality_rules
+from inundata.llm.secrets import KINDS, scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +23,41 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"quality.{n}" for n in names])
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("kept_text", F.lit("")), 256)
+    return cleaned.select("row.doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def written(spans):
+        kinds = F.array(*[F.lit(k) for k in KINDS])
+        return F.array_join(
+            F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ","
+        )
+
+    def of_kind(k: int):
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+
+    return scanned.select(
+        "row.doc_id",
+        of_kind(0).alias("n_assign"),
+        of_kind(1).alias("n_access"),
+        of_kind(2).alias("n_hex"),
+        F.sha2(written(F.filter("spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_line_dedup, op9_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
