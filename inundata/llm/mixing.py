@@ -47,9 +47,9 @@ def source_targets(hist: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     level = (F.sum("source_size").over(everything) * p.total - F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / (
         F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
     )
-    filled = weighed.withColumn("level", level)
-    best = F.min(F.when(F.col("level") <= F.col("most") / F.col("w"), F.col("level"))).over(everything)
-    return filled.withColumn("best", best).select(
+    filled = weighed.withColumn("level", level).withColumn("place", F.row_number().over(order))
+    below = F.when(F.col("level") <= F.col("most") / F.col("w"), F.struct("place", "level"))
+    return filled.withColumn("best", F.min(below).over(everything)["level"]).select(
         "source", "source_size", F.when(F.col("best").isNull(), F.col("most")).otherwise(F.least("most", F.col("w") * F.col("best"))).alias("target")
     )
 

@@ -231,7 +231,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", s: SecretParams = SecretPa
 
     others = [c for c in docs.columns if c != text]
     scanned = cut(
-        docs.select(F.struct(*[docs[c] for c in others]).alias("row"), let(fixed, F.array_sort).alias("base"), let(runs, tested).alias("tested"))
+        docs.select(F.struct(*[docs[c] for c in others]).alias("row"), let(fixed, lambda x: F.array_sort(x)).alias("base"), let(runs, tested).alias("tested"))
         .withColumn(
             "tested",
             F.filter("tested", lambda c: ~F.exists("base", lambda b: (b["start"] < c["span"]["stop"]) & (c["span"]["start"] < b["stop"]))),
