@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from inundata.llm.linededup import dedup_lines
 from inundata.llm.mixing import mix_sources
+from inundata.llm.pieces import encode_pieces
 from inundata.llm.quality import apply_quality_rules
 from inundata.llm.secrets import KINDS, scan_secrets
+from inundata.llm.sharding import shard_documents
+from inundata.llm.toxicity import labelled_sample, learn_lexicon, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +26,35 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *[f"quality.{n}" for n in names])
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    lexicon = learn_lexicon(labelled_sample(docs, labels))
+    return score_toxicity(docs, lexicon).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("kept_text", F.lit("")), 256)
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dealt.select(
+        "row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,7 +83,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_line_dedup, op9_source_mix)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_sentencepiece, op4_secret_scan, op5_toxicity, op6_line_dedup, op9_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
