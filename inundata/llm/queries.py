@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inundata.llm.linededup import dedup_lines
 from inundata.llm.mixing import mix_sources
+from inundata.llm.neardup import near_duplicates
 from inundata.llm.ngramjoin import jaccard_components
 from inundata.llm.pieces import encode_pieces
 from inundata.llm.quality import apply_quality_rules
@@ -82,13 +83,17 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_sentencepiece, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_ngram_jaccard, op9_source_mix)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_sentencepiece, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_ngram_jaccard, op8_embedding_near_dup, op9_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
