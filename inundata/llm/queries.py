@@ -11,6 +11,7 @@ from inundata.llm.linededup import dedup_lines
 from inundata.llm.mixing import mix_sources
 from inundata.llm.neardup import near_duplicates
 from inundata.llm.ngramjoin import jaccard_components
+from inundata.llm.passages import remove_passages
 from inundata.llm.pieces import encode_pieces
 from inundata.llm.quality import apply_quality_rules
 from inundata.llm.secrets import KINDS, scan_secrets
@@ -92,8 +93,14 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_passages(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_sentencepiece, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_ngram_jaccard, op8_embedding_near_dup, op9_source_mix)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_sentencepiece, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_ngram_jaccard, op8_embedding_near_dup, op9_source_mix, op10_passage_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
