@@ -25,7 +25,7 @@ _PART = re.compile(f"{MARK}+[^{MARK}]*")
 class PieceCodec:
     """Encoder and decoder of one vocabulary; ``known`` parts are kept up to ``capacity``."""
 
-    def __init__(self, model: str, capacity: int = 200_000):
+    def __init__(self, model: str, capacity: int = 300_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -36,14 +36,35 @@ class PieceCodec:
         self.scores = {self.pieces[i]: self.library.get_score(i) for i in plain}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if self.library.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.id_texts = [str(i) for i in range(size)]
         self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         if self.library.encode("a") != self.library.encode("a", add_bos=False) or self.library.decode(self.library.encode(" a")) != " a":
             raise ValueError("only vocabularies that keep white space and prefix a space mark are supported")
         self.capacity = capacity
         self.known: dict[str, tuple[str, int, str]] = {}
-
-    def agenda(self, part: str) -> list[int]:
-        """Ids of one part: best-scored adjacent pair first, leftmost among equals."""
+        self.old: dict[str, tuple[str, int, str]] = {}
+
+    def agenda(self, part: str) -> list[str]:
+        """Symbols of one part: best-scored adjacent pair first, leftmost among equals.
+
+        The agenda of a short part is a list with a score per neighbour pair; a heap pays off
+        only for long ones.
+        """
+        if len(part) <= 32:
+            symbols, score, none = list(part), self.scores.get, float("-inf")
+            agenda = [score(part[i : i + 2], none) for i in range(len(part) - 1)]
+            while agenda:
+                best = max(agenda)
+                if best == none:
+                    break
+                i = agenda.index(best)
+                merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
+                agenda.pop(i)
+                if i < len(agenda):
+                    agenda[i] = score(merged + symbols[i + 1], none)
+                if i:
+                    agenda[i - 1] = score(symbols[i - 1] + merged, none)
+            return symbols
         symbols: list[str | None] = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -69,16 +90,21 @@ class PieceCodec:
             offer(left)
             if before[left] >= 0:
                 offer(before[left])
-        out: list[int] = []
-        for s in symbols:
-            if s is None:
-                continue
-            known = self.ids.get(s)
-            out += [known] if known is not None else [self.byte_ids[b] for b in s.encode("utf-8", "replace")]
-        return out
+        return [s for s in symbols if s is not None]
+
+    def encode_part(self, part: str) -> list[int]:
+        """Ids of one part; symbols that are no piece become the pieces of their bytes."""
+        symbols, ids = self.agenda(part), self.ids
+        try:
+            return [ids[s] for s in symbols]
+        except KeyError:
+            return [i for s in symbols for i in ([ids[s]] if s in ids else [self.byte_ids[b] for b in s.encode("utf-8", "replace")])]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined; space marks become spaces, bytes become text, the prefixed space goes."""
+        if self.byte_of.keys().isdisjoint(ids):
+            text = "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+            return text[1:] if text.startswith(" ") else text
         raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids)
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
@@ -88,28 +114,54 @@ class PieceCodec:
         return [marked] if self.crossing else _PART.findall(marked)
 
     def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > self.capacity:
-            self.known.clear()
-            new = list(parts)
+        """Encode the parts that are not known, all of them checked against the library.
+
+        A full table becomes the old one, from which parts that come again are taken back.
+        """
+        if len(self.known) + len(parts) > self.capacity:
+            self.old, self.known = self.known, {}
+        known, old, new = self.known, self.old, []
+        for part in parts:
+            if part not in known:
+                if part in old:
+                    known[part] = old[part]
+                else:
+                    new.append(part)
+        if not new:
+            return
+        texts = self.id_texts
         wanted = self.library.encode([p[1:].replace(MARK, " ") for p in new], num_threads=1)
         for part, want in zip(new, wanted, strict=True):
-            ids = self.agenda(part)
+            ids = self.encode_part(part)
             if ids != want and part != MARK * len(part):
                 raise ValueError(f"the library encodes {part!r} as {want}, the agenda as {ids}")
-            self.known[part] = (",".join(map(str, ids)), len(ids), " " + self.decode(ids))
+            known[part] = (",".join([texts[i] for i in ids]), len(ids), " " + self.decode(ids))
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """Of each text: ids joined by commas, their number, and the decoded text."""
+        found = [self.parts(t) if t else [] for t in texts]
+        self.learn(set().union(*found))
+        known, out = self.known, []
+        for parts in found:
+            coded = [known[p] for p in parts]
+            out.append((",".join([c[0] for c in coded]), sum([c[1] for c in coded]), "".join([c[2] for c in coded])[1:]))
+        return out
 
     def encode_text(self, text: str) -> tuple[str, int, str]:
-        """Ids joined by commas, their number, and the decoded text."""
-        if not text:
-            return "", 0, ""
-        found = self.parts(text)
-        try:
-            coded = [self.known[p] for p in found]
-        except KeyError:
-            self.learn(set(found))
-            coded = [self.known[p] for p in found]
-        return ",".join([c[0] for c in coded]), sum([c[1] for c in coded]), "".join([c[2] for c in coded])[1:]
+        return self.encode_texts([text])[0]
+
+
+def _portions(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about ``size`` characters together; a longer text is alone."""
+    held, total = [], 0
+    for t in texts:
+        if held and total + len(t) > size:
+            yield held
+            held, total = [], 0
+        held.append(t)
+        total += len(t)
+    if held:
+        yield held
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -129,16 +181,16 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _CODECS.get(model) or _CODECS.setdefault(model, PieceCodec(model))
         for batch in batches:
-            rows, checked = [], False
-            for value in batch.column(1):
-                whole = value.as_py() or ""
-                joined, n, decoded = codec.encode_text(whole)
-                if whole and not checked:
-                    checked = True
-                    if codec.library.encode(whole) != list(map(int, joined.split(","))) or codec.library.decode(codec.library.encode(whole)) != decoded:
+            rows = []
+            for n_portion, texts in enumerate(_portions([t or "" for t in batch.column(1).to_pylist()])):
+                coded = codec.encode_texts(texts)
+                if not n_portion and texts[0]:
+                    ids = codec.library.encode(texts[0])
+                    if (",".join(map(str, ids)), codec.library.decode(ids)) != (coded[0][0], coded[0][2]):
                         raise ValueError("the library encodes a whole text in another way")
-                row = (n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append(row + ((list(map(int, joined.split(","))) if joined else [], decoded) if with_ids else ()))
+                for joined, n, decoded in coded:
+                    row = (n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                    rows.append(row + ((list(map(int, joined.split(","))) if joined else [], decoded) if with_ids else ()))
             columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)]
             if with_ids:
                 columns += [pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.string())]
