@@ -83,9 +83,9 @@ def write_orbit_table(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.when(F.size(parts) > 1, F.concat_ws(" ", parts[1], parts[2], parts[7], parts[8])).otherwise(F.col("line")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@register("""SELECT DISTINCT link FROM (SELECT unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS link FROM pages) WHERE suffix(link, '1') OR suffix(link, '22')""")
+@register("""SELECT DISTINCT link FROM (SELECT unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS link FROM pages) WHERE suffix(link, 'e') OR suffix(link, 'the,')""")
 def extract_links(spark: SparkSession, sf: str) -> DataFrame:
-    return files.extract_links(v.table(spark, sf, "pages"), suffixes=("1", "22"))
+    return files.extract_links(v.table(spark, sf, "pages"), suffixes=("e", "the,"))
 
 
 @register(f"WITH {v.BAND} SELECT CAST(row // 40 AS INT) AS flood_ts, count(*) AS n_pixels, min(col) AS x0, max(col) + 1 AS x1 FROM band WHERE t < -0.35 GROUP BY 1")

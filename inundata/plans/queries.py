@@ -26,10 +26,10 @@ def to_db(spark: S, sf: str) -> D:
     return v.stack(spark, sf).select("time", "row", "col", r("vv_db").alias("vv_db"), r("vh_db").alias("vh_db"), r("vv_vh_db").alias("vv_vh_db"))
 
 
-@register(f"WITH {v.STACK} SELECT time, row, col, round(vv, 4) AS vv, round((greatest(0e0, least(0.15e0, vv)) - 0.0953e0) / 0.0427e0, 6) AS x_vv, round((greatest(0e0, least(0.15e0, vh)) - 0.0264e0) / 0.0215e0, 6) AS x_vh FROM stack")
+@register(f"WITH {v.STACK} SELECT time, row, col, round(vv, 12) AS vv, round((greatest(0e0, least(0.15e0, vv)) - 0.0953e0) / 0.0427e0, 6) AS x_vv, round((greatest(0e0, least(0.15e0, vh)) - 0.0264e0) / 0.0215e0, 6) AS x_vh FROM stack")
 def model_normalise(spark: S, sf: str) -> D:
     s = v.stack(spark, sf).withColumns({"a": scalar.from_db(F.col("vv_db")), "b": scalar.from_db(F.col("vh_db"))})
-    return s.select("time", "row", "col", r("a", 4).alias("vv"), r(scalar.model_normalise(F.col("a"), 0)).alias("x_vv"), r(scalar.model_normalise(F.col("b"), 1)).alias("x_vh"))
+    return s.select("time", "row", "col", r("a", 12).alias("vv"), r(scalar.model_normalise(F.col("a"), 0)).alias("x_vv"), r(scalar.model_normalise(F.col("b"), 1)).alias("x_vh"))
 
 
 @register(f"WITH {v.WEIGHTED} SELECT time, row, col, round(v, 6) AS v FROM weighted")
@@ -524,10 +524,10 @@ def chip_round_trip(spark: S, sf: str) -> D:
     return c.select(F.explode("cells").alias("x")).select("x.row", "x.col", F.col("x.v").alias("t"))
 
 
-@register(f"WITH {v.STACK} SELECT row, col, round(max(CASE WHEN time = 7 THEN vv END), 6) AS post, round(max(CASE WHEN time = 6 THEN vv END), 6) AS pre1, round(max(CASE WHEN time = 5 THEN vv END), 6) AS pre2 FROM stack WHERE time >= 5 GROUP BY 1, 2")
+@register(f"WITH {v.STACK} SELECT row, col, round(max(CASE WHEN time = 7 THEN vv END), 12) AS post, round(max(CASE WHEN time = 6 THEN vv END), 12) AS pre1, round(max(CASE WHEN time = 5 THEN vv END), 12) AS pre2 FROM stack WHERE time >= 5 GROUP BY 1, 2")
 def last_three(spark: S, sf: str) -> D:
     s = raster.last_times(v.stack(spark, sf))
-    at = lambda k: r(F.max(F.when(F.col("back") == k, F.col("vv"))))
+    at = lambda k: r(F.max(F.when(F.col("back") == k, F.col("vv"))), 12)
     return s.groupBy("row", "col").agg(at(1).alias("post"), at(2).alias("pre1"), at(3).alias("pre2"))
 
 
@@ -641,9 +641,9 @@ def _block_sql(size: int) -> str:
 
 @register(f"""WITH {v.BAND}, b AS ({' UNION ALL '.join(_block_sql(s) for s in (10, 20, 25))}), m AS (SELECT size, "by", bx, count(*) AS n, avg(t) AS mu FROM b GROUP BY 1, 2, 3),
   z AS (SELECT b.size, b."by", b.bx, any_value(n) AS n, any_value(mu) AS mu, avg(pow(t - mu, 2)) AS m2, avg(pow(t - mu, 3)) AS m3, avg(pow(t - mu, 4)) AS m4 FROM b JOIN m ON b.size = m.size AND b."by" = m."by" AND b.bx = m.bx GROUP BY 1, 2, 3)
-  SELECT CAST(size AS INT) AS size, CAST("by" AS INT) AS "by", CAST(bx AS INT) AS bx, CASE WHEN n >= 20 THEN round((pow(m3 / pow(m2, 1.5e0), 2) + 1) / (m4 / (m2 * m2) - 3 + 3e0 * (n - 1) * (n - 1) / ((n - 2e0) * (n - 3e0))), 6) END AS bc, round(mu, 6) AS mean FROM z""")
+  SELECT CAST(size AS INT) AS size, CAST("by" AS INT) AS "by", CAST(bx AS INT) AS bx, CASE WHEN n >= 20 THEN round((pow(m3 / pow(m2, 1.5e0), 2) + 1) / (m4 / (m2 * m2) - 3 + 3e0 * (n - 1) * (n - 1) / ((n - 2e0) * (n - 3e0))), 6) END AS bc, round(mu, 11) AS mean FROM z""")
 def block_bimodality(spark: S, sf: str) -> D:
-    return delineate.block_bimodality(v.band(spark, sf), BLOCKS).select("size", "by", "bx", r("bc").alias("bc"), r("mean").alias("mean"))
+    return delineate.block_bimodality(v.band(spark, sf), BLOCKS).select("size", "by", "bx", r("bc").alias("bc"), r("mean", 11).alias("mean"))
 
 
 @register()
