@@ -27,6 +27,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 #: Fixed accents that hide plain letters.
 ACCENTS = {"à": "a", "á": "a", "â": "a", "ä": "a", "ã": "a", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ò": "o", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ç": "c", "ñ": "n"}
 
+#: Lengths of word beginnings that may be terms, for words that take endings.
+STEMS = (4, 5, 6)
+
 _FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | ACCENTS)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -38,7 +41,7 @@ class ToxicityParams:
     max_exceptions: int = 2000
     #: Least number of toxic documents with a term, its least log odds and log-likelihood ratio.
     min_documents: int = 5
-    min_log_odds: float = 2.0
+    min_log_odds: float = 1.0
     min_evidence: float = 25.0
     #: Labelled documents that a fit uses at most, the smallest hashes of ids first.
     max_fit_rows: int = 20_000
@@ -59,7 +62,7 @@ class Lexicon:
 
         machine = ahocorasick.Automaton()
         for term, w in self.weights.items():
-            machine.add_word(f" {term} ", w)
+            machine.add_word(f" {term[:-1]}" if term.endswith("*") else f" {term} ", w)
         for phrase, w in self.exceptions.items():
             machine.add_word(f" {phrase} ", -w)
         if len(machine):
@@ -81,14 +84,15 @@ def raw_weight(machine, text: str | None, power: float) -> float:
 
 
 def _tokens(labelled: DataFrame) -> DataFrame:
-    """doc, toxic, term: distinct folded words and word pairs of each labelled document."""
+    """toxic, term: distinct folded words, word beginnings (marked *) and word pairs of each labelled document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             terms = []
             for text in pdf["text"]:
                 words = fold(text or "").split()
-                terms.append([*set(words), *{f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}])
+                starts = {f"{w[:k]}*" for w in set(words) for k in STEMS if len(w) > k}
+                terms.append([*set(words), *starts, *{f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}])
             yield pd.DataFrame({"toxic": pdf["toxic"], "terms": terms})
 
     return labelled.select("text", "toxic").mapInPandas(run, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
@@ -135,7 +139,7 @@ def learn_lexicon(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) ->
             .limit(p.max_terms)
             .collect()
         )
-        weights = {r["term"]: r["odds"] for r in strong}
+        weights = _without_nested({r["term"]: (r["evidence"], r["odds"]) for r in strong})
         benign = (
             counted.where(~one_word & (F.col("bad") == 0) & (F.col("n") >= p.min_documents))
             .where(F.arrays_overlap(F.split("term", " "), F.array(*[F.lit(t) for t in sorted(weights)])) if weights else F.lit(False))
@@ -151,6 +155,17 @@ def learn_lexicon(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) ->
         rows.unpersist()
 
 
+def _without_nested(found: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Weights of terms; of a word or beginning and a beginning of it, only the one with more evidence."""
+    gone = set()
+    for term in found:
+        for k in STEMS:
+            start = f"{term[:k]}*"
+            if start != term and start in found and len(term.rstrip("*")) >= k:
+                gone.add(term if found[start][0] >= found[term][0] else start)
+    return {t: odds for t, (_, odds) in found.items() if t not in gone}
+
+
 def _with_weight(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The input with a last column ``_weight`` in place of its last column ``text``."""
     kept = [c for c in rows.columns if c != "text"]
