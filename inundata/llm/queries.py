@@ -103,5 +103,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_sentencepiece, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_ngram_jaccard, op8_embedding_near_dup, op9_source_mix, op10_passage_dedup)}
 
 
+LINE_DEDUP_SQL = """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+  l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS pos FROM d),
+  k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  g AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+  m AS (SELECT k.doc_id, pos, line, g.key IS NOT NULL AND k.doc_id <> g.last AS gone FROM k LEFT JOIN g ON k.key = g.key)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries hold learned, iterative or positional steps that SQL can't express on whole
+    tables; their tests compare with brute force."""
+    return {"op6_line_dedup": LINE_DEDUP_SQL}

@@ -31,6 +31,17 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert sum(r.n_dropped for r in got) > 0
 
 
+def test_query_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()["op6_line_dedup"]).fetchall()
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in queries.op6_line_dedup(spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_odd_inputs(spark, odd_docs, no_docs):
     line = "  A line that is long enough to count as repeated text. "
     many = "\n".join(f"{line}{k % 2}" if k % 70 else line.upper() for k in range(200))
