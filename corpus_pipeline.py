@@ -28,8 +28,10 @@ def _with_text(frame: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that the rules reject."""
-    judged = apply_quality_rules(docs).where("quality.kept")
-    return _with_text(judged, "quality.clean_text", docs.columns)
+    judged = apply_quality_rules(docs)
+    # a filter on the verdict would be pushed below it, and every document judged twice
+    kept = judged.select("row", F.explode(F.filter(F.array("quality"), lambda q: q["kept"])).alias("quality"))
+    return _with_text(kept, "quality.clean_text", docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
