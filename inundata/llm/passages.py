@@ -35,7 +35,9 @@ class PassageParams:
     #: Bytes of a trigger window.
     trigger: int = 20
     #: Bytes of text that one packing step takes, about.
-    chunk: int = 1_500_000
+    chunk: int = 1_000_000
+    #: Strings of open phrases that one sort takes, about.
+    portion: int = 250_000
 
     @property
     def side(self) -> int:
@@ -78,14 +80,37 @@ def triggers(raw: np.ndarray, starts: np.ndarray, p: PassageParams) -> tuple[np.
     at, doc = at[keep], doc[keep]
     left, right = np.minimum(p.side, at - starts[doc]), np.minimum(p.side, starts[doc + 1] - at - q)
     phrase = mixed((sums[at + q + right] - sums[at - left]) * inverse[at - left] + (left * 256 + right).astype(np.uint64))
-    return doc, at - starts[doc], h[at], phrase, left, right
+    # triggers are least hashes, so they crowd at the low end: mixed again they spread over ranges
+    return doc, at - starts[doc], mixed(~h[at]), phrase, left, right
 
 
 def _ranges(h: np.ndarray, count: int) -> np.ndarray:
     return (((h >> _U(32)) * _U(count)) >> _U(32)).astype(np.int64)
 
 
-_RECORD = np.dtype([("h", "<u4"), ("phrase", "<u4"), ("more", "<u2"), ("doc", "<u2"), ("at", "<u4")])
+#: What a trigger carries; columns are packed one after another, as places and documents ascend.
+_COLUMNS = (("h", "<u4"), ("phrase", "<u4"), ("more", "<u2"), ("doc", "<u2"), ("at", "<u4"))
+
+
+def _ascending(x: np.ndarray, kind: str) -> np.ndarray:
+    """Differences of neighbours, which pack better; sums bring the values back (modulo the width)."""
+    x = x.astype(kind)
+    return np.concatenate([x[:1], x[1:] - x[:-1]])
+
+
+def _packed(columns: dict[str, np.ndarray]) -> bytes:
+    raw = [_ascending(columns[n], k) if n in ("doc", "at") else columns[n].astype(k) for n, k in _COLUMNS]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in raw))
+
+
+def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.decompress(packed)
+    n, out, place = len(raw) // sum(np.dtype(k).itemsize for _, k in _COLUMNS), {}, 0
+    for name, kind in _COLUMNS:
+        x = np.frombuffer(raw, kind, count=n, offset=place)
+        out[name] = np.cumsum(x, dtype=kind) if name in ("doc", "at") else x
+        place += x.nbytes
+    return out
 
 
 def _packed_triggers(slim: DataFrame, ranges: int, p: PassageParams) -> DataFrame:
@@ -94,16 +119,17 @@ def _packed_triggers(slim: DataFrame, ranges: int, p: PassageParams) -> DataFram
     def pack(ids: list, marks: list, texts: list[bytes]) -> pd.DataFrame:
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         doc, at, h, phrase, _, _ = triggers(np.frombuffer(b"".join(texts), dtype=np.uint8), starts, p)
-        record = np.zeros(len(doc), dtype=_RECORD)
-        record["h"], record["phrase"], record["more"] = h & _U(0xFFFFFFFF), phrase & _U(0xFFFFFFFF), (phrase >> _U(32)) & _U(0xFFFF)
-        record["doc"], record["at"] = doc, at
         part = _ranges(h, ranges)
         order = np.argsort(part, kind="stable")
-        record, part = record[order], part[order]
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        pieces = np.split(record, cuts) if len(record) else []
+        part = part[order]
+        columns = {"h": h & _U(0xFFFFFFFF), "phrase": phrase & _U(0xFFFFFFFF), "more": (phrase >> _U(32)) & _U(0xFFFF), "doc": doc, "at": at}
+        columns = {n: c[order] for n, c in columns.items()}
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+        documents = zstandard.ZstdCompressor(level=1).compress(_ascending(np.array(ids), "<i8").tobytes())
+        said = np.array(marks, dtype="<i4").tobytes()
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         return pd.DataFrame(
-            {"range": [int(part[0 if not k else cuts[k - 1]]) for k in range(len(pieces))], "ids": [ids] * len(pieces), "marks": [marks] * len(pieces), "records": [x.tobytes() for x in pieces]}
+            {"range": [int(part[x]) for x, _ in spans], "ids": [documents] * len(spans), "marks": [said] * len(spans), "records": [_packed({n: c[x:y] for n, c in columns.items()}) for x, y in spans]}
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +147,7 @@ def _packed_triggers(slim: DataFrame, ranges: int, p: PassageParams) -> DataFram
         if texts:
             yield pack(ids, marks, texts)
 
-    return slim.where("id is not null").mapInPandas(run, "range long, ids array<long>, marks array<long>, records binary")
+    return slim.where("id is not null").mapInPandas(run, "range long, ids binary, marks binary, records binary")
 
 
 def _per_document(ids: np.ndarray, marks: np.ndarray, **places: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
@@ -141,12 +167,12 @@ def _settled(packed: DataFrame) -> DataFrame:
     whose trigger, but not phrase, is shared."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = [np.frombuffer(r, dtype=_RECORD) for r in pdf["records"]]
-        ids = np.concatenate([np.asarray(i, dtype=np.int64)[r["doc"]] for i, r in zip(pdf["ids"], records, strict=True)])
-        marks = np.concatenate([np.asarray(m, dtype=np.int64)[r["doc"]] for m, r in zip(pdf["marks"], records, strict=True)])
-        rec = np.concatenate(records)
-        phrase = rec["phrase"].astype(np.uint64) | (rec["more"].astype(np.uint64) << _U(32))
-        h, at = rec["h"], rec["at"]
+        records = [_unpacked(r) for r in pdf["records"]]
+        documents = [np.cumsum(np.frombuffer(zstandard.decompress(i), "<i8")) for i in pdf["ids"]]
+        ids = np.concatenate([d[r["doc"]] for d, r in zip(documents, records, strict=True)])
+        marks = np.concatenate([np.frombuffer(m, "<i4")[r["doc"]] for m, r in zip(pdf["marks"], records, strict=True)])
+        h, phrase, more, at = (np.concatenate([r[c] for r in records]) for c in ("h", "phrase", "more", "at"))
+        phrase = phrase.astype(np.uint64) | (more.astype(np.uint64) << _U(32))
         order = np.lexsort((ids, phrase, h))
         h, phrase, ids, marks, at = h[order], phrase[order], ids[order], marks[order], at[order]
         new_h = np.concatenate([[True], np.diff(h) != 0])
@@ -162,7 +188,7 @@ def _settled(packed: DataFrame) -> DataFrame:
             return pd.DataFrame({"id": [], "mark": [], "covered": [], "open": []})
         return _per_document(ids[some], marks[some], covered=(covered[some], at[some]), open=(still[some], at[some]))
 
-    return packed.groupBy("range").applyInPandas(run, "id long, mark long, covered binary, open binary")
+    return packed.groupBy("range").applyInPandas(run, "id long, mark int, covered binary, open binary")
 
 
 def _open_phrases(texts: DataFrame, ranges: int, p: PassageParams) -> DataFrame:
@@ -170,23 +196,26 @@ def _open_phrases(texts: DataFrame, ranges: int, p: PassageParams) -> DataFrame:
     full = p.length + p.side
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
             held: dict[int, list] = {}
             for i, mark, packed, places in zip(pdf["id"], pdf["mark"], pdf["packed"], pdf["open"], strict=True):
+                if places is None or not (places := b"".join(places)):
+                    continue
                 raw = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
-                at = np.frombuffer(b"".join(places), dtype="<i4").astype(np.int64)
+                at = np.frombuffer(places, dtype="<i4").astype(np.int64)
                 padded = np.concatenate([np.zeros(p.side, np.uint8), raw, np.zeros(p.side, np.uint8)])
                 phrases = padded[at[:, None] + np.arange(full)[None, :]]
                 window = raw[at[:, None] + np.arange(p.trigger)[None, :]]
                 power, _ = _powers(p.trigger)
                 h = mixed((_VALUE[window] * power[: p.trigger][None, :]).sum(axis=1, dtype=np.uint64))
-                part = _ranges(h, ranges)
+                part = _ranges(mixed(~h), ranges)
                 reach = np.stack([np.minimum(p.side, at), np.minimum(p.side, len(raw) - at - p.trigger)], axis=1).astype(np.uint8)
                 for r in np.unique(part).tolist():
                     k = part == r
                     held.setdefault(r, []).append((np.full(k.sum(), i), np.full(k.sum(), mark), at[k], np.concatenate([reach[k], phrases[k]], axis=1)))
             yield pd.DataFrame(
-                {"range": list(held)} | {name: [np.concatenate([x[c] for x in v]).astype(kind).tobytes() for v in held.values()] for c, (name, kind) in enumerate((("ids", "<i8"), ("marks", "<i8"), ("places", "<i4"), ("phrases", np.uint8)))}
+                {"range": list(held)} | {name: [(packer.compress if name == "phrases" else bytes)(np.concatenate([x[c] for x in v]).astype(kind).tobytes()) for v in held.values()] for c, (name, kind) in enumerate((("ids", "<i8"), ("marks", "<i4"), ("places", "<i4"), ("phrases", np.uint8)))}
             )
 
     return texts.mapInPandas(run, "range long, ids binary, marks binary, places binary, phrases binary")
@@ -199,32 +228,42 @@ def _shared_strings(phrases: DataFrame, p: PassageParams) -> DataFrame:
     ones stand together, the smallest document first.
     """
     full = p.length + p.side
+    shift = np.arange(p.side + 1)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, marks = (np.frombuffer(b"".join(pdf[c]), dtype="<i8") for c in ("ids", "marks"))
-        at = np.frombuffer(b"".join(pdf["places"]), dtype="<i4").astype(np.int64)
-        rows = np.frombuffer(b"".join(pdf["phrases"]), dtype=np.uint8).reshape(len(at), full + 2)
-        left, right, body = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64), np.ascontiguousarray(rows[:, 2:])
-        shift = np.arange(p.side + 1)
-        ok = (shift[None, :] >= p.side - left[:, None]) & (shift[None, :] <= right[:, None])
+    def hits(ids: np.ndarray, reach: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and offset of the strings of some phrases that a smaller document has too."""
+        ok = (shift[None, :] >= p.side - reach[:, :1]) & (shift[None, :] <= reach[:, 1:])
         row, off = np.nonzero(ok)
-        views = np.lib.stride_tricks.sliding_window_view(body, p.length, axis=1)
-        strings = np.ascontiguousarray(views[row, off]).view(f"V{p.length}").ravel()
-        words = np.ascontiguousarray(views[row, off][:, : p.length // 8 * 8]).view(">u8")
-        tail = np.zeros((len(row), 8), np.uint8)
-        tail[:, : p.length % 8] = views[row, off][:, p.length // 8 * 8 :]
-        keys = [ids[row], tail.view(">u8").ravel(), *[words[:, k] for k in range(words.shape[1] - 1, -1, -1)]]
-        order = np.lexsort(keys)
-        same = strings[order][1:] == strings[order][:-1]
-        new = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
-        first = ids[row][order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else ids[:0]
-        hit = ids[row][order] > first
-        if not hit.any():
+        if not len(row):
+            return row, off
+        strings = np.lib.stride_tricks.sliding_window_view(body, p.length, axis=1)[row, off]
+        wide = np.zeros((len(row), -(-p.length // 8) * 8), np.uint8)
+        wide[:, : p.length] = strings
+        words = wide.view(">u8")
+        order = np.lexsort([ids[row], *[words[:, k] for k in range(words.shape[1] - 1, -1, -1)]])
+        words, row, off = words[order], row[order], off[order]
+        new = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])
+        known = ids[row] > ids[row][np.flatnonzero(new)][np.cumsum(new) - 1]
+        return row[known], off[known]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, marks = (np.frombuffer(b"".join(pdf[c]), dtype=k) for c, k in (("ids", "<i8"), ("marks", "<i4")))
+        at = np.frombuffer(b"".join(pdf["places"]), dtype="<i4")
+        rows = np.frombuffer(b"".join(map(zstandard.decompress, pdf["phrases"])), dtype=np.uint8).reshape(len(at), full + 2)
+        # phrases of one trigger stay together; a portion at a time bounds the memory
+        portions = max(1, len(at) * (p.side + 1) // p.portion)
+        key = mixed(np.ascontiguousarray(rows[:, 2 + p.side : 10 + p.side]).view("<u8").ravel()) % _U(portions)
+        found = []
+        for k in range(portions):
+            of = np.flatnonzero(key == _U(k))
+            row, off = hits(ids[of], rows[of, :2].astype(np.int64), rows[of, 2:])
+            found.append((of[row], off))
+        row, off = (np.concatenate([x[c] for x in found]) for c in (0, 1))
+        if not len(row):
             return pd.DataFrame({"id": [], "mark": [], "starts": []})
-        row, off = row[order][hit], off[order][hit]
-        return _per_document(ids[row], marks[row], starts=(np.ones(len(row), bool), at[row] - p.side + off))
+        return _per_document(ids[row], marks[row], starts=(np.ones(len(row), bool), at[row].astype(np.int64) - p.side + off))
 
-    return phrases.groupBy("range").applyInPandas(run, "id long, mark long, starts binary")
+    return phrases.groupBy("range").applyInPandas(run, "id long, mark int, starts binary")
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: PassageParams = PassageParams()) -> DataFrame:
@@ -235,18 +274,20 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     empty texts have no bytes. Matches never cross documents.
     """
     ranges = 2 * shuffle_width(docs.sparkSession)
-    slim = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("text"))
+    slim = docs.select(docs[id_col].cast("long").alias("id"), F.pmod(F.xxhash64(docs[text]), F.lit(2**31 - 1)).cast("int").alias("mark"), docs[text].alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=3)
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": pdf["mark"], "packed": [packer.compress((t or "").encode("utf-8", "replace")) for t in pdf["text"]]})
 
-    packed_texts = slim.mapInPandas(pack, "id long, mark long, packed binary")
+    packed_texts = slim.mapInPandas(pack, "id long, mark int, packed binary")
     settled = _settled(_packed_triggers(slim, ranges, p)).groupBy("id", "mark").agg(F.collect_list("covered").alias("covered"), F.collect_list("open").alias("open"))
     settled = cut(settled)
-    unsettled = settled.where(F.exists("open", lambda x: F.octet_length(x) > 0)).select(F.col("id").alias("i"), F.col("mark").alias("m"), "open")
-    texts = packed_texts.join(unsettled, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m"))).select("id", "mark", "packed", "open")
+    # both joins keep all texts, so that Spark shuffles these once and uses the exchange again
+    opened = settled.select(F.col("id").alias("i"), F.col("mark").alias("m"), "open")
+    same = (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m"))
+    texts = packed_texts.join(opened, same, "left").select("id", "mark", "packed", "open")
     shared = _shared_strings(_open_phrases(texts, ranges, p), p).groupBy("id", "mark").agg(F.collect_list("starts").alias("starts"))
     marked = settled.select("id", "mark", "covered").join(shared, ["id", "mark"], "full").select(F.col("id").alias("i"), F.col("mark").alias("m"), "covered", "starts")
 
@@ -269,6 +310,6 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             out.insert(0, "id", pdf["id"].astype("Int64").to_numpy())
             yield out
 
-    joined = packed_texts.join(marked, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m")), "left").select("id", "packed", "covered", "starts")
+    joined = packed_texts.join(marked, same, "left").select("id", "packed", "covered", "starts")
     out = joined.mapInPandas(cut_out, "id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
