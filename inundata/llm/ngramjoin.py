@@ -4,8 +4,8 @@ Shingle hashes fall into groups. Documents that could link share whole groups: w
 about four shingles, a pair at the threshold agrees on any one group with probability over 0.3,
 independently of the data, and every document shows 48 of them, so a link stays unseen with a
 probability of about 1e-9. Documents that share a group form a bucket. Identical sets are one
-class first, so copies cost nothing; inside a bucket each class is first compared with one other
-only, and components of the links found so far are joined before anything else is compared. What
+class first, so copies cost nothing; inside a bucket each class is first compared with a few
+others only, and components of the links found so far are joined before anything else is compared. What
 is left goes through an R-tree on count vectors: each class is the point of its shingle counts
 per group, a node keeps coordinate maxima, and the summed coordinate minima of a query and a node
 bound every overlap below it. Pairs that survive are verified on their shingle sets.
@@ -23,10 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inundata.llm.components import connected_components
+from inundata.llm.components import connected_components, tasks_for
 from inundata.llm.text import cut, shuffle_width
 
-GROUPS = 64
+#: Groups of a count vector: the second number for sets of ``LONG`` shingles or more. Vectors of
+#: both lengths in one block are folded to the shorter.
+GROUPS, LONG_GROUPS, LONG = 256, 1024, 1000
 _U = np.uint64
 
 
@@ -41,7 +43,15 @@ class JoinParams:
     per_group: float = 4.0
     #: Classes of one R-tree; larger buckets are split into pairs of blocks.
     block: int = 4096
-    star_rounds: int = 3
+    #: Rounds that compare each class with the centres of its buckets, only where that many
+    #: agreements are shared: they save work in the last round, which compares whatever is left.
+    star_rounds: int = 5
+    #: Pairs of different components left in buckets, per row, above which another star round is
+    #: worth it, and the share of a round's comparisons that must have been links.
+    left_per_row: float = 8.0
+    least_yield: float = 0.005
+    partners: int = 8
+    least_shared: int = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -129,7 +139,15 @@ def agreements(shingles: np.ndarray, p: JoinParams) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((mixed(shingles ^ _STEP) & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    groups = LONG_GROUPS if len(shingles) >= LONG else GROUPS
+    return np.bincount((mixed(shingles ^ _STEP) & _U(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def stacked(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as rows of one matrix, folded to one length."""
+    if len({len(v) for v in vectors}) > 1:
+        vectors = [np.frombuffer(v, "<u4").reshape(-1, GROUPS).sum(axis=0).astype("<u4").tobytes() for v in vectors]
+    return np.frombuffer(b"".join(vectors), "<u4").reshape(len(vectors), -1).astype(np.int32)
 
 
 class CountTree:
@@ -199,11 +217,11 @@ def _stored(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, p: JoinP
             for cls, packed in zip(pdf["cls"], pdf["packed"], strict=True):
                 s = shingle_set(zstandard.decompress(packed).decode(), p.words)
                 if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == cls:
-                    rows.append((cls, len(s), count_vector(s), packed))
+                    rows.append((cls, len(s), count_vector(s).tobytes(), packed))
             yield pd.DataFrame(rows, columns=["cls", "n", "vec", "packed"])
 
     packed = slim.mapInPandas(pack, "id long, packed binary").join(wanted, F.col("id") == F.col("rep")).select("cls", "packed")
-    return packed.mapInPandas(measure, "cls long, n int, vec array<int>, packed binary").dropDuplicates(["cls"])
+    return packed.mapInPandas(measure, "cls long, n int, vec binary, packed binary").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, stored: DataFrame, p: JoinParams) -> DataFrame:
@@ -237,35 +255,68 @@ def _tree_pairs(rows: DataFrame, p: JoinParams) -> DataFrame:
     ``rows``: key, i, j, sub, cls, n, comp, vec; all rows of (key, i, j) are one block.
     """
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        vec = np.array(pdf["vec"].tolist(), dtype=np.int32).reshape(len(pdf), GROUPS)
-        n, comp, cls, sub = (pdf[c].to_numpy() for c in ("n", "comp", "cls", "sub"))
-        cross = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        found = []
-        for q, t in CountTree(vec, n).search(vec, n, p.percent):
+    columns = ("key", "i", "j", "sub", "cls", "n", "comp")
+
+    def block(c: dict[str, np.ndarray], vectors: list[bytes], found: list[np.ndarray]) -> None:
+        cls, comp, n, sub = c["cls"], c["comp"], c["n"], c["sub"]
+        if len(cls) < 2 or (comp == comp[0]).all():
+            return
+        cross = c["i"][0] != c["j"][0]
+
+        def wanted(q: np.ndarray, t: np.ndarray) -> np.ndarray:
             keep = (cls[q] < cls[t]) & (comp[q] != comp[t])
-            if cross:
-                keep &= sub[q] != sub[t]
-            found.append(np.stack([cls[q][keep], cls[t][keep]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+            return keep & (sub[q] != sub[t]) if cross else keep
+
+        vec = stacked(vectors)
+        if len(cls) <= 48:  # a tree of one leaf
+            q, t = (x.ravel() for x in np.indices((len(cls), len(cls))))
+            keep = wanted(q, t)
+            q, t = q[keep], t[keep]
+            bound = np.minimum(vec[q], vec[t]).sum(axis=1)
+            keep = (100 + p.percent) * bound >= p.percent * (n[q] + n[t])
+            found.append(np.stack([cls[q[keep]], cls[t[keep]]], axis=1))
+            return
+        for q, t in CountTree(vec, n).search(vec, n, p.percent, 20_000):
+            keep = wanted(q, t)
+            found.append(np.stack([cls[q[keep]], cls[t[keep]]], axis=1))
+
+    def pairs(found: list[np.ndarray]) -> pd.DataFrame:
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        return pd.DataFrame(out, columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: dict[str, np.ndarray] | None = None
+        held_vectors: list[bytes] = []
+        found: list[np.ndarray] = []
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            ids = (pdf[["key", "i", "j"]] != pdf[["key", "i", "j"]].shift()).any(axis=1).cumsum()
-            held = pdf[ids == ids.iloc[-1]] if len(pdf) else None
-            whole = pdf[ids != ids.iloc[-1]] if len(pdf) else pdf
-            yield from (join(block) for _, block in whole.groupby(ids[: len(whole)], sort=False))
+            c, vectors = {k: pdf[k].to_numpy() for k in columns}, held_vectors + pdf["vec"].tolist()
+            if held is not None:
+                c = {k: np.concatenate([held[k], c[k]]) for k in columns}
+            new = (np.diff(c["key"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                block({k: v[start:stop] for k, v in c.items()}, vectors[start:stop], found)
+                if len(found) > 500:
+                    yield pairs(found)
+                    found = []
+            held, held_vectors = {k: v[cuts[-1] :] for k, v in c.items()}, vectors[cuts[-1] :]
         if held is not None:
-            yield join(held)
+            block(held, held_vectors, found)
+        yield pairs(found)
 
     width = shuffle_width(rows.sparkSession)
     parted = rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return parted.mapInPandas(run, "a long, b long").distinct()
 
 
+def _left(rows: DataFrame) -> float:
+    """Pairs of different components that share a bucket, per row."""
+    own = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    keys = own.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    got = keys.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return float(got[1] or 0) / float(got[0] or 1)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: JoinParams = JoinParams()) -> DataFrame:
     """id, n_shingles, component_id: components of documents that link.
 
@@ -291,18 +342,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     wanted = buckets.select("cls").distinct().join(classes.where("rep is not null"), "cls").select("cls", "rep")
     stored = cut(_stored(docs, wanted, id_col, text, p))
 
-    links, comps = None, None
-    for turn in range(p.star_rounds + 1):
+    comps, turn, stars_on = None, 0, True
+    while True:
         now = buckets.withColumn("comp", F.col("cls"))
         if comps is not None:
             now = buckets.join(comps, F.col("cls") == F.col("node"), "left").select(*buckets.columns, F.coalesce("component", "cls").alias("comp"))
-        if turn < p.star_rounds:
+        if turn:
+            stars_on = stars_on and turn < p.star_rounds and tried and linked >= p.least_yield * tried and _left(now) > p.left_per_row
+        if stars_on:
             order = Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(turn)))
             centre = F.first(F.struct("cls", "n", "comp")).over(order)
             sizes_fit = (F.col("n") * 100 >= F.col("o.n") * p.percent) & (F.col("o.n") * 100 >= F.col("n") * p.percent)
-            stars = now.withColumn("o", centre).where((F.col("o.comp") != F.col("comp")) & sizes_fit)
-            best = stars.groupBy("cls", F.col("o.cls").alias("other")).agg(F.sum("weight").alias("w")).groupBy("cls").agg(F.max(F.struct("w", "other")).alias("x"))
-            pairs = best.select(F.least("cls", "x.other").alias("a"), F.greatest("cls", "x.other").alias("b")).distinct()
+            stars = now.select("cls", "n", "comp", "weight", centre.alias("o"))
+            shared_by = stars.where((F.col("o.comp") != F.col("comp")) & sizes_fit).groupBy("cls", F.col("o.cls").alias("other")).agg(F.sum("weight").alias("w"))
+            best = (
+                shared_by.where(F.col("w") >= p.least_shared)
+                .groupBy("cls")
+                .agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "other")), asc=False), 1, p.partners).alias("x"))
+                .select("cls", F.explode("x").alias("x"))
+            )
+            pairs = cut(best.select(F.least("cls", "x.other").alias("a"), F.greatest("cls", "x.other").alias("b")).distinct())
         else:
             mixed_buckets = now.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo < hi")
             blocks = F.ceil(F.col("c") / p.block).cast("int")
@@ -314,8 +373,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             )
             pairs = _tree_pairs(placed, p)
         found = cut(_verified(pairs, stored, p))
-        links = found if links is None else links.unionByName(found)
+        linked = found.count()
+        found = found.coalesce(tasks_for(linked))
+        # components so far stand for the links that made them
+        links = found if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
         comps = connected_components(links)
+        if not stars_on:
+            break
+        tried, turn = pairs.count(), turn + 1
     named = comps.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "rep")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "component").select("cls", "component_id")
