@@ -3,16 +3,18 @@
 Beside three fixed patterns, every long run of token characters is a candidate. Its encoding is
 inferred, its characters become numbers of that alphabet, and three tests ask whether they look
 drawn at random: chi-squared uniformity over alphabet cells, runs above and below the middle, and
-serial correlation at lag one. A candidate must pass the battery, and must be so even that
-ordinary words of its length would hardly be: that tail probability feeds a false-discovery
-control over all candidates of the corpus, with weights by length.
+serial correlation at lag one. A candidate must pass the battery, and must be improbable as an
+ordinary token: a Markov chain over characters, learned from the candidates of the whole corpus,
+is the null, and its likelihood ratio to random draws from the encoding bounds the tail
+probability that feeds a false-discovery control over all candidates, with weights by length.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inundata.llm.text import cut, let
@@ -37,6 +39,13 @@ ALPHABETS = {
 }
 #: Alphabet cells of the chi-squared test.
 CELLS = 4
+#: All characters of a candidate, by class; the null of ordinary tokens is a chain over them.
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")
+CHARS = "".join(CLASSES)
+#: Class of the next character after the start and after each class, before any token is seen.
+NEXT_CLASS = ((0.45, 0.3, 0.15, 0.1), (0.9, 0.02, 0.03, 0.05), (0.45, 0.48, 0.03, 0.04), (0.04, 0.03, 0.85, 0.08), (0.45, 0.2, 0.25, 0.1))
+#: Share of characters of a random string that stand outside its alphabet, as in ``a=`` before it.
+OUTSIDE = 0.01
 
 
 @dataclass(frozen=True)
@@ -48,6 +57,11 @@ class SecretParams:
     #: Steps of -log10(p) per unit in the corpus-wide histogram, and its end.
     steps: int = 20
     top: int = 60
+    #: Share of ordinary tokens that have no lower-case letter.
+    capitals: float = 0.1
+    #: Transitions that the fixed class table and an even choice in a class count for.
+    class_weight: float = 100.0
+    char_weight: float = 20.0
 
 
 def _upper_tail(value: Column) -> Column:
@@ -100,10 +114,10 @@ def matches(text: Column, hint: str, pattern: str, group: int, least: int, kind:
 
 
 def battery(token: Column) -> Column:
-    """struct(encoding, n, p_random, p_words) of one token.
+    """struct(encoding, body, tests: struct(n, p_random)) of one token.
 
-    p_random: the least of the three tests' p-values times three (1 at most). p_words: how
-    probable it is that lower-case words of this length come as close to uniform as it does.
+    p_random: the least of the three tests' p-values times three (1 at most). body: the token
+    without its padding.
     """
 
 
@@ -123,7 +137,7 @@ def battery(token: Column) -> Column:
                 return F.filter(F.transform(F.split(body, "(?!^)", -1), lambda c: F.call_function("instr", a, c) - 1), lambda d: d >= 0)
 
             tests = let(alphabet, lambda a: let(digits(a), lambda v: _tests(v, F.length(a).cast("double"))))
-            return F.struct(name.alias("encoding"), tests.alias("tests"))
+            return F.struct(name.alias("encoding"), body.alias("body"), tests.alias("tests"))
 
         return let(encoding, tested)
 
@@ -143,11 +157,7 @@ def _tests(v: Column, size: Column) -> Column:
 
     def on_chi(chi: Column) -> Column:
         df = float(CELLS - 1)
-        p_chi = _upper_tail((F.pow(chi / df, F.lit(1.0 / 3.0)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-        # words crowd into the cells of lower-case letters: this is their noncentrality per character
-        crowd = n * F.when(size == 64, F.lit(0.9)).when(size == 32, F.lit(0.6)).otherwise(F.lit(0.7))
-        p_words = let(crowd, lambda c: _upper_tail((df + c - chi) / F.sqrt(2 * (df + 2 * c))))
-        return F.struct(p_chi.alias("p"), p_words.alias("p_words"))
+        return _upper_tail((F.pow(chi / df, F.lit(1.0 / 3.0)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
 
     def runs(u: Column) -> Column:
         """Runs above and below the middle of the alphabet, against their normal limit."""
@@ -174,21 +184,94 @@ def _tests(v: Column, size: Column) -> Column:
     middle = F.transform(v, lambda d: F.when(d * 2 >= size, 1.0).otherwise(0.0))
     tested = let(
         let(let(counts, uniform), on_chi),
-        lambda c: F.struct(
+        lambda p_chi: F.struct(
             F.size(v).alias("n"),
-            F.least(F.lit(1.0), 3 * F.least(c["p"], let(middle, runs), let(_total(v) / n, serial))).alias("p_random"),
-            c["p_words"].alias("p_words"),
+            F.least(F.lit(1.0), 3 * F.least(p_chi, let(middle, runs), let(_total(v) / n, serial))).alias("p_random"),
         ),
     )
-    return F.when(F.size(v) >= 16, tested).otherwise(
-        F.struct(F.size(v).alias("n"), F.lit(0.0).alias("p_random"), F.lit(1.0).alias("p_words"))
-    )
+    return F.when(F.size(v) >= 16, tested).otherwise(F.struct(F.size(v).alias("n"), F.lit(0.0).alias("p_random")))
+
+
+def _places(body: Column) -> Column:
+    """The place of each pair of neighbours in a table of (previous, next) character.
+
+    Characters count from 1, and 0 is the start, so the pairs of a token are as many as its
+    characters. A token without lower-case letters is taken as if written in them.
+    """
+    wide = len(CHARS)
 
+    def paired(c: Column) -> Column:
+        return F.transform(c, lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.get(c, i - 1)) * wide + x - 1)
 
-def _p_step(p: Column, n: Column, s: SecretParams) -> Column:
-    """The step of a candidate in the histogram: -log10(p over its weight by length)."""
+    return let(F.transform(F.split(F.when(body.rlike("[a-z]"), body).otherwise(F.lower(body)), "(?!^)", -1), lambda c: F.call_function("instr", F.lit(CHARS), c)), paired)
+
+
+def chain(counts: dict[int, float], s: SecretParams = SecretParams()) -> list[float]:
+    """ln P(next | previous) by place, from how often ordinary tokens have the pair at each place.
+
+    The class of the next character depends on the class of the previous one; the character inside
+    the class on the previous character, where letters count in both cases alike. Fixed counts, even inside a class, stand for what is rare.
+    """
+    kind = [k for k, c in enumerate(CLASSES) for _ in c]
+    wide, low = len(CHARS), CHARS.lower()
+    by_class, by_char, by_prev = {}, {}, {}
+    for at, n in counts.items():
+        prev, x = divmod(at, wide)
+        a, folded = (kind[prev - 1] + 1 if prev else 0), (low[prev - 1] if prev else "")
+        group = max(kind[x], 1)  # both cases of letters
+        for table, key in ((by_class, (a, kind[x])), (by_class, a), (by_char, (folded, low[x])), (by_prev, (folded, group))):
+            table[key] = table.get(key, 0.0) + n
+    out = []
+    for prev in range(wide + 1):
+        a, folded = (kind[prev - 1] + 1 if prev else 0), (low[prev - 1] if prev else "")
+        for x in range(wide):
+            k = kind[x]
+            of_class = (by_class.get((a, k), 0.0) + s.class_weight * NEXT_CLASS[a][k]) / (by_class.get(a, 0.0) + s.class_weight)
+            of_char = (by_char.get((folded, low[x]), 0.0) + s.char_weight / len(CLASSES[k])) / (by_prev.get((folded, max(k, 1)), 0.0) + s.char_weight)
+            out.append(math.log(of_class * of_char))
+    return out
+
+
+def _table(spark: SparkSession, values: list[float]) -> DataFrame:
+    """One row, ``chain``: as many numbers as there are pairs of characters."""
+    return spark.range(1).select(F.split(F.lit(",".join(f"{x:.5f}" for x in values)), ",").cast("array<float>").alias("chain"))
+
+
+def _log_ratio(c: Column, table: Column, s: SecretParams) -> Column:
+    """ln of a candidate's probability as random draws from its encoding over that as an ordinary token."""
+    sizes = F.create_map(*[F.lit(x) for name, a in ALPHABETS.items() for x in (name, float(len(a)))])
+
+    def of(size: Column) -> Column:
+        share = F.when(c["body"].rlike("[a-z]"), math.log(1 - s.capitals)).otherwise(math.log(s.capitals))
+        ordinary = F.aggregate(_places(c["body"]), share, lambda t, at: t + F.get(table, at))
+        outside = F.length(c["body"]) - c["n"]
+        return c["n"] * F.log((1 - OUTSIDE) / size) + outside * F.log(OUTSIDE / (len(CHARS) - size)) - ordinary
+
+    return let(F.element_at(sizes, c["encoding"]), of)
+
+
+def ordinary_chain(candidates: DataFrame, s: SecretParams = SecretParams()) -> DataFrame:
+    """One row, ``chain``: the null of ordinary tokens, from all distinct candidates.
+
+    ``candidates``: body, encoding, n. A candidate counts as far as the chain of the fixed counts
+    alone holds it for an ordinary token, so that secrets don't teach the null what they look like.
+    The counts are as many as there are pairs of characters, whatever the corpus.
+    """
+    spark = candidates.sparkSession
+    share = 1.0 / (1.0 + F.exp(F.least(F.lit(700.0), _log_ratio(F.struct("body", "encoding", "n"), F.col("chain"), s))))
+    weighed = candidates.dropDuplicates(["body"]).crossJoin(F.broadcast(_table(spark, chain({}, s)))).select("body", share.alias("w")).where("w > 1e-6")
+    counts = weighed.select(F.explode(_places(F.col("body"))).alias("at"), "w").groupBy("at").agg(F.sum("w").alias("n"))
+    return _table(spark, chain({r["at"]: r["n"] for r in counts.collect()}, s))
+
+
+def _p_step(log_ratio: Column, n: Column, s: SecretParams) -> Column:
+    """The step of a candidate in the histogram: -log10(p over its weight by length).
+
+    An ordinary token reaches a ratio r with a probability of 1/r at most, in each of the encodings.
+    """
     weight = F.least(F.lit(2.0), n / 40.0)
-    return F.least(F.lit(s.top * s.steps), F.floor(-F.log10(F.greatest(p, F.lit(1e-300)) / weight) * s.steps)).cast("int")
+    log_p = F.least(F.lit(0.0), math.log10(len(ALPHABETS)) - log_ratio / math.log(10))
+    return F.least(F.lit(s.top * s.steps), F.floor((F.log10(weight) - log_p) * s.steps)).cast("int")
 
 
 def discovery_step(candidates: DataFrame, s: SecretParams) -> DataFrame:
@@ -214,7 +297,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", s: SecretParams = SecretPa
 
     kind counts in :data:`KINDS`; positions are code points, ends exclusive. Null and empty texts
     have no spans. The texts are read once: their spans and candidates go through the checkpoint
-    folder while the corpus-wide cut-off is found.
+    folder while the corpus-wide null and cut-off are found.
     """
     whole = F.coalesce(docs[text], F.lit(""))
     fixed = F.concat(*[matches(whole, hint, pattern, group, least, k) for k, (_, hint, pattern, group, least) in enumerate(PATTERNS)])
@@ -225,7 +308,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", s: SecretParams = SecretPa
             found,
             lambda x: let(
                 battery(F.substr(whole, x["start"] + 1, x["stop"] - x["start"])),
-                lambda b: F.struct(x.alias("span"), b["tests"]["n"].alias("n"), b["tests"]["p_random"].alias("p_random"), b["tests"]["p_words"].alias("p_words")),
+                lambda b: F.struct(x.alias("span"), b["tests"]["n"].alias("n"), b["tests"]["p_random"].alias("p_random"), b["encoding"].alias("encoding"), b["body"].alias("body")),
             ),
         )
 
@@ -236,7 +319,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", s: SecretParams = SecretPa
             "tested",
             F.filter("tested", lambda c: ~F.exists("base", lambda b: (b["start"] < c["span"]["stop"]) & (c["span"]["start"] < b["stop"]))),
         )
-        .withColumn("tested", F.transform("tested", lambda c: F.struct(c["span"].alias("span"), c["p_random"].alias("p_random"), _p_step(c["p_words"], c["n"], s).alias("step"))))
+    )
+    null = ordinary_chain(scanned.select(F.explode("tested").alias("c")).select("c.body", "c.encoding", "c.n"), s)
+    step = lambda c: _p_step(_log_ratio(c, F.col("chain"), s), F.greatest(c["n"], F.lit(1)), s)
+    scanned = cut(
+        scanned.crossJoin(F.broadcast(null)).select(
+            "row", "base", F.transform("tested", lambda c: F.struct(c["span"].alias("span"), c["p_random"].alias("p_random"), step(c).alias("step"))).alias("tested")
+        )
     )
     cutoff = discovery_step(scanned.select(F.explode("tested").alias("c")).select("c.step"), s)
     # one row of one number: its size is fixed

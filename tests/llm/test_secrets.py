@@ -3,7 +3,7 @@ import random
 import re
 
 from inundata.llm import queries
-from inundata.llm.secrets import scan_secrets
+from inundata.llm.secrets import ALPHABETS, scan_secrets
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
@@ -53,3 +53,24 @@ def test_battery_adds_random_strings_and_leaves_words(spark):
     got = {r.row.doc_id: [x for x in r.spans if x.kind == 3] for r in scan_secrets(docs).collect()}
     assert sum(got[i] == [(4, 3, 68)] for i in range(40)) >= 36
     assert not any(got[40 + i] for i in range(len(plain)))
+
+
+def test_short_random_strings_among_many_ordinary_tokens(spark):
+    """20 to 40 characters of each encoding, each kind under one candidate in 300."""
+    rng = random.Random(5)
+    syllables = "an ber che dor el fing gra hen in jor ka lun men no or pre qua ra ster tion un ver wa ze".split()
+
+    def plain():
+        w = ["".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(rng.randint(5, 8))]
+        make = [lambda: "".join(w), lambda: "".join(w).upper(), lambda: "-".join(w), lambda: "/".join(w), lambda: "".join(x.title() for x in w), lambda: f"{w[0]}_{w[1]}_{w[2]}-2024-{rng.randint(10, 99)}-{rng.randint(100000, 999999)}"]
+        return rng.choice(make)().ljust(24, "e")
+
+    words = [plain() for _ in range(4000)]
+    planted = [(e, n, "".join(rng.choices(a, k=n))) for e, a in ALPHABETS.items() for n in (20, 24, 32, 40) for _ in range(12) if e != "hex" or n == 20]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate([t for *_, t in planted] + words)], "doc_id long, text string")
+    got = {r.row.doc_id: [tuple(x) for x in r.spans if x.kind == 3] for r in scan_secrets(docs).collect()}
+    found = {}
+    for i, (e, n, t) in enumerate(planted):
+        found.setdefault((e, n), []).append(got[i] == [(4, 3, 4 + len(t))])
+    assert all(sum(v) >= 10 for v in found.values()), {k: sum(v) for k, v in found.items()}
+    assert sum(bool(got[len(planted) + i]) for i in range(len(words))) <= 4
