@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inundata.llm.linededup import dedup_lines
 from inundata.llm.mixing import mix_sources
-from inundata.llm.ngramjoin import jaccard_components
+from inundata.llm.ngramjoin import identity, jaccard_groups
 from inundata.llm.pieces import encode_pieces
 from inundata.llm.quality import apply_quality_rules
 from inundata.llm.text import shared_folder
@@ -40,16 +40,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one that names the group."""
-    groups = jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near duplicates stays, the one that names the group.
+
+    Documents are told apart by id and text. Rows that have both in common are one document, of
+    which one row stays; a document without an id stays unless it is a near duplicate of another.
+    """
+    names = jaccard_groups(docs).where("component = doc").select("doc").distinct()
+    known = docs.withColumn("doc", identity(F.col("doc_id"), F.col("text"))).dropDuplicates(["doc"])
+    return known.join(names, "doc", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out as the mix takes them."""
-    taken = mix_sources(docs).where("copies > 0").select("row.doc_id", "copies")
+    """Documents are repeated or left out as the mix takes them.
+
+    Rows with the same id, text and source share their copies, as evenly as these can be dealt.
+    """
+    taken = (
+        mix_sources(docs)
+        .groupBy(F.struct("row.doc_id", "row.source", "text_hash").alias("doc"))
+        .agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+        .where("total > 0")
+    )
+    known = docs.withColumn("doc", F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("doc"))
+    copies = (F.floor(F.col("total") / F.col("rows")) + (place <= F.pmod("total", F.col("rows"))).cast("int")).cast("int")
     return (
-        docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+        known.join(taken, "doc")
+        .withColumn("copies", copies)
+        .where("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select(*docs.columns)
     )
 
 

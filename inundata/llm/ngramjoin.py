@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inundata.llm.components import connected_components, tasks_for
@@ -185,9 +185,17 @@ class CountTree:
             yield query, self.order[node]
 
 
+def identity(id_col: Column, text: Column) -> Column:
+    """What a row is known by: a struct of its id and a hash of its text, never null itself.
+
+    Structs of equal fields are equal, nulls included. Those with an id come before those without.
+    """
+    return F.struct(id_col.isNull().alias("unnamed"), id_col.cast("long").alias("id"), F.xxhash64(text).alias("text_hash"))
+
+
 def _sets(docs: DataFrame, id_col: str, text: str, p: JoinParams) -> DataFrame:
-    """id, n, cls (hash of the set), keys (agreements)."""
-    slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"))
+    """doc (identity), n, cls (hash of the set), keys (agreements)."""
+    slim = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -197,19 +205,25 @@ def _sets(docs: DataFrame, id_col: str, text: str, p: JoinParams) -> DataFrame:
                 n.append(len(s))
                 cls.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 keys.append(agreements(s, p).view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "n": n, "cls": cls, "keys": keys})
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "text_hash": pdf["text_hash"], "n": n, "cls": cls, "keys": keys})
+
+    made = slim.mapInPandas(run, "id long, text_hash long, n int, cls long, keys array<long>")
+    return made.select(_known().alias("doc"), "n", "cls", "keys")
+
 
-    return slim.mapInPandas(run, "id long, n int, cls long, keys array<long>")
+def _known() -> Column:
+    """The identity from columns ``id`` and ``text_hash``."""
+    return F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("text_hash"))
 
 
 def _stored(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, p: JoinParams) -> DataFrame:
     """cls, n, vec, packed: what verification needs of each wanted class (cls, rep)."""
-    slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"))
+    slim = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "packed": [packer.compress((t or "").encode("utf-8", "replace")) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "text_hash": pdf["text_hash"], "packed": [packer.compress((t or "").encode("utf-8", "replace")) for t in pdf["text"]]})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -220,7 +234,7 @@ def _stored(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, p: JoinP
                     rows.append((cls, len(s), count_vector(s).tobytes(), packed))
             yield pd.DataFrame(rows, columns=["cls", "n", "vec", "packed"])
 
-    packed = slim.mapInPandas(pack, "id long, packed binary").join(wanted, F.col("id") == F.col("rep")).select("cls", "packed")
+    packed = slim.mapInPandas(pack, "id long, text_hash long, packed binary").join(wanted, _known() == F.col("rep")).select("cls", "packed")
     return packed.mapInPandas(measure, "cls long, n int, vec binary, packed binary").dropDuplicates(["cls"])
 
 
@@ -321,11 +335,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """id, n_shingles, component_id: components of documents that link.
 
     Null and blank texts have no shingles and link with nothing: they are their own component.
-    Repeated rows give repeated rows. A null id never names a component, and a document known by
-    no id at all has a null one. An empty table gives an empty table.
+    Repeated rows give repeated rows. A null id never names a component that has another, and a
+    component of documents without ids has a null one. An empty table gives an empty table.
+    """
+    return jaccard_groups(docs, id_col, text, p).select(
+        F.col("doc.id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component.id").alias("component_id")
+    )
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: JoinParams = JoinParams()) -> DataFrame:
+    """doc, n, component: for each row its :func:`identity`, shingles, and the least identity of its component.
+
+    Rows without ids, and different texts under one id, link and are told apart like any others.
     """
     base = cut(_sets(docs, id_col, text, p))
-    classes = base.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"))
+    classes = base.where("n > 0").groupBy("cls", "n").agg(F.min("doc").alias("rep"))
     # classes that share a key; rows of one class are told apart by nothing, so they count once
     shown = (
         base.select(F.explode("keys").alias("key"), "cls", "n")
@@ -339,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     # buckets of the same members are one bucket
     kept = shared.groupBy("members", "c").agg(F.min("key").alias("key"), F.countDistinct("key").alias("weight"))
     buckets = cut(shared.join(kept.select("key", "weight"), "key").select("key", "cls", "n", "c", "weight"))
-    wanted = buckets.select("cls").distinct().join(classes.where("rep is not null"), "cls").select("cls", "rep")
+    wanted = buckets.select("cls").distinct().join(classes, "cls").select("cls", "rep")
     stored = cut(_stored(docs, wanted, id_col, text, p))
 
     comps, turn, stars_on = None, 0, True
@@ -382,9 +406,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             break
         tried, turn = pairs.count(), turn + 1
     named = comps.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "rep")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "component").select("cls", "component_id")
+    least = named.groupBy("component").agg(F.min("rep").alias("first"))
+    ids = named.join(least, "component").select("cls", "first")
     full = base.join(classes, ["cls", "n"], "left").join(ids, "cls", "left")
-    return full.select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id")
-    )
+    return full.select("doc", "n", F.coalesce("first", "rep", "doc").alias("component"))

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -67,3 +68,29 @@ def test_stages_take_odd_documents(spark, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "").cache()
             docs.count()
+
+
+def test_null_and_repeated_ids_stay(spark):
+    """Long clean documents without ids, two texts under one id, near copies without ids, repeated rows."""
+
+    def text(seed, n=120):
+        return " ".join(f"w{(seed * 7919 + k * k * 31 + k) % 99991}" for k in range(n))
+
+    rows = [(None, text(1)), (None, text(2)), (None, text(2) + " end"), (5, text(3)), (5, text(4)), (6, text(5)), (6, text(5)), (None, text(5) + " more"), (None, text(6)), (None, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["n-gram jaccard join"](spark, docs, "").cache()
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    two = [x for x in got if x[1].startswith(text(2))]
+    assert len(two) == 1
+    assert [x for x in got if x not in two] == sorted([(0, text(1)), (5, text(3)), (5, text(4)), (6, text(5)), (0, text(6))])
+
+    from inundata.llm.mixing import mix_sources
+
+    for frame in (kept, docs):
+        want, mixed = {}, {}
+        for r in mix_sources(frame.withColumn("known", F.col("text"))).collect():
+            want[r.row.doc_id, r.row.known] = want.get((r.row.doc_id, r.row.known), 0) + r.copies
+        for r in stages["source mix"](spark, frame, "").collect():
+            mixed[r.doc_id, r.text] = mixed.get((r.doc_id, r.text), 0) + 1
+        assert mixed == {k: n for k, n in want.items() if n} and any(i is None for i, _ in mixed)
