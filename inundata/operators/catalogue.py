@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inundata.functions.scalar import attribute, boxes_overlap, outer_ring, product_fields, ring_bounds
+from inundata.sources.folders import cut
 
 #: Fixed names of the attributes that become columns.
 ATTRIBUTES = ("beginningDateTime", "endingDateTime", "orbitDirection", "relativeOrbitNumber", "productType", "swathIdentifier")
@@ -84,21 +85,29 @@ def clearest_per_tile(images: DataFrame, tile: str = "tile", cloud: str = "cloud
     return rows.groupBy(tile).agg(F.min(F.struct(cloud, name)).alias("b")).select(tile, F.col(f"b.{name}").alias(name), F.col(f"b.{cloud}").alias(cloud))
 
 
-def tile_cover_set(cover: DataFrame, cells: int, most: int = 3) -> DataFrame:
+def tile_cover_set(cover: DataFrame, cells: int) -> DataFrame:
     """One row, ``tiles``: a tile that covers every cell, else the first set of tiles that does.
 
     ``cover``: tile, cells (array of covered cell numbers). Sets are tried by size, then by the
-    order of their tiles; tiles of an area are few. Empty when no set of ``most`` tiles covers.
+    order of their tiles, up to all tiles; empty only when all together leave a cell uncovered. A
+    set grows only by later tiles that add cells, and of the sets of one size with the same cells
+    the first stands for all: with an answer's first tiles replaced by an earlier such set, the
+    answer would come earlier. So sets are no more than what cells can be covered together.
     """
-    t = cover.select(F.array("tile").alias("tiles"), F.array_distinct("cells").alias("cells"))
-    found, sets = t, t
-    for _ in range(most - 1):
-        more = cover.select("tile", F.col("cells").alias("also"))
-        sets = sets.join(more, F.element_at("tiles", -1) < F.col("tile")).select(
-            F.concat("tiles", F.array("tile")).alias("tiles"), F.array_union("cells", "also").alias("cells")
+    tiles = cover.where("tile is not null and cells is not null").select("tile", F.array_sort(F.array_distinct("cells")).alias("also"))
+
+    def first(sets: DataFrame) -> DataFrame:
+        return cut(sets.groupBy("cells").agg(F.min("tiles").alias("tiles")))
+
+    full = F.size("cells") >= cells
+    sets = first(tiles.select(F.array("tile").alias("tiles"), F.col("also").alias("cells")))
+    coverable = tiles.select(F.explode("also")).distinct().count() >= cells
+    while coverable and not sets.isEmpty() and sets.where(full).isEmpty():
+        later = (F.element_at("tiles", -1) < F.col("tile")) & (F.size(F.array_except("also", "cells")) > 0)
+        sets = first(
+            sets.join(tiles, later).select(F.concat("tiles", F.array("tile")).alias("tiles"), F.array_sort(F.array_union("cells", "also")).alias("cells"))
         )
-        found = found.unionByName(sets)
-    return found.where(F.size("cells") >= cells).orderBy(F.size("tiles"), "tiles").limit(1).select("tiles")
+    return sets.where(full).orderBy("tiles").limit(1).select("tiles")
 
 
 def date_colour(dates: DataFrame, colours: tuple[str, ...], ts: str = "flood_ts") -> DataFrame:

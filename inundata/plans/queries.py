@@ -247,7 +247,7 @@ def clearest_per_tile(spark: S, sf: str) -> D:
   SELECT tiles FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY n, tiles LIMIT 1""")
 def tile_cover_set(spark: S, sf: str) -> D:
     cover = v.table(spark, sf, "supplier").groupBy(F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("tile")).agg(F.collect_set((F.col("s_suppkey") % 4).cast("int")).alias("cells"))
-    return catalogue.tile_cover_set(cover, 4, most=2).select(F.array_join("tiles", "+").alias("tiles"))
+    return catalogue.tile_cover_set(cover, 4).select(F.array_join("tiles", "+").alias("tiles"))
 
 
 COLOURS = ("red", "orange", "yellow", "green", "blue", "indigo", "violet")

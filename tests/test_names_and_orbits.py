@@ -86,3 +86,17 @@ def test_aoi_needs_one_geometry(spark, tmp_path):
     (tmp_path / "none.json").write_text('{"features": []}')
     with pytest.raises(ValueError, match="one geometry"):
         aoi_from_vector(spark, str(tmp_path / "none.json"))
+
+
+def test_tile_sets_of_any_size(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    cases = [{c: [c] for c in range(6)}, {0: [0], 1: [0, 1]}, {}]
+    cases += [{i: rng.sample(range(8), rng.randint(1, 3)) for i in range(9)} for _ in range(3)]
+    for tiles, cells in zip(cases, (6, 3, 2, 8, 8, 8), strict=True):
+        sets = (c for k in range(1, len(tiles) + 1) for c in itertools.combinations(sorted(tiles), k))
+        want = next((list(c) for c in sets if len(set().union(*[tiles[i] for i in c])) >= cells), None)
+        cover = spark.createDataFrame(list(tiles.items()), "tile int, cells array<int>")
+        assert [r.tiles for r in catalogue.tile_cover_set(cover, cells).collect()] == ([want] if want else [])
