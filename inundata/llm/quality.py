@@ -174,4 +174,4 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", p: QualityParams =
     Null and empty texts have zero counts and fail for want of words; repeated rows are judged
     alike, each for itself; an empty table gives an empty table. Nothing is shuffled.
     """
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), quality_struct(docs[text]).alias("quality"))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), quality_struct(docs[text], p).alias("quality"))

@@ -1,7 +1,7 @@
 import re
 
 from inundata.llm import queries
-from inundata.llm.quality import apply_quality_rules
+from inundata.llm.quality import QualityParams, apply_quality_rules
 
 
 def brute(text):
@@ -49,3 +49,10 @@ def test_lines_that_fail_go(spark):
     text = "\n".join([" ".join(f"word{i}" for i in range(40)) + ".", "Home | News | About |", "menu", "Read our cookie policy."])
     r = apply_quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().quality
     assert r.clean_text == text.split("\n")[0] and r.kept
+
+
+def test_limits_of_the_caller_decide(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(30)) + ".")], "doc_id long, text string")
+    assert apply_quality_rules(docs).first().quality.kept
+    r = apply_quality_rules(docs, p=QualityParams(min_words=40)).first().quality
+    assert r.base_failed and not r.kept
