@@ -1,14 +1,14 @@
 """Exact-threshold Jaccard self-join of word shingles with count-vector R-trees.
 
 Shingle hashes fall into groups. Documents that could link share whole groups: with groups of
-about four shingles, a pair at the threshold agrees on any one group with probability over 0.3,
-independently of the data, and every document shows 48 of them, so a link stays unseen with a
-probability of about 1e-9. Documents that share a group form a bucket. Identical sets are one
-class first, so copies cost nothing; inside a bucket each class is first compared with a few
-others only, and components of the links found so far are joined before anything else is compared. What
-is left goes through an R-tree on count vectors: each class is the point of its shingle counts
-per group, a node keeps coordinate maxima, and the summed coordinate minima of a query and a node
-bound every overlap below it. Pairs that survive are verified on their shingle sets.
+about five shingles, a pair at the threshold agrees on any one group with probability 0.26 to 0.4,
+independently of the data, and every document shows 48 of them, so a link at exactly the threshold
+stays unseen with a probability below 1e-6, and a closer one with far less. Documents that share a group form a bucket. Identical sets are one
+class first, so copies cost nothing; in each bucket the classes are first compared with its most
+typical member only, and buckets whose members are then all of one component are done. The others
+go through R-trees on count vectors: each class is the point of its shingle counts per group, a
+node keeps coordinate maxima, and the summed coordinate minima of a query and a node bound every
+overlap below it. Pairs that survive are verified on their shingle sets.
 """
 
 from __future__ import annotations
@@ -40,18 +40,16 @@ class JoinParams:
     #: Group agreements that a document shows, at least.
     shown: int = 48
     #: Shingles of a group, about.
-    per_group: float = 4.0
+    per_group: float = 5.0
     #: Classes of one R-tree; larger buckets are split into pairs of blocks.
     block: int = 4096
-    #: Rounds that compare each class with the centres of its buckets, only where that many
-    #: agreements are shared: they save work in the last round, which compares whatever is left.
-    star_rounds: int = 5
-    #: Pairs of different components left in buckets, per row, above which another star round is
-    #: worth it, and the share of a round's comparisons that must have been links.
-    left_per_row: float = 8.0
+    #: Agreements that a class and a centre share before they are compared in a star round. Pairs
+    #: left out there stay for the R-trees, which compare whatever the rounds leave.
+    least_shared: int = 2
+    #: Another star round follows while this many pairs per row are left in buckets and the round
+    #: before linked this share of what it compared.
+    left_per_row: float = 200.0
     least_yield: float = 0.005
-    partners: int = 8
-    least_shared: int = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -139,14 +137,16 @@ def agreements(shingles: np.ndarray, p: JoinParams) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    groups = LONG_GROUPS if len(shingles) >= LONG else GROUPS
-    return np.bincount((mixed(shingles ^ _STEP) & _U(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+    groups, kind = (LONG_GROUPS, "<u4") if len(shingles) >= LONG else (GROUPS, "<u2")
+    return np.bincount((mixed(shingles ^ _STEP) & _U(groups - 1)).astype(np.int64), minlength=groups).astype(kind)
 
 
 def stacked(vectors: list[bytes]) -> np.ndarray:
     """Count vectors as rows of one matrix, folded to one length."""
-    if len({len(v) for v in vectors}) > 1:
-        vectors = [np.frombuffer(v, "<u4").reshape(-1, GROUPS).sum(axis=0).astype("<u4").tobytes() for v in vectors]
+    short = GROUPS * 2
+    if any(len(v) == short for v in vectors):
+        rows = [np.frombuffer(v, "<u2") if len(v) == short else np.frombuffer(v, "<u4").reshape(-1, GROUPS).sum(axis=0) for v in vectors]
+        return np.stack(rows).astype(np.int32)
     return np.frombuffer(b"".join(vectors), "<u4").reshape(len(vectors), -1).astype(np.int32)
 
 
@@ -193,8 +193,12 @@ def identity(id_col: Column, text: Column) -> Column:
     return F.struct(id_col.isNull().alias("unnamed"), id_col.cast("long").alias("id"), F.xxhash64(text).alias("text_hash"))
 
 
+def _class_hash(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame, id_col: str, text: str, p: JoinParams) -> DataFrame:
-    """doc (identity), n, cls (hash of the set), keys (agreements)."""
+    """doc (identity), n, cls (128-bit hash of the set), keys (agreements)."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,11 +207,11 @@ def _sets(docs: DataFrame, id_col: str, text: str, p: JoinParams) -> DataFrame:
             for value in pdf["text"]:
                 s = shingle_set(value, p.words)
                 n.append(len(s))
-                cls.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                keys.append(agreements(s, p).view(np.int64))
+                cls.append(_class_hash(s))
+                keys.append(np.unique(agreements(s, p)).view(np.int64))
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "text_hash": pdf["text_hash"], "n": n, "cls": cls, "keys": keys})
 
-    made = slim.mapInPandas(run, "id long, text_hash long, n int, cls long, keys array<long>")
+    made = slim.mapInPandas(run, "id long, text_hash long, n int, cls binary, keys array<long>")
     return made.select(_known().alias("doc"), "n", "cls", "keys")
 
 
@@ -217,7 +221,7 @@ def _known() -> Column:
 
 
 def _stored(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, p: JoinParams) -> DataFrame:
-    """cls, n, vec, packed: what verification needs of each wanted class (cls, rep)."""
+    """node, n, vec, packed: what bounds and verification need of each wanted class (node, rep)."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,30 +231,33 @@ def _stored(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, p: JoinP
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for cls, packed in zip(pdf["cls"], pdf["packed"], strict=True):
-                s = shingle_set(zstandard.decompress(packed).decode(), p.words)
-                if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == cls:
-                    rows.append((cls, len(s), count_vector(s).tobytes(), packed))
-            yield pd.DataFrame(rows, columns=["cls", "n", "vec", "packed"])
+            sets = [shingle_set(zstandard.decompress(packed).decode(), p.words) for packed in pdf["packed"]]
+            same = [_class_hash(s) == bytes(cls) for s, cls in zip(sets, pdf["cls"], strict=True)]
+            out = pdf.assign(n=[len(s) for s in sets], vec=[count_vector(s).tobytes() for s in sets])
+            yield out.loc[np.array(same, dtype=bool), ["node", "n", "vec", "packed"]]
+
+    packed = slim.mapInPandas(pack, "id long, text_hash long, packed binary").join(wanted, _known() == F.col("rep")).select("node", "cls", "packed")
+    return packed.mapInPandas(measure, "node long, n int, vec binary, packed binary").dropDuplicates(["node"])
+
 
-    packed = slim.mapInPandas(pack, "id long, text_hash long, packed binary").join(wanted, _known() == F.col("rep")).select("cls", "packed")
-    return packed.mapInPandas(measure, "cls long, n int, vec binary, packed binary").dropDuplicates(["cls"])
+def _fits(a: str, b: str, p: JoinParams) -> Column:
+    """Sizes that allow a link."""
+    return (F.col(a) * 100 >= F.col(b) * p.percent) & (F.col(b) * 100 >= F.col(a) * p.percent)
 
 
 def _verified(pairs: DataFrame, stored: DataFrame, p: JoinParams) -> DataFrame:
-    """The pairs (a, b: cls) that link, checked on their shingle sets."""
+    """The pairs (a, b: node) that link, checked on their shingle sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, np.ndarray] = {}
         for pdf in batches:
             ok = []
             for a, b, pa_, pb in zip(pdf["a"], pdf["b"], pdf["pa"], pdf["pb"], strict=True):
-                for cls, packed in ((a, pa_), (b, pb)):
-                    if cls not in last:
+                for node, packed in ((a, pa_), (b, pb)):
+                    if node not in last:
                         if len(last) > 64:
                             last.clear()
-                        last[cls] = shingle_set(zstandard.decompress(packed).decode(), p.words)
+                        last[node] = shingle_set(zstandard.decompress(packed).decode(), p.words)
                 if a not in last:  # the table was cleared in between
                     last[a] = shingle_set(zstandard.decompress(pa_).decode(), p.words)
                 x, y = last[a], last[b]
@@ -258,41 +265,41 @@ def _verified(pairs: DataFrame, stored: DataFrame, p: JoinParams) -> DataFrame:
                 ok.append((100 + p.percent) * both >= p.percent * (len(x) + len(y)))
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    left = stored.select(F.col("cls").alias("a"), F.col("packed").alias("pa"))
-    right = stored.select(F.col("cls").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInPandas(run, "a long, b long")
+    left = stored.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
+    right = stored.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
+    return pairs.join(left, "a").join(right, "b").where(_fits("na", "nb", p)).select("a", "b", "pa", "pb").mapInPandas(run, "a long, b long")
 
 
 def _tree_pairs(rows: DataFrame, p: JoinParams) -> DataFrame:
     """Pairs of classes of different components whose count vectors allow a link.
 
-    ``rows``: key, i, j, sub, cls, n, comp, vec; all rows of (key, i, j) are one block.
+    ``rows``: key, i, j, sub, node, n, comp, vec; all rows of (key, i, j) are one block.
     """
 
-    columns = ("key", "i", "j", "sub", "cls", "n", "comp")
+    columns = ("key", "i", "j", "sub", "node", "n", "comp")
 
     def block(c: dict[str, np.ndarray], vectors: list[bytes], found: list[np.ndarray]) -> None:
-        cls, comp, n, sub = c["cls"], c["comp"], c["n"], c["sub"]
-        if len(cls) < 2 or (comp == comp[0]).all():
+        node, comp, n, sub = c["node"], c["comp"], c["n"], c["sub"]
+        if len(node) < 2 or (comp == comp[0]).all():
             return
         cross = c["i"][0] != c["j"][0]
 
         def wanted(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-            keep = (cls[q] < cls[t]) & (comp[q] != comp[t])
+            keep = (node[q] < node[t]) & (comp[q] != comp[t])
             return keep & (sub[q] != sub[t]) if cross else keep
 
         vec = stacked(vectors)
-        if len(cls) <= 48:  # a tree of one leaf
-            q, t = (x.ravel() for x in np.indices((len(cls), len(cls))))
+        if len(node) <= 48:  # a tree of one leaf
+            q, t = (x.ravel() for x in np.indices((len(node), len(node))))
             keep = wanted(q, t)
             q, t = q[keep], t[keep]
             bound = np.minimum(vec[q], vec[t]).sum(axis=1)
             keep = (100 + p.percent) * bound >= p.percent * (n[q] + n[t])
-            found.append(np.stack([cls[q[keep]], cls[t[keep]]], axis=1))
+            found.append(np.stack([node[q[keep]], node[t[keep]]], axis=1))
             return
         for q, t in CountTree(vec, n).search(vec, n, p.percent, 20_000):
             keep = wanted(q, t)
-            found.append(np.stack([cls[q[keep]], cls[t[keep]]], axis=1))
+            found.append(np.stack([node[q[keep]], node[t[keep]]], axis=1))
 
     def pairs(found: list[np.ndarray]) -> pd.DataFrame:
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
@@ -323,14 +330,6 @@ def _tree_pairs(rows: DataFrame, p: JoinParams) -> DataFrame:
     return parted.mapInPandas(run, "a long, b long").distinct()
 
 
-def _left(rows: DataFrame) -> float:
-    """Pairs of different components that share a bucket, per row."""
-    own = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    keys = own.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    got = keys.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-    return float(got[1] or 0) / float(got[0] or 1)
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: JoinParams = JoinParams()) -> DataFrame:
     """id, n_shingles, component_id: components of documents that link.
 
@@ -349,64 +348,92 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Rows without ids, and different texts under one id, link and are told apart like any others.
     """
     base = cut(_sets(docs, id_col, text, p))
-    classes = base.where("n > 0").groupBy("cls", "n").agg(F.min("doc").alias("rep"))
-    # classes that share a key; rows of one class are told apart by nothing, so they count once
-    shown = (
-        base.select(F.explode("keys").alias("key"), "cls", "n")
-        .repartition(shuffle_width(docs.sparkSession), "key")
-        .dropDuplicates(["key", "cls"])
-    )
-    whole = Window.partitionBy("key")
-    shared = cut(
-        shown.withColumn("c", F.count("*").over(whole)).withColumn("members", F.sum(F.xxhash64("cls").cast("decimal(20,0)")).over(whole)).where("c > 1")
+    # copies are one class from here on; classes get numbers, which are shorter than their hashes
+    classes = cut(
+        base.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id())
     )
+    buckets = _buckets(classes)
+    stored = cut(_stored(docs, buckets.select("node").distinct().join(classes.select("node", "cls", "rep"), "node"), id_col, text, p))
+    comps = _linked(buckets, stored, p)
+    named = comps.join(classes.select("node", "rep"), "node").select("node", "component", "rep")
+    least = named.groupBy("component").agg(F.min("rep").alias("first"))
+    firsts = named.join(least, "component").select("node", "first")
+    known = classes.select("node", "cls", "rep").join(firsts, "node", "left").select("cls", F.coalesce("first", "rep").alias("component"))
+    return base.join(known, "cls", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """key, node, c (members), weight (keys with the same members) of keys that several classes show.
+
+    Counts are partial sums and the join back is a plain equi-join, so a key that a third of the
+    corpus shows may be split. Almost all keys have one class and go with the count.
+    """
+    shown = classes.select(F.explode("keys").alias("key"), "node")
+    several = shown.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = cut(shown.join(several, "key").select("key", "node"))
+    shared = shared.coalesce(tasks_for(shared.count()))
     # buckets of the same members are one bucket
-    kept = shared.groupBy("members", "c").agg(F.min("key").alias("key"), F.countDistinct("key").alias("weight"))
-    buckets = cut(shared.join(kept.select("key", "weight"), "key").select("key", "cls", "n", "c", "weight"))
-    wanted = buckets.select("cls").distinct().join(classes, "cls").select("cls", "rep")
-    stored = cut(_stored(docs, wanted, id_col, text, p))
+    members = shared.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("members")).coalesce(shared.rdd.getNumPartitions())
+    kept = members.groupBy("members", "c").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    return cut(shared.join(kept.select("key", "c", "weight"), "key").select("key", "node", "c", "weight").coalesce(shared.rdd.getNumPartitions()))
+
+
+def _with_components(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """``buckets`` whose members are of several components, with ``comp``."""
+    few = buckets.rdd.getNumPartitions()
+    now = buckets.join(comps, "node", "left").select(*buckets.columns, F.coalesce("component", "node").alias("comp")).coalesce(few)
+    open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return cut(now.join(open_, "key", "left_semi").coalesce(few))
+
+
+def _left(rows: DataFrame) -> float:
+    """Pairs of different components in ``rows`` (key, comp), per row."""
+    own = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    keys = own.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    got = keys.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return float(got[1] or 0) / float(got[0] or 1)
+
+
+def _star_pairs(buckets: DataFrame, tried: DataFrame | None, p: JoinParams) -> DataFrame:
+    """a, b: each class with the centre of its buckets.
 
-    comps, turn, stars_on = None, 0, True
+    A bucket's centre is the member that shares most with others in all its buckets: in a group of
+    near copies, one with few edits, to which most others link. Centres of earlier rounds come last.
+    """
+    few = buckets.rdd.getNumPartitions()
+    score = buckets.groupBy("node").agg(F.sum(F.col("c") * F.col("weight")).alias("score"))
+    if tried is not None:
+        used = tried.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+        score = score.join(used, "node", "left").select("node", (F.col("score") / (1 + F.coalesce("used", F.lit(0)))).cast("long").alias("score"))
+    ranked = buckets.join(score, "node").select("key", "node", "score").coalesce(few)
+    centre = ranked.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    near = buckets.join(centre, "key").where("node <> centre").groupBy("node", "centre").agg(F.sum("weight").alias("w")).where(F.col("w") >= p.least_shared)
+    return near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().coalesce(few)
+
+
+def _linked(buckets: DataFrame, stored: DataFrame, p: JoinParams) -> DataFrame:
+    """node, component of all classes with a link.
+
+    Star rounds join most of a large group with few comparisons; only buckets that still have
+    members of different components go on, and the R-trees settle all their pairs.
+    """
+    left, links, tried = buckets, None, None
     while True:
-        now = buckets.withColumn("comp", F.col("cls"))
-        if comps is not None:
-            now = buckets.join(comps, F.col("cls") == F.col("node"), "left").select(*buckets.columns, F.coalesce("component", "cls").alias("comp"))
-        if turn:
-            stars_on = stars_on and turn < p.star_rounds and tried and linked >= p.least_yield * tried and _left(now) > p.left_per_row
-        if stars_on:
-            order = Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(turn)))
-            centre = F.first(F.struct("cls", "n", "comp")).over(order)
-            sizes_fit = (F.col("n") * 100 >= F.col("o.n") * p.percent) & (F.col("o.n") * 100 >= F.col("n") * p.percent)
-            stars = now.select("cls", "n", "comp", "weight", centre.alias("o"))
-            shared_by = stars.where((F.col("o.comp") != F.col("comp")) & sizes_fit).groupBy("cls", F.col("o.cls").alias("other")).agg(F.sum("weight").alias("w"))
-            best = (
-                shared_by.where(F.col("w") >= p.least_shared)
-                .groupBy("cls")
-                .agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "other")), asc=False), 1, p.partners).alias("x"))
-                .select("cls", F.explode("x").alias("x"))
-            )
-            pairs = cut(best.select(F.least("cls", "x.other").alias("a"), F.greatest("cls", "x.other").alias("b")).distinct())
-        else:
-            mixed_buckets = now.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo < hi")
-            blocks = F.ceil(F.col("c") / p.block).cast("int")
-            sub = mixed_buckets.withColumn("sub", F.pmod(F.xxhash64("cls", F.lit(99)), blocks).cast("int")).withColumn(
-                "with", F.explode(F.sequence(F.lit(0), blocks - 1))
-            )
-            placed = sub.join(stored.select("cls", "vec"), "cls").select(
-                "key", F.least("sub", "with").alias("i"), F.greatest("sub", "with").alias("j"), "sub", "cls", "n", "comp", "vec"
-            )
-            pairs = _tree_pairs(placed, p)
-        found = cut(_verified(pairs, stored, p))
-        linked = found.count()
-        found = found.coalesce(tasks_for(linked))
-        # components so far stand for the links that made them
-        links = found if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        pairs = cut(_star_pairs(left, tried, p))
+        found = cut(_verified(pairs, stored, p).coalesce(pairs.rdd.getNumPartitions()))
+        links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
-        if not stars_on:
+        left = _with_components(buckets, comps)
+        compared, linked = pairs.count(), found.count()
+        if linked <= p.least_yield * compared or _left(left) <= p.left_per_row:
             break
-        tried, turn = pairs.count(), turn + 1
-    named = comps.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "rep")
-    least = named.groupBy("component").agg(F.min("rep").alias("first"))
-    ids = named.join(least, "component").select("cls", "first")
-    full = base.join(classes, ["cls", "n"], "left").join(ids, "cls", "left")
-    return full.select("doc", "n", F.coalesce("first", "rep", "doc").alias("component"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+    blocks = F.ceil(F.col("c") / p.block).cast("int")
+    sub = left.withColumn("sub", F.pmod(F.xxhash64("node", F.lit(99)), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = sub.join(stored.select("node", "n", "vec"), "node").select(
+        "key", F.least("sub", "with").alias("i"), F.greatest("sub", "with").alias("j"), "sub", "node", "n", "comp", "vec"
+    )
+    pairs = cut(_tree_pairs(placed, p))
+    found = _verified(pairs.coalesce(tasks_for(pairs.count())), stored, p)
+    # components so far stand for the links that made them
+    return connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
