@@ -420,11 +420,12 @@ def _linked(buckets: DataFrame, stored: DataFrame, p: JoinParams) -> DataFrame:
     left, links, tried = buckets, None, None
     while True:
         pairs = cut(_star_pairs(left, tried, p))
-        found = cut(_verified(pairs, stored, p).coalesce(pairs.rdd.getNumPartitions()))
+        found = cut(_verified(pairs, stored, p))
+        compared, linked = pairs.count(), found.count()
+        found = found.coalesce(tasks_for(linked))  # not before it is written: verification needs all tasks
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
         left = _with_components(buckets, comps)
-        compared, linked = pairs.count(), found.count()
         if linked <= p.least_yield * compared or _left(left) <= p.left_per_row:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
