@@ -89,7 +89,7 @@ def _ranges(h: np.ndarray, count: int) -> np.ndarray:
 
 
 #: What a trigger carries; columns are packed one after another, as places and documents ascend.
-_COLUMNS = (("h", "<u4"), ("phrase", "<u4"), ("more", "<u2"), ("doc", "<u2"), ("at", "<u4"))
+_COLUMNS = (("h", "<u4"), ("phrase", "<u8"), ("doc", "<u2"), ("at", "<u4"))
 
 
 def _ascending(x: np.ndarray, kind: str) -> np.ndarray:
@@ -99,14 +99,15 @@ def _ascending(x: np.ndarray, kind: str) -> np.ndarray:
 
 
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
-    raw = [_ascending(columns[n], k) if n in ("doc", "at") else columns[n].astype(k) for n, k in _COLUMNS]
+    raw = [_ascending(columns[n], k) if n in ("doc", "at") else columns[n].astype(k) for n, k in _COLUMNS if n in columns]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in raw))
 
 
-def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
+def _unpacked(packed: bytes, names: tuple[str, ...] = tuple(n for n, _ in _COLUMNS)) -> dict[str, np.ndarray]:
     raw = zstandard.decompress(packed)
-    n, out, place = len(raw) // sum(np.dtype(k).itemsize for _, k in _COLUMNS), {}, 0
-    for name, kind in _COLUMNS:
+    columns = [(n, k) for n, k in _COLUMNS if n in names]
+    n, out, place = len(raw) // sum(np.dtype(k).itemsize for _, k in columns), {}, 0
+    for name, kind in columns:
         x = np.frombuffer(raw, kind, count=n, offset=place)
         out[name] = np.cumsum(x, dtype=kind) if name in ("doc", "at") else x
         place += x.nbytes
@@ -114,22 +115,36 @@ def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
 
 
 def _packed_triggers(slim: DataFrame, ranges: int, p: PassageParams) -> DataFrame:
-    """range, ids, marks, records: the triggers of a few texts that fall in one hash range."""
+    """range, ids, marks, records, known: the triggers of a few texts that fall in one hash range.
+
+    A phrase that a smaller document among these few texts has is covered at once: it travels
+    without its hashes (``known``). So what meets at a trigger is one record per few texts and
+    phrase, however many documents hold it.
+    """
 
     def pack(ids: list, marks: list, texts: list[bytes]) -> pd.DataFrame:
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         doc, at, h, phrase, _, _ = triggers(np.frombuffer(b"".join(texts), dtype=np.uint8), starts, p)
-        part = _ranges(h, ranges)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        columns = {"h": h & _U(0xFFFFFFFF), "phrase": phrase & _U(0xFFFFFFFF), "more": (phrase >> _U(32)) & _U(0xFFFF), "doc": doc, "at": at}
-        columns = {n: c[order] for n, c in columns.items()}
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+        named = np.array(ids, dtype=np.int64)[doc]
+        order = np.lexsort((named, phrase))
+        first = np.concatenate([[True], np.diff(phrase[order]) != 0])
+        least = np.empty(len(order), dtype=np.int64)
+        least[order] = named[order][np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else 0
+        known, part = named > least, _ranges(h, ranges)
+        columns = {"h": h & _U(0xFFFFFFFF), "phrase": phrase, "doc": doc, "at": at}
         documents = zstandard.ZstdCompressor(level=1).compress(_ascending(np.array(ids), "<i8").tobytes())
         said = np.array(marks, dtype="<i4").tobytes()
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+        def by_range(some: np.ndarray, names: tuple[str, ...]) -> dict[int, bytes]:
+            at_ = np.flatnonzero(some)
+            at_ = at_[np.argsort(part[at_], kind="stable")]
+            cuts = np.flatnonzero(np.diff(part[at_])) + 1
+            return {int(part[x[0]]): _packed({n: columns[n][x] for n in names}) for x in np.split(at_, cuts) if len(x)}
+
+        open_, settled = by_range(~known, ("h", "phrase", "doc", "at")), by_range(known, ("doc", "at"))
+        spans = sorted(open_.keys() | settled.keys())
         return pd.DataFrame(
-            {"range": [int(part[x]) for x, _ in spans], "ids": [documents] * len(spans), "marks": [said] * len(spans), "records": [_packed({n: c[x:y] for n, c in columns.items()}) for x, y in spans]}
+            {"range": spans, "ids": [documents] * len(spans), "marks": [said] * len(spans), "records": [open_.get(r) for r in spans], "known": [settled.get(r) for r in spans]}
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +162,7 @@ def _packed_triggers(slim: DataFrame, ranges: int, p: PassageParams) -> DataFram
         if texts:
             yield pack(ids, marks, texts)
 
-    return slim.where("id is not null").mapInPandas(run, "range long, ids binary, marks binary, records binary")
+    return slim.where("id is not null").mapInPandas(run, "range long, ids binary, marks binary, records binary, known binary")
 
 
 def _per_document(ids: np.ndarray, marks: np.ndarray, **places: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
@@ -166,27 +181,40 @@ def _settled(packed: DataFrame) -> DataFrame:
     """id, mark, covered, open: trigger places whose phrase a smaller document has, and places
     whose trigger, but not phrase, is shared."""
 
+    nothing = _packed({n: np.zeros(0, k) for n, k in _COLUMNS})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = [_unpacked(r) for r in pdf["records"]]
         documents = [np.cumsum(np.frombuffer(zstandard.decompress(i), "<i8")) for i in pdf["ids"]]
-        ids = np.concatenate([d[r["doc"]] for d, r in zip(documents, records, strict=True)])
-        marks = np.concatenate([np.frombuffer(m, "<i4")[r["doc"]] for m, r in zip(pdf["marks"], records, strict=True)])
-        h, phrase, more, at = (np.concatenate([r[c] for r in records]) for c in ("h", "phrase", "more", "at"))
-        phrase = phrase.astype(np.uint64) | (more.astype(np.uint64) << _U(32))
+        said = [np.frombuffer(m, "<i4") for m in pdf["marks"]]
+
+        def gathered(column: str, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+            records = [_unpacked(nothing if r is None else r, names) for r in pdf[column]]
+            ids = np.concatenate([d[r["doc"]] for d, r in zip(documents, records, strict=True)])
+            marks = np.concatenate([m[r["doc"]] for m, r in zip(said, records, strict=True)])
+            return ids, marks, *[np.concatenate([r[c] for r in records]) for c in names if c != "doc"]
+
+        ids, marks, h, phrase, at = gathered("records", ("h", "phrase", "doc", "at"))
         order = np.lexsort((ids, phrase, h))
         h, phrase, ids, marks, at = h[order], phrase[order], ids[order], marks[order], at[order]
-        new_h = np.concatenate([[True], np.diff(h) != 0])
-        new_phrase = new_h | np.concatenate([[True], np.diff(phrase) != 0])
-        by_h, by_phrase = np.cumsum(new_h) - 1, np.cumsum(new_phrase) - 1
-        at_h = np.flatnonzero(new_h)
-        several = np.minimum.reduceat(ids, at_h) != np.maximum.reduceat(ids, at_h)
-        phrases = np.add.reduceat(new_phrase.astype(np.int64), at_h) > 1
-        covered = ids > ids[np.flatnonzero(new_phrase)][by_phrase]
-        still = ~covered & (several & phrases)[by_h]
-        some = covered | still
-        if not some.any():
+        known_ids, known_marks, known_at = gathered("known", ("doc", "at"))
+        if len(ids):
+            new_h = np.concatenate([[True], np.diff(h) != 0])
+            new_phrase = new_h | np.concatenate([[True], np.diff(phrase) != 0])
+            by_h, by_phrase = np.cumsum(new_h) - 1, np.cumsum(new_phrase) - 1
+            at_h = np.flatnonzero(new_h)
+            several = np.minimum.reduceat(ids, at_h) != np.maximum.reduceat(ids, at_h)
+            phrases = np.add.reduceat(new_phrase.astype(np.int64), at_h) > 1
+            covered = ids > ids[np.flatnonzero(new_phrase)][by_phrase]
+            still = ~covered & (several & phrases)[by_h]
+        else:
+            covered = still = np.zeros(0, dtype=bool)
+        some, more = covered | still, len(known_ids)
+        if not some.any() and not more:
             return pd.DataFrame({"id": [], "mark": [], "covered": [], "open": []})
-        return _per_document(ids[some], marks[some], covered=(covered[some], at[some]), open=(still[some], at[some]))
+        covered = np.concatenate([covered[some], np.ones(more, bool)])
+        still = np.concatenate([still[some], np.zeros(more, bool)])
+        at = np.concatenate([at[some], known_at])
+        return _per_document(np.concatenate([ids[some], known_ids]), np.concatenate([marks[some], known_marks]), covered=(covered, at), open=(still, at))
 
     return packed.groupBy("range").applyInPandas(run, "id long, mark int, covered binary, open binary")
 
