@@ -32,7 +32,7 @@ def brute(rows, cosine=0.95):
 
 def test_calibration():
     p = NearParams()
-    assert tables_needed(p, 16) == math.ceil(math.log(0.001) / math.log(1 - (1 - math.acos(0.95) / math.pi) ** 16))
+    assert tables_needed(p, 16) == math.ceil(math.log(0.002 / 3) / math.log(1 - (1 - math.acos(0.95) / math.pi) ** 16))
     assert 18 <= calibrated_count(p) <= 22
 
 
@@ -57,3 +57,27 @@ def test_odd_vectors_copies_and_a_large_group(spark):
         got = sorted(tuple(r) for r in near_duplicates(frame, p=NearParams(block=block, miss=1e-6)).collect())
         assert got == want
     assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_huge_components_do_not_overflow(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(12)
+    rows = [(1, (x * 1e200).tolist()), (2, (x * 1e-200).tolist()), (3, (-x * 1e200).tolist()), (4, x.tolist())]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False)]
+
+
+def test_recall_at_the_threshold(spark):
+    """3,000 vectors, a third in groups whose cosines lie around the threshold, one group of 300."""
+    rng = np.random.default_rng(5)
+    vecs = list(rng.standard_normal((2000, 64)))
+    for group in [300] + [10] * 70:
+        base = rng.standard_normal(64)
+        vecs += [base + 0.212 * rng.standard_normal(64) for _ in range(group)]
+    x = np.array(vecs, dtype=np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.95).sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(5)
+    got = np.array([r.n_links for r in sorted(near_duplicates(frame).collect(), key=lambda r: r.vec_id)])
+    assert 0.2 * 300 < want[2000:2300].mean() < 0.9 * 300
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
