@@ -3,7 +3,9 @@
 Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the piece they would
 form (then by place), merges the best pair and puts its new neighbours on the agenda. No piece has
 a space mark after another character, so a text falls apart at those places and each part is
-encoded alone; parts are remembered, in a bounded table. The vocabulary is read through the
+encoded alone; parts are remembered, in a table of bounded bytes. Parts of one length share their
+steps: a row of scores is the agenda of each, and all of them merge their best pair at once. The
+vocabulary is read through the
 sentencepiece library, which also encodes every new part and one whole text of each batch, as a
 check that stops the job on any difference.
 """
@@ -15,6 +17,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,9 +26,17 @@ _PART = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class PieceCodec:
-    """Encoder and decoder of one vocabulary; ``known`` parts are kept up to ``capacity``."""
+    """Encoder and decoder of one vocabulary; ``known`` parts are kept up to ``capacity`` bytes.
 
-    def __init__(self, model: str, capacity: int = 300_000):
+    Twice that is held at most, and the parts of one portion of texts beside it.
+    """
+
+    #: Bytes of an entry of ``known`` beside its characters, about.
+    ENTRY = 350
+    #: Parts longer than this have an agenda of their own, a heap.
+    LONG = 48
+
+    def __init__(self, model: str, capacity: int = 100_000_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -40,31 +51,75 @@ class PieceCodec:
         self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         if self.library.encode("a") != self.library.encode("a", add_bos=False) or self.library.decode(self.library.encode(" a")) != " a":
             raise ValueError("only vocabularies that keep white space and prefix a space mark are supported")
-        self.capacity = capacity
+        self.capacity, self.held = capacity, 0
+        self._tabulate()
         self.known: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
 
-    def agenda(self, part: str) -> list[str]:
-        """Symbols of one part: best-scored adjacent pair first, leftmost among equals.
+    def _tabulate(self) -> None:
+        """Arrays of the pairs of pieces that form a piece, and of single characters."""
+        ids, pairs = self.ids, {}
+        for piece, i in ids.items():
+            for k in range(1, len(piece)):
+                left, right = ids.get(piece[:k]), ids.get(piece[k:])
+                if left is not None and right is not None:
+                    pairs[left * len(self.pieces) + right] = i
+        self.pair_codes = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_ids = np.array([pairs[c] for c in self.pair_codes.tolist()], dtype=np.int32)
+        self.pair_scores = np.array([self.scores[self.pieces[i]] for i in self.pair_ids.tolist()], dtype=np.float32)
+        self.char_ids = np.full(0x110000, -1, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.char_ids[ord(piece)] = i
+        # a symbol that is no piece can still be half of one only if it is a single character
+        self.tabular = all(
+            any(piece[:k] in ids and piece[k:] in ids for k in range(1, len(piece))) and all(c in ids for c in piece) for piece in ids if len(piece) > 1
+        )
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of symbol pairs: the piece they form, and its score (minus infinity where there is none)."""
+        code = left.astype(np.int64) * len(self.pieces) + right
+        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        hit = (self.pair_codes[at] == code) & (left >= 0) & (right >= 0)
+        return self.pair_ids[at], np.where(hit, self.pair_scores[at], np.float32(-np.inf))
+
+    def agendas(self, parts: list[str]) -> list[list[int]]:
+        """Symbols of parts of one length as ids, -1 for characters that are no piece.
 
-        The agenda of a short part is a list with a score per neighbour pair; a heap pays off
-        only for long ones.
+        Each row of ``score`` is the agenda of a part; the first of the largest scores is the
+        leftmost. A row without a pair left leaves.
         """
-        if len(part) <= 32:
-            symbols, score, none = list(part), self.scores.get, float("-inf")
-            agenda = [score(part[i : i + 2], none) for i in range(len(part) - 1)]
-            while agenda:
-                best = max(agenda)
-                if best == none:
-                    break
-                i = agenda.index(best)
-                merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
-                agenda.pop(i)
-                if i < len(agenda):
-                    agenda[i] = score(merged + symbols[i + 1], none)
-                if i:
-                    agenda[i - 1] = score(symbols[i - 1] + merged, none)
-            return symbols
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(parts), -1)
+        symbols, row = self.char_ids[codes], np.arange(len(parts))
+        piece, score = self._merged(symbols[:, :-1], symbols[:, 1:])
+        out: list[list[int]] = [[]] * len(parts)
+        while True:
+            width = symbols.shape[1]
+            best = score.argmax(axis=1) if width > 1 else np.zeros(len(row), dtype=np.int64)
+            top = score[np.arange(len(row)), best] if width > 1 else np.full(len(row), -np.inf)
+            done = top == -np.inf
+            for r, ids in zip(row[done].tolist(), symbols[done].tolist(), strict=True):
+                out[r] = ids
+            if done.all():
+                return out
+            symbols, piece, score, row, best = symbols[~done], piece[~done], score[~done], row[~done], best[~done]
+            at, each = best[:, None], np.arange(len(row))
+            merged = piece[each, best]
+            columns = np.arange(width - 1)[None, :]
+            symbols = np.take_along_axis(symbols, columns + (columns > at), axis=1)
+            symbols[each, best] = merged
+            if width == 2:
+                score = score[:, :0]
+                continue
+            columns = columns[:, :-1]
+            piece, score = (np.take_along_axis(x, columns + (columns >= at), axis=1) for x in (piece, score))
+            for shift in (-1, 0):  # the merged symbol's new neighbours
+                near = best + shift
+                some = np.flatnonzero((near >= 0) & (near < width - 2))
+                piece[some, near[some]], score[some, near[some]] = self._merged(symbols[some, near[some]], symbols[some, near[some] + 1])
+
+    def agenda(self, part: str) -> list[str]:
+        """Symbols of one long part: best-scored adjacent pair first, leftmost among equals."""
         symbols: list[str | None] = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -92,13 +147,32 @@ class PieceCodec:
                 offer(before[left])
         return [s for s in symbols if s is not None]
 
-    def encode_part(self, part: str) -> list[int]:
-        """Ids of one part; symbols that are no piece become the pieces of their bytes."""
-        symbols, ids = self.agenda(part), self.ids
-        try:
-            return [ids[s] for s in symbols]
-        except KeyError:
-            return [i for s in symbols for i in ([ids[s]] if s in ids else [self.byte_ids[b] for b in s.encode("utf-8", "replace")])]
+    def _with_bytes(self, symbols: list[int], part: str) -> list[int]:
+        """Characters that are no piece become the pieces of their bytes."""
+        out, at = [], 0
+        for i in symbols:
+            if i >= 0:
+                out.append(i)
+                at += len(self.pieces[i])
+            else:
+                out += [self.byte_ids[b] for b in part[at].encode("utf-8", "replace")]
+                at += 1
+        return out
+
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part."""
+        out: list[list[int]] = [[]] * len(parts)
+        by_length: dict[int, list[int]] = {}
+        for k, part in enumerate(parts):
+            if self.tabular and 1 < len(part) <= self.LONG:
+                by_length.setdefault(len(part), []).append(k)
+            else:
+                ids = self.ids
+                out[k] = self._with_bytes([ids.get(s, -1) for s in self.agenda(part)], part)
+        for places in by_length.values():
+            for k, symbols in zip(places, self.agendas([parts[k] for k in places]), strict=True):
+                out[k] = symbols if -1 not in symbols else self._with_bytes(symbols, parts[k])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined; space marks become spaces, bytes become text, the prefixed space goes."""
@@ -118,24 +192,25 @@ class PieceCodec:
 
         A full table becomes the old one, from which parts that come again are taken back.
         """
-        if len(self.known) + len(parts) > self.capacity:
-            self.old, self.known = self.known, {}
+        if self.held > self.capacity:
+            self.old, self.known, self.held = self.known, {}, 0
         known, old, new = self.known, self.old, []
         for part in parts:
             if part not in known:
                 if part in old:
                     known[part] = old[part]
+                    self.held += self.ENTRY + 6 * len(part)
                 else:
                     new.append(part)
         if not new:
             return
         texts = self.id_texts
         wanted = self.library.encode([p[1:].replace(MARK, " ") for p in new], num_threads=1)
-        for part, want in zip(new, wanted, strict=True):
-            ids = self.encode_part(part)
+        for part, want, ids in zip(new, wanted, self.encode_parts(new), strict=True):
             if ids != want and part != MARK * len(part):
                 raise ValueError(f"the library encodes {part!r} as {want}, the agenda as {ids}")
             known[part] = (",".join([texts[i] for i in ids]), len(ids), " " + self.decode(ids))
+            self.held += self.ENTRY + 6 * len(part)
 
     def encode_texts(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """Of each text: ids joined by commas, their number, and the decoded text."""
