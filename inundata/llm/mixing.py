@@ -28,6 +28,8 @@ class MixParams:
     max_iterations: int = 60
     #: Iterations between two cuts of the lineage.
     per_cut: int = 4
+    #: Rounds, at most, that fill what rounding leaves of a target.
+    fill_rounds: int = 6
 
 
 def source_targets(hist: DataFrame, p: MixParams = MixParams()) -> DataFrame:
@@ -80,6 +82,7 @@ def solve_rates(hist: DataFrame, targets: DataFrame, p: MixParams = MixParams())
         .repartition(shuffle_width(hist.sparkSession), "source")
     )
     kept = [c for c in state.columns if c != "source"]
+    worst = None
     for turn in range(1, p.max_iterations + 1):
         rate = _rate(F.col("lam"), F.col("size"), F.col("mean"), p.cap)
         part = F.col("size") * F.col("n")
@@ -108,6 +111,8 @@ def solve_rates(hist: DataFrame, targets: DataFrame, p: MixParams = MixParams())
             worst = state.where(~F.col("full")).agg(F.max("miss")).first()[0]
             if worst is None or worst <= p.tolerance:
                 break
+    else:
+        raise RuntimeError(f"rates miss their targets by {worst} after {p.max_iterations} iterations")
     return state.select("source", "lam", "mean", "full")
 
 
@@ -115,8 +120,9 @@ def whole_copies(hist: DataFrame, targets: DataFrame, rates: DataFrame, p: MixPa
     """source, size, n, total: copies that the n documents of one size get together.
 
     Running sums of the expected copies over a source's sizes are rounded, so errors cancel
-    between neighbouring sizes; what is left of the target then goes, largest size first, to
-    sizes with room. The fold runs over a source's distinct sizes, not its documents.
+    between neighbouring sizes, and what is left of a target is less than its largest size. That
+    goes, in each of a few rounds, to the largest size that still fits; every round leaves less
+    than half. A round is an aggregate per source and a join, whatever the number of sizes.
     """
     running = Window.partitionBy("source").orderBy("size")
     joined = (
@@ -132,29 +138,37 @@ def whole_copies(hist: DataFrame, targets: DataFrame, rates: DataFrame, p: MixPa
     rounded = joined.withColumn("upto", upto).withColumn(
         "total", F.least(F.col("n") * p.cap, F.greatest(F.lit(0), F.col("upto") - F.coalesce(F.lag("upto").over(running), F.lit(0)))).cast("long")
     )
-    gathered = rounded.groupBy("source").agg(
-        (F.first("target") - F.sum(F.col("total") * F.col("size"))).alias("gap"),
-        F.reverse(F.array_sort(F.collect_list(F.struct("size", "n", "total")))).alias("sizes"),
-    )
-
-    def give(a: Column, x: Column) -> Column:
-        room = F.when(a["gap"] >= 0, x["n"] * p.cap - x["total"]).otherwise(x["total"])
-        fits = F.when(x["size"] > 0, F.least(room, F.floor(F.abs(a["gap"]) / x["size"]))).otherwise(F.lit(0))
-        move = F.when(a["gap"] >= 0, fits).otherwise(-fits).cast("long")
-        return F.struct(
-            (a["gap"] - move * x["size"]).cast("double").alias("gap"),
-            F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), x["n"].alias("n"), (x["total"] + move).alias("total")))).alias("out"),
+    dealt = cut(rounded.select("source", "size", "n", "target", "total"))
+    gap = F.sum(F.col("total") * F.col("size"))
+    for _ in range(p.fill_rounds):
+        gaps = dealt.groupBy("source").agg((F.first("target") - gap).alias("gap"))
+        room = F.when(F.col("gap") >= 0, F.col("n") * p.cap - F.col("total")).otherwise(F.col("total"))
+        fits = F.least(room, F.floor(F.abs("gap") / F.col("size")))
+        picked = (
+            dealt.alias("d")
+            .join(gaps.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+            .where((F.col("size") > 0) & (F.abs("gap") >= F.col("size")) & (room > 0))
+            .groupBy(F.col("d.source").alias("source"))
+            .agg(F.max_by(F.struct("size", (fits * F.signum("gap")).cast("long").alias("move")), "size").alias("pick"))
         )
-
-    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast("array<struct<size:bigint,n:bigint,total:bigint>>").alias("out"))
-    return gathered.select("source", F.explode(F.aggregate("sizes", start, give, lambda a: a["out"])).alias("x")).select("source", "x.size", "x.n", "x.total")
+        picked = cut(picked)
+        if picked.isEmpty():
+            break
+        move = F.when(F.col("d.size") == F.col("pick.size"), F.col("pick.move")).otherwise(0)
+        dealt = cut(
+            dealt.alias("d")
+            .join(picked.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
+            .select("d.source", "d.size", "d.n", "d.target", (F.col("d.total") + F.coalesce(move, F.lit(0))).cast("long").alias("total"))
+        )
+    return dealt.select("source", "size", "n", "total")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", p: MixParams = MixParams()) -> DataFrame:
     """``row`` (input columns but the text), ``text_hash``, ``size``, ``source_size``, ``target``, ``copies``.
 
     Null and blank texts have size 0, which no mix counts; they keep one copy. Null is a source of
-    its own, the last. Repeated rows count each for itself. The order of documents within one
+    its own, the last. Repeated rows count each for itself. An empty table gives an empty table; a
+    very long text is one document like any other, and limits how near its source's target is met. The order of documents within one
     size comes from a hash of the id, so that reruns agree.
     """
     spark = docs.sparkSession

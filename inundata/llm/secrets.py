@@ -81,30 +81,55 @@ def matches(text: Column, hint: str, pattern: str, group: int, least: int, kind:
     """Leftmost non-overlapping matches as spans; those whose group is too short are dropped.
 
     The pieces between matches and the matches alternate, so running sums of their lengths give
-    positions, which no built-in expression returns directly.
+    positions, which no built-in expression returns directly. An array that grows by one is copied
+    each time, so the sums run in stretches of about the square root of the number of matches.
     """
 
-    def placed(found: Column) -> Column:
-        def of(gaps: Column) -> Column:
-            walked = F.aggregate(
-                F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m["whole"]).alias("len"), F.length(m["part"]).alias("part"))),
-                F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-                lambda a, m: F.struct(
-                    (a["at"] + m["gap"] + m["len"]).alias("at"),
+    def stretch(items: Column) -> Column:
+        """The length of a stretch, and its spans as if it began the text."""
+        return F.aggregate(
+            items,
+            F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
+            lambda a, m: F.struct(
+                (a["at"] + m["gap"] + m["len"]).alias("at"),
+                F.concat(
+                    a["out"],
                     F.when(
                         m["part"] >= least,
-                        F.concat(
-                            a["out"],
-                            F.array(F.struct((a["at"] + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + m["gap"] + m["len"]).alias("stop"))),
-                        ),
-                    )
-                    .otherwise(a["out"])
-                    .alias("out"),
-                ),
-            )
-            return walked["out"]
-
-        return let(F.split(text, pattern, -1), of)
+                        F.array(F.struct((a["at"] + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + m["gap"] + m["len"]).alias("stop"))),
+                    ).otherwise(F.array().cast(SPAN)),
+                ).alias("out"),
+            ),
+        )
+
+    def moved(stretches: Column) -> Column:
+        starts = F.aggregate(stretches, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["at"])))
+        return let(
+            starts,
+            lambda begin: F.flatten(
+                F.transform(
+                    stretches,
+                    lambda x, i: F.transform(
+                        x["out"], lambda s: F.struct((s["start"] + F.get(begin, i)).alias("start"), s["kind"].alias("kind"), (s["stop"] + F.get(begin, i)).alias("stop"))
+                    ),
+                )
+            ),
+        )
+
+    def placed(found: Column) -> Column:
+        def of(gaps: Column) -> Column:
+            items = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m["whole"]).alias("len"), F.length(m["part"]).alias("part")))
+
+            def in_stretches(items: Column) -> Column:
+                def by(size: Column) -> Column:
+                    count = F.ceil(F.size(items) / size).cast("int")
+                    return let(F.transform(F.sequence(F.lit(0), count - 1), lambda k: stretch(F.slice(items, k * size + 1, size))), moved)
+
+                return let(F.ceil(F.sqrt(F.size(items))).cast("int"), by)
+
+            return let(items, in_stretches)
+
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), of)).otherwise(F.array().cast(SPAN))
 
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part")

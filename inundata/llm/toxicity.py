@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed homoglyphs (Cyrillic and Greek letters that look Latin), each with its Latin letter.
@@ -83,6 +83,16 @@ def raw_weight(machine, text: str | None, power: float) -> float:
     return found / max(1, folded.count(" ") - 1) ** power
 
 
+def _beginnings(word: str) -> set[str]:
+    return {f"{word[:k]}*" for k in STEMS if len(word) > k}
+
+
+def _as_terms(words: Column) -> Column:
+    """``words`` and their beginnings, as the lexicon writes them."""
+    starts = F.transform(words, lambda w: F.filter(F.array(*[F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]), lambda x: x.isNotNull()))
+    return F.concat(words, F.flatten(starts))
+
+
 def _tokens(labelled: DataFrame) -> DataFrame:
     """toxic, term: distinct folded words, word beginnings (marked *) and word pairs of each labelled document."""
 
@@ -91,7 +101,7 @@ def _tokens(labelled: DataFrame) -> DataFrame:
             terms = []
             for text in pdf["text"]:
                 words = fold(text or "").split()
-                starts = {f"{w[:k]}*" for w in set(words) for k in STEMS if len(w) > k}
+                starts = set().union(*map(_beginnings, set(words)))
                 terms.append([*set(words), *starts, *{f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}])
             yield pd.DataFrame({"toxic": pdf["toxic"], "terms": terms})
 
@@ -142,12 +152,12 @@ def learn_lexicon(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) ->
         weights = _without_nested({r["term"]: (r["evidence"], r["odds"]) for r in strong})
         benign = (
             counted.where(~one_word & (F.col("bad") == 0) & (F.col("n") >= p.min_documents))
-            .where(F.arrays_overlap(F.split("term", " "), F.array(*[F.lit(t) for t in sorted(weights)])) if weights else F.lit(False))
+            .where(F.arrays_overlap(_as_terms(F.split("term", " ")), F.array(*[F.lit(t) for t in sorted(weights)])) if weights else F.lit(False))
             .orderBy(F.desc("n"), "term")
             .limit(p.max_exceptions)
             .collect()
         )
-        exceptions = {r["term"]: max(weights.get(w, 0.0) for w in r["term"].split()) for r in benign}
+        exceptions = {r["term"]: sum(weights[t] for w in r["term"].split() for t in (w, *_beginnings(w)) if t in weights) for r in benign}
         counted.unpersist()
         slope, offset = _fit_curve(rows, Lexicon(weights, exceptions, power=p.length_power))
         return Lexicon(weights, exceptions, slope, offset, p.length_power)

@@ -58,3 +58,18 @@ def test_odd_inputs(spark, odd_docs, no_docs):
     assert len(got) == len(docs)
     held([(r.row.doc_id, r.size, r.source_size, r.target, r.size * r.copies) for r in got], docs)
     assert mix_sources(no_docs).count() == 0
+
+
+def test_many_sizes_in_one_source(spark):
+    """20,000 distinct sizes of one source beside small ones; no step gathers a source in one row."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    long = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 5_000 + F.col("id") / 7).cast("int")).alias("text"))
+    docs = long.unionByName(spark.range(300).select((F.col("id") + 50_000).alias("doc_id"), F.lit("small").alias("source"), F.lit("a b c d e").alias("text")))
+    began = time.time()
+    got = mix_sources(docs).groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("took"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert time.time() - began < 60
+    for r in got:
+        assert abs(r.took - r.target) <= 5 and r.most <= 2, r

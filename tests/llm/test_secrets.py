@@ -74,3 +74,15 @@ def test_short_random_strings_among_many_ordinary_tokens(spark):
         found.setdefault((e, n), []).append(got[i] == [(4, 3, 4 + len(t))])
     assert all(sum(v) >= 10 for v in found.values()), {k: sum(v) for k, v in found.items()}
     assert sum(bool(got[len(planted) + i]) for i in range(len(words))) <= 4
+
+
+def test_very_many_matches_in_one_text(spark):
+    """32,000 matches take time in proportion, not with their square."""
+    import time
+
+    text = " ".join(f"token={i:07d}" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    spans = scan_secrets(docs).collect()[0].spans
+    assert [tuple(x) for x in spans] == brute(text) and len(spans) == 32_000
+    assert time.time() - began < 15
