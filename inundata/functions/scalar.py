@@ -20,6 +20,12 @@ PRODUCT_NAME = (
 )
 ORBIT_NAME = r"^(S1[AB])_OPER_AUX_(POE|RES|PRE)ORB_OPOD_(\d{8}T\d{6})_V(\d{8}T\d{6})_(\d{8}T\d{6})"
 STAMP = "yyyyMMdd'T'HHmmss"
+#: Place (from 1) and length of their fields, which both formats fix.
+PRODUCT_PLACES = {
+    "mission": (1, 3), "beam": (5, 2), "product_type": (8, 3), "resolution": (11, 1), "level": (13, 1), "class": (14, 1), "polarisation": (15, 2),
+    "start": (18, 15), "stop": (34, 15), "absolute_orbit": (50, 6), "datatake": (57, 6), "unique_id": (64, 4),
+}
+ORBIT_PLACES = {"mission": (1, 3), "kind": (14, 3), "created": (26, 15), "start": (43, 15), "stop": (59, 15)}
 
 
 def zero_to_null(c: Column) -> Column:
@@ -82,10 +88,14 @@ def attribute(attributes: Column, name: str) -> Column:
     return F.try_element_at(F.filter(attributes, lambda a: a["Name"] == name), F.lit(1))["Value"]
 
 
+def _placed(name: Column, pattern: str, places: dict[str, tuple[int, int]]) -> dict[str, Column]:
+    """Fields at fixed places of a name; all NULL when the name doesn't have the pattern."""
+    return {field: F.when(name.rlike(pattern), F.substring(name, at, length)) for field, (at, length) in places.items()}
+
+
 def product_fields(name: Column) -> dict[str, Column]:
     """The fields of a product file name; all NULL when the name is none."""
-    names = ("mission", "beam", "product_type", "resolution", "level", "class", "polarisation", "start", "stop", "absolute_orbit", "datatake", "unique_id")
-    parts = {n: F.nullif(F.regexp_extract(name, PRODUCT_NAME, i + 1), F.lit("")) for i, n in enumerate(names)}
+    parts = _placed(name, PRODUCT_NAME, PRODUCT_PLACES)
     parts["start"] = F.try_to_timestamp(parts["start"], F.lit(STAMP))
     parts["stop"] = F.try_to_timestamp(parts["stop"], F.lit(STAMP))
     parts["absolute_orbit"] = parts["absolute_orbit"].cast("int")
@@ -102,12 +112,10 @@ def relative_orbit(mission: Column, absolute: Column) -> Column:
 
 def orbit_fields(name: Column) -> dict[str, Column]:
     """mission, orbit_type (precise, restituted, predicted), created, start, stop of an orbit file name."""
-    kind = F.regexp_extract(name, ORBIT_NAME, 2)
-    times = {n: F.try_to_timestamp(F.nullif(F.regexp_extract(name, ORBIT_NAME, i), F.lit("")), F.lit(STAMP)) for n, i in (("created", 3), ("start", 4), ("stop", 5))}
-    return {
-        "mission": F.nullif(F.regexp_extract(name, ORBIT_NAME, 1), F.lit("")),
-        "orbit_type": F.when(kind == "POE", "precise").when(kind == "RES", "restituted").when(kind == "PRE", "predicted"),
-    } | times
+    parts = _placed(name, ORBIT_NAME, ORBIT_PLACES)
+    kinds = F.create_map(*[F.lit(x) for pair in (("POE", "precise"), ("RES", "restituted"), ("PRE", "predicted")) for x in pair])
+    times = {n: F.try_to_timestamp(parts[n], F.lit(STAMP)) for n in ("created", "start", "stop")}
+    return {"mission": parts["mission"], "orbit_type": F.try_element_at(kinds, parts["kind"])} | times
 
 
 def orbit_path_parts(name: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inundata.functions.scalar import attribute, boxes_overlap, outer_ring, product_fields, ring_bounds
+from inundata.functions.scalar import PRODUCT_NAME, attribute, boxes_overlap, outer_ring, product_fields, ring_bounds
 from inundata.sources.folders import cut
 
 #: Fixed names of the attributes that become columns.
@@ -57,7 +57,8 @@ def same_pass_products(products: DataFrame, chosen: DataFrame, keys: tuple[str,
 
 def list_products(names: DataFrame, name: str = "name") -> DataFrame:
     """Names that parse, with their fields; others are dropped silently."""
-    return names.select(F.col(name), *[c.alias(k) for k, c in product_fields(F.col(name)).items()]).where("mission is not null and start is not null")
+    parsed = names.where(F.col(name).rlike(PRODUCT_NAME))
+    return parsed.select(F.col(name), *[c.alias(k) for k, c in product_fields(F.col(name)).items()]).where("start is not null")
 
 
 def scene_day_tiles(scenes: DataFrame, flood: DataFrame, ts: str = "ts", most: int = 2) -> DataFrame:

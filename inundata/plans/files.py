@@ -93,14 +93,17 @@ def write_geojson(spark: SparkSession, sf: str) -> DataFrame:
     """Flooded regions as GeoJSON text, read again: enclosed pixels and box per date."""
     flood = v.band(spark, sf).where("t < -0.35").select("row", "col", F.floor(F.col("row") / 40).cast("int").alias("flood_ts"))
     keys = ("flood_ts",)
-    parts = regions.region_polygons(regions.connected_components(flood, tile=32, keys=keys), keys=keys)
+    parts = regions.region_polygons(regions.connected_components(flood, tile=128, keys=keys), keys=keys)
     path = fresh(spark, "geojson")
-    files.write_geojson(files.geojson_collections(parts, F.lit("event"), F.lit("flooded regions"), F.lit("2024-01-01"), F.lit("blue")), path)
-    schema = "bbox array<double>, flood_datetime string, features array<struct<properties:struct<region:bigint>, geometry:struct<coordinates:array<array<array<double>>>>>>"
-    read = spark.read.schema(schema).json(path)
-    rings = read.select(F.col("flood_datetime").cast("int").alias("flood_ts"), "bbox", F.explode("features").alias("f")).select(
-        "flood_ts", "bbox", F.monotonically_increasing_id().alias("region"), F.transform("f.geometry.coordinates", lambda g: F.transform(g, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("rings")
-    )
-    areas = regions.polygon_area(rings, keys)
-    boxes = read.select(F.col("flood_datetime").cast("int").alias("flood_ts"), F.col("bbox")[0].cast("int").alias("x0"), F.col("bbox")[2].cast("int").alias("x1"))
-    return areas.groupBy("flood_ts").agg(F.sum("area").cast("long").alias("n_pixels")).join(boxes, "flood_ts")
+    files.write_geojson(files.geojson_lines(parts, F.lit("event"), F.lit("flooded regions"), F.current_timestamp().cast("string"), F.lit("blue")), path)
+    lines = spark.read.text(path).select("flood_ts", F.regexp_replace("value", "^,", "").alias("line"))
+    schema = "properties struct<region:bigint>, geometry struct<coordinates:array<array<array<array<double>>>>>"
+    read = lines.where(F.startswith("line", F.lit('{"type":"Feature",'))).select("flood_ts", F.from_json("line", schema).alias("f"))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    shapes = read.select(
+        "flood_ts", F.col("f.properties.region").alias("region"),
+        F.transform("f.geometry.coordinates", lambda g: F.transform(g, lambda ring: F.transform(ring, point))).alias("polygons"),
+    )
+    heads = lines.where(F.startswith("line", F.lit('{"type":"FeatureCollection"'))).select("flood_ts", F.from_json(F.concat("line", F.lit("]}")), "bbox array<double>").alias("h"))
+    boxes = heads.select("flood_ts", F.col("h.bbox")[0].cast("int").alias("x0"), F.col("h.bbox")[2].cast("int").alias("x1"))
+    return regions.polygon_area(shapes, keys).groupBy("flood_ts").agg(F.sum("area").cast("long").alias("n_pixels")).join(boxes, "flood_ts")

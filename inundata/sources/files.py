@@ -37,7 +37,9 @@ def write_stack(scenes: list[DataFrame], path: str) -> None:
     stack = scenes[0]
     for more in scenes[1:]:
         stack = stack.unionByName(more)
-    stack.repartition("time").write.mode("overwrite").partitionBy("time").parquet(path)
+    # a time of many pixels is several files, by rows of the grid
+    width = int(stack.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stack.repartitionByRange(width, "time", "row").write.mode("overwrite").partitionBy("time").parquet(path)
 
 
 def write_layer(layer: DataFrame, path: str, by: str | None = None) -> None:
@@ -106,34 +108,40 @@ def write_orbit_table(osv: DataFrame, path: str) -> None:
     orbit_table_lines(osv).orderBy("place").select("line").write.mode("overwrite").text(path)
 
 
-def geojson_collections(polygons: DataFrame, event: Column, description: Column, created: Column, colour: Column) -> DataFrame:
-    """flood_ts, geojson: a FeatureCollection with its metadata per flood date.
+def geojson_lines(polygons: DataFrame, event: Column, description: Column, created: Column, colour: Column) -> DataFrame:
+    """flood_ts, place, part, line: the lines of one FeatureCollection with its metadata per flood date.
 
-    ``polygons``: flood_ts, region, rings (arrays of struct x, y).
+    ``polygons``: flood_ts, region, polygons (rings of struct x, y). A feature has all polygons of
+    a region in one tile, as a MultiPolygon, and a line of its own; nothing gathers a whole date.
     """
-    coordinates = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    coordinates = F.transform("polygons", lambda shape: F.transform(shape, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.col("region").alias("region")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
+        F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
     )
-    points = F.flatten("rings")
+    points = F.flatten(F.flatten("polygons"))
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    part = F.struct("ty", "tx")
     boxed = polygons.select(
-        "flood_ts", "region", feature.alias("feature"),
-        F.array_min(F.transform(points, lambda p: p["x"])).alias("x0"), F.array_max(F.transform(points, lambda p: p["x"])).alias("x1"),
-        F.array_min(F.transform(points, lambda p: p["y"])).alias("y0"), F.array_max(F.transform(points, lambda p: p["y"])).alias("y1"),
+        "flood_ts", F.col("region").alias("place"), part.alias("part"), F.to_json(feature).alias("json"),
+        F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"),
     )
-    gathered = boxed.groupBy("flood_ts").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("region", "feature"))), lambda x: x["feature"]).alias("features"),
-        F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("bbox"),
+    dates = boxed.groupBy("flood_ts").agg(
+        F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("bbox"), F.min(F.struct("place", "part")).alias("first")
     )
     envelope = F.struct(
         F.lit("FeatureCollection").alias("type"), event.alias("flood_event"), description.alias("description"), created.alias("created"),
-        F.col("flood_ts").cast("string").alias("flood_datetime"), colour.alias("colour"), "bbox", "features",
+        F.col("flood_ts").cast("string").alias("flood_datetime"), colour.alias("colour"), "bbox",
     )
-    return gathered.select("flood_ts", F.to_json(envelope).alias("geojson"))
+    none = F.lit(None).cast(boxed.schema["part"].dataType)
+    head = dates.select("flood_ts", F.lit(-1).cast("long").alias("place"), none.alias("part"), F.concat(F.regexp_replace(F.to_json(envelope), r"\}$", ""), F.lit(',"features":[')).alias("line"))
+    tail = dates.select("flood_ts", F.lit(2**63 - 1).alias("place"), none.alias("part"), F.lit("]}").alias("line"))
+    comma = F.when(F.struct("place", "part") == F.col("first"), "").otherwise(",")
+    body = boxed.join(dates.select("flood_ts", "first"), "flood_ts").select("flood_ts", "place", "part", F.concat(comma, "json").alias("line"))
+    return head.unionByName(body).unionByName(tail)
 
 
-def write_geojson(collections: DataFrame, path: str) -> None:
-    """One text line per flood date."""
-    collections.select("geojson").write.mode("overwrite").text(path)
+def write_geojson(lines: DataFrame, path: str) -> None:
+    """A folder per flood date, whose part files in the order of their names are one GeoJSON text."""
+    lines.orderBy("flood_ts", "place", "part").select("flood_ts", "line").write.mode("overwrite").partitionBy("flood_ts").text(path)

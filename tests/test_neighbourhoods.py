@@ -83,8 +83,68 @@ def test_polygon_areas_count_pixels_with_holes(spark):
     parts = regions.region_polygons(found, tile=5)
     area = regions.polygon_area(parts).collect()
     assert [r.area for r in area] == [float(mask.sum())]
-    whole = regions.region_polygons(found, tile=50).first().rings
+    (whole,) = regions.region_polygons(found, tile=50).first().polygons
     assert len(whole) == 3
+    assert regions.polygon_area(regions.region_polygons(found, tile=50)).first().holes == 2
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_polygons_hold_their_own_cells_only(spark, diagonal):
+    """Cell centres by the even-odd rule, against the mask; every polygon one outer ring, the rest holes in it."""
+    mask = np.random.default_rng(12).random((23, 31)) < 0.55
+    found = regions.connected_components(frame(spark, mask, "flag").where("flag"), diagonal, tile=9).cache()
+    own = {(r.row, r.col): r.region for r in found.collect()}
+
+    def inside(ring, x, y):
+        return sum((a.y > y) != (b.y > y) and x < (b.x - a.x) * (y - a.y) / (b.y - a.y) + a.x for a, b in zip(ring, ring[1:])) % 2 == 1
+
+    for tile in (50, 7):
+        held = {}
+        for row in regions.region_polygons(found, tile=tile).collect():
+            for outer, *holes in row.polygons:
+                area = lambda ring: sum(a.x * b.y - b.x * a.y for a, b in zip(ring, ring[1:])) / 2
+                assert outer[0] == outer[-1] and area(outer) > 0 and all(area(h) < 0 for h in holes)
+                for r in range(23):
+                    for c in range(31):
+                        if inside(outer, c + 0.5, r + 0.5) and not any(inside(h, c + 0.5, r + 0.5) for h in holes):
+                            assert (r, c) not in held
+                            held[r, c] = row.region
+        assert held == own
+
+
+def test_local_thresholds_against_plain_restatements():
+    """Minimum error by two plain loops, and smoothing by a plain sum with mirrored borders."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(-9, 1.5, 4000), rng.normal(3, 2.0, 9000)])
+    lo, hi = (int(x) for x in np.percentile(values, [0.1, 99.9]))
+    bins, best = 10 * (hi - lo + 1), None
+    counts = np.zeros(bins)
+    for x in values:
+        if lo <= x <= hi:
+            counts[min(bins - 1, int((x - lo) * bins / (hi - lo)))] += 1
+    at = [lo + k * (hi - lo) / bins for k in range(bins)]
+    for k in range(1, bins):
+        cost = 0.0
+        for some in (range(k), range(k, bins)):
+            n = sum(counts[i] for i in some)
+            mean = sum(counts[i] * at[i] for i in some) / n if n else 0
+            var = sum(counts[i] * (at[i] - mean) ** 2 for i in some) / n if n else 0
+            cost += n / counts.sum() * (np.log(np.sqrt(var)) - np.log(n / counts.sum())) if var > 1e-9 else np.inf
+        if best is None or cost < best[0]:
+            best = cost, at[k - 1]
+    assert kernels.kittler(values) == pytest.approx(best[1])
+
+    block, sigma = rng.random((9, 14)), 1.2
+    radius = int(4 * sigma + 0.5)
+    taps = [np.exp(-(k**2) / (2 * sigma**2)) for k in range(-radius, radius + 1)]
+    mirror = lambda i, n: (i % (2 * n)) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)
+    want = np.zeros(block.shape)
+    for r in range(9):
+        for c in range(14):
+            for a in range(-radius, radius + 1):
+                for b in range(-radius, radius + 1):
+                    want[r, c] += taps[a + radius] * taps[b + radius] * block[mirror(r + a, 9), mirror(c + b, 14)] / sum(taps) ** 2
+    assert np.allclose(kernels.gaussian_smooth(block, sigma), want)
 
 
 def sequential_growth(t, mask, rounds=999):
