@@ -57,10 +57,50 @@ def t_scores(weighted: DataFrame, clip: tuple[float, float] | None = (0.0001, 0.
     return scored if clip is None else quantile_clip(scored, "t", *clip, exact=exact)
 
 
+#: Share of the rows by which approximate quantiles may miss their rank.
+_RANK_ERROR = 1e-3
+
+
 def quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """keys, q_lo, q_hi with linear interpolation (``exact``), or approximate."""
-    q = F.percentile(value, F.array(F.lit(lo), F.lit(hi))) if exact else F.percentile_approx(value, [lo, hi], 100_000)
-    return df.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi"))
+    """keys, q_lo, q_hi with linear interpolation (``exact``), or approximate.
+
+    Exact ones take two passes: approximate quantiles on both sides of each wanted rank, then the
+    counts of the values between these, a few thousandths of all rows, so that no task holds every
+    value of an image. The values at the two ranks are found by running sums of those counts.
+    """
+    if not exact:
+        q = F.percentile_approx(value, [lo, hi], 100_000)
+        return df.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi"))
+    sides = [max(0.0, lo - 2 * _RANK_ERROR), min(1.0, lo + 2 * _RANK_ERROR), max(0.0, hi - 2 * _RANK_ERROR), min(1.0, hi + 2 * _RANK_ERROR)]
+    near = F.percentile_approx(value, sides, int(1 / _RANK_ERROR))
+    slim = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = df.groupBy(*keys).agg(F.count(value).alias("_n"), near.alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    few = F.col("_n") * _RANK_ERROR < 10  # so few that the sides could be nearer than a rank: all values are counted
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("which"),
+                ((F.col("_n") - 1) * F.lit(q)).alias("rank"),
+                F.when(few | F.lit(sides[2 * i] == 0), F.col("_min")).otherwise(F.col("_q")[2 * i]).cast("double").alias("from"),
+                F.when(few | F.lit(sides[2 * i + 1] == 1), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).cast("double").alias("to"),
+            )
+            for i, q in enumerate((lo, hi))
+        ]
+    )
+    spans = ends.where("_n > 0").select(*keys, F.explode(wanted).alias("w"))
+    # two rows per key: one value each side
+    joined = slim.where("_v is not null").join(spans, list(keys)) if keys else slim.where("_v is not null").crossJoin(F.broadcast(spans))
+    at = F.when(F.col("_v") < F.col("w.from"), F.lit(None)).otherwise(F.col("_v"))
+    counts = joined.where(F.col("_v") <= F.col("w.to")).groupBy(*keys, F.col("w.which").alias("which"), at.alias("at")).agg(F.count("*").alias("n"), F.first("w.rank").alias("rank"))
+    up = Window.partitionBy(*keys, "which").orderBy(F.col("at").asc_nulls_first())
+    upto = counts.withColumn("upto", F.sum("n").over(up))
+    value_at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("at")))
+    found = upto.groupBy(*keys, "which").agg(F.first("rank").alias("rank"), value_at(F.floor("rank")).alias("low"), value_at(F.ceil("rank")).alias("high"))
+    part = F.col("rank") - F.floor("rank")
+    q = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("rank") - F.col("rank")) * F.col("low") + part * F.col("high"))
+    by_key = found.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, q)).alias("q_lo"), F.max(F.when(F.col("which") == 1, q)).alias("q_hi"))
+    # keys without values keep a row
+    return ends.select(*keys).join(by_key, list(keys), "left") if keys else by_key
 
 
 def _with_quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...], exact: bool) -> DataFrame:

@@ -279,3 +279,18 @@ def test_kernels_equal_expressions(spark):
     assert stats.otsu_threshold(df, "t").first().threshold == pytest.approx(kernels.otsu(v))
     assert stats.kittler_threshold(df, "t").first().threshold == pytest.approx(kernels.kittler(v))
     assert stats.bimodality_coefficient(df, "t").first().bc == pytest.approx(kernels.bimodality(v))
+
+
+def test_exact_quantiles_of_heavy_tails_ties_and_keys(spark):
+    """Against numpy, on values that equal bins would not tell apart."""
+    rng = np.random.default_rng(21)
+    groups = {"tail": np.exp(rng.normal(0, 6, 20_000)), "ties": rng.integers(0, 4, 9_000).astype(float), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([5.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("tail", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    for lo, hi in ((0.0001, 0.9999), (0.01, 0.99), (0.25, 0.5), (0.0, 1.0)):
+        got = {r.k: (r.q_lo, r.q_hi) for r in stats.quantiles(df, "v", lo, hi, ("k",)).collect()}
+        assert got.pop("none") == (None, None)
+        for k, vs in groups.items():
+            assert got[k] == pytest.approx((np.quantile(vs, lo), np.quantile(vs, hi)), rel=1e-12), (k, lo, hi)
+        whole = stats.quantiles(df.where("k = 'tail'"), "v", lo, hi).first()
+        assert tuple(whole) == pytest.approx((np.quantile(groups["tail"], lo), np.quantile(groups["tail"], hi)), rel=1e-12)
