@@ -38,15 +38,19 @@ def latest_product(products: DataFrame, begin: str = "begin", published: str = "
 def thin_datetimes(times: DataFrame, ts: str = "ts", keys: tuple[str, ...] = (), seconds: float = 60.0) -> DataFrame:
     """keys, ts: the first time, then each time at least ``seconds`` after the last one kept.
 
-    A fold over the sorted distinct times of one key; keys keep the arrays small.
+    A time at least ``seconds`` after the one before it is kept whatever was kept before, so each
+    run of nearer times is folded alone, over its sorted distinct times.
     """
-    stamps = F.array_sort(F.collect_set(F.unix_micros(ts)))
+    stamps = F.array_sort(F.collect_set("_u"))
     gap = int(seconds * 1_000_000)
+    order = Window.partitionBy(*keys).orderBy("_u")
+    far = F.coalesce(F.col("_u") - F.lag("_u").over(order) >= gap, F.lit(True))
+    runs = times.where(F.col(ts).isNotNull()).select(*keys, F.unix_micros(ts).alias("_u")).distinct().withColumn("_far", far.cast("int")).withColumn("_run", F.sum("_far").over(order))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
     keep = lambda a, t: F.when(
         a["last"].isNull() | (t - a["last"] >= gap), F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))
     ).otherwise(F.struct(a["last"].alias("last"), a["kept"].alias("kept")))
-    folded = times.where(F.col(ts).isNotNull()).groupBy(*keys).agg(stamps.alias("s"))
+    folded = runs.groupBy(*keys, "_run").agg(stamps.alias("s"))
     return folded.select(*keys, F.explode(F.aggregate("s", start, keep, lambda a: a["kept"])).alias("u")).select(*keys, F.timestamp_micros("u").alias(ts))
 
 
