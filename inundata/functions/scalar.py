@@ -20,6 +20,21 @@ PRODUCT_NAME = (
 )
 ORBIT_NAME = r"^(S1[AB])_OPER_AUX_(POE|RES|PRE)ORB_OPOD_(\d{8}T\d{6})_V(\d{8}T\d{6})_(\d{8}T\d{6})"
 STAMP = "yyyyMMdd'T'HHmmss"
+#: Fixed land-cover codes with their names and colours (red, green, blue, opacity).
+LANDCOVER = {
+    0: ("No data", (0, 0, 0, 0)),
+    10: ("Tree cover", (0, 100, 0, 1)),
+    20: ("Shrubland", (255, 187, 34, 1)),
+    30: ("Grassland", (255, 255, 76, 1)),
+    40: ("Cropland", (240, 150, 255, 1)),
+    50: ("Built-up", (250, 0, 0, 1)),
+    60: ("Bare/sparse vegetation", (180, 180, 180, 1)),
+    70: ("Snow and Ice", (240, 240, 240, 1)),
+    80: ("Permanent water bodies", (0, 100, 200, 1)),
+    90: ("Herbaceous wetland", (0, 150, 160, 1)),
+    95: ("Mangroves", (0, 207, 117, 1)),
+    100: ("Moss and lichen", (250, 230, 160, 1)),
+}
 #: Place (from 1) and length of their fields, which both formats fix.
 PRODUCT_PLACES = {
     "mission": (1, 3), "beam": (5, 2), "product_type": (8, 3), "resolution": (11, 1), "level": (13, 1), "class": (14, 1), "polarisation": (15, 2),
@@ -64,6 +79,12 @@ def class_equals(cls: Column, wanted: float) -> Column:
     return F.coalesce(cls == wanted, F.lit(False))
 
 
+def landcover_label(code: Column) -> Column:
+    """struct(name, rgba) of a land-cover code; NULL for unknown codes."""
+    table = F.create_map(*[x for k, (name, rgba) in LANDCOVER.items() for x in (F.lit(k), F.struct(F.lit(name).alias("name"), F.array(*[F.lit(c) for c in rgba]).alias("rgba")))])
+    return F.try_element_at(table, code)
+
+
 def metres_to_mm(c: Column) -> Column:
     return c * 1000.0
 
@@ -184,5 +205,20 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
 
 
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: a corner of one inside the other, or sides that touch."""
+    turn = lambda e, p: (e["b"]["lon"] - e["a"]["lon"]) * (p["lat"] - e["a"]["lat"]) - (e["b"]["lat"] - e["a"]["lat"]) * (p["lon"] - e["a"]["lon"])
+    apart = lambda e, f, c: F.greatest(e["a"][c], e["b"][c]) < F.least(f["a"][c], f["b"][c])
+
+    def touch(e: Column, f: Column) -> Column:
+        boxes = ~(apart(e, f, "lon") | apart(f, e, "lon") | apart(e, f, "lat") | apart(f, e, "lat"))
+        return boxes & (F.signum(turn(e, f["a"])) * F.signum(turn(e, f["b"])) <= 0) & (F.signum(turn(f, e["a"])) * F.signum(turn(f, e["b"])) <= 0)
+
+    def corner(of: Column, ring: Column) -> Column:
+        return F.exists(of, lambda p: in_ring(p["lon"], p["lat"], ring))
+
+    return corner(a, b) | corner(b, a) | F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: touch(e, f)))
+
+
 def boxes_overlap(a: Column, b: Column) -> Column:
     return (a["lon_min"] <= b["lon_max"]) & (b["lon_min"] <= a["lon_max"]) & (a["lat_min"] <= b["lat_max"]) & (b["lat_min"] <= a["lat_max"])

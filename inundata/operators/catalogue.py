@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inundata.functions.scalar import PRODUCT_NAME, attribute, boxes_overlap, outer_ring, product_fields, ring_bounds
+from inundata.functions.scalar import PRODUCT_NAME, attribute, boxes_overlap, outer_ring, product_fields, ring_bounds, rings_meet
 from inundata.sources.folders import cut
 
 #: Fixed names of the attributes that become columns.
@@ -16,9 +16,14 @@ def catalogue_attributes(products: DataFrame, names: tuple[str, ...] = ATTRIBUTE
     return products.select("*", *[attribute(F.col("Attributes"), n).alias(n) for n in names])
 
 
-def catalogue_query(products: DataFrame, bounds: Column, start: Column, end: Column, product_type: str = "GRD", most: int = 1000) -> DataFrame:
+def catalogue_query(
+    products: DataFrame, bounds: Column, start: Column, end: Column, product_type: str = "GRD", most: int = 1000, area: Column | None = None, collection: str | None = None
+) -> DataFrame:
     """Products of one type whose footprint box meets ``bounds`` and that begin strictly between two times.
 
+    With ``area`` (a ring) the footprint itself must meet that; ``collection`` is compared with a
+    column of that name.
+
     The first ``most`` by begin and Id: the catalogue's own limit, which is part of the query.
     """
     begin = F.try_to_timestamp("beginningDateTime")
@@ -26,6 +31,10 @@ def catalogue_query(products: DataFrame, bounds: Column, start: Column, end: Col
     met = products.withColumn("begin", begin).where(
         (F.col("productType") == product_type) & (F.col("begin") > start) & (F.col("begin") < end) & boxes_overlap(ring_bounds(ring), bounds)
     )
+    if area is not None:
+        met = met.where(rings_meet(ring, area))
+    if collection is not None:
+        met = met.where(F.col("collection") == collection)
     return met.orderBy("begin", "Id").limit(most)
 
 

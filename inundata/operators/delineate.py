@@ -43,14 +43,24 @@ def _grid(pdf: pd.DataFrame, r0: int, c0: int, h: int, w: int, column: str = "t"
 
 
 def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams()) -> DataFrame:
-    """size, by, bx, bc, mean, flagged: each block of each size, smoothed first if asked for."""
-    blocks = scores.select("row", "col", "t", F.explode(F.array(*[F.lit(s) for s in p.sizes])).alias("size")).withColumns(
-        {"by": F.floor(F.col("row") / F.col("size")).cast("int"), "bx": F.floor(F.col("col") / F.col("size")).cast("int")}
-    )
+    """size, by, bx, bc, mean, flagged: each block of each size, smoothed first if asked for.
+
+    Pixels are shuffled once, into chips of the sizes' common divisor; blocks are put together from
+    chips.
+    """
+    g = math.gcd(*p.sizes)
+    at = (F.pmod("row", F.lit(g)) * g + F.pmod("col", F.lit(g))).cast("int")
+    cell = F.struct(at.alias("at"), F.coalesce(F.col("t").cast("double"), F.lit(float("nan"))).alias("t"))
+    chips = scores.groupBy(_chip("row", g).alias("cy"), _chip("col", g).alias("cx")).agg(F.collect_list(cell).alias("cells"))
+    sized = chips.select("cy", "cx", F.col("cells.at").alias("at"), F.col("cells.t").alias("t"), F.explode(F.array(*[F.lit(s) for s in p.sizes])).alias("size"))
+    blocks = sized.withColumns({"by": F.floor(F.col("cy") * g / F.col("size")).cast("int"), "bx": F.floor(F.col("cx") * g / F.col("size")).cast("int")})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         size, by, bx = (int(k) for k in key)
-        block = _grid(pdf, by * size, bx * size, size, size)
+        block = np.full((size, size), np.nan)
+        for cy, cx, place, t in zip(pdf["cy"], pdf["cx"], pdf["at"], pdf["t"], strict=True):
+            place = np.asarray(place)
+            block[cy * g - by * size + place // g, cx * g - bx * size + place % g] = t
         valid = block[np.isfinite(block)]
         bc = kernels.bimodality(kernels.gaussian_smooth(block) if p.smoothing else block, p.least_pixels) if len(valid) else math.nan
         mean = float(valid.mean()) if len(valid) else math.nan
@@ -59,14 +69,22 @@ def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams()) -> DataF
     return blocks.groupBy("size", "by", "bx").applyInPandas(run, "size int, by int, bx int, bc double, mean double, flagged boolean")
 
 
+def _chip(place: str, g: int) -> Column:
+    return F.floor(F.col(place) / g).cast("int")
+
+
 def bimodality_mask(scores: DataFrame, p: FloodParams = FloodParams()) -> DataFrame:
-    """row, col, mask: valid pixels flagged in more than ``vote`` of the sizes; all valid if none is."""
-    flags = block_bimodality(scores, p).where("flagged").select("size", "by", "bx", F.lit(1).alias("hit"))
-    placed = scores.select("row", "col", F.col("t").isNotNull().alias("valid"), F.explode(F.array(*[F.lit(s) for s in p.sizes])).alias("size")).withColumns(
-        {"by": F.floor(F.col("row") / F.col("size")).cast("int"), "bx": F.floor(F.col("col") / F.col("size")).cast("int")}
-    )
-    votes = placed.join(flags, ["size", "by", "bx"], "left").groupBy("row", "col").agg(F.first("valid").alias("valid"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
-    chosen = votes.withColumn("mask", F.col("valid") & (F.col("hits") / float(len(p.sizes)) > p.vote))
+    """row, col, mask: valid pixels flagged in more than ``vote`` of the sizes; all valid if none is.
+
+    All pixels of a chip are in the same blocks, so votes are counted per chip.
+    """
+    g = math.gcd(*p.sizes)
+    chips_of = lambda b: F.explode(F.sequence((F.col(b) * F.col("size") / g).cast("int"), ((F.col(b) + 1) * F.col("size") / g).cast("int") - 1))
+    flags = block_bimodality(scores, p).where("flagged").select("size", "bx", chips_of("by").alias("cy")).select("cy", chips_of("bx").alias("cx"))
+    hits = cut(flags.groupBy("cy", "cx").agg(F.count("*").alias("hits")))
+    placed = scores.select("row", "col", F.col("t").isNotNull().alias("valid"), _chip("row", g).alias("cy"), _chip("col", g).alias("cx")).join(hits, ["cy", "cx"], "left")
+    enough = F.coalesce("hits", F.lit(0)) / float(len(p.sizes)) > p.vote
+    chosen = placed.select("row", "col", "valid", (F.col("valid") & enough).alias("mask"))
     found = chosen.agg(F.coalesce(F.bool_or("mask"), F.lit(False)).alias("found"))
     return chosen.crossJoin(F.broadcast(found)).select("row", "col", F.when(F.col("found"), F.col("mask")).otherwise(F.col("valid")).alias("mask"))  # one row
 
@@ -182,17 +200,51 @@ def growth_round(state: DataFrame, strict_edges: bool = False) -> DataFrame:
     return grown.select("row", "col", "t", (F.col("flooded") | new).alias("flooded"), new.alias("seed"))
 
 
-def region_growing(scores: DataFrame, mask: DataFrame, max_rounds: int = 999, strict_edges: bool = False) -> DataFrame:
-    """row, col, flooded: rounds until nothing is added; an empty mask comes back unchanged."""
+def region_growing(scores: DataFrame, mask: DataFrame, max_rounds: int = 999, strict_edges: bool = False, tile: int = 256, batch: int = 16) -> DataFrame:
+    """row, col, flooded: rounds until nothing is added; an empty mask comes back unchanged.
+
+    A round carries two pixels far, so a tile with a halo of twice ``batch`` goes that many rounds
+    alone, and the raster is shuffled and written once per batch.
+    """
     m = F.coalesce(F.col("mask"), F.lit(False))
     state = cut(scores.select("row", "col", "t").join(mask.select("row", "col", "mask"), ["row", "col"], "left").select("row", "col", "t", m.alias("flooded"), m.alias("seed")))
-    for _ in range(max_rounds):
-        state = cut(growth_round(state, strict_edges))
-        if state.where("seed").limit(1).count() == 0:
-            break
+    while max_rounds > 0 and not state.where("seed").isEmpty():
+        state = cut(_grown(state, min(batch, max_rounds), strict_edges, tile))
+        max_rounds -= batch
     return state.select("row", "col", "flooded")
 
 
+def _grown(state: DataFrame, rounds: int, strict_edges: bool, tile: int) -> DataFrame:
+    """``state`` (row, col, t, flooded, seed) after some rounds of growth, tile by tile."""
+    halo = 2 * rounds
+    kinds = dict(state.dtypes)
+    schema = f"row {kinds['row']}, col {kinds['col']}, t double, flooded boolean, seed boolean"
+
+    def span(place: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(place) - halo) / tile), F.floor((F.col(place) + halo) / tile)))
+
+    last = state.agg(F.max("row").alias("last_row"))
+    spread = state.withColumn("t", F.col("t").cast("double")).crossJoin(F.broadcast(last)).withColumn("ty", span("row")).withColumn("tx", span("col"))  # one row
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(key[0]), int(key[1])
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        own = (r // tile == ty) & (c // tile == tx)
+        if own.any() and pdf["seed"].any():
+            r0, c0, side = ty * tile - halo, tx * tile - halo, tile + 2 * halo
+            grids = {k: np.zeros((side, side), dtype=bool) for k in ("here", "flooded", "seed")}
+            t = np.full((side, side), np.nan)
+            at = (r - r0, c - c0)
+            t[at], grids["here"][at] = pdf["t"].to_numpy(dtype=float), True
+            grids["flooded"][at], grids["seed"][at] = pdf["flooded"].to_numpy(dtype=bool), pdf["seed"].to_numpy(dtype=bool)
+            edge = int(pdf["last_row"].iloc[0]) - r0 if strict_edges else None
+            flooded, seed = kernels.grow(t, grids["here"], grids["flooded"], grids["seed"], rounds, edge)
+            pdf = pdf.assign(flooded=flooded[at], seed=seed[at])
+        return pdf.loc[own, ["row", "col", "t", "flooded", "seed"]]
+
+    return spread.groupBy("ty", "tx").applyInPandas(run, schema)
+
+
 def growth_factor(windows: DataFrame, mean: float, std: float, keys: tuple[str, ...]) -> DataFrame:
     """keys, factor: 0 for a median at mean + 2 std or above, 1 below mean, linear between."""
     median = F.median("t")
@@ -226,13 +278,19 @@ def ks_distance(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return run.where("n > 0 and m > 0").groupBy(*keys).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.abs(F.col("ra") / F.col("n") - F.col("rb") / F.col("m"))).alias("d"))
 
 
-def ks_similar(samples: DataFrame, keys: tuple[str, ...], p_value: float = 0.05) -> DataFrame:
-    """keys, d, similar: unless the exact p-value is below ``p_value``; groups are windows."""
+def ks_similar(samples: DataFrame, keys: tuple[str, ...], p_value: float = 0.05, standardise: bool = False) -> DataFrame:
+    """keys, d, similar: unless the exact p-value is below ``p_value``; groups are windows.
+
+    With ``standardise`` each side is first brought to mean 0 and deviation 1.
+    """
     kinds = dict(samples.dtypes)
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "d double, similar boolean"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf.loc[pdf["side"] == s, "t"].to_numpy(dtype=float) for s in (0, 1))
+        if standardise:
+            with np.errstate(invalid="ignore"):  # a constant side is missing everywhere
+                a, b = ((x - x.mean()) / x.std() if len(x) else x for x in (a, b))
         row = (kernels.ks_statistic(a, b), kernels.ks_similar(a, b, p_value)) if len(a) and len(b) else (None, None)
         return pd.DataFrame([(*key, *row)])
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inundata.functions.scalar import class_equals
+
 
 def patch_dataset(pixels: DataFrame, channels: tuple[str, ...], size: int = 224, offsets: tuple[int, ...] = (0, 56, 112, 168)) -> DataFrame:
     """offset, py, px, and one array per channel: whole patches of each offset, row-major.
@@ -55,4 +57,4 @@ def vote_classes(classes: DataFrame, pixels: DataFrame | None = None, flooded: i
     voted = classes.groupBy("row", "col").agg(F.median("cls").alias("cls"))
     if pixels is not None:
         voted = pixels.select("row", "col").join(voted, ["row", "col"], "left")
-    return voted.withColumn("flooded", F.coalesce(F.col("cls") == flooded, F.lit(False)))
+    return voted.withColumn("flooded", class_equals(F.col("cls"), flooded))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inundata.functions.scalar import latest_run, metres_to_mm, rate_to_mm_per_hour
+
 
 def period_plan(hours: DataFrame, ts: str = "ts") -> DataFrame:
     """year, month, days, hours, is_last_day: an hourly period by month, its last day apart."""
@@ -32,7 +34,7 @@ def rain_window_end(end: Column, now: Column) -> Column:
 def rain_area_mean(grid: DataFrame, value: str = "tp_m", keys: tuple[str, ...] = ()) -> DataFrame:
     """ts, tp_mm: mean over latitudes of each longitude, then over longitudes, in millimetres."""
     by_lon = grid.groupBy(*keys, "ts", "lon").agg(F.avg(value).alias("v"))
-    return by_lon.groupBy(*keys, "ts").agg((F.avg("v") * 1000.0).alias("tp_mm"))
+    return by_lon.groupBy(*keys, "ts").agg(metres_to_mm(F.avg("v")).alias("tp_mm"))
 
 
 def rain_hourly(spine: DataFrame, series: list[DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -61,7 +63,21 @@ def rain_daily_with_missing(hourly: DataFrame, flood_days: DataFrame) -> DataFra
 def gfs_hourly(grid: DataFrame) -> DataFrame:
     """ts, tp_mm: mean rate of each run and forecast hour, as millimetres per hour at its valid time."""
     valid = F.col("run_ts") + F.make_dt_interval(hours=F.col("fhour"))
-    return grid.groupBy("run_ts", "fhour").agg(F.avg("prate").alias("r")).groupBy(valid.alias("ts")).agg((F.avg("r") * 3600.0).alias("tp_mm"))
+    return grid.groupBy("run_ts", "fhour").agg(F.avg("prate").alias("r")).groupBy(valid.alias("ts")).agg(rate_to_mm_per_hour(F.avg("r")).alias("tp_mm"))
+
+
+def forecast_spine(days: DataFrame, hours_ahead: int, latency: int = 4) -> DataFrame:
+    """run_ts, fhour: the forecasts to ask for on ``days`` (day, now).
+
+    Four runs a day, none later than the latest that is out ``latency`` hours after its start. Runs
+    before that give their first six hours, that one ``hours_ahead``. Early in a day the latest is
+    yesterday's last.
+    """
+    out = latest_run(F.hour("now") - latency).cast("int")
+    latest = F.date_trunc("day", "now") + F.make_dt_interval(hours=out * 6)
+    runs = days.select(latest.alias("latest"), F.explode(F.array(*[F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.lit(h)) for h in (0, 6, 12, 18)])).alias("run_ts"))
+    horizon = F.when(F.col("run_ts") == F.col("latest"), F.lit(hours_ahead - 1)).otherwise(F.lit(5))
+    return runs.where("run_ts <= latest").select("run_ts", F.explode(F.sequence(F.lit(0), horizon)).alias("fhour"))
 
 
 def forecast_stitch(runs: DataFrame) -> DataFrame:

@@ -43,20 +43,21 @@ def coarsen_max(pixels: DataFrame, value: str, size: int = 6) -> DataFrame:
 def slope(dem: DataFrame, cell_x: float, cell_y: float, value: str = "dem") -> DataFrame:
     """row, col, slope: 3 x 3 Horn slope in degrees; NULL where a neighbour is missing.
 
-    Each cell gives itself to its neighbours, with its weight; one aggregation adds them up.
+    The kernel is a difference one way and a weighted sum the other, so neighbours along rows and
+    then along columns come from two windows; no cell is copied.
     """
-    shifts = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)])
-    given = dem.where(F.col(value).isNotNull()).select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col(value).cast("double").alias("z"), F.explode(shifts).alias("s"))
-    x_weight = F.when(F.col("s.c") == 0, 0.0).otherwise(-F.col("s.c") * F.when(F.col("s.r") == 0, 2.0).otherwise(1.0))
-    y_weight = F.when(F.col("s.r") == 0, 0.0).otherwise(-F.col("s.r") * F.when(F.col("s.c") == 0, 2.0).otherwise(1.0))
-    sums = given.groupBy((F.col("r0") + F.col("s.r")).alias("row"), (F.col("c0") + F.col("s.c")).alias("col")).agg(
-        F.count("*").alias("n"),
-        F.sum(F.col("z") * x_weight).alias("gx"),
-        F.sum(F.col("z") * y_weight).alias("gy"),
-        F.max((F.col("s.r") == 0) & (F.col("s.c") == 0)).alias("own"),
-    )
-    rise = F.sqrt(F.pow(F.col("gx") / (8.0 * cell_x), F.lit(2.0)) + F.pow(F.col("gy") / (8.0 * cell_y), F.lit(2.0)))
-    return sums.where("own").select("row", "col", F.when(F.col("n") == 9, F.degrees(F.atan(rise))).alias("slope"))
+    z = F.col("z")
+    along = Window.partitionBy("row").orderBy("col")
+    left = F.when(F.lag("col").over(along) == F.col("col") - 1, F.lag("z").over(along))
+    right = F.when(F.lead("col").over(along) == F.col("col") + 1, F.lead("z").over(along))
+    valid = dem.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("z"))
+    lines = valid.withColumns({"_l": left, "_r": right}).select("row", "col", (F.col("_r") - F.col("_l")).alias("d"), (F.col("_l") + 2.0 * z + F.col("_r")).alias("s"))
+    down = Window.partitionBy("col").orderBy("row")
+    above, below = F.lag("row").over(down) == F.col("row") - 1, F.lead("row").over(down) == F.col("row") + 1
+    near = lines.withColumns({f"{c}{k}": F.when(there, of(c).over(down)) for c in ("d", "s") for k, there, of in ((0, above, F.lag), (1, below, F.lead))})
+    gx, gy = F.col("d0") + 2.0 * F.col("d") + F.col("d1"), F.when(F.col("d").isNotNull(), F.col("s1") - F.col("s0"))
+    rise = F.sqrt(F.pow(gx / (8.0 * cell_x), F.lit(2.0)) + F.pow(gy / (8.0 * cell_y), F.lit(2.0)))
+    return near.select("row", "col", F.degrees(F.atan(rise)).alias("slope"))
 
 
 def slope_mask(pixels: DataFrame, cell_x: float, cell_y: float, limit: float = 10.0, size: int = 6, value: str = "dem") -> DataFrame:
@@ -96,17 +97,21 @@ def mosaic_tiles(tiles: DataFrame, value: str = "value", rank: str = "tile", nod
 def rasterize_polygons(grid: DataFrame, polygons: DataFrame) -> DataFrame:
     """row, col, attr: attribute of the last polygon whose ring holds the pixel centre.
 
-    ``polygons``: place (order), attr, ring. A polygon meets the pixels of the coarse cells that
-    its box touches, so this is an equi-join on cells.
+    ``polygons``: place (order), attr, ring. Cells are powers of two, about an eighth of the
+    polygon's box in size whatever the unit, so a polygon is in at most 81 cells and the pixels of
+    a large one in many keys. Pixels look in the cells of each size that occurs.
     """
-    box = ring_bounds(F.col("ring"))
-    cell = 10.0
-    spread = polygons.withColumn("b", box).select(
-        "place", "attr", "ring", "b",
-        F.explode(F.sequence(F.floor(F.col("b.lon_min") / cell), F.floor(F.col("b.lon_max") / cell))).alias("gx"), F.col("b.lat_min").alias("_lo"), F.col("b.lat_max").alias("_hi"),
-    ).withColumn("gy", F.explode(F.sequence(F.floor(F.col("_lo") / cell), F.floor(F.col("_hi") / cell))))
-    placed = grid.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
-    hit = placed.join(spread, ["gx", "gy"]).where(
+    b, side = F.col("b"), F.greatest(F.col("b.lon_max") - F.col("b.lon_min"), F.col("b.lat_max") - F.col("b.lat_min"))
+    sized = polygons.withColumn("b", ring_bounds(F.col("ring"))).withColumn("_side", side).where("_side > 0").withColumn("cell", F.pow(F.lit(2.0), F.ceil(F.log2("_side")) - 3))
+
+    def over(axis: str) -> Column:
+        return F.explode(F.sequence(F.floor(b[f"{axis}_min"] / F.col("cell")), F.floor(b[f"{axis}_max"] / F.col("cell"))))
+
+    spread = sized.withColumn("gx", over("lon")).withColumn("gy", over("lat")).select("place", "attr", "ring", "b", "cell", "gx", "gy")
+    cells = sized.agg(F.collect_set("cell").alias("cells"))
+    placed = grid.crossJoin(F.broadcast(cells)).withColumn("cell", F.explode("cells"))  # one row
+    placed = placed.drop("cells").withColumns({"gx": F.floor(F.col("x") / F.col("cell")), "gy": F.floor(F.col("y") / F.col("cell"))})
+    hit = placed.join(spread, ["cell", "gx", "gy"]).where(
         F.col("x").between(F.col("b.lon_min"), F.col("b.lon_max")) & F.col("y").between(F.col("b.lat_min"), F.col("b.lat_max")) & in_ring(F.col("x"), F.col("y"), F.col("ring"))
     )
     burnt = hit.groupBy("row", "col").agg(F.max_by("attr", "place").alias("attr"))

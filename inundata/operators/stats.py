@@ -26,14 +26,18 @@ def pre_flood_stats(weighted: DataFrame) -> DataFrame:
     )
 
 
-def t_scores(weighted: DataFrame, clip: tuple[float, float] | None = (0.0001, 0.9999), exact: bool = True) -> DataFrame:
+def t_scores(weighted: DataFrame, clip: tuple[float, float] | None = (0.0001, 0.9999), exact: bool = True, flood_time: Column | None = None) -> DataFrame:
     """row, col, t: (flood - mean) / (std / sqrt(n)), clipped to two quantiles.
 
     One pass with conditional aggregates. n is the number of pre-flood times of the whole stack.
     A deviation of zero gives an infinity of the numerator's sign, NULL when that is zero too.
-    ``exact=False`` takes approximate quantiles, which hold less per task.
+    ``exact=False`` takes approximate quantiles, which hold less per task. The job fails when the
+    last time isn't ``flood_time``, if that is given.
     """
-    last = weighted.agg(F.max("time").alias("last"), (F.countDistinct("time") - 1).alias("n"))
+    flood = F.max("time")
+    if flood_time is not None:
+        flood = F.when(flood == flood_time, flood).otherwise(F.raise_error(F.lit("the last image is not that of the flood time")))
+    last = weighted.agg(flood.alias("last"), (F.countDistinct("time") - 1).alias("n"))
     before = F.when(F.col("time") < F.col("last"), F.col("v"))
     scored = (
         weighted.crossJoin(F.broadcast(last))  # one row

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inundata.operators import rainfall, regions
+from inundata.operators import rainfall, raster, regions
 from inundata.plans import views as v
 from inundata.plans.registry import register
 from inundata.sources import files
@@ -107,3 +107,27 @@ def write_geojson(spark: SparkSession, sf: str) -> DataFrame:
     heads = lines.where(F.startswith("line", F.lit('{"type":"FeatureCollection"'))).select("flood_ts", F.from_json(F.concat("line", F.lit("]}")), "bbox array<double>").alias("h"))
     boxes = heads.select("flood_ts", F.col("h.bbox")[0].cast("int").alias("x0"), F.col("h.bbox")[2].cast("int").alias("x1"))
     return regions.polygon_area(shapes, keys).groupBy("flood_ts").agg(F.sum("area").cast("long").alias("n_pixels")).join(boxes, "flood_ts")
+
+
+@register(f"WITH {v.BAND} SELECT row, col FROM band WHERE col + 0.5 > 10 AND col + 0.5 < 60 AND row + 0.5 > 5 AND row + 0.5 < 40")
+def aoi_from_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of an area that is made from a box, written as GeoJSON and read again."""
+    path = fresh(spark, "aoi")
+    area = files.aoi_from_bbox(spark, 10, 5, 60, 40)
+    area.select(F.concat(F.lit('{"features":[{"geometry":'), "geojson", F.lit("}]}"))).coalesce(1).write.text(path)
+    pixels = v.band(spark, sf).select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
+    ring = files.aoi_from_vector(spark, path).select("ring")
+    return raster.clip_to_ring(pixels.crossJoin(F.broadcast(ring)), F.col("ring")).select("row", "col")  # one row
+
+
+@register(f"WITH {v.BAND} SELECT row, col, t AS value FROM band")
+def read_raster_chips(spark: SparkSession, sf: str) -> DataFrame:
+    """A raster written as chips of 25 x 25 values and read as pixels again."""
+    size = 25
+    c = raster.chips(v.band(spark, sf), "t", size)
+    place = lambda x: (x["row"] % size) * size + x["col"] % size
+    by_place = F.map_from_entries(F.transform("cells", lambda x: F.struct(place(x).cast("int"), x["v"])))
+    values = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.try_element_at(F.col("m"), k))
+    path = fresh(spark, "chips")
+    c.withColumn("m", by_place).select((F.col("cy") * size).alias("row0"), (F.col("cx") * size).alias("col0"), F.lit(size).alias("w"), values.alias("values")).write.parquet(path)
+    return files.read_raster_chips(spark, path).where("value is not null")

@@ -149,6 +149,20 @@ def catalogue_query(spark: S, sf: str) -> D:
     return got.select(F.col("Id").alias("id"), "begin")
 
 
+#: A triangle and its sides as half planes: a footprint's box must reach over each of them.
+TRIANGLE = ((10.0, 5.0), (20.0, 5.0), (10.0, 12.0))
+
+
+@register(f"""WITH {v.PRODUCTS} SELECT id, begin FROM products WHERE ptype = 'GRD' AND k IS NOT NULL AND begin > TIMESTAMP '2024-01-05 00:00:00' AND begin < TIMESTAMP '2024-01-20 00:00:00'
+  AND lon <= 20 AND lon + 2 >= 10 AND lat <= 12 AND lat + 2 >= 5 AND 7 * (lon - 10) + 10 * (lat - 5) <= 70 ORDER BY begin, id LIMIT 1000""")
+def catalogue_query_area(spark: S, sf: str) -> D:
+    """Footprints that meet a triangle, of one collection."""
+    p = catalogue.catalogue_attributes(v.products(spark, sf), ("productType", "beginningDateTime", "k")).withColumn("collection", F.when(F.col("k").isNotNull(), "radar"))
+    area = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in TRIANGLE])
+    between = [F.lit(t).cast("timestamp") for t in ("2024-01-05 00:00:00", "2024-01-20 00:00:00")]
+    return catalogue.catalogue_query(p, scalar.ring_bounds(area), *between, area=area, collection="radar").select(F.col("Id").alias("id"), "begin")
+
+
 @register(f"WITH {v.PRODUCTS} SELECT ptype, begin, id, published FROM products QUALIFY row_number() OVER (PARTITION BY ptype, begin ORDER BY published DESC, id) = 1")
 def latest_product(spark: S, sf: str) -> D:
     p = _catalogue(spark, sf).select(F.col("productType").alias("ptype"), "begin", F.col("Id").alias("id"), F.col("PublicationDate").alias("published"))
@@ -364,6 +378,15 @@ def forecast_stitch(spark: S, sf: str) -> D:
     return rainfall.forecast_stitch(_gfs(spark, sf).select("run_ts", "fhour").distinct())
 
 
+@register("""WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT date_trunc('day', now) + to_hours(CAST(CASE WHEN hour(now) <= 4 THEN -6 WHEN hour(now) <= 10 THEN 0 WHEN hour(now) <= 16 THEN 6 WHEN hour(now) <= 22 THEN 12 ELSE 18 END AS INT)) AS latest FROM n),
+  r AS (SELECT day + to_hours(CAST(h AS INT)) AS run_ts FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM events), (SELECT unnest([0, 6, 12, 18]) AS h))
+  SELECT run_ts, CAST(h AS INT) AS fhour FROM r, l, (SELECT unnest(range(48)) AS h) WHERE run_ts <= latest AND h <= CASE WHEN run_ts = latest THEN 47 ELSE 5 END""")
+def forecast_spine(spark: S, sf: str) -> D:
+    e = v.events(spark, sf)
+    days = e.select(F.to_date("ts").alias("day")).distinct().crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    return rainfall.forecast_spine(days, 48)
+
+
 @register("""WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events), m AS (SELECT DISTINCT date_trunc('hour', ts) AS marker FROM events WHERE event_type = 'error')
   SELECT marker, CAST((SELECT count(*) FROM d WHERE day < marker) - 1 AS INT) AS place FROM m""")
 def marker_position(spark: S, sf: str) -> D:
@@ -409,13 +432,20 @@ def confusion_percent(spark: S, sf: str) -> D:
     return c.select("truth", "pred", "n", r("percent").alias("percent"))
 
 
-#: Fixed land-cover codes and names.
-LANDCOVER = {10: "Tree cover", 20: "Shrubland", 30: "Grassland", 40: "Cropland", 50: "Built-up"}
+CODES = tuple(scalar.LANDCOVER)
 
 
-@register("SELECT CAST(p_size % 6 * 10 AS INT) AS code, count(*) AS n, CASE p_size % 6 WHEN 1 THEN 'Tree cover' WHEN 2 THEN 'Shrubland' WHEN 3 THEN 'Grassland' WHEN 4 THEN 'Cropland' WHEN 5 THEN 'Built-up' END AS name FROM part GROUP BY 1, 3")
+@register("SELECT p_partkey, name, rgba FROM part JOIN (VALUES " + ", ".join(f"({i}, '{name}', '{','.join(map(str, rgba))}')" for i, (name, rgba) in enumerate(scalar.LANDCOVER.values())) + ") c(i, name, rgba) ON p_size % 12 = i")
+def landcover_label(spark: S, sf: str) -> D:
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("p_size") % 12 + 1).cast("int"))
+    p = v.table(spark, sf, "part").select("p_partkey", scalar.landcover_label(code).alias("c"))
+    return p.select("p_partkey", "c.name", F.array_join(F.col("c.rgba").cast("array<string>"), ",").alias("rgba"))
+
+
+
+@register("SELECT CAST(p_size % 6 * 10 AS INT) AS code, count(*) AS n, CASE p_size % 6 WHEN 1 THEN 'Tree cover' WHEN 2 THEN 'Shrubland' WHEN 3 THEN 'Grassland' WHEN 4 THEN 'Cropland' WHEN 5 THEN 'Built-up' ELSE 'No data' END AS name FROM part GROUP BY 1, 3")
 def landcover_classes(spark: S, sf: str) -> D:
-    return raster.landcover_classes(v.table(spark, sf, "part").select((F.col("p_size") % 6 * 10).cast("int").alias("code")), LANDCOVER)
+    return raster.landcover_classes(v.table(spark, sf, "part").select((F.col("p_size") % 6 * 10).cast("int").alias("code")), {k: name for k, (name, _) in scalar.LANDCOVER.items()})
 
 
 # -- rasters -----------------------------------------------------------------------------------
@@ -543,12 +573,41 @@ def _flood(spark: S, sf: str) -> D:
     return v.band(spark, sf).select("row", "col", (F.col("t") < -0.35).alias("flag"))
 
 
-#: Reach of every flooded pixel through neighbours that share a side; a region is named by its least pixel.
-REGIONS = f"""{v.BAND}, f AS (SELECT row, col FROM band WHERE t < -0.35), step(dr, dc) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+SIDES = "(0, 1), (1, 0), (0, -1), (-1, 0)"
+
+
+def _regions_sql(where: str, steps: str) -> str:
+    """Reach of every pixel of a condition through neighbours; a region is named by its least pixel."""
+    return f"""{v.BAND}, f AS (SELECT row, col FROM band WHERE {where}), step(dr, dc) AS (VALUES {steps}),
   reach AS (SELECT row, col, row AS r0, col AS c0 FROM f UNION SELECT f.row, f.col, r0, c0 FROM reach CROSS JOIN step JOIN f ON f.row = reach.row + dr AND f.col = reach.col + dc),
   regions AS (SELECT row, col, min(CAST(r0 AS BIGINT) * 2147483648 + c0) AS region FROM reach GROUP BY 1, 2)"""
 
 
+REGIONS = _regions_sql("t < -0.35", SIDES)
+DARK = _regions_sql("t < -0.8", SIDES + ", (1, 1), (1, -1), (-1, 1), (-1, -1)")
+#: Holes are the few background regions of a mask that covers nearly all.
+HOLES = _regions_sql("NOT t < 1", SIDES)
+
+
+@register(f"WITH RECURSIVE {HOLES}, n AS (SELECT region, count(*) AS n FROM regions GROUP BY 1) SELECT b.row, b.col, t < 1 OR n.n < 4 AS flag FROM band b LEFT JOIN regions r ON b.row = r.row AND b.col = r.col LEFT JOIN n ON r.region = n.region")
+def fill_small_holes(spark: S, sf: str) -> D:
+    return regions.fill_small_holes(v.band(spark, sf).select("row", "col", (F.col("t") < 1).alias("flag")), 4, tile=32)
+
+
+def _dark(spark: S, sf: str) -> D:
+    return v.band(spark, sf).select("row", "col", (F.col("t") < -0.8).alias("flag"))
+
+
+@register(f"WITH RECURSIVE {DARK}, n AS (SELECT region, greatest(max(row) - min(row), max(col) - min(col)) + 1 AS n FROM regions GROUP BY 1) SELECT b.row, b.col, coalesce(n.n >= 4, false) AS flag FROM band b LEFT JOIN regions r ON b.row = r.row AND b.col = r.col LEFT JOIN n ON r.region = n.region")
+def diameter_opening(spark: S, sf: str) -> D:
+    return regions.diameter_opening(_dark(spark, sf), 4, tile=32)
+
+
+@register(f"WITH RECURSIVE {DARK}, n AS (SELECT region, count(*) AS n FROM regions GROUP BY 1) SELECT b.row, b.col, coalesce(n.n >= 5, false) AS flag FROM band b LEFT JOIN regions r ON b.row = r.row AND b.col = r.col LEFT JOIN n ON r.region = n.region")
+def remove_small_objects(spark: S, sf: str) -> D:
+    return regions.remove_small_objects(_dark(spark, sf), 5, tile=32)
+
+
 @register(f"WITH RECURSIVE {REGIONS} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, region FROM regions")
 def connected_components(spark: S, sf: str) -> D:
     found = regions.connected_components(_flood(spark, sf).where("flag"), tile=32)
@@ -592,7 +651,7 @@ def growth_round(spark: S, sf: str) -> D:
 def region_growing(spark: S, sf: str) -> D:
     """Tested against a sequential restatement."""
     b = v.band(spark, sf)
-    return delineate.region_growing(b, b.withColumn("mask", F.col("t") < -1.2))
+    return delineate.region_growing(b, b.withColumn("mask", F.col("t") < -1.2), tile=32, batch=4)
 
 
 @register(f"WITH {v.BAND}, m AS (SELECT row // 8 AS wr, col // 25 AS wc, median(t) AS m FROM band GROUP BY 1, 2) SELECT CAST(wr AS INT) AS wr, CAST(wc AS INT) AS wc, round(CASE WHEN m >= 0.4 THEN 0e0 WHEN m < -0.2e0 THEN 1e0 ELSE (0.4e0 - m) / 0.6e0 END, 6) AS factor FROM m")
@@ -607,6 +666,12 @@ def darker_than(spark: S, sf: str) -> D:
     return delineate.darker_than(w, 0.1, 0.1, ("wr", "wc"), limit=0.5)
 
 
+@register(f"WITH {v.BAND}, m AS (SELECT row // 8 AS wr, col // 25 AS wc, median(t) AS m, stddev_pop(t) AS s FROM band GROUP BY 1, 2) SELECT CAST(wr AS INT) AS wr, CAST(wc AS INT) AS wc, m >= -0.1 AND pow(-0.1e0 - s, 2) / (0.01e0 + s * s) > 1.2 AS holds FROM m")
+def brighter_than(spark: S, sf: str) -> D:
+    w = v.band(spark, sf).withColumns({"wr": F.floor(F.col("row") / 8).cast("int"), "wc": F.floor(F.col("col") / 25).cast("int")})
+    return delineate.darker_than(w, -0.1, 0.1, ("wr", "wc"), brighter=True, limit=1.2)
+
+
 @register(f"""WITH {v.BAND}, s AS (SELECT col // 25 AS g, t, CASE WHEN row % 2 = 0 THEN 0 ELSE 1 END AS side FROM band), c AS (SELECT g, t, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM s GROUP BY 1, 2),
   u AS (SELECT g, sum(a) OVER w AS ra, sum(b) OVER w AS rb, sum(a) OVER (PARTITION BY g) AS n, sum(b) OVER (PARTITION BY g) AS m FROM c WINDOW w AS (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING))
   SELECT CAST(g AS INT) AS g, CAST(any_value(n) AS BIGINT) AS n, CAST(any_value(m) AS BIGINT) AS m, round(max(abs(CAST(ra AS DOUBLE) / n - CAST(rb AS DOUBLE) / m)), 6) AS d FROM u GROUP BY 1""")

@@ -5,9 +5,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from inundata.functions import kernels
-from inundata.operators import delineate, regions, stats
+from inundata.functions import kernels, scalar
+from inundata.operators import delineate, raster, regions, stats
 
 
 def frame(spark, grid, name="t"):
@@ -165,14 +166,18 @@ def sequential_growth(t, mask, rounds=999):
     return flooded
 
 
-def test_region_growing(spark):
+@pytest.mark.parametrize("tile, batch", [(256, 16), (5, 1), (7, 2)])
+def test_region_growing(spark, tile, batch):
     rng = np.random.default_rng(8)
     t = kernels.gaussian_smooth(rng.standard_normal((18, 15)), 1.0)
     t[4, 5] = np.nan
     mask = np.nan_to_num(t, nan=9.0) < -0.35
-    got = delineate.region_growing(frame(spark, t), frame(spark, mask, "mask")).collect()
+    got = delineate.region_growing(frame(spark, t), frame(spark, mask, "mask"), tile=tile, batch=batch).collect()
     want = sequential_growth(t, mask)
     assert all(r.flooded == want[r.row, r.col] for r in got)
+    few = delineate.region_growing(frame(spark, t), frame(spark, mask, "mask"), max_rounds=3, tile=tile, batch=batch).collect()
+    want = sequential_growth(t, mask, 3)
+    assert all(r.flooded == want[r.row, r.col] for r in few)
     empty = delineate.region_growing(frame(spark, t), frame(spark, np.zeros_like(mask), "mask"))
     assert empty.where("flooded").count() == 0
 
@@ -227,14 +232,13 @@ def test_bimodality_mask(spark):
     assert all(got[r, c] == want[r, c] for r in range(60) for c in range(60))
 
 
-@pytest.mark.parametrize("tile", [16, 100])
-@pytest.mark.parametrize("strict", [False, True])
-def test_adaptive_threshold_does_not_depend_on_tiles(spark, tile, strict):
+@pytest.mark.parametrize("tile, strict, method", [(16, False, "otsu"), (100, True, "otsu"), (16, True, "kittler"), (100, False, "kittler")])
+def test_adaptive_threshold_does_not_depend_on_tiles(spark, tile, strict, method):
     rng = np.random.default_rng(6)
     t = rng.normal(1, 0.4, (48, 44))
     t[10:30, 12:30] = rng.normal(-4, 0.4, (20, 18))
     mask = t < -3.8
-    p = delineate.FloodParams(halves=(6, 9), unit_m2=900, local_bimodality=0.6, tile=tile, least_pixels=30, strict_edges=strict)
+    p = delineate.FloodParams(halves=(6, 9), unit_m2=900, local_bimodality=0.6, tile=tile, least_pixels=30, strict_edges=strict, method=method)
     got = {(r.row, r.col): r.probability for r in delineate.adaptive_threshold(frame(spark, t), frame(spark, mask, "mask"), -4.0, 0.4, p).collect()}
     votes, visits = np.zeros(t.shape), np.zeros(t.shape)
     for r in range(0, 48, 3):
@@ -294,3 +298,85 @@ def test_exact_quantiles_of_heavy_tails_ties_and_keys(spark):
             assert got[k] == pytest.approx((np.quantile(vs, lo), np.quantile(vs, hi)), rel=1e-12), (k, lo, hi)
         whole = stats.quantiles(df.where("k = 'tail'"), "v", lo, hi).first()
         assert tuple(whole) == pytest.approx((np.quantile(groups["tail"], lo), np.quantile(groups["tail"], hi)), rel=1e-12)
+
+
+def test_growth_rounds_in_tiles_and_in_joins_agree(spark):
+    rng = np.random.default_rng(9)
+    t = kernels.gaussian_smooth(rng.standard_normal((14, 17)), 1.0)
+    mask = t < -0.3
+    cells = frame(spark, t).where("(row * 17 + col) % 11 <> 3")  # some pixels are absent
+    for strict in (False, True):
+        flags = frame(spark, mask, "mask")
+        state = cells.join(flags, ["row", "col"]).selectExpr("row", "col", "t", "mask as flooded", "mask as seed")
+        for _ in range(2):
+            state = delineate.growth_round(state, strict)
+        tiled = delineate.region_growing(cells, flags, 2, strict, tile=6)
+        assert {tuple(r) for r in state.select("row", "col", "flooded").collect()} == {tuple(r) for r in tiled.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_slope_against_loops(spark, seed):
+    z = np.random.default_rng(seed).normal(100, 20, (9, 11))
+    z[3, 4] = np.nan
+    got = {(r.row, r.col): r.slope for r in raster.slope(frame(spark, z, "dem").where("row <> 7 or col <> 2"), 10.0, 20.0).collect()}
+    z[7, 2] = np.nan
+    assert set(got) == {(r, c) for r in range(9) for c in range(11) if np.isfinite(z[r, c])}
+    for (r, c), s in got.items():
+        w = z[r - 1 : r + 2, c - 1 : c + 2] if r and c else np.zeros((0, 0))
+        if w.shape != (3, 3) or np.isnan(w).any():
+            assert s is None
+            continue
+        gx = (w[0, 2] + 2 * w[1, 2] + w[2, 2] - w[0, 0] - 2 * w[1, 0] - w[2, 0]) / 80.0
+        gy = (w[2, 0] + 2 * w[2, 1] + w[2, 2] - w[0, 0] - 2 * w[0, 1] - w[0, 2]) / 160.0
+        assert s == pytest.approx(math.degrees(math.atan(math.hypot(gx, gy))))
+
+
+@pytest.mark.parametrize("unit", [1.0, 1e-4, 1e3])
+def test_rasterize_in_any_unit(spark, unit):
+    rings = [(0, 3, [(1, 1), (9, 1), (9, 7), (1, 7)]), (1, 5, [(-40, -40), (60, -40), (4, 5)]), (2, 8, [(2, 2), (2, 2), (2, 2)])]
+    shapes = [(k, a, [(x * unit, y * unit) for x, y in ring]) for k, a, ring in rings]
+    polygons = spark.createDataFrame(shapes, "place int, attr int, ring array<struct<lon: double, lat: double>>")
+    grid = spark.range(144).selectExpr("cast(id div 12 as int) as row", "cast(id % 12 as int) as col", f"(id % 12 + 0.5D) * {unit}D as x", f"(id div 12 + 0.5D) * {unit}D as y")
+
+    def inside(x, y, ring):
+        n = 0
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1], strict=True):
+            n += (b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a
+        return n % 2 == 1
+
+    for r in raster.rasterize_polygons(grid, polygons).collect():
+        hit = [a for _, a, ring in rings if inside(r.col + 0.5, r.row + 0.5, ring)]
+        assert r.attr == (hit[-1] if hit else None)
+
+
+def test_standardised_samples_forget_scale(spark):
+    rows = [(0, s, float(x) if s == 0 else 50.0 + 9.0 * x) for s in (0, 1) for x in range(40)] + [(1, s, 2.0) for s in (0, 1)]
+    samples = spark.createDataFrame(rows, "g int, side int, t double")
+    assert {r.g: r.similar for r in delineate.ks_similar(samples, ("g",)).collect()}[0] is False
+    got = {r.g: r for r in delineate.ks_similar(samples, ("g",), standardise=True).collect()}
+    assert got[0].similar and got[0].d == pytest.approx(0.0, abs=0.03)
+
+
+def test_flood_time_must_be_the_last(spark):
+    stack = spark.createDataFrame([(k, 0, c, float(k * c)) for k in (1, 2, 3) for c in range(4)], "time int, row int, col int, v double")
+    assert stats.t_scores(stack, None, flood_time=F.lit(3)).count() == 4
+    with pytest.raises(Exception, match="flood time"):
+        stats.t_scores(stack, None, flood_time=F.lit(2)).collect()
+
+
+def test_rings_meet(spark):
+    square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    cases = [
+        ([(1, 1), (2, 1), (2, 2)], True),  # inside
+        ([(-9, -9), (20, -9), (20, 30), (-9, 30)], True),  # around
+        ([(-1, 1), (5, 1), (5, 2), (-1, 2)], True),  # across, no corner inside either
+        ([(4, 4), (9, 4), (9, 9)], True),  # one point
+        ([(5, 0), (9, 0), (9, 4)], False),
+        ([(3, 9), (9, 3), (9, 9)], False),  # boxes overlap, shapes don't
+        ([(6, 0), (8, 0), (8, 4), (6, 4)], False),  # sides on one line, apart
+    ]
+    rows = [(i, [(float(x), float(y)) for x, y in ring], [(float(x), float(y)) for x, y in square]) for i, (ring, _) in enumerate(cases)]
+    kind = "array<struct<lon: double, lat: double>>"
+    df = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}")
+    got = {r.i: (r.ab, r.ba) for r in df.select("i", scalar.rings_meet(F.col("a"), F.col("b")).alias("ab"), scalar.rings_meet(F.col("b"), F.col("a")).alias("ba")).collect()}
+    assert got == {i: (want, want) for i, (_, want) in enumerate(cases)}
