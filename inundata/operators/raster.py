@@ -155,3 +155,8 @@ def landcover_classes(cover: DataFrame, names: dict[int, str]) -> DataFrame:
     """code, n, name."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return cover.groupBy("code").agg(F.count("*").alias("n")).withColumn("name", F.try_element_at(table, F.col("code")))
+
+
+def landcover_of_flood(cover: DataFrame, flood: DataFrame) -> DataFrame:
+    """code, n: flooded pixels (row, col) of each land cover (row, col, code)."""
+    return cover.join(flood.select("row", "col"), ["row", "col"]).groupBy("code").agg(F.count("*").alias("n"))

@@ -297,11 +297,14 @@ def orbit_catalogue_lookup(spark: S, sf: str) -> D:
     return orbits.orbit_catalogue_lookup(v.scenes(spark, sf), v.orbits(spark, sf))
 
 
-@register(f"""WITH {v.SCENES}, {v.ORBITS}, a AS (SELECT * FROM scenes QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY scene_id) = 1), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY start ORDER BY scene_id) = 1)
-  SELECT scene_id, mission FROM b WHERE NOT EXISTS (SELECT 1 FROM orbits o WHERE o.start < b.start AND b.start < o.stop AND o.orbit_type = 'precise' AND o.mission = 'S1A')""")
+@register(f"""WITH {v.SCENES}, {v.ORBITS}, moved AS (SELECT scene_id, unique_id, mission, start + CASE WHEN scene_id % 3 = 0 THEN INTERVAL 7300 DAYS ELSE INTERVAL 0 DAYS END AS start FROM scenes),
+  a AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY scene_id) = 1), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY start ORDER BY scene_id) = 1)
+  SELECT scene_id, mission FROM b WHERE NOT EXISTS (SELECT 1 FROM orbits o WHERE o.start < b.start AND b.start < o.stop)""")
 def scenes_missing_orbit(spark: S, sf: str) -> D:
-    some = v.orbits(spark, sf).where("orbit_type = 'precise' and mission = 'S1A'")
-    return orbits.scenes_missing_orbit(v.scenes(spark, sf), some).select("scene_id", "mission")
+    """A third of the scenes is moved beyond the last orbit file."""
+    later = F.when(F.col("scene_id") % 3 == 0, F.expr("INTERVAL 7300 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    moved = v.scenes(spark, sf).withColumns({"start": F.col("start") + later, "stop": F.col("stop") + later})
+    return orbits.scenes_missing_orbit(moved, v.orbits(spark, sf)).select("scene_id", "mission")
 
 
 @register("""WITH n AS (SELECT user_id % 50 AS k, event_id, ts, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts) AS i FROM events),
@@ -586,12 +589,12 @@ def _regions_sql(where: str, steps: str) -> str:
 REGIONS = _regions_sql("t < -0.35", SIDES)
 DARK = _regions_sql("t < -0.8", SIDES + ", (1, 1), (1, -1), (-1, 1), (-1, -1)")
 #: Holes are the few background regions of a mask that covers nearly all.
-HOLES = _regions_sql("NOT t < 1", SIDES)
+HOLES = _regions_sql("NOT t < 1.5", SIDES)
 
 
-@register(f"WITH RECURSIVE {HOLES}, n AS (SELECT region, count(*) AS n FROM regions GROUP BY 1) SELECT b.row, b.col, t < 1 OR n.n < 4 AS flag FROM band b LEFT JOIN regions r ON b.row = r.row AND b.col = r.col LEFT JOIN n ON r.region = n.region")
+@register(f"WITH RECURSIVE {HOLES}, n AS (SELECT region, count(*) AS n FROM regions GROUP BY 1) SELECT b.row, b.col, t < 1.5 OR n.n < 4 AS flag FROM band b LEFT JOIN regions r ON b.row = r.row AND b.col = r.col LEFT JOIN n ON r.region = n.region")
 def fill_small_holes(spark: S, sf: str) -> D:
-    return regions.fill_small_holes(v.band(spark, sf).select("row", "col", (F.col("t") < 1).alias("flag")), 4, tile=32)
+    return regions.fill_small_holes(v.band(spark, sf).select("row", "col", (F.col("t") < 1.5).alias("flag")), 4, tile=32)
 
 
 def _dark(spark: S, sf: str) -> D:

@@ -123,4 +123,4 @@ def landcover_of_flood(spark: SparkSession, sf: str) -> DataFrame:
     at = v.pixel("p_partkey", 50)
     cover = v.table(spark, sf, "part").select(at["row"].alias("row"), at["col"].alias("col"), (F.col("p_size") % 6 * 10).cast("int").alias("code"))
     flood = v.stack(spark, sf).where("time = 7 and vv < 0.3").select("row", "col")
-    return cover.join(flood, ["row", "col"]).groupBy("code").agg(F.count("*").alias("n"))
+    return raster.landcover_of_flood(cover, flood)
