@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p:
     """``row`` (all input columns), ``n_lines``, ``n_dropped``, ``kept_text``.
 
     Null and empty texts are one empty line and stay as they are; an empty table gives an empty
-    table.
+    table. A very long text is split whole: its lines are rows like all others.
     """
     marks = keep_bitmaps(docs, id_col, text, p)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

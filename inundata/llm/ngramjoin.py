@@ -335,7 +335,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     Null and blank texts have no shingles and link with nothing: they are their own component.
     Repeated rows give repeated rows. A null id never names a component that has another, and a
-    component of documents without ids has a null one. An empty table gives an empty table.
+    component of documents without ids has a null one. An empty table gives an empty table. A very
+    long text is one set of all its shingles. Columns beside the two named ones are not read.
     """
     return jaccard_groups(docs, id_col, text, p).select(
         F.col("doc.id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component.id").alias("component_id")

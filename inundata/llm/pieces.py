@@ -246,7 +246,9 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` ids and decoded.
 
     Null texts count as empty: no ids, an empty decoding. Rows keep their partitions; a text is
-    never split between batches. Ids keep whatever value the input has, null too.
+    never split between batches. Ids keep whatever value the input has, null too. Repeated rows are
+    encoded each for itself; among pairs of one score the leftmost merges first. A very long text
+    is encoded whole, part by part. An empty table gives an empty table.
     """
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids

@@ -172,6 +172,7 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", p: QualityParams =
     """``row`` (all input columns, whatever their names) and ``quality`` (see :func:`quality_struct`).
 
     Null and empty texts have zero counts and fail for want of words; repeated rows are judged
-    alike, each for itself; an empty table gives an empty table. Nothing is shuffled.
+    alike, each for itself; an empty table gives an empty table. Nothing is shuffled. A very long
+    text is judged whole, in its row; texts that reach a limit exactly are kept.
     """
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), quality_struct(docs[text], p).alias("quality"))

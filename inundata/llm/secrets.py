@@ -321,7 +321,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", s: SecretParams = SecretPa
     """``row`` (all input columns) and ``spans``: array of struct(start, kind, stop), in order.
 
     kind counts in :data:`KINDS`; positions are code points, ends exclusive. Null and empty texts
-    have no spans. The texts are read once: their spans and candidates go through the checkpoint
+    have no spans. Repeated rows are scanned each for itself, and each counts in the corpus-wide
+    statistics; spans that start together come as the kinds are listed. A very long text is scanned
+    whole. An empty table gives an empty table. The texts are read once: their spans and candidates go through the checkpoint
     folder while the corpus-wide null and cut-off are found.
     """
     whole = F.coalesce(docs[text], F.lit(""))

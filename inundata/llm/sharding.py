@@ -116,6 +116,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     A document's size is its text's UTF-8 bytes (null: none) plus the row's own; documents of
     equal text are one group and share a shard. Null texts are a group of their own. Slots run
     from 0 without gaps in each shard, ordered by hashed id within salted parts. Reruns agree.
+    Repeated rows get a slot each; groups of one size are ordered by their hash. A very long text is
+    one group that no shard can halve. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != text]

@@ -212,7 +212,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     """id and ``score`` (0 to 1), one row per input row; nothing is shuffled.
 
     Null and empty texts have no weight and get the curve's value at zero. Columns beside the
-    two named ones are not read.
+    two named ones are not read. Repeated rows are scored alike, each for itself; a very long text
+    is matched whole. An empty table gives an empty table.
     """
     weighed = _with_weight(docs.select(docs[id_col].alias("_id"), docs[text].alias("text")), lexicon)
     return weighed.select(F.col("_id").alias(id_col), (1 / (1 + F.exp(-(F.lit(lexicon.slope) * F.col("_weight") + F.lit(lexicon.offset))))).alias("score"))
