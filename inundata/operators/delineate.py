@@ -58,9 +58,9 @@ def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams()) -> DataF
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         size, by, bx = (int(k) for k in key)
         block = np.full((size, size), np.nan)
-        for cy, cx, place, t in zip(pdf["cy"], pdf["cx"], pdf["at"], pdf["t"], strict=True):
-            place = np.asarray(place)
-            block[cy * g - by * size + place // g, cx * g - bx * size + place % g] = t
+        counts, place = pdf["at"].map(len).to_numpy(), np.concatenate(pdf["at"].to_list())
+        top, left = (np.repeat(pdf[k].to_numpy() * g - k0 * size, counts) for k, k0 in (("cy", by), ("cx", bx)))
+        block[top + place // g, left + place % g] = np.concatenate(pdf["t"].to_list())
         valid = block[np.isfinite(block)]
         bc = kernels.bimodality(kernels.gaussian_smooth(block) if p.smoothing else block, p.least_pixels) if len(valid) else math.nan
         mean = float(valid.mean()) if len(valid) else math.nan
