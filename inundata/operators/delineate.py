@@ -66,7 +66,10 @@ def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams()) -> DataF
         mean = float(valid.mean()) if len(valid) else math.nan
         return pd.DataFrame([(size, by, bx, None if math.isnan(bc) else bc, None if math.isnan(mean) else mean, bool(bc > p.bimodality and mean < 0))])
 
-    return blocks.groupBy("size", "by", "bx").applyInPandas(run, "size int, by int, bx int, bc double, mean double, flagged boolean")
+    # chips are small in bytes and long in work, so their tasks must not be merged by bytes
+    width = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(width, "size", "by", "bx")
+    return dealt.groupBy("size", "by", "bx").applyInPandas(run, "size int, by int, bx int, bc double, mean double, flagged boolean")
 
 
 def _chip(place: str, g: int) -> Column:
