@@ -56,10 +56,6 @@ def from_db(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / 10.0)
 
 
-def lia_weight(db: Column, lia: Column) -> Column:
-    return db * F.cos(F.radians(lia))
-
-
 def model_normalise(power: Column, channel: int) -> Column:
     """Clamp to [0, top], missing to top, then standardise for channel 0 (VV) or 1 (VH)."""
     clamped = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(MODEL_TOP), power)), F.lit(MODEL_TOP))
@@ -170,17 +166,12 @@ def ring_bounds(ring: Column) -> Column:
     return F.struct(F.array_min(lon).alias("lon_min"), F.array_min(lat).alias("lat_min"), F.array_max(lon).alias("lon_max"), F.array_max(lat).alias("lat_max"))
 
 
-def _edges(ring: Column) -> Column:
+def ring_sides(ring: Column) -> Column:
     """Consecutive corner pairs of a ring, closed if it is open."""
     n = F.size(ring)
     return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, F.pmod(i + 1, n)).alias("b")))
 
 
-def ring_area(ring: Column) -> Column:
-    """Shoelace area (absolute) in squared units of the coordinates."""
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"])) / 2.0
-
-
 def ring_centroid(ring: Column) -> Column:
     """struct(lon, lat); NULL for a ring without area."""
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
@@ -190,7 +181,7 @@ def ring_centroid(ring: Column) -> Column:
         return F.struct((t["s"] + c).alias("s"), (t["x"] + (e["a"]["lon"] + e["b"]["lon"]) * c).alias("x"), (t["y"] + (e["a"]["lat"] + e["b"]["lat"]) * c).alias("y"))
 
     return F.aggregate(
-        _edges(ring), zero, add, lambda t: F.when(t["s"] != 0, F.struct((t["x"] / (3 * t["s"])).alias("lon"), (t["y"] / (3 * t["s"])).alias("lat")))
+        ring_sides(ring), zero, add, lambda t: F.when(t["s"] != 0, F.struct((t["x"] / (3 * t["s"])).alias("lon"), (t["y"] / (3 * t["s"])).alias("lat")))
     )
 
 
@@ -202,7 +193,7 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
         dy = F.when(b["lat"] != a["lat"], b["lat"] - a["lat"])
         return F.coalesce(((a["lat"] > lat) != (b["lat"] > lat)) & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / dy + a["lon"]), F.lit(False))
 
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(ring_sides(ring), crosses)) % 2 == 1
 
 
 def rings_meet(a: Column, b: Column) -> Column:
@@ -217,7 +208,7 @@ def rings_meet(a: Column, b: Column) -> Column:
     def corner(of: Column, ring: Column) -> Column:
         return F.exists(of, lambda p: in_ring(p["lon"], p["lat"], ring))
 
-    return corner(a, b) | corner(b, a) | F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: touch(e, f)))
+    return corner(a, b) | corner(b, a) | F.exists(ring_sides(a), lambda e: F.exists(ring_sides(b), lambda f: touch(e, f)))
 
 
 def boxes_overlap(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inundata.functions.scalar import in_ring, ring_bounds
+from inundata.functions.scalar import in_ring, ring_bounds, ring_sides
 
 
 def clip_to_bounds(pixels: DataFrame, lon_min: float, lat_min: float, lon_max: float, lat_max: float) -> DataFrame:
@@ -94,30 +94,54 @@ def mosaic_tiles(tiles: DataFrame, value: str = "value", rank: str = "tile", nod
     return valid.groupBy("row", "col").agg(F.min_by(value, rank).alias(value))
 
 
-def rasterize_polygons(grid: DataFrame, polygons: DataFrame) -> DataFrame:
+def pixel_runs(shapes: DataFrame, rings: Column, x0: float, y0: float, dx: float, dy: float, extent: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """keep, row, c0, c1: the runs of pixels (both ends included) whose centres lie in each shape.
+
+    ``rings``: arrays of struct(lon, lat), open or closed; the even-odd rule over all of them, so
+    holes are rings like any other. Pixel (row, col) has its centre at (x0 + col dx, y0 + row dy).
+    ``extent``: one row (r0, r1, c0, c1), the part of the grid that is wanted. Each side of a ring
+    becomes one crossing per raster row that it passes, and the sorted crossings of a shape and row
+    pair up into runs; so the cost goes by sides and rows, not by corners times pixels. ``keep``
+    names each shape; rows that agree in it and in their rings are one shape.
+    """
+    one = shapes.select(*keep, rings.alias("_rings")).withColumn("_h", F.xxhash64("_rings")).dropDuplicates([*keep, "_h"])
+    sides = one.select(*keep, "_h", F.explode(F.flatten(F.transform("_rings", ring_sides))).alias("e")).where("e.a.lat <> e.b.lat")
+    low, high = (F.least("e.a.lat", "e.b.lat") - y0) / dy, (F.greatest("e.a.lat", "e.b.lat") - y0) / dy
+    # rows whose centre is at or above the lower end and below the upper one
+    first, last = (F.ceil(low), F.ceil(high) - 1) if dy > 0 else (F.floor(high) + 1, F.floor(low))
+    spans = sides.crossJoin(F.broadcast(extent)).withColumns({"a": F.greatest(first, F.col("r0")).cast("int"), "b": F.least(last, F.col("r1")).cast("int")})  # one row
+    crossed = spans.where("a <= b").withColumn("row", F.explode(F.sequence("a", "b")))
+    y = y0 + F.col("row") * dy
+    x = (F.col("e.b.lon") - F.col("e.a.lon")) * (y - F.col("e.a.lat")) / (F.col("e.b.lat") - F.col("e.a.lat")) + F.col("e.a.lon")
+    lines = crossed.withColumn("x", x).groupBy(*keep, "_h", "row").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.first("c0").alias("_c0"), F.first("c1").alias("_c1"))
+    pairs = lines.select(*keep, "row", "_c0", "_c1", "xs", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)).alias("i"))
+    left, right = (F.get("xs", 2 * F.col("i")) - x0) / dx, (F.get("xs", 2 * F.col("i") + 1) - x0) / dx
+    c0, c1 = (F.ceil(left), F.ceil(right) - 1) if dx > 0 else (F.floor(right) + 1, F.floor(left))
+    return pairs.select(*keep, "row", F.greatest(c0, F.col("_c0")).cast("int").alias("c0"), F.least(c1, F.col("_c1")).cast("int").alias("c1")).where("c0 <= c1")
+
+
+def grid_extent(grid: DataFrame) -> DataFrame:
+    return grid.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+
+
+def rasterize_polygons(grid: DataFrame, polygons: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
     """row, col, attr: attribute of the last polygon whose ring holds the pixel centre.
 
-    ``polygons``: place (order), attr, ring. Cells are powers of two, about an eighth of the
-    polygon's box in size whatever the unit, so a polygon is in at most 81 cells and the pixels of
-    a large one in many keys. Pixels look in the cells of each size that occurs.
+    ``polygons``: place (order), attr, ring; of equal places the larger attribute wins. The grid is
+    not copied; what meets it is one row per burnt pixel.
     """
-    b, side = F.col("b"), F.greatest(F.col("b.lon_max") - F.col("b.lon_min"), F.col("b.lat_max") - F.col("b.lat_min"))
-    sized = polygons.withColumn("b", ring_bounds(F.col("ring"))).withColumn("_side", side).where("_side > 0").withColumn("cell", F.pow(F.lit(2.0), F.ceil(F.log2("_side")) - 3))
-
-    def over(axis: str) -> Column:
-        return F.explode(F.sequence(F.floor(b[f"{axis}_min"] / F.col("cell")), F.floor(b[f"{axis}_max"] / F.col("cell"))))
-
-    spread = sized.withColumn("gx", over("lon")).withColumn("gy", over("lat")).select("place", "attr", "ring", "b", "cell", "gx", "gy")
-    cells = sized.agg(F.collect_set("cell").alias("cells"))
-    placed = grid.crossJoin(F.broadcast(cells)).withColumn("cell", F.explode("cells"))  # one row
-    placed = placed.drop("cells").withColumns({"gx": F.floor(F.col("x") / F.col("cell")), "gy": F.floor(F.col("y") / F.col("cell"))})
-    hit = placed.join(spread, ["cell", "gx", "gy"]).where(
-        F.col("x").between(F.col("b.lon_min"), F.col("b.lon_max")) & F.col("y").between(F.col("b.lat_min"), F.col("b.lat_max")) & in_ring(F.col("x"), F.col("y"), F.col("ring"))
-    )
-    burnt = hit.groupBy("row", "col").agg(F.max_by("attr", "place").alias("attr"))
+    runs = pixel_runs(polygons, F.array("ring"), x0, y0, dx, dy, grid_extent(grid), ("place", "attr"))
+    hit = runs.select("place", "attr", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    burnt = hit.groupBy("row", "col").agg(F.max(F.struct("place", "attr"))["attr"].alias("attr"))
     return grid.select("row", "col").join(burnt, ["row", "col"], "left")
 
 
+def clip_to_area(pixels: DataFrame, area: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
+    """Pixels (row, col, ...) whose centre lies in any polygon of ``area`` (ring), by runs per row."""
+    runs = pixel_runs(area, F.array("ring"), x0, y0, dx, dy, grid_extent(pixels), ()).select(F.col("row").alias("_row"), "c0", "c1")
+    return pixels.join(runs, (F.col("row") == F.col("_row")) & F.col("col").between(F.col("c0"), F.col("c1")), "left_semi")
+
+
 def tiles_for_aoi(tiles: DataFrame, bounds: Column) -> DataFrame:
     """Tiles (tile, lon_min, lat_min, lon_max, lat_max) whose box meets the area's."""
     return tiles.where(

@@ -1,4 +1,4 @@
-"""Connected regions across tiles, morphology on them, and polygons.
+"""Connected regions across tiles, and morphology on them.
 
 Tiles are labelled alone by a numpy helper; only labels that touch across a tile border meet in an
 edge table, whose components are found by star rounds. So what is joined grows with perimeters.
@@ -6,14 +6,12 @@ edge table, whose components are found by star rounds. So what is joined grows w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inundata.functions.kernels import label, polygons
+from inundata.functions.kernels import label
 from inundata.sources.folders import cut
 
 
@@ -117,45 +115,6 @@ def morphology(mask: DataFrame, unit_m2: float = 4000, pixel_m2: float = 100, ti
     return remove_small_objects(opened, unit / 2, tile, keys)
 
 
-def region_polygons(regions: DataFrame, tile: int = 512, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, region, ty, tx, polygons: each region's polygons in pixel corners, those of one tile a row.
-
-    A polygon is its outer ring and then its holes. Cells of a region that meet at corners only are
-    several polygons, and so are the parts of a region in several tiles. One call traces all
-    regions of a tile, so no task ever holds more than a tile.
-    """
-    kinds = dict(regions.dtypes)
-    key_schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
-    placed = regions.withColumns({"ty": F.floor(F.col("row") / tile), "tx": F.floor(F.col("col") / tile)})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        names, number = np.unique(pdf["region"].to_numpy(), return_inverse=True)
-        grid = np.zeros((tile, tile), dtype=np.int64)
-        grid[pdf["row"].to_numpy() - ty * tile, pdf["col"].to_numpy() - tx * tile] = number + 1
-        found = polygons(grid)
-        shapes = [[[[{"x": float(x + tx * tile), "y": float(y + ty * tile)} for x, y in ring] for ring in shape] for shape in found[k]] for k in found]
-        out = pd.DataFrame({"region": [int(names[k - 1]) for k in found], "ty": ty, "tx": tx, "polygons": shapes})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    schema = f"{key_schema}region long, ty long, tx long, polygons array<array<array<struct<x:double,y:double>>>>"
-    return placed.groupBy(*keys, "ty", "tx").applyInPandas(run, schema)
-
-
-def _signed(ring: Column) -> Column:
-    edge = F.transform(ring, lambda p, i: F.when(i > 0, F.get(ring, i - 1)["x"] * p["y"] - p["x"] * F.get(ring, i - 1)["y"]).otherwise(0.0))
-    return F.aggregate(edge, F.lit(0.0), lambda s, v: s + v) / 2.0
-
-
-def polygon_area(shapes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, region, area in squared cells, holes: signed shoelace sums, so holes count against it."""
-    rings = F.flatten("polygons")
-    total = F.aggregate(F.transform(rings, _signed), F.lit(0.0), lambda s, v: s + v)
-    return shapes.groupBy(*keys, "region").agg(F.sum(total).alias("area"), F.sum(F.size(rings) - F.size("polygons")).cast("long").alias("holes"))
-
-
 def flooded_area(areas: DataFrame, pixel_m2: float = 100.0, keys: tuple[str, ...] = ("flood_ts",)) -> DataFrame:
     """keys, km2: flooded square kilometres, two decimals. ``areas``: keys, area in pixels."""
     return areas.groupBy(*keys).agg(F.round(F.sum("area") * pixel_m2 / 1e6, 2).alias("km2"))

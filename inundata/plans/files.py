@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inundata.operators import rainfall, raster, regions
+from inundata.operators import catalogue, outlines, rainfall, raster, regions
 from inundata.plans import views as v
 from inundata.plans.registry import register
 from inundata.sources import files
@@ -88,25 +88,31 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
     return files.extract_links(v.table(spark, sf, "pages"), suffixes=("e", "the,"))
 
 
-@register(f"WITH {v.BAND} SELECT CAST(row // 40 AS INT) AS flood_ts, count(*) AS n_pixels, min(col) AS x0, max(col) + 1 AS x1 FROM band WHERE t < -0.35 GROUP BY 1")
+#: Colours of the first flood dates; later dates have none.
+COLOURS = ("green", "blue", "red", "purple", "brown", "grey", "pink")
+
+
+@register(f"""WITH {v.BAND}, f AS (SELECT CAST(row // 40 AS INT) AS flood_ts, row, col FROM band WHERE t < -0.35)
+  SELECT flood_ts, 'event ' || flood_ts AS flood_event, CASE flood_ts {" ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(COLOURS))} END AS plot_color, count(*) AS n_pixels,
+    md5(string_agg(row || ':' || col, ',' ORDER BY row, col)) AS pixels, min(col) * 0.5e0 + 10 AS x0, (max(col) + 1) * 0.5e0 + 10 AS x1, 60 - (max(row) + 1) * 0.25e0 AS y0, 60 - min(row) * 0.25e0 AS y1
+  FROM f GROUP BY 1""")
 def write_geojson(spark: SparkSession, sf: str) -> DataFrame:
-    """Flooded regions as GeoJSON text, read again: enclosed pixels and box per date."""
+    """Flooded regions in map coordinates as GeoJSON, read again and burnt: the pixels in the polygons, members and box per date."""
     flood = v.band(spark, sf).where("t < -0.35").select("row", "col", F.floor(F.col("row") / 40).cast("int").alias("flood_ts"))
     keys = ("flood_ts",)
-    parts = regions.region_polygons(regions.connected_components(flood, tile=128, keys=keys), keys=keys)
+    shapes = outlines.region_polygons(regions.connected_components(flood, tile=32, keys=keys), 32, keys)
+    about = catalogue.date_colour(flood.select("flood_ts"), COLOURS).select(
+        "flood_ts", F.concat(F.lit("event "), F.col("flood_ts").cast("string")).alias("flood_event"), F.lit("flooded regions").alias("description"), F.current_timestamp().cast("string").alias("created"), F.col("colour").alias("plot_color")
+    )
     path = fresh(spark, "geojson")
-    files.write_geojson(files.geojson_lines(parts, F.lit("event"), F.lit("flooded regions"), F.current_timestamp().cast("string"), F.lit("blue")), path)
-    lines = spark.read.text(path).select("flood_ts", F.regexp_replace("value", "^,", "").alias("line"))
-    schema = "properties struct<region:bigint>, geometry struct<coordinates:array<array<array<array<double>>>>>"
-    read = lines.where(F.startswith("line", F.lit('{"type":"Feature",'))).select("flood_ts", F.from_json("line", schema).alias("f"))
-    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-    shapes = read.select(
-        "flood_ts", F.col("f.properties.region").alias("region"),
-        F.transform("f.geometry.coordinates", lambda g: F.transform(g, lambda ring: F.transform(ring, point))).alias("polygons"),
-    )
-    heads = lines.where(F.startswith("line", F.lit('{"type":"FeatureCollection"'))).select("flood_ts", F.from_json(F.concat("line", F.lit("]}")), "bbox array<double>").alias("h"))
-    boxes = heads.select("flood_ts", F.col("h.bbox")[0].cast("int").alias("x0"), F.col("h.bbox")[2].cast("int").alias("x1"))
-    return regions.polygon_area(shapes, keys).groupBy("flood_ts").agg(F.sum("area").cast("long").alias("n_pixels")).join(boxes, "flood_ts")
+    files.write_geojson(files.geojson_lines(outlines.to_map(shapes, (0.5, 0, 10, 0, -0.25, 60)), about), path)
+    rings = F.transform(F.flatten("polygons"), lambda ring: F.transform(ring, lambda p: F.struct(p["x"].alias("lon"), p["y"].alias("lat"))))
+    runs = raster.pixel_runs(files.read_geojson(spark, path), rings, 10.25, 59.875, 0.5, -0.25, raster.grid_extent(flood), ("flood_ts", "region"))
+    held = runs.select("flood_ts", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    places = F.transform(F.array_sort(F.collect_list(F.struct("row", "col"))), lambda p: F.concat_ws(":", p["row"].cast("string"), p["col"].cast("string")))
+    heads = spark.read.text(path).where(F.startswith("value", F.lit('{"type":"FeatureCollection"'))).select("flood_ts", F.from_json(F.concat("value", F.lit("]}")), "flood_event string, plot_color string, bbox array<double>").alias("h"))
+    box = [F.col("h.bbox")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return held.groupBy("flood_ts").agg(F.count("*").alias("n_pixels"), F.md5(F.array_join(places, ",")).alias("pixels")).join(heads.select("flood_ts", "h.flood_event", "h.plot_color", *box), "flood_ts")
 
 
 @register(f"WITH {v.BAND} SELECT row, col FROM band WHERE col + 0.5 > 10 AND col + 0.5 < 60 AND row + 0.5 > 5 AND row + 0.5 < 40")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inundata.functions import scalar
-from inundata.operators import catalogue, delineate, orbits, patches, rainfall, raster, regions, stats, validate
+from inundata.operators import catalogue, delineate, orbits, outlines, patches, rainfall, raster, regions, slices, stats, validate
 from inundata.plans import views as v
 from inundata.plans.registry import register
 
@@ -467,6 +467,17 @@ def clip_to_ring(spark: S, sf: str) -> D:
     return raster.clip_to_ring(b, F.array(corner(10, 0), corner(100, 50), corner(10, 50))).select("row", "col")
 
 
+@register(f"""WITH {v.BAND}, p AS (SELECT CAST(s_suppkey * 11 % 118 AS DOUBLE) + 0.25e0 AS x0, CAST(s_suppkey * 5 % 90 AS DOUBLE) + 0.25e0 AS y0 FROM supplier)
+  SELECT DISTINCT row, col FROM band JOIN p ON (col + 0.5 - x0) > 0 AND (row + 0.5 - y0) > 0 AND (col + 0.5 - x0) / 6 + (row + 0.5 - y0) / 8 < 1""")
+def clip_to_area(spark: S, sf: str) -> D:
+    """Pixels in any of many triangles, one per supplier, found by scan lines."""
+    k = F.col("s_suppkey")
+    x, y = (k * 11 % 118).cast("double") + 0.25, (k * 5 % 90).cast("double") + 0.25
+    corner = lambda a, b: F.struct((x + a).alias("lon"), (y + b).alias("lat"))
+    area = v.table(spark, sf, "supplier").select(F.array(corner(0, 0), corner(6, 0), corner(0, 8)).alias("ring"))
+    return raster.clip_to_area(v.band(spark, sf), area, 0.5, 0.5, 1.0, 1.0).select("row", "col")
+
+
 @register(f"WITH {v.STACK}, s AS (SELECT row, col, CASE WHEN time = 7 AND (row + col) % 3 = 0 THEN vv END AS vv FROM stack) SELECT row, col, count(*) AS n FROM s WHERE row IN (SELECT row FROM s WHERE vv IS NOT NULL) AND col IN (SELECT col FROM s WHERE vv IS NOT NULL) GROUP BY 1, 2")
 def drop_empty_lines(spark: S, sf: str) -> D:
     s = v.stack(spark, sf).select("row", "col", F.when((F.col("time") == 7) & ((F.col("row") + F.col("col")) % 3 == 0), F.col("vv")).alias("vv"))
@@ -533,8 +544,8 @@ def rasterize_polygons(spark: S, sf: str) -> D:
     x, y = (k * 7 % 110).cast("double"), (k * 3 % 60).cast("double")
     corner = lambda a, b: F.struct((x + a).alias("lon"), (y + b).alias("lat"))
     polygons = v.table(spark, sf, "supplier").select(k.alias("place"), F.col("s_nationkey").alias("attr"), F.array(corner(0, 0), corner(12, 0), corner(12, 9), corner(0, 9), corner(0, 0)).alias("ring"))
-    grid = v.band(spark, sf).select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
-    return raster.rasterize_polygons(grid, polygons)
+    grid = v.band(spark, sf).select("row", "col")
+    return raster.rasterize_polygons(grid, polygons, 0.5, 0.5, 1.0, 1.0)
 
 
 @register("SELECT c_custkey FROM customer WHERE c_custkey % 100 <= 40 AND c_custkey % 100 + 3 >= 10 AND c_custkey % 77 <= 30 AND c_custkey % 77 + 3 >= 5")
@@ -628,12 +639,9 @@ def morphology(spark: S, sf: str) -> D:
   SELECT region, CAST(count(*) AS DOUBLE) AS area, 1 - count(*) + coalesce(any_value(pairs.n), 0) - coalesce(any_value(squares.n), 0) AS holes
   FROM regions LEFT JOIN pairs USING (region) LEFT JOIN squares USING (region) GROUP BY 1""")
 def region_polygons(spark: S, sf: str) -> D:
-    """Area of the rings and their holes per region; the twin counts pixels, and holes by Euler's number.
-
-    A tile takes the whole raster of the small tables; cut by tiles, a hole may become an indent.
-    """
+    """Area of the rings and their holes per region; the twin counts pixels, and holes by Euler's number."""
     found = regions.connected_components(_flood(spark, sf).where("flag"), tile=32)
-    return regions.polygon_area(regions.region_polygons(found, tile=512))
+    return outlines.polygon_area(outlines.region_polygons(found, tile=32))
 
 
 @register(f"WITH {v.BAND} SELECT (row // 40) AS flood_ts, round(count(*) * 100 / 1e6, 2) AS km2 FROM band WHERE t < -0.35 GROUP BY 1".replace("(row // 40)", "CAST(row // 40 AS INT)"))
@@ -757,3 +765,60 @@ def vote_classes(spark: S, sf: str) -> D:
     b = v.band(spark, sf)
     classes = patches.predict_patches(patches.patch_dataset(b, ("t",), 16, (0, 4, 8)), ("t",), _threshold_scorer, 16)
     return patches.vote_classes(classes, b).select("row", "col", "flooded")
+
+
+# -- slices ------------------------------------------------------------------------------------
+
+
+def _slices(spark: S, sf: str) -> tuple[D, D]:
+    """Scenes and pixels of a stack whose times come in slices: the second one starts ten rows before the first ends.
+
+    Time 3 has its slices two hours apart, which are two images; time 6 has a third slice.
+    """
+    s = v.stack(spark, sf).select("time", "row", "col", "vv", "vh")
+    cut_row = s.agg(F.floor(F.max("row") / 2).cast("int").alias("c"))
+    placed = s.crossJoin(F.broadcast(cut_row))  # one row
+    here = F.array(
+        F.when(F.col("row") < F.col("c") + 5, F.struct(F.lit(0).alias("k"), F.col("vv").alias("vv"), F.col("vh").alias("vh"))),
+        F.when(F.col("row") >= F.col("c") - 5, F.struct(F.lit(1).alias("k"), (F.col("vv") + 1).alias("vv"), F.when(F.col("col") % 7 > 0, F.col("vh") + 2).alias("vh"))),
+        F.when((F.col("time") == 6) & (F.col("row") < 3), F.struct(F.lit(2).alias("k"), F.col("vv").alias("vv"), F.col("vh").alias("vh"))),
+    )
+    pixels = placed.select("time", "row", "col", F.explode(F.filter(here, lambda x: x.isNotNull())).alias("x")).select(
+        "time", "x.k", (F.col("time") * 10 + F.col("x.k")).alias("scene_id"), "row", "col", "x.vv", "x.vh"
+    )
+    second = F.when(F.col("time") == 3, F.lit(7200)).otherwise(F.lit(25))
+    start = F.lit("2024-05-01 10:00:00").cast("timestamp") + F.make_dt_interval(days=F.col("time"), secs=(F.col("k") * second).cast("double"))
+    return pixels.select("scene_id", (F.col("time") % 2).alias("track"), start.alias("start")).distinct(), pixels.select("scene_id", "row", "col", "vv", "vh")
+
+
+SLICES = f"""{v.STACK}, cutrow AS (SELECT CAST(floor(max(row) / 2) AS INT) AS c FROM stack), px AS (
+  SELECT time, 0 AS k, row, col, vv, vh FROM stack, cutrow WHERE row < c + 5
+  UNION ALL SELECT time, 1, row, col, vv + 1, CASE WHEN col % 7 > 0 THEN vh + 2 END FROM stack, cutrow WHERE row >= c - 5
+  UNION ALL SELECT time, 2, row, col, vv, vh FROM stack WHERE time = 6 AND row < 3),
+  sc AS (SELECT DISTINCT time, k, CAST(time % 2 AS INT) AS track, TIMESTAMP '2024-05-01 10:00:00' + to_days(CAST(time AS INT)) + to_seconds(k * CASE WHEN time = 3 THEN 7200 ELSE 25 END) AS start FROM px),
+  im AS (SELECT *, CASE WHEN time = 3 THEN k ELSE 0 END AS image FROM sc),
+  pl AS (SELECT track, time, image, make_timestamp(CAST(round(avg(epoch_us(start))) AS BIGINT)) AS image_ts, count(*) AS n_slices FROM im GROUP BY 1, 2, 3)"""
+
+
+@register(f"WITH {SLICES} SELECT track, image_ts, n_slices, n_slices <= 2 AS supported, (SELECT string_agg(time * 10 + k, ',' ORDER BY start) FROM im WHERE im.time = pl.time AND im.image = pl.image) AS slices FROM pl")
+def slice_plan(spark: S, sf: str) -> D:
+    plan = slices.slice_plan(_slices(spark, sf)[0].withColumn("track", F.col("track").cast("int")), ("track",))
+    return plan.withColumn("slices", F.array_join(F.col("slices").cast("array<string>"), ","))
+
+
+@register(f"""WITH {SLICES} SELECT image_ts, row, col, round(arg_min(vv, k) FILTER (WHERE vv IS NOT NULL), 12) AS vv, round(arg_min(vh, k) FILTER (WHERE vh IS NOT NULL), 12) AS vh, any_value(n_slices) AS n_slices
+  FROM px JOIN im USING (time, k) JOIN pl USING (time, image) WHERE n_slices <= 2 GROUP BY 1, 2, 3""")
+def assemble_slices(spark: S, sf: str) -> D:
+    scenes, pixels = _slices(spark, sf)
+    got = slices.assemble_slices(pixels, slices.slice_plan(scenes, ("track",)), ("vv", "vh"), keys=("track",))
+    return got.select("image_ts", "row", "col", r("vv", 12).alias("vv"), r("vh", 12).alias("vh"), "n_slices")
+
+
+@register(f"""WITH {SLICES}, w AS (SELECT image_ts, n_slices, row, col, vv, vh, CASE WHEN n_slices = 1 THEN 1e0 ELSE abs(1 - k - least(1, greatest(0, (row - (c - 5) + 0.5e0) / 10))) END AS w
+    FROM px JOIN im USING (time, k) JOIN pl USING (time, image), cutrow WHERE n_slices <= 2)
+  SELECT image_ts, row, col, round(sum(w * vv) / sum(w), 13) AS vv, round(coalesce(sum(w * vh) / nullif(sum(w) FILTER (WHERE vh IS NOT NULL), 0), avg(vh)), 13) AS vh, any_value(n_slices) AS n_slices FROM w GROUP BY 1, 2, 3""")
+def feather_slices(spark: S, sf: str) -> D:
+    """The seam goes over from the first slice to the second along ten rows."""
+    scenes, pixels = _slices(spark, sf)
+    got = slices.assemble_slices(pixels, slices.slice_plan(scenes, ("track",)), ("vv", "vh"), "feather", ("track",))
+    return got.select("image_ts", "row", "col", r("vv", 13).alias("vv"), r("vh", 13).alias("vh"), "n_slices")

@@ -40,10 +40,13 @@ def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
     return days.where(F.col("day") < F.lit("2025-01-01").cast("timestamp")).select("day", F.round("tp_mm", 3).alias("tp_mm"))
 
 
-@register("SELECT DISTINCT event_type, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts FROM events")
+@register("SELECT event_type, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS begin, max(ts) AS published, arg_max(event_id, (epoch_us(ts), -event_id)) AS id FROM events GROUP BY 1, 2")
 def stream_products(spark: SparkSession, sf: str) -> DataFrame:
-    p = v.events(spark, sf).select("event_type", F.date_trunc("minute", "ts").alias("ts"))
-    return drained(spark, stream_new_products(_stream(spark, sf, p), "ts", keys=("event_type",)), "products")
+    """The newest product of each minute and kind, from a stream in which older ones may come later."""
+    p = v.events(spark, sf).select("event_type", F.date_trunc("minute", "ts").alias("begin"), F.col("ts").alias("published"), F.col("event_id").alias("id"))
+    ends = p.agg(F.max("begin").alias("t")).select(F.lit(None).cast("string").alias("event_type"), (F.col("t") + F.expr("INTERVAL 400 DAYS")).alias("begin"), F.col("t").alias("published"), F.lit(-1).cast("long").alias("id"))
+    newest = stream_new_products(_stream(spark, sf, p.unionByName(ends)), keys=("event_type",))
+    return drained(spark, newest, "products").where("id >= 0")
 
 
 @register("""WITH RECURSIVE n AS (SELECT k, ts, row_number() OVER (PARTITION BY k ORDER BY ts) AS i FROM (SELECT DISTINCT user_id % 20 AS k, ts FROM events)),

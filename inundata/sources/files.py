@@ -108,40 +108,49 @@ def write_orbit_table(osv: DataFrame, path: str) -> None:
     orbit_table_lines(osv).orderBy("place").select("line").write.mode("overwrite").text(path)
 
 
-def geojson_lines(polygons: DataFrame, event: Column, description: Column, created: Column, colour: Column) -> DataFrame:
-    """flood_ts, place, part, line: the lines of one FeatureCollection with its metadata per flood date.
-
-    ``polygons``: flood_ts, region, polygons (rings of struct x, y). A feature has all polygons of
-    a region in one tile, as a MultiPolygon, and a line of its own; nothing gathers a whole date.
+def geojson_lines(shapes: DataFrame, about: DataFrame) -> DataFrame:
+    """flood_ts, place, line: the lines of one FeatureCollection per flood date.
+
+    ``shapes``: flood_ts, region, polygons (rings of struct x, y, as ``outlines.to_map`` gives
+    them). ``about``: one row per flood date; its other columns become members of the collection,
+    NULLs left out. A ``bbox`` is added from the shapes where ``about`` has none. A region is one
+    feature, a Polygon or a MultiPolygon, on a line of its own; nothing gathers a whole date. A
+    date without regions is an empty collection.
     """
     coordinates = F.transform("polygons", lambda shape: F.transform(shape, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(F.col("region").alias("region")).alias("properties"),
-        F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
-    )
+
+    def feature(kind: str, of: Column) -> Column:
+        geometry = F.struct(F.lit(kind).alias("type"), of.alias("coordinates"))
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("region").alias("region")).alias("properties"), geometry.alias("geometry")))
+
     points = F.flatten(F.flatten("polygons"))
     x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    part = F.struct("ty", "tx")
-    boxed = polygons.select(
-        "flood_ts", F.col("region").alias("place"), part.alias("part"), F.to_json(feature).alias("json"),
+    boxed = shapes.select(
+        "flood_ts", F.col("region").alias("place"), F.when(F.size("polygons") == 1, feature("Polygon", coordinates[0])).otherwise(feature("MultiPolygon", coordinates)).alias("json"),
         F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"),
     )
-    dates = boxed.groupBy("flood_ts").agg(
-        F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("bbox"), F.min(F.struct("place", "part")).alias("first")
-    )
-    envelope = F.struct(
-        F.lit("FeatureCollection").alias("type"), event.alias("flood_event"), description.alias("description"), created.alias("created"),
-        F.col("flood_ts").cast("string").alias("flood_datetime"), colour.alias("colour"), "bbox",
-    )
-    none = F.lit(None).cast(boxed.schema["part"].dataType)
-    head = dates.select("flood_ts", F.lit(-1).cast("long").alias("place"), none.alias("part"), F.concat(F.regexp_replace(F.to_json(envelope), r"\}$", ""), F.lit(',"features":[')).alias("line"))
-    tail = dates.select("flood_ts", F.lit(2**63 - 1).alias("place"), none.alias("part"), F.lit("]}").alias("line"))
-    comma = F.when(F.struct("place", "part") == F.col("first"), "").otherwise(",")
-    body = boxed.join(dates.select("flood_ts", "first"), "flood_ts").select("flood_ts", "place", "part", F.concat(comma, "json").alias("line"))
+    dates = boxed.groupBy("flood_ts").agg(F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("box"), F.min("place").alias("first"))
+    members = [c for c in about.columns if c != "flood_ts"]
+    known = about.join(dates, "flood_ts", "left")
+    envelope = F.struct(F.lit("FeatureCollection").alias("type"), *members, *([] if "bbox" in members else [F.col("box").alias("bbox")]))
+    head = known.select("flood_ts", F.lit(-1).cast("long").alias("place"), F.concat(F.regexp_replace(F.to_json(envelope), r"\}$", ""), F.lit(',"features":[')).alias("line"))
+    tail = known.select("flood_ts", F.lit(2**63 - 1).alias("place"), F.lit("]}").alias("line"))
+    comma = F.when(F.col("place") == F.col("first"), "").otherwise(",")
+    body = boxed.join(known.select("flood_ts", "first"), "flood_ts").select("flood_ts", "place", F.concat(comma, "json").alias("line"))
     return head.unionByName(body).unionByName(tail)
 
 
 def write_geojson(lines: DataFrame, path: str) -> None:
     """A folder per flood date, whose part files in the order of their names are one GeoJSON text."""
-    lines.orderBy("flood_ts", "place", "part").select("flood_ts", "line").write.mode("overwrite").partitionBy("flood_ts").text(path)
+    lines.orderBy("flood_ts", "place").select("flood_ts", "line").write.mode("overwrite").partitionBy("flood_ts").text(path)
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """flood_ts, region, polygons (rings of struct x, y) of what ``write_geojson`` has written."""
+    lines = spark.read.text(path).select("flood_ts", F.regexp_replace("value", "^,", "").alias("line")).where(F.startswith("line", F.lit('{"type":"Feature",')))
+    parsed = lambda schema: F.from_json("line", f"properties struct<region:bigint>, geometry struct<type:string, coordinates:{schema}>")
+    rings = "array<array<array<double>>>"
+    one, many = parsed(rings), parsed(f"array<{rings}>")
+    shapes = F.when(one["geometry"]["type"] == "Polygon", F.array(one["geometry"]["coordinates"])).otherwise(many["geometry"]["coordinates"])
+    points = F.transform(shapes, lambda shape: F.transform(shape, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    return lines.select("flood_ts", one["properties"]["region"].alias("region"), points.alias("polygons"))

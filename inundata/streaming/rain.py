@@ -16,9 +16,15 @@ def stream_rain_daily(hours: DataFrame, late: str = "2 days") -> DataFrame:
     return hours.withWatermark("ts", late).groupBy(day.alias("w")).agg(F.sum(F.greatest(F.lit(0.0), "tp_mm")).alias("tp_mm")).select(F.col("w.start").alias("day"), "tp_mm")
 
 
-def stream_new_products(products: DataFrame, begin: str = "begin", late: str = "1 day", keys: tuple[str, ...] = ()) -> DataFrame:
-    """The first product to arrive for each begin time, within the watermark."""
-    return products.withWatermark(begin, late).dropDuplicatesWithinWatermark([*keys, begin])
+def stream_new_products(products: DataFrame, begin: str = "begin", published: str = "published", tie: str = "id", late: str = "1 day", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The newest publication of each begin time, the least ``tie`` (a number) of equally new ones.
+
+    As ``latest_product``, but once: the state holds the newest of what has come, and gives it out
+    when the watermark of begin times has passed by. Publications of a begin time that arrive after
+    that go. The rows' own columns come back.
+    """
+    newest = F.max_by(F.struct("*"), F.struct(F.col(published), -F.col(tie))).alias("_p")
+    return products.withWatermark(begin, late).groupBy(*keys, begin).agg(newest).select("_p.*")
 
 
 def stream_thin_datetimes(times: DataFrame, key: str = "key", ts: str = "ts", seconds: float = 60.0, late: str = "10 minutes") -> DataFrame:

@@ -76,43 +76,6 @@ def test_morphology(spark, tile):
     assert all(r.flag == want[r.row, r.col] for r in got) and len(got) == 1600
 
 
-def test_polygon_areas_count_pixels_with_holes(spark):
-    mask = np.ones((7, 7), bool)
-    mask[2:4, 2:4] = False
-    mask[5, 5] = False
-    found = regions.connected_components(frame(spark, mask, "flag").where("flag"), tile=3)
-    parts = regions.region_polygons(found, tile=5)
-    area = regions.polygon_area(parts).collect()
-    assert [r.area for r in area] == [float(mask.sum())]
-    (whole,) = regions.region_polygons(found, tile=50).first().polygons
-    assert len(whole) == 3
-    assert regions.polygon_area(regions.region_polygons(found, tile=50)).first().holes == 2
-
-
-@pytest.mark.parametrize("diagonal", [False, True])
-def test_polygons_hold_their_own_cells_only(spark, diagonal):
-    """Cell centres by the even-odd rule, against the mask; every polygon one outer ring, the rest holes in it."""
-    mask = np.random.default_rng(12).random((23, 31)) < 0.55
-    found = regions.connected_components(frame(spark, mask, "flag").where("flag"), diagonal, tile=9).cache()
-    own = {(r.row, r.col): r.region for r in found.collect()}
-
-    def inside(ring, x, y):
-        return sum((a.y > y) != (b.y > y) and x < (b.x - a.x) * (y - a.y) / (b.y - a.y) + a.x for a, b in zip(ring, ring[1:])) % 2 == 1
-
-    for tile in (50, 7):
-        held = {}
-        for row in regions.region_polygons(found, tile=tile).collect():
-            for outer, *holes in row.polygons:
-                area = lambda ring: sum(a.x * b.y - b.x * a.y for a, b in zip(ring, ring[1:])) / 2
-                assert outer[0] == outer[-1] and area(outer) > 0 and all(area(h) < 0 for h in holes)
-                for r in range(23):
-                    for c in range(31):
-                        if inside(outer, c + 0.5, r + 0.5) and not any(inside(h, c + 0.5, r + 0.5) for h in holes):
-                            assert (r, c) not in held
-                            held[r, c] = row.region
-        assert held == own
-
-
 def test_local_thresholds_against_plain_restatements():
     """Minimum error by two plain loops, and smoothing by a plain sum with mirrored borders."""
     rng = np.random.default_rng(3)
@@ -331,24 +294,6 @@ def test_slope_against_loops(spark, seed):
         assert s == pytest.approx(math.degrees(math.atan(math.hypot(gx, gy))))
 
 
-@pytest.mark.parametrize("unit", [1.0, 1e-4, 1e3])
-def test_rasterize_in_any_unit(spark, unit):
-    rings = [(0, 3, [(1, 1), (9, 1), (9, 7), (1, 7)]), (1, 5, [(-40, -40), (60, -40), (4, 5)]), (2, 8, [(2, 2), (2, 2), (2, 2)])]
-    shapes = [(k, a, [(x * unit, y * unit) for x, y in ring]) for k, a, ring in rings]
-    polygons = spark.createDataFrame(shapes, "place int, attr int, ring array<struct<lon: double, lat: double>>")
-    grid = spark.range(144).selectExpr("cast(id div 12 as int) as row", "cast(id % 12 as int) as col", f"(id % 12 + 0.5D) * {unit}D as x", f"(id div 12 + 0.5D) * {unit}D as y")
-
-    def inside(x, y, ring):
-        n = 0
-        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1], strict=True):
-            n += (b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a
-        return n % 2 == 1
-
-    for r in raster.rasterize_polygons(grid, polygons).collect():
-        hit = [a for _, a, ring in rings if inside(r.col + 0.5, r.row + 0.5, ring)]
-        assert r.attr == (hit[-1] if hit else None)
-
-
 def test_standardised_samples_forget_scale(spark):
     rows = [(0, s, float(x) if s == 0 else 50.0 + 9.0 * x) for s in (0, 1) for x in range(40)] + [(1, s, 2.0) for s in (0, 1)]
     samples = spark.createDataFrame(rows, "g int, side int, t double")
