@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inundata.functions import kernels
-from inundata.sources.folders import cut
+from inundata.operators import halo
+from inundata.sources.folders import cut, fresh
 
 
 @dataclass(frozen=True)
@@ -124,57 +125,81 @@ def local_decision(t: np.ndarray, mask: np.ndarray, best: float, mean: float, st
     return low if land_ok and 100.0 * mask.sum() / len(valid) > p.least_percent else mask
 
 
-def adaptive_threshold(scores: DataFrame, mask: DataFrame, mean: float, std: float, p: FloodParams = FloodParams()) -> DataFrame:
-    """row, col, probability, flooded: votes of overlapping windows around seeds.
+def _coefficients(t: np.ndarray, windows: list[tuple[int, int, int, int]], p: FloodParams, cells: int = 1_000_000) -> np.ndarray:
+    """Bimodality of each window (top, bottom, left, right) after smoothing; 0 where it has none.
 
-    Every tile takes its pixels and those around it that its seeds' windows reach; votes meet by
-    (row, col). ``scores``: row, col, t. ``mask``: row, col, mask.
+    Windows of one shape are smoothed together, as many as ``cells`` allows.
     """
-    halo, g = max(p.halves), int(math.sqrt(p.unit_m2 / p.pixel_m2))
-    ends = scores.agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
-    tile, base = p.tile, scores.select("row", "col", "t").join(mask.select("row", "col", "mask"), ["row", "col"], "left").crossJoin(F.broadcast(ends))  # one row
+    out = np.zeros(len(windows))
+    at = np.array(windows, dtype=np.int64).reshape(-1, 4)
+    h, w = at[:, 1] - at[:, 0], at[:, 3] - at[:, 2]
+    for shape in np.unique(np.stack([h, w], axis=1)[(h > 0) & (w > 0)], axis=0).tolist():
+        of, (rows, cols) = np.flatnonzero((h == shape[0]) & (w == shape[1])), shape
+        view = np.lib.stride_tricks.sliding_window_view(t, (rows, cols))
+        step = max(1, cells // (rows * cols))
+        for k in range(0, len(of), step):
+            part = of[k : k + step]
+            out[part] = np.nan_to_num(kernels.bimodalities(kernels.smooth_windows(view[at[part, 0], at[part, 2]]), p.least_pixels))
+    return out
 
-    def span(place: str) -> Column:
-        return F.sequence(F.floor((F.col(place) - halo) / tile), F.floor((F.col(place) + halo) / tile))
 
-    spread = base.withColumn("ty", F.explode(span("row"))).withColumn("tx", F.explode(span("col"))).where("ty >= 0 and tx >= 0")
+def adaptive_threshold(
+    scores: DataFrame, mask: DataFrame, mean: float | None, std: float | None, p: FloodParams = FloodParams(), keys: tuple[str, ...] = (), water: DataFrame | None = None
+) -> DataFrame:
+    """keys, row, col, probability, flooded: votes of overlapping windows around seeds.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(key[0]), int(key[1])
-        rows, cols = int(pdf["rows"].iloc[0]), int(pdf["cols"].iloc[0])
-        r0, c0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
-        h, w = min(rows, (ty + 1) * tile + halo) - r0, min(cols, (tx + 1) * tile + halo) - c0
-        t = _grid(pdf, r0, c0, h, w)
-        m = np.nan_to_num(_grid(pdf.assign(mask=pdf["mask"].fillna(False).astype(float)), r0, c0, h, w, "mask")) > 0
-        votes, visits = np.zeros((h, w), dtype=np.int64), np.zeros((h, w), dtype=np.int64)
-        for r, c in zip(*np.nonzero(m), strict=True):
-            gr, gc = r + r0, c + c0
-            if gr % g or gc % g or not (ty * tile <= gr < (ty + 1) * tile and tx * tile <= gc < (tx + 1) * tile):
-                continue
-            windows = []
+    ``scores``: keys, row, col, t. ``mask``: keys, row, col, mask. The water statistics are ``mean``
+    and ``std``, or with keys those of ``water`` (keys, mean, std). Chips take what their seeds'
+    windows reach from the chips around; all seeds of a chip are smoothed together. Votes meet by
+    pixel.
+    """
+    reach, g, tile = max(p.halves), int(math.sqrt(p.unit_m2 / p.pixel_m2)), p.tile
+    on, kinds = [*keys, "row", "col"], dict(scores.dtypes)
+    base = scores.select(*on, "t").join(mask.select(*on, "mask"), on, "left")
+    chips = halo.to_chips(base, tile, ("t",), ("mask",), keys)
+    # what a key has once: a row each, joined to its chips
+    known = scores.groupBy(*keys).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    if water is not None:
+        known = known.join(water.select(*keys, "mean", "std"), list(keys)) if keys else known.crossJoin(water.select("mean", "std"))
+    else:
+        known = known.withColumns({"mean": F.lit(mean).cast("double"), "std": F.lit(std).cast("double")})
+    bodies = chips.frame.join(known, list(keys)) if keys else chips.frame.crossJoin(F.broadcast(known))  # one row
+
+    def run(own: dict, r0: int, c0: int, grids: dict[str, np.ndarray]) -> pd.DataFrame:
+        t, m, rows, cols = grids["t"], grids["mask"] > 0, int(own["rows"]), int(own["cols"])
+        votes, visits = np.zeros(t.shape, dtype=np.int64), np.zeros(t.shape, dtype=np.int64)
+        inner = np.zeros(t.shape, dtype=bool)
+        inner[reach : reach + tile, reach : reach + tile] = m[reach : reach + tile, reach : reach + tile]
+        r, c = np.nonzero(inner)
+        seeds = [(int(x) + r0, int(y) + c0) for x, y in zip(r, c, strict=True) if (x + r0) % g == 0 and (y + c0) % g == 0]
+        windows = []
+        for gr, gc in seeds:
             for half in p.halves:
                 a, b = _window(gr, half, rows, p.strict_edges)
-                d, e = max(0, gc - half), min(cols, gc + half + 1)
-                windows.append((slice(a - r0, b - r0), slice(d - c0, e - c0)))
-            coefficients = [0.0 if not t[w_].size or not np.isfinite(t[w_]).any() else np.nan_to_num(kernels.bimodality(kernels.gaussian_smooth(t[w_]), p.least_pixels)) for w_ in windows]
-            best = int(np.argmax(coefficients))
-            chosen = windows[best] if coefficients[best] > p.local_bimodality else windows[-1]
-            if not t[chosen].size:
+                windows.append((a - r0, b - r0, max(0, gc - half) - c0, min(cols, gc + half + 1) - c0))
+        coefficients = _coefficients(t, windows, p).reshape(len(seeds), len(p.halves))
+        for k in range(len(seeds)):
+            best = int(np.argmax(coefficients[k]))
+            chosen = best if coefficients[k, best] > p.local_bimodality else len(p.halves) - 1
+            a, b, d, e = windows[k * len(p.halves) + chosen]
+            if a >= b or d >= e:
                 continue
-            votes[chosen] += local_decision(t[chosen], m[chosen], coefficients[best], mean, std, p)
-            visits[chosen] += 1
-        rr, cc = np.nonzero(visits)
-        return pd.DataFrame({"row": rr + r0, "col": cc + c0, "votes": votes[rr, cc], "visits": visits[rr, cc]})
+            at = (slice(a, b), slice(d, e))
+            votes[at] += local_decision(t[at], m[at], coefficients[k, best], own["mean"], own["std"], p)
+            visits[at] += 1
+        return halo.cells(own, keys, np.nonzero(visits), r0, c0, votes=votes, visits=visits)
 
-    given = spread.groupBy("ty", "tx").applyInPandas(run, "row long, col long, votes long, visits long")
-    return vote_probability(scores, given, p.probability)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "row long, col long, votes long, visits long"
+    given = halo.with_halo(chips, reach, run, schema, bodies)
+    return vote_probability(scores, given, p.probability, keys)
 
 
-def vote_probability(pixels: DataFrame, votes: DataFrame, limit: float = 0.25) -> DataFrame:
-    """row, col, probability, flooded: votes over visits plus one."""
-    sums = votes.groupBy("row", "col").agg(F.sum("votes").alias("votes"), F.sum("visits").alias("visits"))
+def vote_probability(pixels: DataFrame, votes: DataFrame, limit: float = 0.25, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, row, col, probability, flooded: votes over visits plus one."""
+    on = [*keys, "row", "col"]
+    sums = votes.groupBy(*on).agg(F.sum("votes").alias("votes"), F.sum("visits").alias("visits"))
     share = F.coalesce(F.col("votes") / (F.col("visits") + 1), F.lit(0.0))
-    return pixels.select("row", "col").join(sums, ["row", "col"], "left").select("row", "col", share.alias("probability")).withColumn("flooded", F.col("probability") > limit)
+    return pixels.select(*on).join(sums, on, "left").select(*on, share.alias("probability")).withColumn("flooded", F.col("probability") > limit)
 
 
 def growth_round(state: DataFrame, strict_edges: bool = False) -> DataFrame:
@@ -203,49 +228,96 @@ def growth_round(state: DataFrame, strict_edges: bool = False) -> DataFrame:
     return grown.select("row", "col", "t", (F.col("flooded") | new).alias("flooded"), new.alias("seed"))
 
 
-def region_growing(scores: DataFrame, mask: DataFrame, max_rounds: int = 999, strict_edges: bool = False, tile: int = 256, batch: int = 16) -> DataFrame:
-    """row, col, flooded: rounds until nothing is added; an empty mask comes back unchanged.
+def region_growing(
+    scores: DataFrame, mask: DataFrame, max_rounds: int = 999, strict_edges: bool = False, tile: int = 256, batch: int = 16, keys: tuple[str, ...] = (), written: list[int] | None = None
+) -> DataFrame:
+    """keys, row, col, flooded: rounds until nothing is added; an empty mask comes back unchanged.
 
-    A round carries two pixels far, so a tile with a halo of twice ``batch`` goes that many rounds
-    alone, and the raster is shuffled and written once per batch.
+    A round carries two pixels far, so a chip with a halo of twice ``batch`` goes that many rounds
+    alone. Only chips that have a seed within reach run in a batch: they and the strips around them
+    are read, by the stripes of chips that hold any, and a new version of them is written; what is
+    settled stays as it lies. ``written`` takes the number of chips that each batch has written.
     """
+    on = [*keys, "row", "col"]
     m = F.coalesce(F.col("mask"), F.lit(False))
-    state = cut(scores.select("row", "col", "t").join(mask.select("row", "col", "mask"), ["row", "col"], "left").select("row", "col", "t", m.alias("flooded"), m.alias("seed")))
-    while max_rounds > 0 and not state.where("seed").isEmpty():
-        state = cut(_grown(state, min(batch, max_rounds), strict_edges, tile))
-        max_rounds -= batch
-    return state.select("row", "col", "flooded")
-
-
-def _grown(state: DataFrame, rounds: int, strict_edges: bool, tile: int) -> DataFrame:
-    """``state`` (row, col, t, flooded, seed) after some rounds of growth, tile by tile."""
-    halo = 2 * rounds
-    kinds = dict(state.dtypes)
-    schema = f"row {kinds['row']}, col {kinds['col']}, t double, flooded boolean, seed boolean"
-
-    def span(place: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(place) - halo) / tile), F.floor((F.col(place) + halo) / tile)))
-
-    last = state.agg(F.max("row").alias("last_row"))
-    spread = state.withColumn("t", F.col("t").cast("double")).crossJoin(F.broadcast(last)).withColumn("ty", span("row")).withColumn("tx", span("col"))  # one row
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(key[0]), int(key[1])
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        own = (r // tile == ty) & (c // tile == tx)
-        if own.any() and pdf["seed"].any():
-            r0, c0, side = ty * tile - halo, tx * tile - halo, tile + 2 * halo
-            grids = {k: np.zeros((side, side), dtype=bool) for k in ("here", "flooded", "seed")}
-            t = np.full((side, side), np.nan)
-            at = (r - r0, c - c0)
-            t[at], grids["here"][at] = pdf["t"].to_numpy(dtype=float), True
-            grids["flooded"][at], grids["seed"][at] = pdf["flooded"].to_numpy(dtype=bool), pdf["seed"].to_numpy(dtype=bool)
-            edge = int(pdf["last_row"].iloc[0]) - r0 if strict_edges else None
-            flooded, seed = kernels.grow(t, grids["here"], grids["flooded"], grids["seed"], rounds, edge)
-            pdf = pdf.assign(flooded=flooded[at], seed=seed[at])
-        return pdf.loc[own, ["row", "col", "t", "flooded", "seed"]]
-
-    return spread.groupBy("ty", "tx").applyInPandas(run, schema)
+    base = scores.select(*on, "t").join(mask.select(*on, "mask"), on, "left").select(*on, "t", m.alias("flooded"), m.alias("seed"))
+    last = {tuple(r[k] for k in keys): r["last"] for r in base.groupBy(*keys).agg(F.max("row").alias("last")).collect()} if strict_edges else {}
+    return _Growth(base, tile, 2 * batch, keys).run(max_rounds, batch, last, written)
+
+
+class _Growth:
+    """The chips of a growing flood, in versions: a chip's newest version holds."""
+
+    def __init__(self, base: DataFrame, tile: int, reach: int, keys: tuple[str, ...]):
+        self.spark, self.kinds, self.reach = base.sparkSession, dict(base.dtypes), reach
+        self.first = halo.to_chips(base, tile, ("t",), ("flooded", "seed"), keys)
+        self.path, self.version = fresh(self.spark, "growth"), 0
+        self.names = [*self.first.bands, *self.first.flags]
+        self.schema = self.first.schema([*self.first.place, *self.names])
+
+    def _write(self, frame: DataFrame) -> DataFrame:
+        """The places of the chips of this version that have seeds."""
+        frame.write.partitionBy("cy").parquet(f"{self.path}/version={self.version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={self.version}")
+
+    def _newest(self, stripes: list[int] | None = None) -> DataFrame:
+        """The newest version of every chip, or of those in some stripes, which prune the files."""
+        found = self.spark.read.schema(f"{self.schema}, version int").option("basePath", self.path).parquet(*[f"{self.path}/version={k}" for k in range(self.version + 1)])
+        if stripes is not None:
+            found = found.where(F.col("cy").isin(stripes))
+        place = self.first.place
+        return found.groupBy(*place).agg(F.max_by(F.struct(*self.names), "version").alias("_c")).select(*place, "_c.*")
+
+    def _near_seeds(self, chips: DataFrame) -> DataFrame:
+        """Places of chips that have a seed, or one of a chip around, within reach."""
+        tile, parts, keys = self.first.tile, [(0, 0, slice(None), slice(None)), *halo._overlaps(self.first.tile, self.reach)], self.first.keys
+
+        def places(frames):
+            for pdf in frames:
+                grids = [np.frombuffer(x, dtype="u1").reshape(tile, tile) for x in pdf["seed"]]
+                for dy, dx, rows, cols in parts:
+                    has = np.array([bool(g[rows, cols].any()) for g in grids], dtype=bool)
+                    yield pdf.loc[has, [*keys]].assign(cy=pdf.loc[has, "cy"] + dy, cx=pdf.loc[has, "cx"] + dx)
+
+        return chips.select(*self.first.place, "seed").mapInPandas(places, self.first.schema(self.first.place)).distinct()
+
+    def run(self, max_rounds: int, batch: int, last: dict, written: list[int] | None) -> DataFrame:
+        place, tile, reach, keys = self.first.place, self.first.tile, self.reach, self.first.keys
+        active = cut(self._near_seeds(self._write(self.first.frame)))
+        while max_rounds > 0:
+            # the stripes with work, at most one number per row of chips
+            wanted = [r["cy"] for r in active.select("cy").distinct().collect()]
+            if not wanted:
+                break
+            span = math.ceil(reach / tile)
+            read = self._newest(sorted({y + d for y in wanted for d in range(-span, span + 1)}))
+            chips = halo.Chips(read, tile, self.first.bands, self.first.flags, keys)
+            rounds = min(batch, max_rounds)
+
+            def grow(own: dict, r0: int, c0: int, grids: dict[str, np.ndarray], rounds: int = rounds) -> pd.DataFrame:
+                edge = last[tuple(own[k] for k in keys)] - r0 if last else None
+                flooded, seed = kernels.grow(grids["t"], grids[halo.HERE] > 0, grids["flooded"] > 0, grids["seed"] > 0, rounds, edge)
+                inner = (slice(reach, reach + tile),) * 2
+                new = {"t": grids["t"], "flooded": flooded.astype("u1"), "seed": seed.astype("u1"), halo.HERE: grids[halo.HERE]}
+                return pd.DataFrame([{k: own[k] for k in place} | {b: x[inner].tobytes() for b, x in new.items()}])
+
+            bodies = read.join(active, place, "left_semi")
+            edges = halo.strips(chips, reach).join(active, place, "left_semi")
+            self.version += 1
+            now = self._write(halo.with_halo(chips, reach, grow, self.schema, bodies, edges))
+            if written is not None:
+                written.append(now.count())
+            active = cut(self._near_seeds(now))
+            max_rounds -= batch
+
+        def pixels(frames):
+            for pdf in frames:
+                for own in pdf.to_dict("records"):
+                    here, flooded = (np.frombuffer(own[b], dtype="u1").reshape(tile, tile) for b in (halo.HERE, "flooded"))
+                    yield halo.cells(own, keys, np.nonzero(here), own["cy"] * tile, own["cx"] * tile, flooded=flooded > 0)
+
+        schema = "".join(f"`{k}` {self.kinds[k]}, " for k in keys) + f"row {self.kinds['row']}, col {self.kinds['col']}, flooded boolean"
+        return self._newest().select(*place, halo.HERE, "flooded").mapInPandas(pixels, schema)
 
 
 def growth_factor(windows: DataFrame, mean: float, std: float, keys: tuple[str, ...]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inundata.functions.scalar import in_ring, ring_bounds, ring_sides
+from inundata.operators import halo
 
 
 def clip_to_bounds(pixels: DataFrame, lon_min: float, lat_min: float, lon_max: float, lat_max: float) -> DataFrame:
@@ -35,37 +38,43 @@ def axis_vectors(pixels: DataFrame) -> DataFrame:
     )
 
 
-def coarsen_max(pixels: DataFrame, value: str, size: int = 6) -> DataFrame:
-    """crow, ccol, value: maxima of size x size blocks; edge blocks have what is there."""
-    return pixels.groupBy(F.floor(F.col("row") / size).cast("int").alias("crow"), F.floor(F.col("col") / size).cast("int").alias("ccol")).agg(F.max(value).alias(value))
+def coarsen_max(pixels: DataFrame, value: str, size: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, crow, ccol, value: maxima of size x size blocks; edge blocks have what is there."""
+    block = lambda p, name: F.floor(F.col(p) / size).cast("int").alias(name)
+    return pixels.groupBy(*keys, block("row", "crow"), block("col", "ccol")).agg(F.max(value).alias(value))
 
 
-def slope(dem: DataFrame, cell_x: float, cell_y: float, value: str = "dem") -> DataFrame:
-    """row, col, slope: 3 x 3 Horn slope in degrees; NULL where a neighbour is missing.
+def slope(dem: DataFrame, cell_x: float, cell_y: float, value: str = "dem", tile: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, row, col, slope: 3 x 3 Horn slope in degrees; NULL where a neighbour is missing.
 
-    The kernel is a difference one way and a weighted sum the other, so neighbours along rows and
-    then along columns come from two windows; no cell is copied.
+    Each chip takes one line of cells from its neighbours. Cells without a value have no row.
     """
-    z = F.col("z")
-    along = Window.partitionBy("row").orderBy("col")
-    left = F.when(F.lag("col").over(along) == F.col("col") - 1, F.lag("z").over(along))
-    right = F.when(F.lead("col").over(along) == F.col("col") + 1, F.lead("z").over(along))
-    valid = dem.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("z"))
-    lines = valid.withColumns({"_l": left, "_r": right}).select("row", "col", (F.col("_r") - F.col("_l")).alias("d"), (F.col("_l") + 2.0 * z + F.col("_r")).alias("s"))
-    down = Window.partitionBy("col").orderBy("row")
-    above, below = F.lag("row").over(down) == F.col("row") - 1, F.lead("row").over(down) == F.col("row") + 1
-    near = lines.withColumns({f"{c}{k}": F.when(there, of(c).over(down)) for c in ("d", "s") for k, there, of in ((0, above, F.lag), (1, below, F.lead))})
-    gx, gy = F.col("d0") + 2.0 * F.col("d") + F.col("d1"), F.when(F.col("d").isNotNull(), F.col("s1") - F.col("s0"))
-    rise = F.sqrt(F.pow(gx / (8.0 * cell_x), F.lit(2.0)) + F.pow(gy / (8.0 * cell_y), F.lit(2.0)))
-    return near.select("row", "col", F.degrees(F.atan(rise)).alias("slope"))
-
-
-def slope_mask(pixels: DataFrame, cell_x: float, cell_y: float, limit: float = 10.0, size: int = 6, value: str = "dem") -> DataFrame:
-    """row, col, slope, slope_mask: slope of the coarse grid, brought back to each pixel."""
-    coarse = coarsen_max(pixels, value, size).withColumnsRenamed({"crow": "row", "ccol": "col"})
-    s = slope(coarse, cell_x * size, cell_y * size, value).withColumnsRenamed({"row": "crow", "col": "ccol"})
+    kinds = dict(dem.dtypes)
+
+    def horn(own: dict, r0: int, c0: int, grids: dict[str, np.ndarray]) -> pd.DataFrame:
+        z = grids["z"]
+        along, across = z[:, 2:] - z[:, :-2], z[2:] - z[:-2]
+        gx = along[:-2] + 2 * along[1:-1] + along[2:]
+        gy = across[:, :-2] + 2 * across[:, 1:-1] + across[:, 2:]
+        rise = np.hypot(gx / (8 * cell_x), gy / (8 * cell_y))
+        degrees = np.full(z.shape, np.nan)
+        degrees[1:-1, 1:-1] = np.where(np.isnan(z[1:-1, 1:-1]), np.nan, np.degrees(np.arctan(rise)))
+        inner = np.zeros(z.shape, dtype=bool)
+        inner[1:-1, 1:-1] = ~np.isnan(z[1:-1, 1:-1])
+        return halo.cells(own, keys, np.nonzero(inner), r0, c0, slope=degrees)
+
+    chips_ = halo.to_chips(dem.select(*keys, "row", "col", F.col(value).alias("z")).where("z is not null"), tile, ("z",), keys=keys)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"row {kinds['row']}, col {kinds['col']}, slope double"
+    found = halo.with_halo(chips_, 1, horn, schema)
+    return found.withColumn("slope", F.nanvl("slope", F.lit(None).cast("double")))
+
+
+def slope_mask(pixels: DataFrame, cell_x: float, cell_y: float, limit: float = 10.0, size: int = 6, value: str = "dem", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, row, col, slope, slope_mask: slope of the coarse grid, brought back to each pixel."""
+    coarse = coarsen_max(pixels, value, size, keys).withColumnsRenamed({"crow": "row", "ccol": "col"})
+    s = slope(coarse, cell_x * size, cell_y * size, value, keys=keys).withColumnsRenamed({"row": "crow", "col": "ccol"})
     placed = pixels.withColumns({"crow": F.floor(F.col("row") / size).cast("int"), "ccol": F.floor(F.col("col") / size).cast("int")})
-    return placed.join(s, ["crow", "ccol"], "left").select("row", "col", "slope", F.coalesce(F.col("slope") < limit, F.lit(False)).alias("slope_mask"))
+    return placed.join(s, [*keys, "crow", "ccol"], "left").select(*keys, "row", "col", "slope", F.coalesce(F.col("slope") < limit, F.lit(False)).alias("slope_mask"))
 
 
 def resample_nearest(source: DataFrame, target: DataFrame, x0: float, y0: float, dx: float, dy: float, value: str = "v") -> DataFrame:
