@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inundata.sources.folders import cut
+
 
 def weighted_stack(stack: DataFrame, static: DataFrame, value: str = "vv_vh_db") -> DataFrame:
     """time, row, col, v: dB weighted by the cosine of the local incidence angle."""
@@ -26,22 +28,25 @@ def pre_flood_stats(weighted: DataFrame) -> DataFrame:
     )
 
 
-def t_scores(weighted: DataFrame, clip: tuple[float, float] | None = (0.0001, 0.9999), exact: bool = True, flood_time: Column | None = None) -> DataFrame:
-    """row, col, t: (flood - mean) / (std / sqrt(n)), clipped to two quantiles.
+def t_scores(
+    weighted: DataFrame, clip: tuple[float, float] | None = (0.0001, 0.9999), exact: bool = True, flood_time: Column | None = None, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """keys, row, col, t: (flood - mean) / (std / sqrt(n)), clipped to two quantiles.
 
-    One pass with conditional aggregates. n is the number of pre-flood times of the whole stack.
-    A deviation of zero gives an infinity of the numerator's sign, NULL when that is zero too.
-    ``exact=False`` takes approximate quantiles, which hold less per task. The job fails when the
-    last time isn't ``flood_time``, if that is given.
+    One pass with conditional aggregates; ``keys`` (area, event) have a last time each. n is the
+    number of pre-flood times of the whole stack. A deviation of zero gives an infinity of the
+    numerator's sign, NULL when that is zero too. ``exact=False`` takes approximate quantiles, which
+    hold less per task. The job fails when the last time isn't ``flood_time``, if that is given.
+    Scores are written before they are clipped, and the result reads them there.
     """
     flood = F.max("time")
     if flood_time is not None:
         flood = F.when(flood == flood_time, flood).otherwise(F.raise_error(F.lit("the last image is not that of the flood time")))
-    last = weighted.agg(flood.alias("last"), (F.countDistinct("time") - 1).alias("n"))
+    last = weighted.groupBy(*keys).agg(flood.alias("last"), (F.countDistinct("time") - 1).alias("n"))
+    timed = weighted.join(last, list(keys)) if keys else weighted.crossJoin(F.broadcast(last))  # one row
     before = F.when(F.col("time") < F.col("last"), F.col("v"))
     scored = (
-        weighted.crossJoin(F.broadcast(last))  # one row
-        .groupBy("row", "col")
+        timed.groupBy(*keys, "row", "col")
         .agg(
             F.avg(before).alias("mean"),
             F.stddev_pop(before).alias("std"),
@@ -50,6 +55,7 @@ def t_scores(weighted: DataFrame, clip: tuple[float, float] | None = (0.0001, 0.
         )
         .withColumn("d", F.col("flood") - F.col("mean"))
         .select(
+            *keys,
             "row",
             "col",
             F.when(F.col("std") > 0, F.col("d") / (F.col("std") / F.sqrt("n")))
@@ -58,35 +64,41 @@ def t_scores(weighted: DataFrame, clip: tuple[float, float] | None = (0.0001, 0.
             .alias("t"),
         )
     )
-    return scored if clip is None else quantile_clip(scored, "t", *clip, exact=exact)
+    return scored if clip is None else quantile_clip(scored, "t", *clip, keys=keys, exact=exact)
 
 
 #: Share of the rows by which approximate quantiles may miss their rank.
 _RANK_ERROR = 1e-3
 
 
-def quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
+def _kept(df: DataFrame, kept: bool) -> DataFrame:
+    """``df`` written once, unless it lies in files already: what reads it again doesn't work it out again."""
+    return df if kept else cut(df)
+
+
+def quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True, kept: bool = False) -> DataFrame:
     """keys, q_lo, q_hi with linear interpolation (``exact``), or approximate.
 
     Exact ones take two passes: approximate quantiles on both sides of each wanted rank, then the
     counts of the values between these, a few thousandths of all rows, so that no task holds every
     value of an image. The values at the two ranks are found by running sums of those counts.
+    Values are written before the passes, unless they are ``kept`` already.
     """
     if not exact:
         q = F.percentile_approx(value, [lo, hi], 100_000)
         return df.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi"))
     sides = [max(0.0, lo - 2 * _RANK_ERROR), min(1.0, lo + 2 * _RANK_ERROR), max(0.0, hi - 2 * _RANK_ERROR), min(1.0, hi + 2 * _RANK_ERROR)]
-    near = F.percentile_approx(value, sides, int(1 / _RANK_ERROR))
-    slim = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = df.groupBy(*keys).agg(F.count(value).alias("_n"), near.alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    slim = _kept(df.select(*keys, F.col(value).cast("double").alias("_v")), kept)
+    near = F.percentile_approx("_v", sides, int(1 / _RANK_ERROR))
+    ends = cut(slim.groupBy(*keys).agg(F.count("_v").alias("_n"), near.alias("_q"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
     few = F.col("_n") * _RANK_ERROR < 10  # so few that the sides could be nearer than a rank: all values are counted
     wanted = F.array(
         *[
             F.struct(
                 F.lit(i).alias("which"),
                 ((F.col("_n") - 1) * F.lit(q)).alias("rank"),
-                F.when(few | F.lit(sides[2 * i] == 0), F.col("_min")).otherwise(F.col("_q")[2 * i]).cast("double").alias("from"),
-                F.when(few | F.lit(sides[2 * i + 1] == 1), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).cast("double").alias("to"),
+                F.when(few | F.lit(sides[2 * i] == 0), F.col("_min")).otherwise(F.col("_q")[2 * i]).alias("from"),
+                F.when(few | F.lit(sides[2 * i + 1] == 1), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias("to"),
             )
             for i, q in enumerate((lo, hi))
         ]
@@ -107,24 +119,27 @@ def quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str,
     return ends.select(*keys).join(by_key, list(keys), "left") if keys else by_key
 
 
-def _with_quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...], exact: bool) -> DataFrame:
-    q = quantiles(df, value, lo, hi, keys, exact)
+def _with_quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...], exact: bool, kept: bool) -> DataFrame:
+    df = _kept(df, kept)
+    own = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    q = cut(quantiles(own, "_v", lo, hi, keys, exact, kept=True))
     return df.join(q, list(keys), "left") if keys else df.crossJoin(F.broadcast(q))  # one row
 
 
-def quantile_clip(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
+def quantile_clip(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True, kept: bool = False) -> DataFrame:
     """Values outside the two quantiles become the quantile."""
     clipped = F.when(F.col(value).isNotNull(), F.greatest("q_lo", F.least("q_hi", value)))
-    return _with_quantiles(df, value, lo, hi, keys, exact).withColumn(value, clipped).drop("q_lo", "q_hi")
+    return _with_quantiles(df, value, lo, hi, keys, exact, kept).withColumn(value, clipped).drop("q_lo", "q_hi")
 
 
-def quantile_trim(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
+def quantile_trim(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True, kept: bool = False) -> DataFrame:
     """Rows strictly outside the two quantiles go."""
-    return _with_quantiles(df, value, lo, hi, keys, exact).where((F.col(value) >= F.col("q_lo")) & (F.col(value) <= F.col("q_hi"))).drop("q_lo", "q_hi")
+    return _with_quantiles(df, value, lo, hi, keys, exact, kept).where((F.col(value) >= F.col("q_lo")) & (F.col(value) <= F.col("q_hi"))).drop("q_lo", "q_hi")
 
 
-def histogram(df: DataFrame, value: str, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int, keys: tuple[str, ...] = (), kept: bool = False) -> DataFrame:
     """keys, bin, n, lo, hi: equal bins between least and greatest value, the last one closed."""
+    df = _kept(df.select(*keys, value), kept)
     ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     with_ends = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))  # one row
     width = F.col("hi") - F.col("lo")
@@ -132,12 +147,12 @@ def histogram(df: DataFrame, value: str, bins: int, keys: tuple[str, ...] = ())
     return with_ends.where(F.col(value).isNotNull()).groupBy(*keys, place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
 
 
-def otsu_threshold(df: DataFrame, value: str, keys: tuple[str, ...] = (), bins: int = 256) -> DataFrame:
+def otsu_threshold(df: DataFrame, value: str, keys: tuple[str, ...] = (), bins: int = 256, kept: bool = False) -> DataFrame:
     """keys, threshold: centre of the first bin with the greatest between-class variance.
 
     The cumulative sums run over at most ``bins`` rows per key. A constant input gives its value.
     """
-    h = histogram(df, value, bins, keys).withColumn("x", F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins)
+    h = histogram(df, value, bins, keys, kept).withColumn("x", F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins)
     full = (
         h.groupBy(*keys)
         .agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("at"))
@@ -159,13 +174,14 @@ def otsu_threshold(df: DataFrame, value: str, keys: tuple[str, ...] = (), bins:
     )
 
 
-def kittler_threshold(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def kittler_threshold(df: DataFrame, value: str, keys: tuple[str, ...] = (), kept: bool = False) -> DataFrame:
     """keys, threshold: minimum-error threshold on tenths of whole steps between two percentiles.
 
     Bins run over [lo, hi], the 0.1 and 99.9 percentiles truncated to whole numbers, ten per
     whole number in it; values outside are ignored. lo = hi gives NULL.
     """
-    ends = quantiles(df, value, 0.001, 0.999, keys).select(*keys, F.col("q_lo").cast("long").alias("lo"), F.col("q_hi").cast("long").alias("hi"))
+    df = _kept(df.select(*keys, F.col(value).cast("double").alias(value)), kept)
+    ends = cut(quantiles(df, value, 0.001, 0.999, keys, kept=True).select(*keys, F.col("q_lo").cast("long").alias("lo"), F.col("q_hi").cast("long").alias("hi")))
     joined = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))  # one row
     bins = (F.col("hi") - F.col("lo") + 1) * 10
     width = F.col("hi") - F.col("lo")
@@ -205,20 +221,22 @@ def bimodality_coefficient(df: DataFrame, value: str, keys: tuple[str, ...] = ()
     return sums.select(*keys, "n", F.when(F.col("n") >= least, bc).alias("bc"))
 
 
-def water_stats(scores: DataFrame, mask: str = "mask", lo: float = 0.01, hi: float = 0.99, keys: tuple[str, ...] = ()) -> DataFrame:
+def water_stats(scores: DataFrame, mask: str = "mask", lo: float = 0.01, hi: float = 0.99, keys: tuple[str, ...] = (), kept: bool = False) -> DataFrame:
     """keys, mean, std of clipped scores with pixels outside the mask as 0 (not missing)."""
     raw = scores.select(*keys, F.when(F.col("t").isNotNull(), F.when(F.col(mask), F.col("t")).otherwise(0.0)).alias("t"))
-    clipped = quantile_clip(raw, "t", lo, hi, keys)
+    clipped = quantile_clip(raw, "t", lo, hi, keys, kept=kept)
     return clipped.groupBy(*keys).agg(F.avg("t").alias("mean"), F.stddev_pop("t").alias("std"))
 
 
-def histogram_compare(scores: DataFrame, flag: str, bins: int = 100, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    """source (all, flagged), bin, n: counts of trimmed scores, each source over its own range."""
-    both = scores.select(F.lit("all").alias("source"), "t").unionByName(scores.where(flag).select(F.lit("flagged").alias("source"), "t"))
-    return histogram(quantile_trim(both.where("t is not null"), "t", lo, hi, ("source",)), "t", bins, ("source",)).select("source", "bin", "n")
+def histogram_compare(scores: DataFrame, flag: str, bins: int = 100, lo: float = 0.005, hi: float = 0.995, keys: tuple[str, ...] = (), kept: bool = False) -> DataFrame:
+    """keys, source (all, flagged), bin, n: counts of trimmed scores, each source over its own range."""
+    sources = F.array(F.lit("all"), F.when(F.col(flag), F.lit("flagged")))
+    both = scores.where("t is not null").select(*keys, "t", F.explode(F.filter(sources, lambda s: s.isNotNull())).alias("source"))
+    by = (*keys, "source")
+    return histogram(quantile_trim(both, "t", lo, hi, by, kept=kept), "t", bins, by, kept=True).select(*by, "bin", "n")
 
 
-def display_stretch(df: DataFrame, value: str, lo: float = 0.01, hi: float = 0.99, keys: tuple[str, ...] = ()) -> DataFrame:
+def display_stretch(df: DataFrame, value: str, lo: float = 0.01, hi: float = 0.99, keys: tuple[str, ...] = (), kept: bool = False) -> DataFrame:
     """A band clipped to two quantiles of its finite values."""
     finite = df.withColumn(value, F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value)))
-    return quantile_clip(finite, value, lo, hi, keys)
+    return quantile_clip(finite, value, lo, hi, keys, kept=kept)

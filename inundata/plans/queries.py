@@ -68,14 +68,14 @@ TRIMMED = f"""{v.SCORES}, q2 AS (SELECT quantile_cont(t, 0.01) AS lo, quantile_c
 
 @register(f"WITH {TRIMMED}, {OTSU} SELECT round(threshold, 5) AS threshold FROM otsu")
 def otsu_threshold(spark: S, sf: str) -> D:
-    return stats.otsu_threshold(stats.quantile_trim(_scores(spark, sf), "t", 0.01, 0.99), "t").select(r("threshold", 5).alias("threshold"))
+    return stats.otsu_threshold(stats.quantile_trim(_scores(spark, sf), "t", 0.01, 0.99, kept=True), "t", kept=True).select(r("threshold", 5).alias("threshold"))
 
 
 @register(f"WITH {TRIMMED}, {OTSU} SELECT s.row // 4 AS tile_row, s.col // 10 AS tile_col, count(*) AS n_pixels, count(*) FILTER (WHERE t < threshold) AS n_flooded FROM scores s, otsu GROUP BY 1, 2")
 def flooded_pixels(spark: S, sf: str) -> D:
     """The flagship: stack, weights, scores, global threshold, flooded pixels per tile."""
     scores = _scores(spark, sf)
-    threshold = stats.otsu_threshold(stats.quantile_trim(scores, "t", 0.01, 0.99), "t")
+    threshold = stats.otsu_threshold(stats.quantile_trim(scores, "t", 0.01, 0.99, kept=True), "t", kept=True)
     flooded = scores.crossJoin(F.broadcast(threshold))  # one row
     return flooded.groupBy(F.floor(F.col("row") / 4).cast("int").alias("tile_row"), F.floor(F.col("col") / 10).cast("int").alias("tile_col")).agg(
         F.count("*").alias("n_pixels"), F.count_if(scalar.below(F.col("t"), F.col("threshold"))).alias("n_flooded")
@@ -84,12 +84,12 @@ def flooded_pixels(spark: S, sf: str) -> D:
 
 @register(f"WITH {v.SCORES}, q2 AS (SELECT quantile_cont(t, 0.01) AS lo, quantile_cont(t, 0.99) AS hi FROM scores) SELECT row, col, round(CASE WHEN t IS NOT NULL THEN greatest(lo, least(hi, t)) END, 5) AS t FROM scores, q2")
 def quantile_clip(spark: S, sf: str) -> D:
-    return stats.display_stretch(_scores(spark, sf), "t").select("row", "col", r("t", 5).alias("t"))
+    return stats.display_stretch(_scores(spark, sf), "t", kept=True).select("row", "col", r("t", 5).alias("t"))
 
 
 @register(f"WITH {TRIMMED} SELECT row, col, round(t, 5) AS t FROM src")
 def quantile_trim(spark: S, sf: str) -> D:
-    return stats.quantile_trim(_scores(spark, sf), "t", 0.01, 0.99).select("row", "col", r("t", 5).alias("t"))
+    return stats.quantile_trim(_scores(spark, sf), "t", 0.01, 0.99, kept=True).select("row", "col", r("t", 5).alias("t"))
 
 
 KITTLER = """e AS (SELECT CAST(trunc(quantile_cont(t, 0.001)) AS BIGINT) AS lo, CAST(trunc(quantile_cont(t, 0.999)) AS BIGINT) AS hi FROM src),
@@ -102,7 +102,7 @@ KITTLER = """e AS (SELECT CAST(trunc(quantile_cont(t, 0.001)) AS BIGINT) AS lo,
 
 @register(f"WITH {v.SCORES}, src AS (SELECT t FROM scores WHERE t IS NOT NULL), {KITTLER} SELECT round(g, 5) AS threshold FROM k")
 def kittler_threshold(spark: S, sf: str) -> D:
-    return stats.kittler_threshold(_scores(spark, sf), "t").select(r("threshold", 5).alias("threshold"))
+    return stats.kittler_threshold(_scores(spark, sf), "t", kept=True).select(r("threshold", 5).alias("threshold"))
 
 
 @register("""WITH m AS (SELECT p_type AS kind, count(*) AS n, avg(p_retailprice) AS mu FROM part GROUP BY 1), z AS (
@@ -125,7 +125,7 @@ def water_stats(spark: S, sf: str) -> D:
   e AS (SELECT source, min(t) AS lo, max(t) AS hi FROM tr GROUP BY 1)
   SELECT tr.source, least(99, CAST(floor((t - lo) * 100 / (hi - lo)) AS INT)) AS bin, count(*) AS n FROM tr JOIN e ON tr.source = e.source GROUP BY 1, 2""")
 def histogram_compare(spark: S, sf: str) -> D:
-    return stats.histogram_compare(v.band(spark, sf).withColumn("f", F.col("t") < 0), "f")
+    return stats.histogram_compare(v.band(spark, sf).withColumn("f", F.col("t") < 0), "f", kept=True)
 
 
 # -- catalogue ---------------------------------------------------------------------------------

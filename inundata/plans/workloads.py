@@ -27,7 +27,7 @@ def statistical_flood_map(
     scores = cut(stats.t_scores(stats.weighted_stack(stack, static)))
     mask = cut(delineate.bimodality_mask(scores, p).withColumnRenamed("mask", "multimodality_mask"))
     bimodal = scores.join(mask.where("multimodality_mask"), on, "left_semi")
-    threshold = stats.otsu_threshold(stats.quantile_trim(bimodal, "t", 0.01, 0.99), "t")
+    threshold = stats.otsu_threshold(stats.quantile_trim(bimodal, "t", 0.01, 0.99), "t", kept=True)
     slopes = raster.slope_mask(static, cell_x, cell_y, slope_limit).select("row", "col", "slope_mask")
     dark = scalar.below(F.col("t"), F.col("threshold"))
     steep = F.coalesce("slope_mask", F.lit(False))
@@ -37,7 +37,7 @@ def statistical_flood_map(
         .join(slopes, on, "left")
         .select("row", "col", "t", "multimodality_mask", dark.alias("global"), steep.alias("slope_mask"), (dark & steep).alias("global_masked"))
     )
-    water = stats.water_stats(layers, "global_masked").first()
+    water = stats.water_stats(layers, "global_masked", kept=True).first()
     mean, std = water["mean"] or 0.0, water["std"] or 0.0
     local = delineate.adaptive_threshold(scores, layers.select("row", "col", F.col("global").alias("mask")), mean, std, p)
     local = cut(local.select("row", "col", F.col("flooded").alias("local")))
