@@ -105,14 +105,18 @@ def attribute(attributes: Column, name: str) -> Column:
     return F.try_element_at(F.filter(attributes, lambda a: a["Name"] == name), F.lit(1))["Value"]
 
 
-def _placed(name: Column, pattern: str, places: dict[str, tuple[int, int]]) -> dict[str, Column]:
-    """Fields at fixed places of a name; all NULL when the name doesn't have the pattern."""
-    return {field: F.when(name.rlike(pattern), F.substring(name, at, length)) for field, (at, length) in places.items()}
+def _placed(name: Column, pattern: str | None, places: dict[str, tuple[int, int]]) -> dict[str, Column]:
+    """Fields at fixed places of a name; all NULL when the name doesn't have the pattern, if one is given."""
+    fields = {field: F.substring(name, at, length) for field, (at, length) in places.items()}
+    return fields if pattern is None else {field: F.when(name.rlike(pattern), c) for field, c in fields.items()}
 
 
-def product_fields(name: Column) -> dict[str, Column]:
-    """The fields of a product file name; all NULL when the name is none."""
-    parts = _placed(name, PRODUCT_NAME, PRODUCT_PLACES)
+def product_fields(name: Column, checked: bool = False) -> dict[str, Column]:
+    """The fields of a product file name; all NULL when the name is none.
+
+    The pattern is tested once a field; a caller that has filtered on it says ``checked``.
+    """
+    parts = _placed(name, None if checked else PRODUCT_NAME, PRODUCT_PLACES)
     parts["start"] = F.try_to_timestamp(parts["start"], F.lit(STAMP))
     parts["stop"] = F.try_to_timestamp(parts["stop"], F.lit(STAMP))
     parts["absolute_orbit"] = parts["absolute_orbit"].cast("int")
@@ -127,9 +131,9 @@ def relative_orbit(mission: Column, absolute: Column) -> Column:
     return out
 
 
-def orbit_fields(name: Column) -> dict[str, Column]:
+def orbit_fields(name: Column, checked: bool = False) -> dict[str, Column]:
     """mission, orbit_type (precise, restituted, predicted), created, start, stop of an orbit file name."""
-    parts = _placed(name, ORBIT_NAME, ORBIT_PLACES)
+    parts = _placed(name, None if checked else ORBIT_NAME, ORBIT_PLACES)
     kinds = F.create_map(*[F.lit(x) for pair in (("POE", "precise"), ("RES", "restituted"), ("PRE", "predicted")) for x in pair])
     times = {n: F.try_to_timestamp(parts[n], F.lit(STAMP)) for n in ("created", "start", "stop")}
     return {"mission": parts["mission"], "orbit_type": F.try_element_at(kinds, parts["kind"])} | times

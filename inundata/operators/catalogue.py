@@ -71,7 +71,7 @@ def same_pass_products(products: DataFrame, chosen: DataFrame, keys: tuple[str,
 def list_products(names: DataFrame, name: str = "name") -> DataFrame:
     """Names that parse, with their fields; others are dropped silently."""
     parsed = names.where(F.col(name).rlike(PRODUCT_NAME))
-    return parsed.select(F.col(name), *[c.alias(k) for k, c in product_fields(F.col(name)).items()]).where("start is not null")
+    return parsed.select(F.col(name), *[c.alias(k) for k, c in product_fields(F.col(name), checked=True).items()]).where("start is not null")
 
 
 def scene_day_tiles(scenes: DataFrame, flood: DataFrame, ts: str = "ts", most: int = 2) -> DataFrame:

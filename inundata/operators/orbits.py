@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inundata.functions.scalar import ORBIT_SECONDS
+from inundata.functions.scalar import ORBIT_NAME, ORBIT_SECONDS, orbit_fields
+
+
+def list_orbit_files(names: DataFrame, name: str = "name") -> DataFrame:
+    """Names of orbit files that parse, with their fields; others are dropped silently."""
+    parsed = names.where(F.col(name).rlike(ORBIT_NAME))
+    return parsed.select(F.col(name), *[c.alias(k) for k, c in orbit_fields(F.col(name), checked=True).items()]).where("orbit_type is not null")
 
 
 def _seconds(n: float) -> Column:

@@ -226,8 +226,8 @@ def parse_orbit_name(spark: S, sf: str) -> D:
     hour = F.expr("INTERVAL 1 HOUR")
     d = F.col("l_shipdate")
     name = F.concat(F.when(F.col("l_suppkey") % 2 == 0, "S1A").otherwise("S1B"), F.lit("_OPER_AUX_"), kind, F.lit("ORB_OPOD_"), stamp(d), F.lit("_V"), stamp(d - hour), F.lit("_"), stamp(d + hour))
-    parsed = v.table(spark, sf, "lineitem").select(*[c.alias(k) for k, c in scalar.orbit_fields(name).items()])
-    return parsed.where("orbit_type is not null").groupBy("mission", "orbit_type", "start").agg(F.count("*").alias("n"))
+    parsed = orbits.list_orbit_files(v.table(spark, sf, "lineitem").select(name.alias("name")))
+    return parsed.groupBy("mission", "orbit_type", "start").agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {NAMES} SELECT substr(name, 1, 3) AS sensor, substr(name, 18, 4) AS year, substr(name, 22, 2) AS month, substr(name, 18, 15) AS time, count(*) AS n FROM names GROUP BY 1, 2, 3, 4")
