@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inundata.functions.scalar import PRODUCT_NAME, attribute, boxes_overlap, outer_ring, product_fields, ring_bounds, rings_meet
+from inundata.operators.scans import chain
 from inundata.sources.folders import cut
 
 #: Fixed names of the attributes that become columns.
@@ -44,23 +45,14 @@ def latest_product(products: DataFrame, begin: str = "begin", published: str = "
     return products.groupBy(*keys, F.col(begin).alias("_begin")).agg(best.alias("p")).select("p.*")
 
 
-def thin_datetimes(times: DataFrame, ts: str = "ts", keys: tuple[str, ...] = (), seconds: float = 60.0) -> DataFrame:
+def thin_datetimes(times: DataFrame, ts: str = "ts", keys: tuple[str, ...] = (), seconds: float = 60.0, ranges: int | None = None) -> DataFrame:
     """keys, ts: the first time, then each time at least ``seconds`` after the last one kept.
 
-    A time at least ``seconds`` after the one before it is kept whatever was kept before, so each
-    run of nearer times is folded alone, over its sorted distinct times.
+    Times are sorted into ranges, so neither a key nor an unbroken run of near times has to fit a
+    task; each range says what it makes of the time kept before it (``scans.chain``).
     """
-    stamps = F.array_sort(F.collect_set("_u"))
-    gap = int(seconds * 1_000_000)
-    order = Window.partitionBy(*keys).orderBy("_u")
-    far = F.coalesce(F.col("_u") - F.lag("_u").over(order) >= gap, F.lit(True))
-    runs = times.where(F.col(ts).isNotNull()).select(*keys, F.unix_micros(ts).alias("_u")).distinct().withColumn("_far", far.cast("int")).withColumn("_run", F.sum("_far").over(order))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    keep = lambda a, t: F.when(
-        a["last"].isNull() | (t - a["last"] >= gap), F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))
-    ).otherwise(F.struct(a["last"].alias("last"), a["kept"].alias("kept")))
-    folded = runs.groupBy(*keys, "_run").agg(stamps.alias("s"))
-    return folded.select(*keys, F.explode(F.aggregate("s", start, keep, lambda a: a["kept"])).alias("u")).select(*keys, F.timestamp_micros("u").alias(ts))
+    known = times.where(F.col(ts).isNotNull()).select(*keys, F.unix_micros(ts).alias("_u")).distinct()
+    return chain(known, keys, "_u", int(seconds * 1_000_000), ranges).select(*keys, F.timestamp_micros("_u").alias(ts))
 
 
 def same_pass_products(products: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ("orbitDirection", "relativeOrbitNumber")) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inundata.functions import kernels
 from inundata.operators import halo
+from inundata.operators.scans import running_sums
 from inundata.sources.folders import cut, fresh
 
 
@@ -340,36 +341,35 @@ def darker_than(groups: DataFrame, mean: float, std: float, keys: tuple[str, ...
 
 
 def ks_distance(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, n, m, d: two-sample distance; ``side`` is 0 or 1, ``t`` the value.
+    """keys, n, m, d: two-sample distance; ``side`` is 0 or 1, ``t`` the value. Missing values sort last.
 
-    Counts per distinct value and running sums, all in expressions.
+    Counts per distinct value and running sums over ranges of values, so no group has to fit a task.
     """
-    from pyspark.sql import Window
-
-    by_value = samples.groupBy(*keys, "t").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    up = Window.partitionBy(*keys).orderBy(F.col("t").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keys)
-    run = by_value.withColumns({"n": F.sum("a").over(all_), "m": F.sum("b").over(all_), "ra": F.sum("a").over(up), "rb": F.sum("b").over(up)})
-    return run.where("n > 0 and m > 0").groupBy(*keys).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.abs(F.col("ra") / F.col("n") - F.col("rb") / F.col("m"))).alias("d"))
+    value = F.coalesce(F.col("t").cast("double"), F.lit(float("nan"))).alias("t")
+    by_value = samples.groupBy(*keys, value).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    run = running_sums(by_value, ["t"], {"ra": F.col("a"), "rb": F.col("b")}, keys)
+    all_ = samples.groupBy(*keys).agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m")).where("n > 0 and m > 0")
+    met = run.join(all_, list(keys)) if keys else run.crossJoin(F.broadcast(all_))  # one row
+    return met.groupBy(*keys).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.abs(F.col("ra") / F.col("n") - F.col("rb") / F.col("m"))).alias("d"))
 
 
 def ks_similar(samples: DataFrame, keys: tuple[str, ...], p_value: float = 0.05, standardise: bool = False) -> DataFrame:
-    """keys, d, similar: unless the exact p-value is below ``p_value``; groups are windows.
+    """keys, d, similar: unless the exact p-value is below ``p_value``; NULL where a side is empty.
 
-    With ``standardise`` each side is first brought to mean 0 and deviation 1.
+    The p-value comes from (n, m, d) alone, so a group's values never meet. With ``standardise``
+    each side is first brought to mean 0 and deviation 1; a constant side is missing everywhere.
     """
-    kinds = dict(samples.dtypes)
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "d double, similar boolean"
+    if standardise:
+        own = samples.groupBy(*keys, "side").agg(F.avg("t").alias("_m"), F.stddev_pop("t").alias("_s"))
+        t = F.try_divide(F.col("t") - F.col("_m"), F.nullif("_s", F.lit(0.0)))
+        samples = samples.select(*keys, "side", "t").join(own, [*keys, "side"]).select(*keys, "side", t.alias("t"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf.loc[pdf["side"] == s, "t"].to_numpy(dtype=float) for s in (0, 1))
-        if standardise:
-            with np.errstate(invalid="ignore"):  # a constant side is missing everywhere
-                a, b = ((x - x.mean()) / x.std() if len(x) else x for x in (a, b))
-        row = (kernels.ks_statistic(a, b), kernels.ks_similar(a, b, p_value)) if len(a) and len(b) else (None, None)
-        return pd.DataFrame([(*key, *row)])
-
-    return samples.groupBy(*keys).applyInPandas(run, schema)
+    @F.pandas_udf("boolean")
+    def decided(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([kernels.ks_decided(float(x), int(a), int(b), p_value) for x, a, b in zip(d, n, m, strict=True)], dtype=bool)
+
+    found = ks_distance(samples, keys).withColumn("similar", decided("d", "n", "m"))
+    return samples.select(*keys).distinct().join(found, list(keys), "left").select(*keys, "d", "similar")
 
 
 def gaussian_similar(groups: DataFrame, mean: float, std: float, keys: tuple[str, ...], limit: float = 1.0, points: int = 100) -> DataFrame:

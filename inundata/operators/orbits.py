@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inundata.functions.scalar import ORBIT_NAME, ORBIT_SECONDS, orbit_fields
+from inundata.operators.scans import running_sums
 
 
 def list_orbit_files(names: DataFrame, name: str = "name") -> DataFrame:
@@ -77,8 +78,7 @@ def osv_range(osv: DataFrame, low: Column, high: Column, extra: int = 1, keys: t
 
     Empty when none is in range.
     """
-    order = Window.partitionBy(*keys).orderBy("utc") if keys else Window.orderBy("utc")
-    numbered = osv.withColumn("_i", F.row_number().over(order))
+    numbered = running_sums(osv, ["utc"], {"_i": F.lit(1)}, keys)
     inside = F.when((F.col("utc") >= low) & (F.col("utc") <= high), F.col("_i"))
     span = numbered.groupBy(*keys).agg(F.min(inside).alias("_a"), F.max(inside).alias("_b"))
     joined = numbered.join(span, list(keys)) if keys else numbered.crossJoin(F.broadcast(span))  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inundata.functions.scalar import latest_run, metres_to_mm, rate_to_mm_per_hour
+from inundata.operators.scans import running_sums
 
 
 def period_plan(hours: DataFrame, ts: str = "ts") -> DataFrame:
@@ -95,13 +96,11 @@ def forecast_stitch(runs: DataFrame) -> DataFrame:
 def marker_position(days: DataFrame, markers: DataFrame) -> DataFrame:
     """marker, place: 0-based bar of each marker, the number of days before it less one.
 
-    Running counts of the merged days and markers; no pair of them is formed.
+    Running counts over ranges of the merged days and markers; no pair of them is formed.
     """
-    from pyspark.sql import Window
-
     merged = days.select(F.col("day").cast("timestamp").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("timestamp").alias("marker")).unionByName(
         markers.select(F.col("marker").alias("at"), F.lit(0).alias("n"), "marker")
     )
     # a marker stands before the day that begins with it
-    order = Window.orderBy("at", "n").rowsBetween(Window.unboundedPreceding, 0)
-    return merged.withColumn("place", (F.sum("n").over(order) - 1).cast("int")).where("marker is not null").select("marker", "place").distinct()
+    placed = running_sums(merged, ["at", "n"], {"upto": F.col("n")})
+    return placed.where("marker is not null").select("marker", (F.col("upto") - 1).cast("int").alias("place")).distinct()

@@ -698,6 +698,24 @@ def ks_similar(spark: S, sf: str) -> D:
     return delineate.ks_similar(s, ("g",)).select("g", r("d").alias("d"), "similar")
 
 
+#: Lattice paths that stay in the band, row by row, as lists; the share that doesn't is the p-value.
+PATHS = f"""{v.BAND}, s AS (SELECT row AS g, t - CASE WHEN col % 2 = 0 AND row % 3 = 0 THEN 0.7e0 ELSE 0 END AS t, CASE WHEN col % 2 = 0 THEN 0 ELSE 1 END AS side FROM band),
+  c AS (SELECT g, t, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM s GROUP BY 1, 2),
+  u AS (SELECT g, sum(a) OVER w AS ra, sum(b) OVER w AS rb, sum(a) OVER (PARTITION BY g) AS n, sum(b) OVER (PARTITION BY g) AS m FROM c WINDOW w AS (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING)),
+  k AS (SELECT g, any_value(n)::BIGINT AS n, any_value(m)::BIGINT AS m, max(abs(ra::DOUBLE / n - rb::DOUBLE / m)) AS d FROM u WHERE n > 0 AND m > 0 GROUP BY 1),
+  p(g, n, m, d, i, line) AS (SELECT g, n, m, d, 0, list_transform(range(m + 1), lambda j: CASE WHEN j * n < d * n * m - 0.5 THEN 1e0 ELSE 0e0 END) FROM k
+    UNION ALL SELECT g, n, m, d, i + 1, list_transform(range(m + 1), lambda j: CASE WHEN abs((i + 1) * m - j * n) < d * n * m - 0.5 THEN
+      list_sum(list_transform(range(j + 1), lambda h: CASE WHEN abs((i + 1) * m - h * n) < d * n * m - 0.5 THEN line[h + 1] ELSE 0e0 END)) ELSE 0e0 END) FROM p WHERE i < n)"""
+
+
+@register(f"WITH RECURSIVE {PATHS} SELECT g, round(d, 6) AS d, 1 - line[m + 1] / exp(lgamma(n + m + 1) - lgamma(n + 1) - lgamma(m + 1)) >= 0.05e0 AS similar FROM p WHERE i = n")
+def ks_similar_rows(spark: S, sf: str) -> D:
+    """Even against odd columns of each row, a third of the rows shifted; the twin counts lattice paths."""
+    shifted = F.col("t") - F.when((F.col("col") % 2 == 0) & (F.col("row") % 3 == 0), 0.7).otherwise(0.0)
+    s = v.band(spark, sf).select(F.col("row").alias("g"), shifted.alias("t"), (F.col("col") % 2).alias("side"))
+    return delineate.ks_similar(s, ("g",)).where("d is not null").select("g", r("d").alias("d"), "similar")
+
+
 @register(f"""WITH {v.BAND}, o AS (SELECT col // 25 AS g, avg(t) AS mu, stddev_pop(t) AS s, min(t) AS lo, max(t) AS hi FROM band GROUP BY 1), x AS (SELECT g, mu, s, lo + i * (hi - lo) / 99e0 AS x FROM o, (SELECT unnest(range(100)) AS i)),
   b AS (SELECT g, exp(-0.5e0 * pow((x - mu) / s, 2)) / s + 1e-300 AS p, exp(-0.5e0 * pow((x - 0.1e0) / 0.9e0, 2)) / 0.9e0 + 1e-300 AS q FROM x), t AS (SELECT g, sum(p) AS sp, sum(q) AS sq FROM b GROUP BY 1)
   SELECT CAST(b.g AS INT) AS g, round(sum((p / sp - q / sq) * ln((p / sp) / (q / sq))), 6) AS divergence FROM b JOIN t ON b.g = t.g GROUP BY 1""")
