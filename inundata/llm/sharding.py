@@ -3,8 +3,9 @@
 Every group (equal texts) starts as a partial partition (its size, 0, ..., 0); the two partial
 partitions with the largest spread are combined, the heaviest part of one with the lightest of the
 other, until one is left. Beyond a bounded number of groups this happens in many buckets at once,
-whose parts are the groups of the next level. Rows get their shard by a join, so no group's
-rows are gathered anywhere.
+whose parts are the groups of the next level. Of every level some groups are held back for the last
+one, so that this has small change of all sizes to even out what the large parts leave. Rows get
+their shard by a join, so no group's rows are gathered anywhere.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from inundata.llm.text import cut, shuffle_width
 class ShardParams:
     shards: int = 24
     #: Partial partitions that one task combines, about.
-    fan: int = 20_000
+    fan: int = 100_000
+    #: Groups of a level that are held back for the last one, about.
+    change: int = 15_000
     #: Buckets of a level that is not the last, at least: more of them make finer bundles.
     least_buckets: int = 128
     #: Bytes that each row costs beside its text.
@@ -86,28 +89,31 @@ def shard_groups(groups: DataFrame, rows: int, p: ShardParams = ShardParams()) -
 
     ``rows`` is the number of groups. While there are more items than one task may combine, each
     bucket's items become k bundles, which are the items of the next level. Groups of more than
-    1/100 of a fair share (at most 100 times the number of shards) are not bundled: they wait for
-    the last level, where all that is left is differenced at once.
+    1/100 of a fair share (at most 100 times the number of shards) are not bundled, and neither are
+    ``change`` items of each level, chosen by hash: they wait for the last level, where all that is
+    left is differenced at once. So that evens out with items of every size, down to single groups.
     """
-    k, levels, items, heavy = p.shards, [], groups, None
+    k, levels, items, waiting = p.shards, [], groups, None
     if rows > p.fan:
         if p.least_buckets * k > p.fan:
             raise ValueError("fan must be at least least_buckets * shards")
         total = groups.agg(F.sum("bytes")).first()[0]
         is_heavy = F.col("bytes") * 100 * k >= F.lit(total)
-        heavy, items = groups.where(is_heavy), groups.where(~is_heavy)
+        waiting, items = groups.where(is_heavy), groups.where(~is_heavy)
     while rows > p.fan:
         buckets = max(p.least_buckets, -(-rows // p.fan))
+        held = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(rows)) < p.change
+        waiting, items = waiting.unionByName(items.where(held)), items.where(~held)
         level = cut(_dealt(items, buckets, k).withColumn("bundle", F.concat_ws(":", F.lit(len(levels)), "bucket", "part")))
         levels.append(level.select("node", "bundle"))
         items, rows = level.groupBy(F.col("bundle").alias("node")).agg(F.sum("bytes").alias("bytes")), buckets * k
-    last = _dealt(items if heavy is None else items.unionByName(heavy), 1, k).select("node", F.col("part").alias("shard"))
+    last = _dealt(items if waiting is None else items.unionByName(waiting), 1, k).select("node", F.col("part").alias("shard"))
     if not levels:
         return last
-    at = last = cut(last)
+    known = cut(last)
     for level in reversed(levels):
-        at = level.join(at.withColumnRenamed("node", "bundle"), "bundle").select("node", "shard")
-    return at.unionByName(last.join(heavy.select("node"), "node"))
+        known = known.unionByName(level.join(known.withColumnRenamed("node", "bundle"), "bundle").select("node", "shard"))
+    return known.join(groups.select("node"), "node")  # without the bundles
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: ShardParams = ShardParams()) -> DataFrame:

@@ -28,13 +28,23 @@ def test_levels_give_balanced_shards(spark):
     rng = np.random.default_rng(5)
     sizes = (rng.pareto(1.2, 3000) * 500 + 9).astype(int)
     groups = spark.createDataFrame(pd.DataFrame({"node": [f"n{i}" for i in range(3000)], "bytes": sizes}))
-    got = shard_groups(groups, 3000, ShardParams(fan=900, least_buckets=32)).toPandas().merge(groups.toPandas(), on="node")
+    got = shard_groups(groups, 3000, ShardParams(fan=900, least_buckets=32, change=100)).toPandas().merge(groups.toPandas(), on="node")
     assert len(got) == 3000
     load = got.groupby("shard")["bytes"].sum()
     assert len(load) == 24
     assert load.max() <= max(1.02 * sizes.sum() / 24, sizes.max())
 
 
+def test_levels_are_as_even_as_one(spark):
+    """60,000 groups of log-normal sizes: at once, and in one and in two levels of bundles."""
+    sizes = np.random.default_rng(7).lognormal(6.5, 1.2, 60_000).astype(int) + 8
+    groups = spark.createDataFrame(pd.DataFrame({"node": [f"n{i}" for i in range(60_000)], "bytes": sizes})).cache()
+    for p in (ShardParams(), ShardParams(fan=20_000, change=4000), ShardParams(fan=2500, least_buckets=64, change=500)):
+        got = shard_groups(groups, 60_000, p).join(groups, "node").groupBy("shard").agg({"bytes": "sum", "*": "count"}).toPandas()
+        assert got["count(1)"].sum() == 60_000 and len(got) == 24
+        assert got["sum(bytes)"].max() - got["sum(bytes)"].min() <= 50  # of 2.2 million bytes a shard
+
+
 def held(rows, texts):
     slots, shards, load = defaultdict(list), defaultdict(set), defaultdict(int)
     for i, size, crc, shard, slot in rows:
