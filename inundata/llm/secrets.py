@@ -37,8 +37,9 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Alphabet cells of the chi-squared test.
-CELLS = 4
+#: Alphabet cells of the chi-squared test: as many as five characters each allow, within these bounds.
+LEAST_CELLS = 4
+PER_CELL = 5
 #: All characters of a candidate, by class; the null of ordinary tokens is a chain over them.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")
 CHARS = "".join(CLASSES)
@@ -138,6 +139,52 @@ def matches(text: Column, hint: str, pattern: str, group: int, least: int, kind:
     return F.when(text.rlike(hint), let(named, placed)).otherwise(F.array().cast(SPAN))
 
 
+def running_max(values: Column) -> Column:
+    """The largest of an array's numbers up to each place, in stretches as in :func:`matches`."""
+
+    def of(v: Column) -> Column:
+        def by(size: Column) -> Column:
+            count = F.ceil(F.size(v) / size).cast("int")
+            one = lambda part: F.aggregate(part, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.greatest(x, F.coalesce(F.get(a, F.size(a) - 1), x)))))
+
+            def joined(parts: Column) -> Column:
+                lead = F.aggregate(parts, F.array(F.lit(-(2**31))), lambda a, x: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.element_at(x, -1)))))
+                return let(lead, lambda before: F.flatten(F.transform(parts, lambda x, i: F.transform(x, lambda y: F.greatest(y, F.get(before, i))))))
+
+            return let(F.transform(F.sequence(F.lit(0), count - 1), lambda k: one(F.slice(v, k * size + 1, size))), joined)
+
+        return F.when(F.size(v) > 0, let(F.ceil(F.sqrt(F.size(v))).cast("int"), by)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, of)
+
+
+def apart(base: Column, found: Column) -> Column:
+    """For each of ``found`` (start, stop; in order, none overlapping) whether it meets no span of ``base``.
+
+    Both are merged by their starts. A span of ``found`` meets an earlier one of ``base`` when the
+    furthest stop so far lies beyond its start, a later one when that begins before its stop.
+    """
+    end = 2**31 - 1
+    both = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("which"), b["stop"].alias("stop"))),
+            F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("which"), c["stop"].alias("stop"))),
+        )
+    )
+
+    def of(spans: Column) -> Column:
+        upto = running_max(F.transform(spans, lambda x: F.when(x["which"] == 0, x["stop"]).otherwise(-1)))
+        after = F.reverse(running_max(F.reverse(F.transform(spans, lambda x: F.when(x["which"] == 0, -x["start"]).otherwise(-end)))))
+
+        def free(u: Column, a: Column) -> Column:
+            marked = F.transform(spans, lambda x, i: F.when(x["which"] == 1, (F.get(u, i) <= x["start"]) & (-F.get(a, i) >= x["stop"])))
+            return F.filter(marked, lambda m: m.isNotNull())
+
+        return let(upto, lambda u: let(after, lambda a: free(u, a)))
+
+    return let(both, of)
+
+
 def battery(token: Column) -> Column:
     """struct(encoding, body, tests: struct(n, p_random)) of one token.
 
@@ -176,13 +223,20 @@ def _total(values: Column) -> Column:
 def _tests(v: Column, size: Column) -> Column:
     """The battery on digits ``v`` of an alphabet of ``size``."""
     n = F.size(v).cast("double")
+    cells = F.least(size, F.greatest(F.lit(float(LEAST_CELLS)), F.floor(n / PER_CELL).cast("double")))
 
     def uniform(counts: Column) -> Column:
-        return _total(F.transform(counts, lambda c: (c - n / CELLS) * (c - n / CELLS) / (n / CELLS)))
+        """Chi-squared over the alphabet, its characters pooled in cells of as many as possible each."""
+
+        def cell(c: Column, k: Column) -> Column:
+            expected = n * (F.ceil((k + 1) * size / cells) - F.ceil(k * size / cells)) / size
+            return (c - expected) * (c - expected) / expected
+
+        return _total(F.transform(counts, cell))
 
     def on_chi(chi: Column) -> Column:
-        df = float(CELLS - 1)
-        return _upper_tail((F.pow(chi / df, F.lit(1.0 / 3.0)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+        df = cells - 1
+        return _upper_tail((F.pow(chi / df, F.lit(1.0 / 3.0)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
 
     def runs(u: Column) -> Column:
         """Runs above and below the middle of the alphabet, against their normal limit."""
@@ -203,9 +257,8 @@ def _tests(v: Column, size: Column) -> Column:
         cov = _total(F.transform(v, lambda d, i: F.when(i == 0, 0.0).otherwise((d - m) * (F.coalesce(F.get(v, i - 1), F.lit(0)) - m))))
         return let(var, lambda s: F.when(s > 0, 2 * _upper_tail(F.abs(cov / F.greatest(s, F.lit(1e-9)) + 1.0 / n) * F.sqrt(n))).otherwise(0.0))
 
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.size(F.filter(v, lambda d: F.floor(d * CELLS / size) == k)).cast("double")
-    )
+    in_cells = F.transform(v, lambda d: F.floor(d * cells / size).cast("int"))
+    counts = let(in_cells, lambda at: F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double")))
     middle = F.transform(v, lambda d: F.when(d * 2 >= size, 1.0).otherwise(0.0))
     tested = let(
         let(let(counts, uniform), on_chi),
@@ -344,7 +397,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", s: SecretParams = SecretPa
         docs.select(F.struct(*[docs[c] for c in others]).alias("row"), let(fixed, lambda x: F.array_sort(x)).alias("base"), let(runs, tested).alias("tested"))
         .withColumn(
             "tested",
-            F.filter("tested", lambda c: ~F.exists("base", lambda b: (b["start"] < c["span"]["stop"]) & (c["span"]["start"] < b["stop"]))),
+            F.when((F.size("base") == 0) | (F.size("tested") == 0), F.col("tested")).otherwise(
+                let(apart(F.col("base"), F.transform("tested", lambda c: c["span"])), lambda free: F.filter("tested", lambda c, i: F.get(free, i)))
+            ),
         )
     )
     null = ordinary_chain(scanned.select(F.explode("tested").alias("c")).select("c.body", "c.encoding", "c.n"), s)
