@@ -36,9 +36,6 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    #: Terms kept, the strongest first; the bound of what the driver and tasks hold.
-    max_terms: int = 2000
-    max_exceptions: int = 2000
     #: Least number of toxic documents with a term, its least log odds and log-likelihood ratio.
     min_documents: int = 5
     min_log_odds: float = 1.0
@@ -121,8 +118,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def learn_lexicon(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) -> Lexicon:
     """Weights, exceptions and curve from ``labelled`` (text, toxic 0/1), a bounded sample.
 
-    Document counts per term are a Spark aggregation; what comes to the driver is bounded by
-    ``max_terms`` and ``max_exceptions``. Without labels of both kinds the lexicon is empty and
+    Document counts per term are a Spark aggregation; what comes to the driver is bounded by the
+    sample, as a term needs ``min_documents`` of its rows. Without labels of both kinds the lexicon is empty and
     every score is the same.
     """
     rows = labelled.select("text", "toxic").cache()
@@ -145,16 +142,12 @@ def learn_lexicon(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) ->
         one_word = ~F.contains("term", F.lit(" "))
         strong = (
             counted.where(one_word & (F.col("bad") >= p.min_documents) & (F.col("odds") >= p.min_log_odds) & (F.col("evidence") >= p.min_evidence))
-            .orderBy(F.desc("evidence"), "term")
-            .limit(p.max_terms)
             .collect()
         )
         weights = _without_nested({r["term"]: (r["evidence"], r["odds"]) for r in strong})
         benign = (
             counted.where(~one_word & (F.col("bad") == 0) & (F.col("n") >= p.min_documents))
             .where(F.arrays_overlap(_as_terms(F.split("term", " ")), F.array(*[F.lit(t) for t in sorted(weights)])) if weights else F.lit(False))
-            .orderBy(F.desc("n"), "term")
-            .limit(p.max_exceptions)
             .collect()
         )
         exceptions = {r["term"]: sum(weights[t] for w in r["term"].split() for t in (w, *_beginnings(w)) if t in weights) for r in benign}
@@ -190,9 +183,9 @@ def _with_weight(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def _fit_curve(rows: DataFrame, lexicon: Lexicon, steps: int = 25) -> tuple[float, float]:
-    """Logistic curve of the weight by Newton steps over a histogram of weights (fixed size)."""
+    """Logistic curve of the weight by Newton steps over a histogram of weights, at most a bin per row of the sample."""
     binned = _with_weight(rows.select(F.col("toxic").cast("int").alias("toxic"), "text"), lexicon)
-    bins = binned.groupBy(F.least(F.lit(1000), F.greatest(F.lit(-1000), F.round(F.col("_weight") * 20))).alias("x"), "toxic").agg(F.count("*").alias("n")).collect()
+    bins = binned.groupBy(F.round(F.col("_weight") * 20).alias("x"), "toxic").agg(F.count("*").alias("n")).collect()
     a, b = 0.0, 0.0
     for _ in range(steps):
         g0 = g1 = h00 = h01 = h11 = 0.0
