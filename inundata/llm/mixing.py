@@ -28,8 +28,6 @@ class MixParams:
     max_iterations: int = 60
     #: Iterations between two cuts of the lineage.
     per_cut: int = 4
-    #: Rounds, at most, that fill what rounding leaves of a target.
-    fill_rounds: int = 6
 
 
 def source_targets(hist: DataFrame, p: MixParams = MixParams()) -> DataFrame:
@@ -121,8 +119,9 @@ def whole_copies(hist: DataFrame, targets: DataFrame, rates: DataFrame, p: MixPa
 
     Running sums of the expected copies over a source's sizes are rounded, so errors cancel
     between neighbouring sizes, and what is left of a target is less than its largest size. That
-    goes, in each of a few rounds, to the largest size that still fits; every round leaves less
-    than half. A round is an aggregate per source and a join, whatever the number of sizes.
+    goes, round after round, to the largest size that still fits, until none does; a round leaves
+    less than that size or uses it up. It is an aggregate per source and a join, whatever the
+    number of sizes.
     """
     running = Window.partitionBy("source").orderBy("size")
     joined = (
@@ -140,7 +139,7 @@ def whole_copies(hist: DataFrame, targets: DataFrame, rates: DataFrame, p: MixPa
     )
     dealt = cut(rounded.select("source", "size", "n", "target", "total"))
     gap = F.sum(F.col("total") * F.col("size"))
-    for _ in range(p.fill_rounds):
+    while True:
         gaps = dealt.groupBy("source").agg((F.first("target") - gap).alias("gap"))
         room = F.when(F.col("gap") >= 0, F.col("n") * p.cap - F.col("total")).otherwise(F.col("total"))
         fits = F.least(room, F.floor(F.abs("gap") / F.col("size")))
