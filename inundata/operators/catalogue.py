@@ -91,29 +91,52 @@ def clearest_per_tile(images: DataFrame, tile: str = "tile", cloud: str = "cloud
     return rows.groupBy(tile).agg(F.min(F.struct(cloud, name)).alias("b")).select(tile, F.col(f"b.{name}").alias(name), F.col(f"b.{cloud}").alias(cloud))
 
 
+#: Bits of a word of a bitmap.
+_BITS = 62
+
+
 def tile_cover_set(cover: DataFrame, cells: int) -> DataFrame:
     """One row, ``tiles``: a tile that covers every cell, else the first set of tiles that does.
 
-    ``cover``: tile, cells (array of covered cell numbers). Sets are tried by size, then by the
-    order of their tiles, up to all tiles; empty only when all together leave a cell uncovered. A
-    set grows only by later tiles that add cells, and of the sets of one size with the same cells
-    the first stands for all: with an answer's first tiles replaced by an earlier such set, the
-    answer would come earlier. So sets are no more than what cells can be covered together.
+    ``cover``: tile, cells (array of covered cell numbers, 0 to ``cells`` - 1; others don't count).
+    The set is the smallest, and of those the first by the order of their tiles; empty only when
+    all together leave a cell uncovered.
+
+    Cells are bits, the rarest first. A set grows by the tiles that cover its first missing cell,
+    found by an equi-join; of sets of one size with the same cells only the first goes on, as each
+    completes the other. Tiles whose cells an earlier tile has too are never needed. So the first
+    size at which a set is full is the answer's, whatever that is.
     """
-    tiles = cover.where("tile is not null and cells is not null").select("tile", F.array_sort(F.array_distinct("cells")).alias("also"))
-
-    def first(sets: DataFrame) -> DataFrame:
-        return cut(sets.groupBy("cells").agg(F.min("tiles").alias("tiles")))
-
-    full = F.size("cells") >= cells
-    sets = first(tiles.select(F.array("tile").alias("tiles"), F.col("also").alias("cells")))
-    coverable = tiles.select(F.explode("also")).distinct().count() >= cells
-    while coverable and not sets.isEmpty() and sets.where(full).isEmpty():
-        later = (F.element_at("tiles", -1) < F.col("tile")) & (F.size(F.array_except("also", "cells")) > 0)
-        sets = first(
-            sets.join(tiles, later).select(F.concat("tiles", F.array("tile")).alias("tiles"), F.array_sort(F.array_union("cells", "also")).alias("cells"))
+    pairs = cut(cover.where("tile is not null").select("tile", F.explode("cells").alias("cell")).where(F.col("cell").between(0, cells - 1)).distinct())
+    counts = pairs.groupBy("cell").agg(F.count("*").alias("n"))
+    # one row per cell of one area
+    bits = cut(counts.select("cell", (F.row_number().over(Window.orderBy("n", "cell")) - 1).alias("bit")))
+    words = -(-cells // _BITS)
+    full = [(1 << min(_BITS, cells - k * _BITS)) - 1 for k in range(words)]
+    word = lambda k: F.sum(F.when(F.floor(F.col("bit") / _BITS) == k, F.expr(f"shiftleft(1L, cast(bit - {k * _BITS} as int))")).otherwise(F.lit(0).cast("long")))
+    tiles = cut(pairs.join(bits, "cell").groupBy("tile").agg(F.array(*[word(k) for k in range(words)]).alias("has")))
+    inside = F.forall(F.arrays_zip(F.col("x.has").alias("a"), F.col("y.has").alias("b")), lambda w: w["a"].bitwiseAND(F.bitwise_not(w["b"])) == 0)
+    # a tile is compared with the earlier ones that share its rarest cell
+    first_bit = pairs.join(bits, "cell").groupBy("tile").agg(F.min_by("cell", "bit").alias("cell"))
+    rivals = first_bit.join(pairs.withColumnRenamed("tile", "other"), "cell").where("other < tile").select("tile", "other")
+    beaten = rivals.join(tiles.alias("x"), "tile").join(tiles.select(F.col("tile").alias("other"), F.col("has")).alias("y"), "other").where(inside).select("tile")
+    useful = cut(tiles.join(beaten, "tile", "left_anti"))
+    by_bit = cut(useful.join(pairs, "tile").join(bits, "cell").select("bit", "tile", "has"))
+
+    at = F.array_position(F.transform(F.arrays_zip(F.col("has").alias("h"), F.array(*[F.lit(x) for x in full]).alias("f")), lambda w: w["h"] == w["f"]), F.lit(False)).cast("int") - 1
+    own = F.get("has", at)
+    missing = at * _BITS + F.bit_count(F.bitwise_not(own).bitwiseAND(own + 1) - 1)  # the lowest bit that is not set
+    sets = tiles.limit(0).select(F.array("tile").alias("tiles"), "has").unionByName(
+        cover.sparkSession.range(1).select(F.array().cast(f"array<{dict(cover.dtypes)['tile']}>").alias("tiles"), F.array(*[F.lit(0).cast("long")] * words).alias("has"))
+    )
+    done = F.col("has") == F.array(*[F.lit(x).cast("long") for x in full])
+    coverable = counts.count() >= cells
+    while coverable and sets.where(done).isEmpty():
+        grown = sets.withColumn("bit", missing).join(by_bit.withColumnRenamed("has", "more"), "bit").select(
+            F.array_sort(F.concat("tiles", F.array("tile"))).alias("tiles"), F.zip_with("has", "more", lambda a, b: a.bitwiseOR(b)).alias("has")
         )
-    return sets.where(full).orderBy("tiles").limit(1).select("tiles")
+        sets = cut(grown.groupBy("has").agg(F.min("tiles").alias("tiles")).select("tiles", "has"))
+    return sets.where(done).orderBy("tiles").limit(1).select("tiles")
 
 
 def date_colour(dates: DataFrame, colours: tuple[str, ...], ts: str = "flood_ts") -> DataFrame:

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 from inundata.functions.scalar import in_ring, ring_bounds, ring_sides
 from inundata.operators import halo
+from inundata.sources.buckets import bucketed
+
+
+def pixel_table(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pixels (keys, row, col, ...) written in buckets of their place.
+
+    Tables of this kind are joined by (keys, row, col), and grouped by them, without a shuffle; row
+    and col become ``int``, as buckets of other types don't meet.
+    """
+    return bucketed(pixels.withColumns({c: F.col(c).cast("int") for c in ("row", "col")}), (*keys, "row", "col"), "pixels")
 
 
 def clip_to_bounds(pixels: DataFrame, lon_min: float, lat_min: float, lon_max: float, lat_max: float) -> DataFrame:

@@ -785,6 +785,14 @@ def vote_classes(spark: S, sf: str) -> D:
     return patches.vote_classes(classes, b).select("row", "col", "flooded")
 
 
+@register(f"WITH {v.STACK}, {v.STATIC} SELECT s.row, s.col, count(*) AS n, round(sum(vv * lia), 6) AS weighed, any_value(lia) AS lia FROM stack s JOIN static t ON s.row = t.row AND s.col = t.col GROUP BY 1, 2")
+def pixel_join(spark: S, sf: str) -> D:
+    """Stack and static fields from tables in buckets of pixels: joined and grouped without a shuffle."""
+    held, fields = raster.pixel_table(v.stack(spark, sf)), raster.pixel_table(v.static(spark, sf))
+    met = held.join(fields, ["row", "col"]).groupBy("row", "col")
+    return met.agg(F.count("*").alias("n"), r(F.sum(F.col("vv") * F.col("lia"))).alias("weighed"), F.first("lia").alias("lia"))
+
+
 # -- slices ------------------------------------------------------------------------------------
 
 

@@ -21,17 +21,19 @@ def statistical_flood_map(
     """row, col and a column per layer, from backscatter to the cleaned flood map.
 
     ``stack``: time, row, col, vv_vh_db. ``static``: row, col, lia, dem. The last time is the flood
-    image. Layers go through the shared folder where later ones read them more than once.
+    image. Layers that later ones read more than once are written: in buckets of their pixels, so
+    that stack, static fields and layers are joined and grouped by pixel without a shuffle.
     """
     on = ["row", "col"]
-    scores = cut(stats.t_scores(stats.weighted_stack(stack, static)))
-    mask = cut(delineate.bimodality_mask(scores, p).withColumnRenamed("mask", "multimodality_mask"))
+    stack, static = raster.pixel_table(stack), raster.pixel_table(static)
+    scores = raster.pixel_table(stats.t_scores(stats.weighted_stack(stack, static)))
+    mask = raster.pixel_table(delineate.bimodality_mask(scores, p).withColumnRenamed("mask", "multimodality_mask"))
     bimodal = scores.join(mask.where("multimodality_mask"), on, "left_semi")
     threshold = stats.otsu_threshold(stats.quantile_trim(bimodal, "t", 0.01, 0.99), "t", kept=True)
     slopes = raster.slope_mask(static, cell_x, cell_y, slope_limit).select("row", "col", "slope_mask")
     dark = scalar.below(F.col("t"), F.col("threshold"))
     steep = F.coalesce("slope_mask", F.lit(False))
-    layers = cut(
+    layers = raster.pixel_table(
         scores.crossJoin(F.broadcast(threshold))  # one row
         .join(mask, on)
         .join(slopes, on, "left")
@@ -40,7 +42,7 @@ def statistical_flood_map(
     water = stats.water_stats(layers, "global_masked", kept=True).first()
     mean, std = water["mean"] or 0.0, water["std"] or 0.0
     local = delineate.adaptive_threshold(scores, layers.select("row", "col", F.col("global").alias("mask")), mean, std, p)
-    local = cut(local.select("row", "col", F.col("flooded").alias("local")))
+    local = raster.pixel_table(local.select("row", "col", F.col("flooded").alias("local")))
     grown = delineate.region_growing(scores, local.withColumnRenamed("local", "mask"), strict_edges=p.strict_edges).withColumnRenamed("flooded", "grown")
     level = cut(layers.join(local, on).join(grown, on))
     cleaned = regions.morphology(level.select("row", "col", (F.col("grown") & F.col("slope_mask")).alias("flag")), p.unit_m2, p.pixel_m2, p.tile)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inundata.functions import kernels
-from inundata.operators import delineate, halo, raster
+from inundata.operators import delineate, halo, raster, stats
 from tests.test_neighbourhoods import frame, sequential_growth
 
 
@@ -97,3 +97,20 @@ def test_windows_smoothed_together():
     want = np.stack([kernels.gaussian_smooth(w) for w in windows])
     assert np.allclose(got, want, equal_nan=True) and np.isnan(got[2]).any()
     assert np.allclose(kernels.bimodalities(windows, 50), [kernels.bimodality(w, 50) for w in windows])
+
+
+def test_pixel_tables_meet_without_a_shuffle(spark):
+    """Scores from a stack and its static fields, joined with another layer: no exchange by pixel."""
+    rng = np.random.default_rng(5)
+    stack = spark.createDataFrame([(k, r, c, float(rng.random())) for k in range(3) for r in range(12) for c in range(9)], "time int, row long, col long, vv_vh_db double")
+    static = frame(spark, rng.random((12, 9)), "lia")
+    truth = raster.pixel_table(frame(spark, rng.random((12, 9)) < 0.5, "truth"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        weighted = stats.weighted_stack(raster.pixel_table(stack), raster.pixel_table(static))
+        scored = stats.t_scores(weighted, clip=None).join(truth, ["row", "col"])
+        assert [x for x in exchanges(scored) if "row#" in x] == [] and scored.count() == 108
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = stats.t_scores(stats.weighted_stack(stack, static), clip=None)
+    assert sorted(map(tuple, scored.select("row", "col", "t").collect())) == sorted(map(tuple, plain.select("row", "col", "t").collect()))
