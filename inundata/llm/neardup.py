@@ -150,8 +150,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     Null, zero and non-finite vectors link with nothing. Vectors of another dimension link only
     among themselves. Equal vectors are linked with each other; repeated rows count each for
     itself. A null id links by its vector but names no component. A cosine at the threshold, as
-    doubles give it, is a link. Very large components don't overflow. An empty table gives an
-    empty table.
+    doubles give it, is a link. Very large components don't overflow. Columns beside the two named
+    ones are not read, whatever their names. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     narrow = vectors.schema[vector].dataType.simpleString() == "array<float>"

@@ -50,6 +50,8 @@ class JoinParams:
     #: before linked this share of what it compared.
     left_per_row: float = 200.0
     least_yield: float = 0.005
+    #: Members of a hub that one task verifies.
+    per_hub: int = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -240,34 +242,43 @@ def _stored(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, p: JoinP
     return packed.mapInPandas(measure, "node long, n int, vec binary, packed binary").dropDuplicates(["node"])
 
 
-def _fits(a: str, b: str, p: JoinParams) -> Column:
-    """Sizes that allow a link."""
-    return (F.col(a) * 100 >= F.col(b) * p.percent) & (F.col(b) * 100 >= F.col(a) * p.percent)
-
-
 def _verified(pairs: DataFrame, stored: DataFrame, p: JoinParams) -> DataFrame:
-    """The pairs (a, b: node) that link, checked on their shingle sets."""
+    """The pairs (a, b: node) that link, checked on their shingle sets.
+
+    Of each pair the node with more pairs is the hub. A member's text goes to its hub, and a hub's
+    text once to each task that has some of its members, which are dealt ``per_hub`` to a part; so
+    no node is one key, and no text is sent with every pair.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[int, np.ndarray] = {}
+        hub, n, own, text = None, 0, None, b""
         for pdf in batches:
-            ok = []
-            for a, b, pa_, pb in zip(pdf["a"], pdf["b"], pdf["pa"], pdf["pb"], strict=True):
-                for node, packed in ((a, pa_), (b, pb)):
-                    if node not in last:
-                        if len(last) > 64:
-                            last.clear()
-                        last[node] = shingle_set(zstandard.decompress(packed).decode(), p.words)
-                if a not in last:  # the table was cleared in between
-                    last[a] = shingle_set(zstandard.decompress(pa_).decode(), p.words)
-                x, y = last[a], last[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append((100 + p.percent) * both >= p.percent * (len(x) + len(y)))
-            yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
-
-    left = stored.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
-    right = stored.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").where(_fits("na", "nb", p)).select("a", "b", "pa", "pb").mapInPandas(run, "a long, b long")
+            ok = np.zeros(len(pdf), dtype=bool)
+            for k, (h, role, m, packed) in enumerate(zip(pdf["hub"], pdf["role"], pdf["n"], pdf["packed"], strict=True)):
+                if role == 0:
+                    hub, n, own, text = h, m, None, packed
+                elif h == hub and m * 100 >= n * p.percent and n * 100 >= m * p.percent:
+                    if own is None:
+                        own = shingle_set(zstandard.decompress(text).decode(), p.words)
+                    other = shingle_set(zstandard.decompress(packed).decode(), p.words)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    ok[k] = (100 + p.percent) * both >= p.percent * (len(own) + len(other))
+            linked = pdf.loc[ok, ["hub", "node"]]
+            yield pd.DataFrame({"a": np.minimum(linked["hub"], linked["node"]), "b": np.maximum(linked["hub"], linked["node"])})
+
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    known = pairs.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+    first = F.col("da") > F.col("db")
+    turned = known.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("da", "db").alias("d")
+    )
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / p.per_hub)).cast("int")
+    dealt = turned.select("hub", "node", part.alias("part"))
+    texts = stored.select("node", "n", "packed")
+    members = dealt.join(texts, "node").select("hub", "part", F.lit(1).alias("role"), "node", "n", "packed")
+    hubs = dealt.select("hub", "part").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("node"), "n", "packed")
+    rows = members.unionByName(hubs).repartition(shuffle_width(pairs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "role")
+    return rows.mapInPandas(run, "a long, b long")
 
 
 def _tree_pairs(rows: DataFrame, p: JoinParams) -> DataFrame:
@@ -336,7 +347,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Null and blank texts have no shingles and link with nothing: they are their own component.
     Repeated rows give repeated rows. A null id never names a component that has another, and a
     component of documents without ids has a null one. An empty table gives an empty table. A very
-    long text is one set of all its shingles. Columns beside the two named ones are not read.
+    long text is one set of all its shingles. Ids are whole numbers; a text id fails the job. Columns
+    beside the two named ones are not read, whatever their names.
     """
     return jaccard_groups(docs, id_col, text, p).select(
         F.col("doc.id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component.id").alias("component_id")

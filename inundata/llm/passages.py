@@ -3,12 +3,12 @@
 No suffix array is built: on text that seldom repeats the dictionary of a prefix-free parse is as
 large as the text. A rolling hash picks triggers: the least hash among the trigger windows of any 50 bytes, so that
 equal 50-byte strings have the same trigger at the same place, and texts fall into phrases at
-triggers in the same way wherever they repeat. The dictionary holds each trigger with the bytes
-around it, as far as a 50-byte string with that trigger may reach. Sorting the parse by trigger,
-phrase and document settles whole phrases at once: a phrase known from a smaller document is
+triggers in the same way wherever they repeat. A record holds each trigger with a hash of the bytes
+around it, as far as a 50-byte string with that trigger may reach. Sorting these records by trigger,
+phrase hash and document settles whole phrases at once: a phrase known from a smaller document is
 covered. Only where phrases of one trigger differ are their 50-byte strings sorted, to find those
-that they still share. Triggers travel packed, by hash range, so that the
-corpus order is built range by range and nothing has to fit one task.
+that they still share. Triggers travel packed, by hash range. A phrase counts as known on equal hashes
+(24 bits of its trigger, 56 of its own).
 """
 
 from __future__ import annotations
@@ -308,7 +308,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     A string counts as known if a document with a smaller id has it; rows that share an id don't
     remove from each other, and a row without id is left alone and counts for no other. Null and
     empty texts have no bytes. Matches never cross documents. A very long text is cut into phrases
-    whole. An empty table gives an empty table.
+    whole. Ids are whole numbers; a text id fails the job. Columns beside the two named ones are not
+    read, whatever their names. An empty table gives an empty table.
     """
     ranges = 2 * shuffle_width(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.pmod(F.xxhash64(docs[text]), F.lit(2**31 - 1)).cast("int").alias("mark"), docs[text].alias("text"))

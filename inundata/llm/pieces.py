@@ -248,8 +248,11 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
     Null texts count as empty: no ids, an empty decoding. Rows keep their partitions; a text is
     never split between batches. Ids keep whatever value the input has, null too. Repeated rows are
     encoded each for itself; among pairs of one score the leftmost merges first. A very long text
-    is encoded whole, part by part. An empty table gives an empty table.
+    is encoded whole, part by part. Columns beside the two named ones are not read; an id column that
+    has the name of a result fails at once. An empty table gives an empty table.
     """
+    if id_col in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"):
+        raise ValueError(f"the id column has the name of a result: {id_col}")
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     slim = docs.select(docs[id_col], docs[text])
