@@ -27,7 +27,12 @@ def _with_text(frame: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and documents that the rules reject."""
+    """Failing lines go, and documents that the rules reject.
+
+    Null and empty texts fail for want of words. Repeated rows are judged alike, each for itself; ids
+    and other columns, nulls too, come through as they are. A very long text is judged whole. An
+    empty table stays empty.
+    """
     judged = apply_quality_rules(docs)
     # a filter on the verdict would be pushed below it, and every document judged twice
     kept = judged.select("row", F.explode(F.filter(F.array("quality"), lambda q: q["kept"])).alias("quality"))
@@ -35,7 +40,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in one document only; documents keep their other lines."""
+    """Repeated lines stay in one document only; documents keep their other lines.
+
+    No row goes. The document with the largest id keeps a repeated line. Rows of one id count as one
+    document and keep it alike; a missing id is smaller than any other. Null and empty texts stay as
+    they are. Columns beside text and n_chars come through, whatever their names. An empty table
+    stays empty.
+    """
     return _with_text(dedup_lines(docs), "kept_text", docs.columns)
 
 
@@ -74,7 +85,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts.
+
+    A row per row, repeated ones too; null texts are empty. Ids come through as they are, and no other
+    column is read. An empty table gives an empty one.
+    """
     import public_tokenizers
 
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -93,6 +108,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each on what the one before has written; an empty table runs through."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
