@@ -78,6 +78,11 @@ def region_sizes(regions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def _wide() -> Column:
+    """Longer side of a region's bounding box."""
+    return F.greatest(F.col("row_max") - F.col("row_min"), F.col("col_max") - F.col("col_min")) + 1
+
+
 def _kept(mask: DataFrame, keep: Column, diagonal: bool, tile: int, keys: tuple[str, ...]) -> DataFrame:
     regions = connected_components(mask, diagonal, tile, keys)
     wanted = region_sizes(regions, keys).where(keep).select(*keys, "region")
@@ -93,8 +98,7 @@ def fill_small_holes(mask: DataFrame, limit: int, tile: int = 128, keys: tuple[s
 
 def diameter_opening(mask: DataFrame, extent: int, tile: int = 128, keys: tuple[str, ...] = ()) -> DataFrame:
     """True pixels whose region's bounding box reaches ``extent`` on its longer side."""
-    wide = F.greatest(F.col("row_max") - F.col("row_min"), F.col("col_max") - F.col("col_min")) + 1
-    return _with_flags(mask, _kept(mask.where("flag"), wide >= extent, True, tile, keys), keys)
+    return _with_flags(mask, _kept(mask.where("flag"), _wide() >= extent, True, tile, keys), keys)
 
 
 def remove_small_objects(mask: DataFrame, limit: float, tile: int = 128, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -108,11 +112,14 @@ def _with_flags(mask: DataFrame, true: DataFrame, keys: tuple[str, ...]) -> Data
 
 
 def morphology(mask: DataFrame, unit_m2: float = 4000, pixel_m2: float = 100, tile: int = 128, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Holes filled, then regions of small extent and then of small area removed."""
+    """Holes filled, then regions of small extent and then of small area removed.
+
+    Removing whole regions leaves the others as they are, so both tests need one labelling.
+    """
     unit = unit_m2 / pixel_m2
     filled = cut(fill_small_holes(mask, int(unit), tile, keys))
-    opened = cut(diameter_opening(filled, int((4 * unit / np.pi) ** 0.5), tile, keys))
-    return remove_small_objects(opened, unit / 2, tile, keys)
+    keep = (_wide() >= int((4 * unit / np.pi) ** 0.5)) & (F.col("n_pixels") >= unit / 2)
+    return _with_flags(filled, _kept(filled.where("flag"), keep, True, tile, keys), keys)
 
 
 def flooded_area(areas: DataFrame, pixel_m2: float = 100.0, keys: tuple[str, ...] = ("flood_ts",)) -> DataFrame:

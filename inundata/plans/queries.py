@@ -634,6 +634,29 @@ def morphology(spark: S, sf: str) -> D:
     return regions.morphology(_flood(spark, sf), unit_m2=1200, tile=32)
 
 
+def _stripe_regions(name: str, pixels: str, steps: str) -> str:
+    """Regions of pixels (row, col) in stripes of five rows, named by their least pixel."""
+    return f"""step_{name}(dr, dc) AS (VALUES {steps}),
+  reach_{name} AS (SELECT row, col, row AS r0, col AS c0 FROM ({pixels}) UNION
+    SELECT f.row, f.col, r0, c0 FROM reach_{name} r CROSS JOIN step_{name} JOIN ({pixels}) f ON f.row = r.row + dr AND f.col = r.col + dc AND f.row // 5 = r.row // 5),
+  {name} AS (SELECT row, col, min(CAST(r0 AS BIGINT) * 2147483648 + c0) AS region FROM reach_{name} GROUP BY 1, 2),
+  size_{name} AS (SELECT region, count(*) AS n, greatest(max(row) - min(row), max(col) - min(col)) + 1 AS wide FROM {name} GROUP BY 1)"""
+
+
+AROUND = SIDES + ", (1, 1), (1, -1), (-1, 1), (-1, -1)"
+
+
+@register(f"""WITH RECURSIVE {v.BAND}, {_stripe_regions("holes", "SELECT row, col FROM band WHERE NOT t < -0.1", SIDES)},
+  filled AS (SELECT b.row, b.col FROM band b LEFT JOIN holes h ON h.row = b.row AND h.col = b.col LEFT JOIN size_holes s ON s.region = h.region WHERE t < -0.1 OR s.n < 12),
+  {_stripe_regions("wide", "SELECT row, col FROM filled", AROUND)}, opened AS (SELECT row, col FROM wide JOIN size_wide USING (region) WHERE size_wide.wide >= 3),
+  {_stripe_regions("large", "SELECT row, col FROM opened", AROUND)}, kept AS (SELECT row, col FROM large JOIN size_large USING (region) WHERE n >= 6)
+  SELECT b.row, b.col, CAST(b.row // 5 AS INT) AS stripe, kept.row IS NOT NULL AS flag FROM band b LEFT JOIN kept ON kept.row = b.row AND kept.col = b.col""")
+def morphology_stripes(spark: S, sf: str) -> D:
+    """All three steps on stripes of five rows, each a raster of its own, so that the twin can follow their regions."""
+    mask = v.band(spark, sf).select("row", "col", F.floor(F.col("row") / 5).cast("int").alias("stripe"), (F.col("t") < -0.1).alias("flag"))
+    return regions.morphology(mask, unit_m2=1200, tile=32, keys=("stripe",))
+
+
 @register(f"""WITH RECURSIVE {REGIONS}, pairs AS (SELECT a.region, count(*) AS n FROM regions a JOIN regions b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col) GROUP BY 1),
   squares AS (SELECT a.region, count(*) AS n FROM regions a JOIN regions b ON b.row = a.row AND b.col = a.col + 1 JOIN regions c ON c.row = a.row + 1 AND c.col = a.col JOIN regions d ON d.row = a.row + 1 AND d.col = a.col + 1 GROUP BY 1)
   SELECT region, CAST(count(*) AS DOUBLE) AS area, 1 - count(*) + coalesce(any_value(pairs.n), 0) - coalesce(any_value(squares.n), 0) AS holes
@@ -658,6 +681,26 @@ def growth_round(spark: S, sf: str) -> D:
     return delineate.growth_round(v.band(spark, sf).withColumns({"flooded": flag, "seed": flag})).select("row", "col", "flooded", "seed")
 
 
+def _rounds_sql(rounds: int) -> str:
+    """So many synchronous rounds of growth, each a step of its own."""
+    out = [f"{v.BAND}", "st0 AS MATERIALIZED (SELECT row, col, t, t < -1.2 AS f, t < -1.2 AS seed FROM band)"]
+    for k in range(rounds):
+        near = "c.row BETWEEN {0} - 1 AND {0} + 1 AND c.col BETWEEN {1} - 1 AND {1} + 1"
+        out += [
+            f"w{k} AS MATERIALIZED (SELECT s.row AS sr, s.col AS sc, avg(c.t) FILTER (WHERE c.f) AS m, bool_and(c.f) AS fl FROM st{k} s JOIN st{k} c ON {near.format('s.row', 's.col')} WHERE s.seed GROUP BY 1, 2)",
+            f"a{k} AS MATERIALIZED (SELECT c.row, c.col, c.t < w.m AS add FROM (SELECT * FROM w{k} WHERE NOT fl) w JOIN st{k} c ON {near.format('sr', 'sc')} QUALIFY row_number() OVER (PARTITION BY c.row, c.col ORDER BY sr DESC, sc DESC) = 1)",
+            f"st{k + 1} AS MATERIALIZED (SELECT st.row, st.col, t, f OR coalesce(add, false) AS f, NOT f AND coalesce(add, false) AS seed FROM st{k} st LEFT JOIN a{k} a ON st.row = a.row AND st.col = a.col)",
+        ]
+    return f"WITH {', '.join(out)} SELECT row, col, f AS flooded FROM st{rounds}"
+
+
+@register(_rounds_sql(9))
+def region_growing_rounds(spark: S, sf: str) -> D:
+    """Nine rounds, in two whole batches and a part of one."""
+    b = v.band(spark, sf)
+    return delineate.region_growing(b, b.withColumn("mask", F.col("t") < -1.2), max_rounds=9, tile=32, batch=4)
+
+
 @register()
 def region_growing(spark: S, sf: str) -> D:
     """Tested against a sequential restatement."""
@@ -747,12 +790,36 @@ def block_bimodality(spark: S, sf: str) -> D:
     return delineate.block_bimodality(v.band(spark, sf), BLOCKS).select("size", "by", "bx", r("bc").alias("bc"), r("mean", 11).alias("mean"))
 
 
-@register()
+#: Blocks smoothed along columns and then rows, each with the weights of its mirrored reach; a value is missing where its reach has a gap.
+SMOOTHED = f"""{v.BAND}, s AS (SELECT unnest([25, 50, 100]) AS n), px AS (SELECT n, row // n AS by_, col // n AS bx, row % n AS i, col % n AS j, t FROM band, s),
+  taps AS (SELECT o, exp(-0.5e0 * o * o / 25) / sum(exp(-0.5e0 * o * o / 25)) OVER () AS w FROM (SELECT unnest(range(-20, 21)) AS o)),
+  k AS (SELECT n, i, CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END AS j, sum(w) AS w FROM (SELECT n, i, ((i + o) % (2 * n) + 2 * n) % (2 * n) AS m, w FROM (SELECT n, unnest(range(n)) AS i FROM s), taps) GROUP BY 1, 2, 3),
+  kc AS (SELECT n, i, count(*) AS c FROM k GROUP BY 1, 2),
+  a AS (SELECT px.n, by_, bx, px.i, k.i AS j, sum(k.w * t) AS v, count(t) AS c FROM px JOIN k ON k.n = px.n AND k.j = px.j GROUP BY 1, 2, 3, 4, 5),
+  a2 AS (SELECT a.n, by_, bx, a.i, a.j, v FROM a JOIN kc ON kc.n = a.n AND kc.i = a.j AND kc.c = a.c),
+  b AS (SELECT a2.n, by_, bx, k.i, a2.j, sum(k.w * v) AS v, count(*) AS c FROM a2 JOIN k ON k.n = a2.n AND k.j = a2.i GROUP BY 1, 2, 3, 4, 5),
+  b2 AS (SELECT b.n, by_, bx, v FROM b JOIN kc ON kc.n = b.n AND kc.i = b.i AND kc.c = b.c),
+  m AS (SELECT n, by_, bx, count(*) AS q, avg(v) AS mu FROM b2 GROUP BY 1, 2, 3),
+  z AS (SELECT b2.n, b2.by_, b2.bx, any_value(q) AS q, avg(pow(v - mu, 2)) AS m2, avg(pow(v - mu, 3)) AS m3, avg(pow(v - mu, 4)) AS m4 FROM b2 JOIN m ON b2.n = m.n AND b2.by_ = m.by_ AND b2.bx = m.bx GROUP BY 1, 2, 3),
+  f AS (SELECT z.n, z.by_, z.bx, q >= 100 AND (pow(m3 / pow(m2, 1.5e0), 2) + 1) / (m4 / (m2 * m2) - 3 + 3e0 * (q - 1) * (q - 1) / ((q - 2e0) * (q - 3e0))) > LIMIT AND mean < 0 AS flagged
+    FROM z JOIN (SELECT n, by_, bx, avg(t) AS mean FROM px GROUP BY 1, 2, 3) r ON r.n = z.n AND r.by_ = z.by_ AND r.bx = z.bx),
+  h AS (SELECT px.n, by_ * px.n + i AS row, bx * px.n + j AS col, coalesce(flagged, false) AS flagged FROM px LEFT JOIN f USING (n, by_, bx)),
+  c AS (SELECT row, col, count(*) FILTER (WHERE flagged) / 3e0 > VOTE AS chosen FROM h GROUP BY 1, 2)"""
+MASKED = "SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, CASE WHEN (SELECT bool_or(chosen) FROM c) THEN chosen ELSE true END AS mask FROM c"
+
+
+@register(f"WITH {SMOOTHED} {MASKED}".replace("LIMIT", "0.555e0").replace("VOTE", "0.1e0"))
 def bimodality_mask(spark: S, sf: str) -> D:
-    """Smoothed blocks: tested against a numpy restatement."""
+    """Smoothed blocks at the published limits."""
     return delineate.bimodality_mask(v.band(spark, sf), delineate.FloodParams(sizes=(25, 50, 100)))
 
 
+@register(f"WITH {SMOOTHED} {MASKED}".replace("LIMIT", "0.42e0").replace("VOTE", "0.4e0"))
+def bimodality_votes(spark: S, sf: str) -> D:
+    """Smoothed blocks at a lower limit, two votes of three needed."""
+    return delineate.bimodality_mask(v.band(spark, sf), delineate.FloodParams(sizes=(25, 50, 100), bimodality=0.42, vote=0.4))
+
+
 @register()
 def adaptive_threshold(spark: S, sf: str) -> D:
     """Tested against one window per seed, whatever the tiles."""
@@ -785,12 +852,12 @@ def vote_classes(spark: S, sf: str) -> D:
     return patches.vote_classes(classes, b).select("row", "col", "flooded")
 
 
-@register(f"WITH {v.STACK}, {v.STATIC} SELECT s.row, s.col, count(*) AS n, round(sum(vv * lia), 6) AS weighed, any_value(lia) AS lia FROM stack s JOIN static t ON s.row = t.row AND s.col = t.col GROUP BY 1, 2")
+@register(f"WITH {v.STACK}, {v.STATIC} SELECT s.row, s.col, count(*) AS n, round(sum(vv * lia), 11) AS weighed, any_value(lia) AS lia FROM stack s JOIN static t ON s.row = t.row AND s.col = t.col GROUP BY 1, 2")
 def pixel_join(spark: S, sf: str) -> D:
     """Stack and static fields from tables in buckets of pixels: joined and grouped without a shuffle."""
     held, fields = raster.pixel_table(v.stack(spark, sf)), raster.pixel_table(v.static(spark, sf))
     met = held.join(fields, ["row", "col"]).groupBy("row", "col")
-    return met.agg(F.count("*").alias("n"), r(F.sum(F.col("vv") * F.col("lia"))).alias("weighed"), F.first("lia").alias("lia"))
+    return met.agg(F.count("*").alias("n"), r(F.sum(F.col("vv") * F.col("lia")), 11).alias("weighed"), F.first("lia").alias("lia"))
 
 
 # -- slices ------------------------------------------------------------------------------------
