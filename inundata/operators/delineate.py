@@ -44,8 +44,8 @@ def _grid(pdf: pd.DataFrame, r0: int, c0: int, h: int, w: int, column: str = "t"
     return out
 
 
-def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams()) -> DataFrame:
-    """size, by, bx, bc, mean, flagged: each block of each size, smoothed first if asked for.
+def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, size, by, bx, bc, mean, flagged: each block of each size, smoothed first if asked for.
 
     Pixels are shuffled once, into chips of the sizes' common divisor; blocks are put together from
     chips.
@@ -53,12 +53,12 @@ def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams()) -> DataF
     g = math.gcd(*p.sizes)
     at = (F.pmod("row", F.lit(g)) * g + F.pmod("col", F.lit(g))).cast("int")
     cell = F.struct(at.alias("at"), F.coalesce(F.col("t").cast("double"), F.lit(float("nan"))).alias("t"))
-    chips = scores.groupBy(_chip("row", g).alias("cy"), _chip("col", g).alias("cx")).agg(F.collect_list(cell).alias("cells"))
-    sized = chips.select("cy", "cx", F.col("cells.at").alias("at"), F.col("cells.t").alias("t"), F.explode(F.array(*[F.lit(s) for s in p.sizes])).alias("size"))
+    chips = scores.groupBy(*keys, _chip("row", g).alias("cy"), _chip("col", g).alias("cx")).agg(F.collect_list(cell).alias("cells"))
+    sized = chips.select(*keys, "cy", "cx", F.col("cells.at").alias("at"), F.col("cells.t").alias("t"), F.explode(F.array(*[F.lit(s) for s in p.sizes])).alias("size"))
     blocks = sized.withColumns({"by": F.floor(F.col("cy") * g / F.col("size")).cast("int"), "bx": F.floor(F.col("cx") * g / F.col("size")).cast("int")})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, by, bx = (int(k) for k in key)
+        size, by, bx = (int(k) for k in key[-3:])
         block = np.full((size, size), np.nan)
         counts, place = pdf["at"].map(len).to_numpy(), np.concatenate(pdf["at"].to_list())
         top, left = (np.repeat(pdf[k].to_numpy() * g - k0 * size, counts) for k, k0 in (("cy", by), ("cx", bx)))
@@ -66,32 +66,34 @@ def block_bimodality(scores: DataFrame, p: FloodParams = FloodParams()) -> DataF
         valid = block[np.isfinite(block)]
         bc = kernels.bimodality(kernels.gaussian_smooth(block) if p.smoothing else block, p.least_pixels) if len(valid) else math.nan
         mean = float(valid.mean()) if len(valid) else math.nan
-        return pd.DataFrame([(size, by, bx, None if math.isnan(bc) else bc, None if math.isnan(mean) else mean, bool(bc > p.bimodality and mean < 0))])
+        return pd.DataFrame([(*key[:-3], size, by, bx, None if math.isnan(bc) else bc, None if math.isnan(mean) else mean, bool(bc > p.bimodality and mean < 0))])
 
     # chips are small in bytes and long in work, so their tasks must not be merged by bytes
     width = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.repartition(width, "size", "by", "bx")
-    return dealt.groupBy("size", "by", "bx").applyInPandas(run, "size int, by int, bx int, bc double, mean double, flagged boolean")
+    dealt, kinds = blocks.repartition(width, *keys, "size", "by", "bx"), dict(scores.dtypes)
+    own = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    return dealt.groupBy(*keys, "size", "by", "bx").applyInPandas(run, f"{own}size int, by int, bx int, bc double, mean double, flagged boolean")
 
 
 def _chip(place: str, g: int) -> Column:
     return F.floor(F.col(place) / g).cast("int")
 
 
-def bimodality_mask(scores: DataFrame, p: FloodParams = FloodParams()) -> DataFrame:
-    """row, col, mask: valid pixels flagged in more than ``vote`` of the sizes; all valid if none is.
+def bimodality_mask(scores: DataFrame, p: FloodParams = FloodParams(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, row, col, mask: valid pixels flagged in more than ``vote`` of the sizes; all valid if none is.
 
     All pixels of a chip are in the same blocks, so votes are counted per chip.
     """
     g = math.gcd(*p.sizes)
     chips_of = lambda b: F.explode(F.sequence((F.col(b) * F.col("size") / g).cast("int"), ((F.col(b) + 1) * F.col("size") / g).cast("int") - 1))
-    flags = block_bimodality(scores, p).where("flagged").select("size", "bx", chips_of("by").alias("cy")).select("cy", chips_of("bx").alias("cx"))
-    hits = cut(flags.groupBy("cy", "cx").agg(F.count("*").alias("hits")))
-    placed = scores.select("row", "col", F.col("t").isNotNull().alias("valid"), _chip("row", g).alias("cy"), _chip("col", g).alias("cx")).join(hits, ["cy", "cx"], "left")
+    flags = block_bimodality(scores, p, keys).where("flagged").select(*keys, "size", "bx", chips_of("by").alias("cy")).select(*keys, "cy", chips_of("bx").alias("cx"))
+    hits = cut(flags.groupBy(*keys, "cy", "cx").agg(F.count("*").alias("hits")))
+    placed = scores.select(*keys, "row", "col", F.col("t").isNotNull().alias("valid"), _chip("row", g).alias("cy"), _chip("col", g).alias("cx")).join(hits, [*keys, "cy", "cx"], "left")
     enough = F.coalesce("hits", F.lit(0)) / float(len(p.sizes)) > p.vote
-    chosen = placed.select("row", "col", "valid", (F.col("valid") & enough).alias("mask"))
-    found = chosen.agg(F.coalesce(F.bool_or("mask"), F.lit(False)).alias("found"))
-    return chosen.crossJoin(F.broadcast(found)).select("row", "col", F.when(F.col("found"), F.col("mask")).otherwise(F.col("valid")).alias("mask"))  # one row
+    chosen = placed.select(*keys, "row", "col", "valid", (F.col("valid") & enough).alias("mask"))
+    found = chosen.groupBy(*keys).agg(F.coalesce(F.bool_or("mask"), F.lit(False)).alias("found"))
+    met = chosen.join(found, list(keys)) if keys else chosen.crossJoin(F.broadcast(found))
+    return met.select(*keys, "row", "col", F.when(F.col("found"), F.col("mask")).otherwise(F.col("valid")).alias("mask"))  # one row
 
 
 def seed_grid(mask: DataFrame, unit_m2: float = 4000.0, pixel_m2: float = 100.0) -> DataFrame:

@@ -831,12 +831,14 @@ def adaptive_threshold(spark: S, sf: str) -> D:
 # -- patches -----------------------------------------------------------------------------------
 
 
-@register(f"""WITH {v.BAND}, p AS (SELECT o AS "offset", (row - o) // 16 AS py, (col - o) // 16 AS px, count(*) AS n, sum(CAST(round(t * 1000) AS BIGINT)) AS s FROM band, (SELECT unnest([0, 4, 8]) AS o) WHERE row >= o AND col >= o GROUP BY 1, 2, 3)
-  SELECT CAST("offset" AS INT) AS "offset", CAST(py AS INT) AS py, CAST(px AS INT) AS px, CAST(s AS BIGINT) AS s FROM p WHERE n = 256""")
+@register(f"""WITH {v.BAND}, p AS (SELECT o AS "offset", (row - o) // 16 AS py, (col - o) // 16 AS px, count(*) AS n, sum(CAST(round(t * 1000) AS BIGINT)) AS s,
+    md5(string_agg(CAST(CAST(round(t * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY row, col)) AS digest FROM band, (SELECT unnest([0, 4, 8]) AS o) WHERE row >= o AND col >= o GROUP BY 1, 2, 3)
+  SELECT CAST("offset" AS INT) AS "offset", CAST(py AS INT) AS py, CAST(px AS INT) AS px, CAST(s AS BIGINT) AS s, digest FROM p WHERE n = 256""")
 def patch_dataset(spark: S, sf: str) -> D:
     b = v.band(spark, sf).select("row", "col", F.round(F.col("t") * 1000).cast("long").alias("t"))
     p = patches.patch_dataset(b, ("t",), 16, (0, 4, 8))
-    return p.select("offset", "py", "px", F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x).alias("s"))
+    total = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x)
+    return p.select("offset", "py", "px", total.alias("s"), F.md5(F.array_join(F.col("t").cast("array<string>"), ",")).alias("digest"))
 
 
 def _threshold_scorer():
@@ -907,8 +909,9 @@ def assemble_slices(spark: S, sf: str) -> D:
     return got.select("image_ts", "row", "col", r("vv", 12).alias("vv"), r("vh", 12).alias("vh"), "n_slices")
 
 
-@register(f"""WITH {SLICES}, w AS (SELECT image_ts, n_slices, row, col, vv, vh, CASE WHEN n_slices = 1 THEN 1e0 ELSE abs(1 - k - least(1, greatest(0, (row - (c - 5) + 0.5e0) / 10))) END AS w
-    FROM px JOIN im USING (time, k) JOIN pl USING (time, image), cutrow WHERE n_slices <= 2)
+@register(f"""WITH {SLICES}, e AS (SELECT time, image, k, min(row) AS r0, max(row) AS r1 FROM px JOIN im USING (time, k) GROUP BY 1, 2, 3), h AS (SELECT time, image, max(r0) AS a, min(r1) AS b FROM e GROUP BY 1, 2),
+  w AS (SELECT image_ts, n_slices, row, col, vv, vh, CASE WHEN n_slices = 1 THEN 1e0 ELSE abs(1 - k - least(1, greatest(0, (row - a + 0.5e0) / (b - a + 1)))) END AS w
+    FROM px JOIN im USING (time, k) JOIN pl USING (time, image) JOIN h USING (time, image) WHERE n_slices <= 2)
   SELECT image_ts, row, col, round(sum(w * vv) / sum(w), 13) AS vv, round(coalesce(sum(w * vh) / nullif(sum(w) FILTER (WHERE vh IS NOT NULL), 0), avg(vh)), 13) AS vh, any_value(n_slices) AS n_slices FROM w GROUP BY 1, 2, 3""")
 def feather_slices(spark: S, sf: str) -> D:
     """The seam goes over from the first slice to the second along ten rows."""

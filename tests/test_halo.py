@@ -77,6 +77,8 @@ def test_keys_are_rasters_of_their_own(spark):
         one, flags = frame(spark, grids[k]), frame(spark, grids[k] < -2.5, "mask")
         rows = lambda df, *c: sorted(tuple(r) for r in df.select("row", "col", *c).collect())
         own = f"event = '{k}'"
+        blocks = delineate.FloodParams(sizes=(10, 20), least_pixels=20, smoothing=False, vote=0.4, bimodality=0.45)
+        assert rows(delineate.bimodality_mask(scores, blocks, ("event",)).where(own), "mask") == rows(delineate.bimodality_mask(one, blocks), "mask")
         assert rows(grown.where(own), "flooded") == rows(delineate.region_growing(one, flags, strict_edges=True, tile=64), "flooded")
         assert rows(slopes.where(own), "slope") == rows(raster.slope(one, 10.0, 10.0, "t"), "slope")
         assert rows(local.where(own), "probability", "flooded") == rows(delineate.adaptive_threshold(one, flags, mean, std, p), "probability", "flooded")

@@ -35,7 +35,7 @@ def inside(ring, x, y):
 @pytest.mark.parametrize("diagonal", [False, True])
 def test_polygons_hold_their_own_cells_only(spark, diagonal):
     """Cell centres by the even-odd rule, against the mask, and the same polygons at every tile size."""
-    mask = np.random.default_rng(12).random((23, 31)) < 0.55
+    mask = np.random.default_rng(12).random((14, 19)) < 0.55
     own_regions = found(spark, mask, diagonal)
     own = {(r.row, r.col): r.region for r in own_regions.collect()}
     whole = plain(outlines.region_polygons(own_regions, tile=50))
@@ -46,13 +46,13 @@ def test_polygons_hold_their_own_cells_only(spark, diagonal):
             assert outer[0] == outer[-1] and area(outer) > 0 and all(area(h) < 0 for h in holes)
             for ring in (outer, *holes):  # no corner on a straight side
                 assert all((a[0] == b[0]) != (b[0] == c[0]) for a, b, c in zip(ring, ring[1:], ring[2:]))
-            for r in range(23):
-                for c in range(31):
+            for r in range(14):
+                for c in range(19):
                     if inside(outer, c + 0.5, r + 0.5) and not any(inside(h, c + 0.5, r + 0.5) for h in holes):
                         assert (r, c) not in held
                         held[r, c] = region
     assert held == own
-    for tile in (7,) if diagonal else (2, 7):
+    for tile in (4,) if diagonal else (2, 7):
         assert plain(outlines.region_polygons(own_regions, tile=tile)) == whole
 
 
@@ -70,10 +70,10 @@ def test_nested_rings_and_holes_across_tiles(spark):
 
 def test_a_long_winding_region(spark):
     """One spiral whose border passes every tile many times; keys keep dates apart."""
-    mask = np.zeros((33, 33), bool)
+    mask = np.zeros((21, 21), bool)
     mask[::4] = True
-    for k, r in enumerate(range(0, 32, 4)):
-        mask[r : r + 4, 32 if k % 2 == 0 else 0] = True
+    for k, r in enumerate(range(0, 20, 4)):
+        mask[r : r + 4, 20 if k % 2 == 0 else 0] = True
     flood = pixels(spark, mask, flood_ts=1).unionByName(pixels(spark, ~mask, flood_ts=2))
     keys = ("flood_ts",)
     shapes = outlines.region_polygons(regions.connected_components(flood, tile=8, keys=keys), 5, keys).cache()
