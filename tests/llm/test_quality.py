@@ -1,7 +1,9 @@
 import re
 
+import regex
+
 from inundata.llm import queries
-from inundata.llm.quality import QualityParams, apply_quality_rules
+from inundata.llm.quality import BOILERPLATE, MARKS, SEPARATORS, QualityParams, apply_quality_rules
 
 
 def brute(text):
@@ -27,6 +29,38 @@ def test_counts_equal_brute_force(spark, sf_dir):
         assert not (r.base_failed and r.kept)
 
 
+def line_goes(line):
+    """The line rules, one after the other."""
+    words, end = re.findall(r"[^\x20\x09-\x0D]+", line), r"(?=[\x20\x09-\x0D]|$)"
+    n = len(words)
+    if 0 < n < 4 and not regex.fullmatch(r"[\p{Po}\p{Pf}\p{Pe}\"']", words[-1][-1]):
+        return True
+    if any(m in line for m in MARKS) and 100 * len(re.findall(r"(?:!!|\?\?|\*\*|##|\$\$|%%|&&)[.,]*" + end, line)) > 30 * n:
+        return True
+    if any(m in line for m in SEPARATORS) and 100 * len(re.findall("[|<>»«›•·]" + end, line)) > 25 * n:
+        return True
+    return n < 40 and any(b in line.lower() for b in BOILERPLATE)
+
+
+def test_verdicts_equal_a_plain_restatement(spark, sf_dir):
+    """Kept, characters lost and the cleaned text of every document, and of some made of odd lines."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    body = " ".join(f"word{i}" for i in range(60)) + "."
+    odd = ["Home | News | About |", "menu", "so it ends.", "wow!! great!! now!!", "see our Privacy Policy here", "  \t ", "a » b » c » d", "three words only", "«quoted»", "x " * 50 + "terms of use"]
+    docs |= {10_000 + k: "\n".join([body] * (k % 3) + odd[k % 5 :] + odd[: k % 7]) for k in range(30)}
+    got = apply_quality_rules(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()
+    size = lambda text: sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", text)))
+    taken = 0
+    for r in got:
+        text, q = docs[r.row.doc_id] or "", r.quality
+        clean = "\n".join(line for line in text.split("\n") if not line_goes(line))
+        lost = size(text) - size(clean)
+        taken += lost > 0
+        assert (q.lost_chars, q.clean_text) == (lost, clean), r.row.doc_id
+        assert q.kept == (not brute(text)[5] and 100 * lost <= 40 * size(text))
+    assert taken > 30
+
+
 def test_clean_documents_stay_and_junk_goes(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     judged = [r for r in queries.op1_quality_rules(spark, sf_dir).collect() if r.doc_id in labels]
