@@ -28,6 +28,8 @@ class FloodParams:
     #: Half sizes of the local windows, and the coefficient that makes one usable.
     halves: tuple[int, ...] = (15, 20, 25, 30)
     local_bimodality: float = 0.75
+    #: Whether windows are smoothed before their coefficient is taken.
+    local_smoothing: bool = True
     method: str = "otsu"
     ks_p: float = 0.05
     probability: float = 0.25
@@ -129,7 +131,7 @@ def local_decision(t: np.ndarray, mask: np.ndarray, best: float, mean: float, st
 
 
 def _coefficients(t: np.ndarray, windows: list[tuple[int, int, int, int]], p: FloodParams, cells: int = 1_000_000) -> np.ndarray:
-    """Bimodality of each window (top, bottom, left, right) after smoothing; 0 where it has none.
+    """Bimodality of each window (top, bottom, left, right), smoothed first if asked for; 0 where it has none.
 
     Windows of one shape are smoothed together, as many as ``cells`` allows.
     """
@@ -142,7 +144,8 @@ def _coefficients(t: np.ndarray, windows: list[tuple[int, int, int, int]], p: Fl
         step = max(1, cells // (rows * cols))
         for k in range(0, len(of), step):
             part = of[k : k + step]
-            out[part] = np.nan_to_num(kernels.bimodalities(kernels.smooth_windows(view[at[part, 0], at[part, 2]]), p.least_pixels))
+            some = view[at[part, 0], at[part, 2]]
+            out[part] = np.nan_to_num(kernels.bimodalities(kernels.smooth_windows(some) if p.local_smoothing else some, p.least_pixels))
     return out
 
 

@@ -11,10 +11,22 @@ from pyspark.sql import functions as F
 from inundata.functions import scalar
 from inundata.operators import catalogue, delineate, orbits, patches, raster, regions, stats
 from inundata.plans import views as v
+from inundata.plans.queries import OTSU, SLOPE, TRIMMED
 from inundata.plans.registry import register
 from inundata.sources.folders import cut
 
 
+def mask_and(scores: DataFrame, threshold: DataFrame, slopes: DataFrame) -> DataFrame:
+    """``scores`` with global (below the threshold), slope_mask, and global_masked, which needs both.
+
+    ``threshold``: one row. ``slopes``: row, col, slope_mask; pixels without one are not in the mask,
+    and missing scores are not below anything.
+    """
+    dark, flat = scalar.below(F.col("t"), F.col("threshold")), F.coalesce("slope_mask", F.lit(False))
+    met = scores.crossJoin(F.broadcast(threshold)).join(slopes.select("row", "col", "slope_mask"), ["row", "col"], "left")  # one row
+    return met.select(*scores.columns, dark.alias("global"), flat.alias("slope_mask"), (dark & flat).alias("global_masked"))
+
+
 def statistical_flood_map(
     stack: DataFrame, static: DataFrame, p: delineate.FloodParams = delineate.FloodParams(), cell_x: float = 10.0, cell_y: float = 10.0, slope_limit: float = 10.0
 ) -> DataFrame:
@@ -31,14 +43,7 @@ def statistical_flood_map(
     bimodal = scores.join(mask.where("multimodality_mask"), on, "left_semi")
     threshold = stats.otsu_threshold(stats.quantile_trim(bimodal, "t", 0.01, 0.99), "t", kept=True)
     slopes = raster.slope_mask(static, cell_x, cell_y, slope_limit).select("row", "col", "slope_mask")
-    dark = scalar.below(F.col("t"), F.col("threshold"))
-    steep = F.coalesce("slope_mask", F.lit(False))
-    layers = raster.pixel_table(
-        scores.crossJoin(F.broadcast(threshold))  # one row
-        .join(mask, on)
-        .join(slopes, on, "left")
-        .select("row", "col", "t", "multimodality_mask", dark.alias("global"), steep.alias("slope_mask"), (dark & steep).alias("global_masked"))
-    )
+    layers = raster.pixel_table(mask_and(scores.join(mask, on), threshold, slopes))
     water = stats.water_stats(layers, "global_masked", kept=True).first()
     mean, std = water["mean"] or 0.0, water["std"] or 0.0
     local = delineate.adaptive_threshold(scores, layers.select("row", "col", F.col("global").alias("mask")), mean, std, p)
@@ -74,6 +79,18 @@ def scene_selection(products: DataFrame, files: DataFrame, chosen: DataFrame) ->
     return orbits.orbit_with_fallback(same.select(F.col("Id").alias("scene_id"), "mission", F.col("begin").alias("start"), "stop"), files)
 
 
+@register(f"""WITH {TRIMMED}, {OTSU}, g AS (SELECT row // 6 AS row, col // 6 AS col, max(dem) AS z FROM static GROUP BY 1, 2), {SLOPE.replace("CX", "60e0").replace("CY", "60e0")},
+  b AS (SELECT s.row, s.col, coalesce(t < threshold, false) AS dark, coalesce(slope < 60, false) AND d.row IS NOT NULL AS flat
+    FROM otsu, scores s LEFT JOIN static d ON s.row = d.row AND s.col = d.col LEFT JOIN slope p ON s.row // 6 = p.row AND s.col // 6 = p.col)
+  SELECT row, col, dark AS "global", flat AS slope_mask, dark AND flat AS global_masked FROM b""")
+def global_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Global threshold and slope mask multiplied, pixel by pixel, in tables by pixel."""
+    fields = raster.pixel_table(v.static(spark, sf))
+    scores = raster.pixel_table(stats.t_scores(stats.weighted_stack(raster.pixel_table(v.stack(spark, sf)), fields)))
+    threshold = stats.otsu_threshold(stats.quantile_trim(scores, "t", 0.01, 0.99, kept=True), "t", kept=True)
+    return mask_and(scores, threshold, raster.slope_mask(fields, 10.0, 10.0, 60.0)).select("row", "col", "global", "slope_mask", "global_masked")
+
+
 @register()
 def flood_map(spark: SparkSession, sf: str) -> DataFrame:
     """All layers on the stack view: its parts have SQL twins or brute-force tests of their own."""
