@@ -2,7 +2,9 @@
 
 Each line is judged by rules on its punctuation, on navigation and on boilerplate; failing lines
 go, and a document that loses too much of its text goes with them. Whole-document counts
-(words, symbols, repeated lines, repeated windows) are measured beside that.
+(words, symbols, repeated lines, repeated windows) are measured beside that. Lines aren't judged by
+how many documents share them: a group of copies would make each of its own lines common, and clean
+documents would go for having been copied. Shared lines are the work of line dedup.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inundata.llm.text import let, lines, words
 
-#: Fixed phrases of page furniture, matched in lower case.
+#: Fixed phrases of page furniture, matched in lower case: English, German, French, Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "click here",
@@ -28,6 +30,39 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "use of cookies",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "cookie-richtlinie",
+    "datenschutzerklärung",
+    "hier klicken",
+    "javascript aktivieren",
+    "klicken sie hier",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "verwendung von cookies",
+    "zum inhalt springen",
+    "abonnez-vous à notre newsletter",
+    "activer javascript",
+    "aller au contenu",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "conditions générales d",
+    "mentions légales",
+    "politique de confidentialité",
+    "propulsé par",
+    "tous droits réservés",
+    "utilisation de cookies",
+    "aviso legal",
+    "habilitar javascript",
+    "haga clic aquí",
+    "política de cookies",
+    "política de privacidad",
+    "saltar al contenido",
+    "suscríbase a nuestro boletín",
+    "términos de servicio",
+    "términos de uso",
+    "todos los derechos reservados",
+    "uso de cookies",
 )
 
 

@@ -90,3 +90,17 @@ def test_limits_of_the_caller_decide(spark):
     assert apply_quality_rules(docs).first().quality.kept
     r = apply_quality_rules(docs, p=QualityParams(min_words=40)).first().quality
     assert r.base_failed and not r.kept
+
+
+def test_furniture_of_four_languages_goes_and_prose_about_it_stays(spark):
+    furniture = [
+        "© 2020 Acme, all rights reserved.",
+        "Es gelten unsere Nutzungsbedingungen und die DATENSCHUTZERKLÄRUNG.",
+        "Tous droits réservés, lisez nos mentions légales.",
+        "Consulte la política de privacidad y el aviso legal.",
+    ]
+    prose = [" ".join(f"{w}{i}" for i in range(45)) + " " + line for w, line in zip(("word", "wort", "mot", "palabra"), furniture, strict=True)]
+    docs = [(k, "\n".join([furniture[k], prose[k], "Hier steht ein Satz mit genug Wörtern."])) for k in range(4)]
+    got = {r.row.doc_id: r.quality for r in apply_quality_rules(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, text in docs:
+        assert got[k].clean_text == text.split("\n", 1)[1] and got[k].kept
