@@ -187,11 +187,11 @@ def chip_pixels(chip: DataFrame) -> DataFrame:
     )
 
 
-def last_times(stack: DataFrame, n: int = 3) -> DataFrame:
-    """Rows of the last n times, with ``back`` = 1 for the last."""
-    times = stack.select("time").distinct()
-    ranked = times.withColumn("back", F.row_number().over(Window.orderBy(F.col("time").desc()))).where(F.col("back") <= n)
-    return stack.join(ranked, "time")
+def last_times(stack: DataFrame, n: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the last n times of their keys, with ``back`` = 1 for the last."""
+    times = stack.select(*keys, "time").distinct()
+    ranked = times.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("time").desc()))).where(F.col("back") <= n)
+    return stack.join(ranked, [*keys, "time"])
 
 
 def landcover_classes(cover: DataFrame, names: dict[int, str]) -> DataFrame:

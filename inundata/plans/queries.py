@@ -435,6 +435,29 @@ def confusion_percent(spark: S, sf: str) -> D:
     return c.select("truth", "pred", "n", r("percent").alias("percent"))
 
 
+CA = "c AS (SELECT doc_id % 7 AS area, quality AS truth, toxic AS pred FROM labels), n AS (SELECT area, count(*)::DOUBLE AS n, count(*) FILTER (WHERE truth = 1)::DOUBLE AS t, count(*) FILTER (WHERE pred = 1)::DOUBLE AS p, count(*) FILTER (WHERE truth = 1 AND pred = 1)::DOUBLE AS b FROM c GROUP BY 1)"
+
+
+def _pairs_by_area(spark: S, sf: str) -> D:
+    one = v.table(spark, sf, "labels").select((F.col("doc_id") % 7).alias("area"), F.col("doc_id").alias("row"), F.lit(0).alias("col"), "quality", "toxic")
+    side = lambda c: one.select("area", "row", "col", F.col(c).alias("value"))
+    return validate.compared(side("quality"), side("toxic"), keys=("area",))
+
+
+@register(f"""WITH {CA}, k AS (SELECT *, (n - t - p + 2 * b) / n AS po, ((n - t) * (n - p) + t * p) / (n * n) AS pe FROM n)
+  SELECT area, (n - t - p + b)::BIGINT AS c00, (p - b)::BIGINT AS c01, (t - b)::BIGINT AS c10, b::BIGINT AS c11, round(po, 6) AS accuracy, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM k""")
+def accuracy_by_area(spark: S, sf: str) -> D:
+    """Counts and measures of several areas in one job."""
+    pairs = _pairs_by_area(spark, sf)
+    measures = validate.accuracy_metrics(pairs, ("area",)).select("area", r("accuracy").alias("accuracy"), r("kappa").alias("kappa"))
+    return validate.confusion_matrix(pairs, ("area",)).join(measures, "area")
+
+
+@register("SELECT doc_id % 7 AS area, quality::INT AS truth, toxic::INT AS pred, count(*) AS n, round(count(*) * 100e0 / sum(count(*)) OVER (PARTITION BY doc_id % 7), 6) AS percent FROM labels GROUP BY 1, 2, 3")
+def percent_by_area(spark: S, sf: str) -> D:
+    return validate.confusion_percent(_pairs_by_area(spark, sf), ("area",)).select("area", "truth", "pred", "n", r("percent").alias("percent"))
+
+
 CODES = tuple(scalar.LANDCOVER)
 
 
@@ -854,6 +877,18 @@ def vote_classes(spark: S, sf: str) -> D:
     return patches.vote_classes(classes, b).select("row", "col", "flooded")
 
 
+@register(f"""WITH {v.BAND}, a AS (SELECT row // 6 AS area, row % 6 AS row, col, t FROM band),
+  e AS (SELECT o, area, row, col, t, count(*) OVER (PARTITION BY area, o, (row - o) // 4, (col - o) // 4) AS n FROM a, (SELECT unnest([0, 2]) AS o) WHERE row >= o AND col >= o),
+  c AS (SELECT area, row, col, median(CASE WHEN t < -0.5 THEN 2 WHEN t < 0 THEN 1 ELSE 0 END) AS cls FROM e WHERE n = 16 GROUP BY 1, 2, 3)
+  SELECT a.area, a.row, a.col, c.cls, coalesce(cls = 2, false) AS flooded FROM a LEFT JOIN c ON a.area = c.area AND a.row = c.row AND a.col = c.col""")
+def votes_by_area(spark: S, sf: str) -> D:
+    """Strips of six rows as areas of their own: patches and votes don't cross them."""
+    b = v.band(spark, sf).select(F.floor(F.col("row") / 6).cast("int").alias("area"), (F.col("row") % 6).alias("row"), "col", "t")
+    cut = patches.patch_dataset(b, ("t",), 4, (0, 2), ("area",))
+    classes = patches.predict_patches(cut, ("t",), _threshold_scorer, 4, ("area",))
+    return patches.vote_classes(classes, b, keys=("area",)).select("area", "row", "col", "cls", "flooded")
+
+
 @register(f"WITH {v.STACK}, {v.STATIC} SELECT s.row, s.col, count(*) AS n, round(sum(vv * lia), 11) AS weighed, any_value(lia) AS lia FROM stack s JOIN static t ON s.row = t.row AND s.col = t.col GROUP BY 1, 2")
 def pixel_join(spark: S, sf: str) -> D:
     """Stack and static fields from tables in buckets of pixels: joined and grouped without a shuffle."""

@@ -54,19 +54,21 @@ def statistical_flood_map(
     return level.join(cleaned.withColumnRenamed("flag", "flooded"), on)
 
 
-def patch_flood_map(stack: DataFrame, scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 224, offsets: tuple[int, ...] = (0, 56, 112, 168)) -> DataFrame:
-    """row, col, cls, flooded by a per-pixel model on the last three images' normalised bands.
+def patch_flood_map(
+    stack: DataFrame, scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 224, offsets: tuple[int, ...] = (0, 56, 112, 168), keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """keys, row, col, cls, flooded by a per-pixel model on the last three images' normalised bands.
 
-    ``stack``: time, row, col, vv_db, vh_db. Channels: VV and VH of the flood image, then of the
+    ``stack``: keys, time, row, col, vv_db, vh_db; each key has its own last images. Channels: VV and VH of the flood image, then of the
     two images before it.
     """
-    last = raster.last_times(stack, 3)
+    last = raster.last_times(stack, 3, keys)
     channels = tuple(f"{band}_{k}" for k in (1, 2, 3) for band in ("vv", "vh"))
     at = lambda band, k, i: scalar.model_normalise(scalar.from_db(F.max(F.when(F.col("back") == k, F.col(f"{band}_db")))), i)
-    pixels = last.groupBy("row", "col").agg(*[at(band, k, i).alias(f"{band}_{k}") for k in (1, 2, 3) for i, band in enumerate(("vv", "vh"))])
+    pixels = last.groupBy(*keys, "row", "col").agg(*[at(band, k, i).alias(f"{band}_{k}") for k in (1, 2, 3) for i, band in enumerate(("vv", "vh"))])
     pixels = cut(pixels)
-    classes = patches.predict_patches(patches.patch_dataset(pixels, channels, size, offsets), channels, scorer, size)
-    return patches.vote_classes(classes, pixels)
+    classes = patches.predict_patches(patches.patch_dataset(pixels, channels, size, offsets, keys), channels, scorer, size, keys)
+    return patches.vote_classes(classes, pixels, keys=keys)
 
 
 def scene_selection(products: DataFrame, files: DataFrame, chosen: DataFrame) -> DataFrame:
