@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inundata.functions import kernels
 from inundata.operators import halo
+from inundata.operators.keyed import with_key_rows
 from inundata.operators.scans import running_sums
 from inundata.sources.folders import cut, fresh
 
@@ -94,8 +95,8 @@ def bimodality_mask(scores: DataFrame, p: FloodParams = FloodParams(), keys: tup
     enough = F.coalesce("hits", F.lit(0)) / float(len(p.sizes)) > p.vote
     chosen = placed.select(*keys, "row", "col", "valid", (F.col("valid") & enough).alias("mask"))
     found = chosen.groupBy(*keys).agg(F.coalesce(F.bool_or("mask"), F.lit(False)).alias("found"))
-    met = chosen.join(found, list(keys)) if keys else chosen.crossJoin(F.broadcast(found))
-    return met.select(*keys, "row", "col", F.when(F.col("found"), F.col("mask")).otherwise(F.col("valid")).alias("mask"))  # one row
+    met = with_key_rows(chosen, found, keys)
+    return met.select(*keys, "row", "col", F.when(F.col("found"), F.col("mask")).otherwise(F.col("valid")).alias("mask"))
 
 
 def seed_grid(mask: DataFrame, unit_m2: float = 4000.0, pixel_m2: float = 100.0) -> DataFrame:
@@ -169,7 +170,7 @@ def adaptive_threshold(
         known = known.join(water.select(*keys, "mean", "std"), list(keys)) if keys else known.crossJoin(water.select("mean", "std"))
     else:
         known = known.withColumns({"mean": F.lit(mean).cast("double"), "std": F.lit(std).cast("double")})
-    bodies = chips.frame.join(known, list(keys)) if keys else chips.frame.crossJoin(F.broadcast(known))  # one row
+    bodies = with_key_rows(chips.frame, known, keys)
 
     def run(own: dict, r0: int, c0: int, grids: dict[str, np.ndarray]) -> pd.DataFrame:
         t, m, rows, cols = grids["t"], grids["mask"] > 0, int(own["rows"]), int(own["cols"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inundata.operators.keyed import with_key_rows
 from inundata.sources.folders import cut
 
 
@@ -43,7 +44,7 @@ def t_scores(
     if flood_time is not None:
         flood = F.when(flood == flood_time, flood).otherwise(F.raise_error(F.lit("the last image is not that of the flood time")))
     last = weighted.groupBy(*keys).agg(flood.alias("last"), (F.countDistinct("time") - 1).alias("n"))
-    timed = weighted.join(last, list(keys)) if keys else weighted.crossJoin(F.broadcast(last))  # one row
+    timed = with_key_rows(weighted, last, keys)
     before = F.when(F.col("time") < F.col("last"), F.col("v"))
     scored = (
         timed.groupBy(*keys, "row", "col")
@@ -105,7 +106,7 @@ def quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str,
     )
     spans = ends.where("_n > 0").select(*keys, F.explode(wanted).alias("w"))
     # two rows per key: one value each side
-    joined = slim.where("_v is not null").join(spans, list(keys)) if keys else slim.where("_v is not null").crossJoin(F.broadcast(spans))
+    joined = with_key_rows(slim.where("_v is not null"), spans, keys)
     at = F.when(F.col("_v") < F.col("w.from"), F.lit(None)).otherwise(F.col("_v"))
     counts = joined.where(F.col("_v") <= F.col("w.to")).groupBy(*keys, F.col("w.which").alias("which"), at.alias("at")).agg(F.count("*").alias("n"), F.first("w.rank").alias("rank"))
     up = Window.partitionBy(*keys, "which").orderBy(F.col("at").asc_nulls_first())
@@ -123,7 +124,7 @@ def _with_quantiles(df: DataFrame, value: str, lo: float, hi: float, keys: tuple
     df = _kept(df, kept)
     own = df.select(*keys, F.col(value).cast("double").alias("_v"))
     q = cut(quantiles(own, "_v", lo, hi, keys, exact, kept=True))
-    return df.join(q, list(keys), "left") if keys else df.crossJoin(F.broadcast(q))  # one row
+    return with_key_rows(df, q, keys, "left")
 
 
 def quantile_clip(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...] = (), exact: bool = True, kept: bool = False) -> DataFrame:
@@ -141,7 +142,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: tuple[str, ...] = (),
     """keys, bin, n, lo, hi: equal bins between least and greatest value, the last one closed."""
     df = _kept(df.select(*keys, value), kept)
     ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    with_ends = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))  # one row
+    with_ends = with_key_rows(df, ends, keys)
     width = F.col("hi") - F.col("lo")
     place = F.when(width == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) * bins / F.when(width != 0, width))))
     return with_ends.where(F.col(value).isNotNull()).groupBy(*keys, place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
@@ -182,7 +183,7 @@ def kittler_threshold(df: DataFrame, value: str, keys: tuple[str, ...] = (), kep
     """
     df = _kept(df.select(*keys, F.col(value).cast("double").alias(value)), kept)
     ends = cut(quantiles(df, value, 0.001, 0.999, keys, kept=True).select(*keys, F.col("q_lo").cast("long").alias("lo"), F.col("q_hi").cast("long").alias("hi")))
-    joined = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))  # one row
+    joined = with_key_rows(df, ends, keys)
     bins = (F.col("hi") - F.col("lo") + 1) * 10
     width = F.col("hi") - F.col("lo")
     place = F.least(bins - 1, F.floor((F.col(value) - F.col("lo")) * bins / F.when(width > 0, width)))
