@@ -173,6 +173,21 @@ def raster_rows(pixels: DataFrame, value: str = "v") -> DataFrame:
     return pixels.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", value))), lambda x: x[value]).alias("values"))
 
 
+def whole_chips(pixels: DataFrame, value: str, size: int) -> DataFrame:
+    """cy, cx, values: size x size squares in row-major order, NULL where there is no pixel.
+
+    Of several pixels of one place the largest value counts. Blank places are put in chip by chip,
+    so no task makes the places of more than one.
+    """
+    at = (F.pmod("row", F.lit(size)) * size + F.pmod("col", F.lit(size))).cast("int")
+    blank = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.struct(k.alias("k"), F.lit(None).cast(dict(pixels.dtypes)[value]).alias("v")))
+    met = pixels.groupBy(F.floor(F.col("row") / size).cast("int").alias("cy"), F.floor(F.col("col") / size).cast("int").alias("cx")).agg(F.collect_list(F.struct(at.alias("k"), F.col(value).alias("v"))).alias("cells"))
+    # blanks come first at their place, the largest value last
+    full = met.select("cy", "cx", F.array_sort(F.concat("cells", blank)).alias("cells"))
+    last = F.filter("cells", lambda x, i: F.coalesce(F.get("cells", i + 1)["k"] != x["k"], F.lit(True)))
+    return full.select("cy", "cx", F.transform(last, lambda x: x["v"]).alias("values"))
+
+
 def chips(pixels: DataFrame, value: str, size: int) -> DataFrame:
     """cy, cx, cells: the pixels of size x size squares, in row-major order."""
     return pixels.groupBy(F.floor(F.col("row") / size).cast("int").alias("cy"), F.floor(F.col("col") / size).cast("int").alias("cx")).agg(

@@ -132,10 +132,7 @@ def read_raster_chips(spark: SparkSession, sf: str) -> DataFrame:
     size = 25
     band = v.band(spark, sf)
     # a chip has a value, maybe NULL, for each of its places
-    corners = band.select(F.floor(F.col("row") / size).alias("cy"), F.floor(F.col("col") / size).alias("cx")).distinct()
-    places = corners.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
-    blank = places.select((F.col("cy") * size + F.floor(F.col("k") / size)).cast("int").alias("row"), (F.col("cx") * size + F.col("k") % size).cast("int").alias("col"), F.lit(None).cast("double").alias("t"))
-    c = raster.chips(band.unionByName(blank).groupBy("row", "col").agg(F.max("t").alias("t")), "t", size)
+    c = raster.whole_chips(band, "t", size)
     path = fresh(spark, "chips")
-    c.select((F.col("cy") * size).alias("row0"), (F.col("cx") * size).alias("col0"), F.lit(size).alias("w"), F.col("cells.v").alias("values")).write.parquet(path)
+    c.select((F.col("cy") * size).alias("row0"), (F.col("cx") * size).alias("col0"), F.lit(size).alias("w"), "values").write.parquet(path)
     return files.read_raster_chips(spark, path).where("value is not null")
