@@ -242,7 +242,7 @@ def region_growing(
 
     A round carries two pixels far, so a chip with a halo of twice ``batch`` goes that many rounds
     alone. Only chips that have a seed within reach run in a batch: they and the strips around them
-    are read, by the stripes of chips that hold any, and a new version of them is written; what is
+    are read, by the bands of chips that hold any, and a new version of them is written; what is
     settled stays as it lies. ``written`` takes the number of chips that each batch has written.
     """
     on = [*keys, "row", "col"]
@@ -253,7 +253,11 @@ def region_growing(
 
 
 class _Growth:
-    """The chips of a growing flood, in versions: a chip's newest version holds."""
+    """The chips of a growing flood, in versions: a chip's newest version holds.
+
+    A version has a folder per band of chip rows. There are at most as many bands as shuffle
+    partitions, each a file, so files grow with what is written and not with the raster's height.
+    """
 
     def __init__(self, base: DataFrame, tile: int, reach: int, keys: tuple[str, ...]):
         self.spark, self.kinds, self.reach = base.sparkSession, dict(base.dtypes), reach
@@ -261,17 +265,25 @@ class _Growth:
         self.path, self.version = fresh(self.spark, "growth"), 0
         self.names = [*self.first.bands, *self.first.flags]
         self.schema = self.first.schema([*self.first.place, *self.names])
+        ends = self.first.frame.agg(F.min("cy"), F.max("cy")).first()
+        self.low, self.high = (0, 0) if ends[0] is None else ends
+        self.width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _band(self, cy: Column) -> Column:
+        """The band of a row of chips; rows beyond the raster count as its first or last."""
+        span = math.ceil((self.high - self.low + 1) / self.width)
+        return F.floor((F.greatest(F.lit(self.low), F.least(F.lit(self.high), cy)) - self.low) / span).cast("int")
 
     def _write(self, frame: DataFrame) -> DataFrame:
         """The places of the chips of this version that have seeds."""
-        frame.write.partitionBy("cy").parquet(f"{self.path}/version={self.version}")
+        frame.withColumn("band", self._band(F.col("cy"))).repartition(self.width, "band").write.partitionBy("band").parquet(f"{self.path}/version={self.version}")
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={self.version}")
 
-    def _newest(self, stripes: list[int] | None = None) -> DataFrame:
-        """The newest version of every chip, or of those in some stripes, which prune the files."""
-        found = self.spark.read.schema(f"{self.schema}, version int").option("basePath", self.path).parquet(*[f"{self.path}/version={k}" for k in range(self.version + 1)])
-        if stripes is not None:
-            found = found.where(F.col("cy").isin(stripes))
+    def _newest(self, bands: list[int] | None = None) -> DataFrame:
+        """The newest version of every chip, or of those in some bands, which prune the files."""
+        found = self.spark.read.schema(f"{self.schema}, version int, band int").option("basePath", self.path).parquet(*[f"{self.path}/version={k}" for k in range(self.version + 1)])
+        if bands is not None:
+            found = found.where(F.col("band").isin(bands))
         place = self.first.place
         return found.groupBy(*place).agg(F.max_by(F.struct(*self.names), "version").alias("_c")).select(*place, "_c.*")
 
@@ -291,13 +303,14 @@ class _Growth:
     def run(self, max_rounds: int, batch: int, last: dict, written: list[int] | None) -> DataFrame:
         place, tile, reach, keys = self.first.place, self.first.tile, self.reach, self.first.keys
         active = cut(self._near_seeds(self._write(self.first.frame)))
+        far = math.ceil(reach / tile)
+        around = F.explode(F.array(*[self._band(F.col("cy") + d) for d in range(-far, far + 1)]))
         while max_rounds > 0:
-            # the stripes with work, at most one number per row of chips
-            wanted = [r["cy"] for r in active.select("cy").distinct().collect()]
+            # the bands with work or beside it, at most as many numbers as shuffle partitions
+            wanted = [r["band"] for r in active.select(around.alias("band")).distinct().collect()]
             if not wanted:
                 break
-            span = math.ceil(reach / tile)
-            read = self._newest(sorted({y + d for y in wanted for d in range(-span, span + 1)}))
+            read = self._newest(sorted(wanted))
             chips = halo.Chips(read, tile, self.first.bands, self.first.flags, keys)
             rounds = min(batch, max_rounds)
 

@@ -1,9 +1,11 @@
 """What one task gets: plans and row counts of steps that once met in a single one."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inundata.operators import raster, stats
+from inundata.operators import delineate, raster, stats
+from tests.test_neighbourhoods import frame, sequential_growth
 
 
 def plan(df):
@@ -38,3 +40,17 @@ def test_blank_places_are_put_in_by_chip(spark):
     want = {(cy, cx): [held.get((cy * 4 + k // 4, cx * 4 + k % 4)) for k in range(16)] for cy in range(2) for cx in range(3)}
     assert {(x.cy, x["cx"]): list(x["values"]) for x in chips.collect()} == want
     assert "Generate" not in plan(chips)
+
+
+def test_growth_writes_as_many_files_as_partitions(spark):
+    """A high raster: a version has a file per band at most, however many rows of chips there are."""
+    t = np.zeros((400, 3))
+    t[5:395, 1] = -np.arange(1, 391) / 100
+    t[5, 1] = 0.5
+    mask = np.zeros(t.shape, bool)
+    mask[[4, 5, 200, 201], 1] = True
+    written = []
+    got = delineate.region_growing(frame(spark, t), frame(spark, mask, "mask"), max_rounds=8, tile=2, batch=4, written=written)
+    assert len(got.inputFiles()) <= 4 * (1 + len(written)) and len(written) == 2
+    want = sequential_growth(t, mask, 8)
+    assert {(r.row, r.col) for r in got.collect() if r.flooded} == set(zip(*map(list, np.nonzero(want)), strict=True)) and want.sum() > mask.sum()
