@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inundata.functions.kernels import traced
 from inundata.operators.regions import components_of_edges
+from inundata.operators.tiles import dealt
 from inundata.sources.folders import cut
 
 POINT = "struct<x:double,y:double>"
@@ -50,7 +51,7 @@ def _pieces(regions: DataFrame, tile: int, keys: tuple[str, ...]) -> DataFrame:
         return out
 
     schema = f"{key_schema}region long, part long, kind string, x0 long, y0 long, x1 long, y1 long, d0 int, d1 int, points array<{POINT}>"
-    return placed.groupBy(*keys, "ty", "tx").applyInPandas(run, schema)
+    return dealt(placed, keys).groupBy(*keys, "ty", "tx").applyInPandas(run, schema)
 
 
 def _part_name(part: str, keys: tuple[str, ...]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inundata.functions.kernels import label
+from inundata.operators.tiles import by_tiles
 from inundata.sources.folders import cut
 
 
@@ -42,19 +43,17 @@ def connected_components(mask: DataFrame, diagonal: bool = False, tile: int = 12
     placed = mask.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).withColumns(
         {"ty": F.floor(F.col("row") / tile), "tx": F.floor(F.col("col") / tile)}
     )
-    kinds = dict(placed.dtypes)
-    key_schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        r0, c0 = int(pdf["ty"].iloc[0]) * tile, int(pdf["tx"].iloc[0]) * tile
-        grid = np.zeros((tile, tile), dtype=bool)
-        grid[r - r0, c - c0] = True
-        lab = label(grid, diagonal)[r - r0, c - c0] - 1
-        code = (lab // tile + r0) * (1 << 31) + lab % tile + c0
-        return pdf[[*keys, "row", "col"]].assign(local=code)
-
-    local = cut(placed.groupBy(*keys, "ty", "tx").applyInPandas(run, f"{key_schema}row long, col long, local long"))
+    def run(pdf: pd.DataFrame) -> np.ndarray:
+        # tiles one below the other, with a blank line between and beside them
+        place, r, c = pdf["_tile"].to_numpy(), pdf["row"].to_numpy() % tile, pdf["col"].to_numpy() % tile
+        grid = np.zeros(((int(place[-1]) + 1) * (tile + 1), tile + 1), dtype=bool)
+        grid[place * (tile + 1) + r, c] = True
+        lab = label(grid, diagonal)[place * (tile + 1) + r, c] - 1
+        top, left = pdf["row"].to_numpy() - r, pdf["col"].to_numpy() - c
+        return (lab // (tile + 1) % (tile + 1) + top) * (1 << 31) + lab % (tile + 1) + left
+
+    labelled = by_tiles(placed, keys, run, "local long", tile)
+    local = cut(labelled.select(*keys, "row", "col", "local"))
     node = F.concat_ws("|", *keys, F.lpad(F.col("local").cast("string"), 20, "0"))
     nodes = local.withColumn("node", node)
     # pixels on a tile's last line meet those on the next tile's first line

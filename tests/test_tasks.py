@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inundata.operators import delineate, raster, stats
+from inundata.operators import delineate, raster, stats, tiles
 from tests.test_neighbourhoods import frame, sequential_growth
 
 
@@ -54,3 +54,26 @@ def test_growth_writes_as_many_files_as_partitions(spark):
     assert len(got.inputFiles()) <= 4 * (1 + len(written)) and len(written) == 2
     want = sequential_growth(t, mask, 8)
     assert {(r.row, r.col) for r in got.collect() if r.flooded} == set(zip(*map(list, np.nonzero(want)), strict=True)) and want.sum() > mask.sum()
+
+
+def test_tiles_are_labelled_many_at_once(spark):
+    """Whole tiles meet in a call however batches cut them; keys may be NULL; tasks stay as many as partitions."""
+    rng = np.random.default_rng(6)
+    grids = {k: rng.random((11, 13)) < 0.5 for k in ("a", None, "b")}
+    rows = [(k, int(r), int(c)) for k, g in grids.items() for r, c in np.argwhere(g)]
+    pixels = spark.createDataFrame(rows, "area string, row int, col int").withColumns({"ty": F.floor(F.col("row") / 4), "tx": F.floor(F.col("col") / 4)})
+
+    def work(pdf):
+        first = pdf.groupby("_tile")["row"].transform("size")
+        return (first + 100 * pdf["_tile"].nunique()).to_numpy()
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = tiles.by_tiles(pixels, ("area",), work, "n long", 4)
+        got = found.collect()
+        assert "REPARTITION_BY_NUM" in plan(found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.area or "", r.row, r.col) for r in got) == sorted((k or "", r, c) for k, r, c in rows)
+    assert all(r.n % 100 == grids[r.area][r.row // 4 * 4 : r.row // 4 * 4 + 4, r.col // 4 * 4 : r.col // 4 * 4 + 4].sum() for r in got)
+    assert max(r.n // 100 for r in got) > 1
