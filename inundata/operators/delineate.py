@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ def region_growing(
     """keys, row, col, flooded: rounds until nothing is added; an empty mask comes back unchanged.
 
     A round carries two pixels far, so a chip with a halo of twice ``batch`` goes that many rounds
-    alone. Only chips that have a seed within reach run in a batch: they and the strips around them
+    alone, many chips in one call. Only chips that have a seed within reach run in a batch: they and the strips around them
     are read, by the bands of chips that hold any, and a new version of them is written; what is
     settled stays as it lies. ``written`` takes the number of chips that each batch has written.
     """
@@ -314,17 +315,23 @@ class _Growth:
             chips = halo.Chips(read, tile, self.first.bands, self.first.flags, keys)
             rounds = min(batch, max_rounds)
 
-            def grow(own: dict, r0: int, c0: int, grids: dict[str, np.ndarray], rounds: int = rounds) -> pd.DataFrame:
-                edge = last[tuple(own[k] for k in keys)] - r0 if last else None
-                flooded, seed = kernels.grow(grids["t"], grids[halo.HERE] > 0, grids["flooded"] > 0, grids["seed"] > 0, rounds, edge)
-                inner = (slice(reach, reach + tile),) * 2
-                new = {"t": grids["t"], "flooded": flooded.astype("u1"), "seed": seed.astype("u1"), halo.HERE: grids[halo.HERE]}
-                return pd.DataFrame([{k: own[k] for k in place} | {b: x[inner].tobytes() for b, x in new.items()}])
+            def grow(own: pa.Table, grids: dict[str, np.ndarray], rounds: int = rounds) -> dict[str, np.ndarray]:
+                # chips one below the other, with a blank line between
+                n, side = grids["t"].shape[:2]
+                tall = lambda b, blank: np.pad(grids[b], ((0, 0), (0, 1), (0, 0)), constant_values=blank).reshape(n * (side + 1), side)
+                closed = None
+                if last:
+                    lines = own["cy"].to_numpy()[:, None].astype(np.int64) * tile - reach + np.arange(side + 1)
+                    ends = np.array([last[tuple(k[x] for x in keys)] for k in own.select(list(keys)).to_pylist()]) if keys else np.full(n, last[()])
+                    closed = (lines >= ends[:, None]).ravel()
+                flooded, seed = kernels.grow(tall("t", np.nan), *(tall(b, 0) > 0 for b in (halo.HERE, "flooded", "seed")), rounds, closed)
+                new = {b: x.reshape(n, side + 1, side)[:, :side].astype("u1") for b, x in (("flooded", flooded), ("seed", seed))}
+                return {b: x[:, reach : reach + tile, reach : reach + tile] for b, x in (grids | new).items()}
 
             bodies = read.join(active, place, "left_semi")
             edges = halo.strips(chips, reach).join(active, place, "left_semi")
             self.version += 1
-            now = self._write(halo.with_halo(chips, reach, grow, self.schema, bodies, edges))
+            now = self._write(halo.stacked(chips, reach, grow, bodies, edges))
             if written is not None:
                 written.append(now.count())
             active = cut(self._near_seeds(now))

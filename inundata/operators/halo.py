@@ -14,9 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inundata.operators.tiles import in_steps, whole_tiles
 from inundata.sources.buckets import bucketed
 
 #: Band that says which pixels there are.
@@ -49,30 +52,39 @@ def chip_columns(tile: int):
     return {c: F.floor(F.col(p) / tile).cast("int") for c, p in (("cy", "row"), ("cx", "col"))}
 
 
-def to_chips(pixels: DataFrame, tile: int, bands: tuple[str, ...] = (), flags: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> Chips:
-    """Pixels (keys, row, col, bands) as chips; missing values are NaN, missing flags false. One shuffle."""
+def to_chips(pixels: DataFrame, tile: int, bands: tuple[str, ...] = (), flags: tuple[str, ...] = (), keys: tuple[str, ...] = (), cells: int = 1_000_000) -> Chips:
+    """Pixels (keys, row, col, bands) as chips; missing values are NaN, missing flags false. One shuffle.
+
+    Chips are packed many at once, as many as ``cells`` allows.
+    """
     kinds = dict(pixels.dtypes)
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "cy int, cx int, " + ", ".join(f"`{b}` binary" for b in (*bands, *flags, HERE))
     flat = pixels.select(
         *keys, "row", "col", *[F.col(b).cast("double").alias(b) for b in bands], *[F.coalesce(F.col(b), F.lit(False)).cast("tinyint").alias(b) for b in flags]
     ).withColumns(chip_columns(tile))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        cy, cx = int(pdf["cy"].iloc[0]), int(pdf["cx"].iloc[0])
-        at = (pdf["row"].to_numpy() - cy * tile, pdf["col"].to_numpy() - cx * tile)
-        row: dict = {k: [pdf[k].iloc[0]] for k in keys} | {"cy": [cy], "cx": [cx]}
-        for b in bands:
-            grid = np.full((tile, tile), np.nan)
-            grid[at] = pdf[b].to_numpy(dtype=float)
-            row[b] = [grid.tobytes()]
-        for b in (*flags, HERE):
-            grid = np.zeros((tile, tile), dtype="u1")
-            grid[at] = 1 if b == HERE else pdf[b].to_numpy()
-            row[b] = [grid.tobytes()]
-        return pd.DataFrame(row)
+    place, step = [*keys, "cy", "cx"], max(1, cells // tile**2)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_tiles(batches, place):
+            r, c = (table[p].to_numpy() - table[k].to_numpy().astype(np.int64) * tile for p, k in (("row", "cy"), ("col", "cx")))
+            for a, b in in_steps(at, step):
+                of = at[a:b] - at[a]
+                out = table.select(place).take(np.flatnonzero(np.diff(of, prepend=-1)) + a)
+                for band in (*bands, *flags, HERE):
+                    grids = np.full((len(out), tile, tile), np.nan) if band in bands else np.zeros((len(out), tile, tile), dtype="u1")
+                    grids[of, r[a:b], c[a:b]] = 1 if band == HERE else table[band].to_numpy()[a:b]
+                    out = out.append_column(band, packed(grids))
+                yield from out.combine_chunks().to_batches()
 
-    packed = flat.groupBy(*keys, "cy", "cx").applyInPandas(pack, schema)
-    return Chips(bucketed(packed, (*keys, "cy", "cx"), "chips"), tile, bands, (*flags, HERE), keys)
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = flat.repartition(n, *place).sortWithinPartitions(*place).mapInArrow(pack, schema)
+    return Chips(bucketed(made, tuple(place), "chips", n, dealt=True), tile, bands, (*flags, HERE), keys)
+
+
+def packed(grids: np.ndarray) -> pa.Array:
+    """The bytes of each grid of a stack."""
+    return pa.array([g.tobytes() for g in grids], pa.binary())
 
 
 def _overlaps(tile: int, halo: int) -> list[tuple[int, int, slice, slice]]:
@@ -143,6 +155,52 @@ def with_halo(chips: Chips, halo: int, work: Work, schema: str, bodies: DataFram
     return bodies.groupBy(*chips.place).cogroup(edges.groupBy(*chips.place)).applyInPandas(run, schema)
 
 
+Stacked = Callable[[pa.Table, dict[str, np.ndarray]], dict[str, np.ndarray]]
+
+
+def stacked(chips: Chips, halo: int, work: Stacked, bodies: DataFrame, edges: DataFrame, cells: int = 1_000_000) -> DataFrame:
+    """Chips as ``work`` makes them, many in a call, as many as ``cells`` allows. Keys are not null.
+
+    ``work`` takes the places of some chips and, for each band, the stack of their grids with the
+    halo around, and returns stacks of the chips' own cells for all bands. So the fixed cost of a
+    call is paid per stack and not per chip. Chips are small in bytes and long in work, so their
+    tasks aren't merged by bytes.
+    """
+    tile, names, place, side = chips.tile, [*chips.bands, *chips.flags], chips.place, chips.tile + 2 * halo
+    parts, kinds, step = _overlaps(tile, halo), {b: chips.kind(b) for b in names}, max(1, cells // side**2)
+
+    def grids_of(column: pa.Array, kind: str, h: int, w: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, h, w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                some = pa.Table.from_batches([batch.slice(at, step)]).combine_chunks()
+                around = some["around"].combine_chunks()
+                of, strip = pc.list_parent_indices(around).to_numpy(zero_copy_only=False), pc.list_flatten(around)
+                oy, ox = (strip.field(k).to_numpy(zero_copy_only=False) for k in ("oy", "ox"))
+                grids = {}
+                for b in names:
+                    kind = kinds[b]
+                    grid = np.full((len(some), side, side), np.nan) if kind == "<f8" else np.zeros((len(some), side, side), dtype=kind)
+                    grid[:, halo : halo + tile, halo : halo + tile] = grids_of(some[b].combine_chunks(), kind, tile, tile)
+                    for dy, dx, rows, cols in parts:
+                        mine = np.flatnonzero((oy == -dy) & (ox == -dx))
+                        top, left = halo - dy * tile + rows.start, halo - dx * tile + cols.start
+                        h, w = rows.stop - rows.start, cols.stop - cols.start
+                        grid[of[mine], top : top + h, left : left + w] = grids_of(strip.field(b).take(pa.array(mine)), kind, h, w)
+                    grids[b] = grid
+                own = some.select(place)
+                for b, made in work(own, grids).items():
+                    own = own.append_column(b, packed(made))
+                yield from own.combine_chunks().to_batches()
+
+    n = int(chips.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = edges.groupBy(*place).agg(F.collect_list(F.struct("oy", "ox", *names)).alias("around"))
+    both = bodies.select(*place, *names).repartition(n, *place).hint("merge").join(met, place, "left")
+    return both.select(*place, *names, F.coalesce("around", F.array()).alias("around")).mapInArrow(run, chips.schema([*place, *names]))
+
+
 def cells(own: dict, keys: tuple[str, ...], at: tuple[np.ndarray, np.ndarray], r0: int, c0: int, **columns: np.ndarray) -> pd.DataFrame:
     """A result of ``work``: keys, row, col and columns of the cells at ``at``."""
     out = pd.DataFrame({"row": at[0] + r0, "col": at[1] + c0} | {k: v[at] for k, v in columns.items()})

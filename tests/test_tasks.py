@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inundata.operators import delineate, raster, stats, tiles
+from inundata.operators import delineate, halo, raster, stats, tiles
 from tests.test_neighbourhoods import frame, sequential_growth
 
 
@@ -77,3 +77,27 @@ def test_tiles_are_labelled_many_at_once(spark):
     assert sorted((r.area or "", r.row, r.col) for r in got) == sorted((k or "", r, c) for k, r, c in rows)
     assert all(r.n % 100 == grids[r.area][r.row // 4 * 4 : r.row // 4 * 4 + 4, r.col // 4 * 4 : r.col // 4 * 4 + 4].sum() for r in got)
     assert max(r.n // 100 for r in got) > 1
+
+
+def test_chips_are_packed_and_run_many_at_once(spark):
+    """A call gets a stack of chips, each with what lies around it; neither packing nor running has a call per chip."""
+    grid = np.arange(1.0, 13 * 11 + 1).reshape(13, 11)
+    wide = np.full((13 + 40, 11 + 40), np.nan)
+    wide[20:33, 20:31] = grid
+    chips = halo.to_chips(frame(spark, grid), 4, ("t",), cells=40)
+    assert chips.frame.count() == 12 and len(chips.frame.inputFiles()) <= 4
+
+    def work(own, grids):
+        for cy, cx, g in zip(own["cy"].to_pylist(), own["cx"].to_pylist(), grids["t"], strict=True):
+            assert np.array_equal(g, wide[4 * cy + 18 : 4 * cy + 26, 4 * cx + 18 : 4 * cx + 26], equal_nan=True)
+        return {"t": grids["t"][:, 2:6, 2:6] + 1000.0 * len(own), halo.HERE: grids[halo.HERE][:, 2:6, 2:6]}
+
+    for cells in (1, 1_000_000):
+        found = halo.stacked(chips, 2, work, chips.frame, halo.strips(chips, 2), cells)
+        assert "InPandas" not in plan(found).replace("MapInPandas", "")
+        got = {(r.cy, r.cx): np.frombuffer(r.t).reshape(4, 4) for r in found.collect()}
+        assert len(got) == 12
+        for (cy, cx), g in got.items():
+            assert np.array_equal(g % 1000, wide[4 * cy + 20 : 4 * cy + 24, 4 * cx + 20 : 4 * cx + 24], equal_nan=True)
+        together = {int(np.nanmin(g) // 1000) for g in got.values()}
+        assert together == {1} if cells == 1 else max(together) > 1
