@@ -56,18 +56,18 @@ def in_steps(at: np.ndarray, step: int) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends, strict=True))
 
 
-def by_tiles(pixels: DataFrame, keys: tuple[str, ...], work: Callable[[pd.DataFrame], np.ndarray], column: str, tile: int, cells: int = 1_000_000) -> DataFrame:
+def by_tiles(pixels: DataFrame, keys: tuple[str, ...], work: Callable[[pd.DataFrame], np.ndarray], column: str, tile: int, cells: int = 100_000, more: tuple[str, ...] = ()) -> DataFrame:
     """``pixels`` (keys, row, col, ty, tx) and a long ``column`` ("name long"): what ``work`` gives for each pixel.
 
-    ``work`` takes row, col and _tile of some whole tiles, as many as ``cells`` allows: the tile's
-    number in this call, ascending from 0.
+    ``work`` takes row, col, ``more`` columns and _tile of some whole tiles, as many as ``cells``
+    allows: the tile's number in this call, ascending from 0.
     """
     marks, name = [*keys, "ty", "tx"], column.split()[0]
     step = max(1, cells // (tile + 1) ** 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_tiles(batches, marks):
-            pdf = pd.DataFrame({"row": table["row"].to_numpy(), "col": table["col"].to_numpy(), "_tile": at})
+            pdf = pd.DataFrame({c: table[c].to_numpy() for c in ("row", "col", *more)} | {"_tile": at})
             found = [work(pdf[a:b].assign(_tile=at[a:b] - at[a])) for a, b in in_steps(at, step)]
             yield from table.append_column(name, pa.array(np.concatenate(found), pa.int64())).combine_chunks().to_batches()
 

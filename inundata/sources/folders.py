@@ -23,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on without its lineage (for loops)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder: for many rows that are read several times, of which each reader takes its columns."""
+    path = fresh(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inundata.operators import delineate, halo, raster, stats, tiles
+from inundata.operators import delineate, halo, raster, regions, stats, tiles
 from tests.test_neighbourhoods import frame, sequential_growth
 
 
@@ -101,3 +101,16 @@ def test_chips_are_packed_and_run_many_at_once(spark):
             assert np.array_equal(g % 1000, wide[4 * cy + 20 : 4 * cy + 24, 4 * cx + 20 : 4 * cx + 24], equal_nan=True)
         together = {int(np.nanmin(g) // 1000) for g in got.values()}
         assert together == {1} if cells == 1 else max(together) > 1
+
+
+def test_morphology_joins_labels_and_not_places(spark):
+    """Pixels meet the labels that are kept, once a labelling, and are never joined to each other by row and column."""
+    mask = np.random.default_rng(7).random((17, 14)) < 0.6
+    keyed = frame(spark, mask, "flag").select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.floor(F.col("row") / 5).cast("int").alias("stripe"), "flag")
+    some = keyed.where("not (row = 3 and col = 4)").unionByName(keyed.where("row = 3 and col = 4").withColumn("flag", F.lit(None).cast("boolean")))
+    for found in (regions.morphology(some, 400, 100, 4, ("stripe",)), regions.fill_small_holes(some, 3, 4, ("stripe",)), regions.remove_small_objects(some, 3, 4, ("stripe",))):
+        assert not [line for line in plan(found).splitlines() if "Join" in line and "row#" in line]
+        assert [t for _, t in found.dtypes] == (["int", "int", "int", "boolean"])
+        assert found.count() == 17 * 14 and found.where("flag is null").count() <= 1
+    by_tile = [sorted(map(tuple, regions.morphology(keyed, 400, 100, tile, ("stripe",)).collect())) for tile in (3, 64)]
+    assert by_tile[0] == by_tile[1] and {x[-1] for x in by_tile[0]} == {True, False}
