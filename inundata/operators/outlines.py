@@ -11,47 +11,64 @@ travels is borders only; a row holds a region's outline and never its cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inundata.functions.kernels import traced
 from inundata.operators.regions import components_of_edges
-from inundata.operators.tiles import dealt
-from inundata.sources.folders import cut
+from inundata.operators.tiles import dealt, in_steps, whole_tiles
+from inundata.sources.folders import cut, stored
 
 POINT = "struct<x:double,y:double>"
 _BASE = 1 << 31
 
 
-def _pieces(regions: DataFrame, tile: int, keys: tuple[str, ...]) -> DataFrame:
-    """keys, region, part, kind (ring, chain, side), x0, y0, x1, y1, d0, d1, points of every tile's borders."""
+def _pieces(regions: DataFrame, tile: int, keys: tuple[str, ...], cells: int = 100_000) -> DataFrame:
+    """keys, region, part, kind (ring, chain, side), x0, y0, x1, y1, d0, d1, points of every tile's borders.
+
+    Tiles are traced many in a call, as many as ``cells`` allows.
+    """
     kinds = dict(regions.dtypes)
     key_schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
     placed = regions.withColumns({"ty": F.floor(F.col("row") / tile), "tx": F.floor(F.col("col") / tile)})
-    columns = ["region", "part", "kind", "x0", "y0", "x1", "y1", "d0", "d1", "points"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(pdf["ty"].iloc[0]) * tile, int(pdf["tx"].iloc[0]) * tile
-        names, number = np.unique(pdf["region"].to_numpy(), return_inverse=True)
-        grid = np.zeros((tile, tile), dtype=np.int64)
-        grid[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = number + 1
-        rows = []
-        for part, kind, corners, d0, d1 in traced(grid):
-            r, c = divmod(part - 1, tile)
-            points = [{"x": float(x + c0), "y": float(y + r0)} for x, y in corners[: len(corners) - (kind != "ring")]]
-            (x0, y0), (x1, y1) = corners[0], corners[-1]
-            rows.append((int(names[grid[r, c] - 1]), (r + r0) * _BASE + c + c0, kind, x0 + c0, y0 + r0, x1 + c0, y1 + r0, d0, d1, points))
-        out = pd.DataFrame(rows, columns=columns)
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    marks, step = [*keys, "ty", "tx"], max(1, cells // tile**2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_tiles(batches, marks):
+            for a, b in in_steps(at, step):
+                yield from borders(table.slice(a, b - a), at[a:b] - at[a]).combine_chunks().to_batches()
+
+    def borders(table: pa.Table, at: np.ndarray) -> pa.Table:
+        # tiles one below the other, with a blank line between
+        heads = np.flatnonzero(np.diff(at, prepend=-1))
+        top, left = (table[p].to_numpy()[heads] * tile for p in ("ty", "tx"))
+        names, number = np.unique(table["region"].to_numpy(), return_inverse=True)
+        grid = np.zeros((len(heads) * (tile + 1), tile), dtype=np.int64)
+        grid[at * (tile + 1) + table["row"].to_numpy() - top[at], table["col"].to_numpy() - left[at]] = number + 1
+        part, kind, corners, d0, d1 = zip(*traced(grid, tile), strict=True)
+        r, c = np.divmod(np.array(part) - 1, tile)
+        of = r // (tile + 1)
+        down, right = top[of] - of * (tile + 1), left[of]
+        # a chain's or a side's last corner is the first one of what follows
+        sizes = np.array([len(x) for x in corners]) - [k != "ring" for k in kind]
+        piece = np.repeat(np.arange(len(part)), sizes)
+        x, y = np.array([p for ring, n in zip(corners, sizes.tolist(), strict=True) for p in ring[:n]], dtype=np.int64).T
+        points = pa.StructArray.from_arrays([pa.array((x + right[piece]).astype(float)), pa.array((y + down[piece]).astype(float))], ["x", "y"])
+        (x0, y0), (x1, y1) = (np.array([ring[k] for ring in corners], dtype=np.int64).T for k in (0, -1))
+        out = table.select(list(keys)).take(heads[of]) if keys else None
+        made = {
+            "region": names[grid[r, c] - 1], "part": (r + down) * _BASE + c + right, "kind": pa.array(kind, pa.string()),
+            "x0": x0 + right, "y0": y0 + down, "x1": x1 + right, "y1": y1 + down, "d0": pa.array(d0, pa.int32()), "d1": pa.array(d1, pa.int32()),
+            "points": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), points),
+        }
+        return pa.table({k: out[k] for k in keys} | made)
 
     schema = f"{key_schema}region long, part long, kind string, x0 long, y0 long, x1 long, y1 long, d0 int, d1 int, points array<{POINT}>"
-    return dealt(placed, keys).groupBy(*keys, "ty", "tx").applyInPandas(run, schema)
+    return dealt(placed, keys).sortWithinPartitions(*marks).mapInArrow(run, schema)
 
 
 def _part_name(part: str, keys: tuple[str, ...]) -> Column:
@@ -130,16 +147,16 @@ def region_polygons(regions: DataFrame, tile: int = 512, keys: tuple[str, ...] =
     result doesn't depend on the tile size. Keys are not null. No pixels give no rows.
     """
     on = [*keys, "region"]
-    pieces = cut(_pieces(regions, tile, keys))
+    pieces = stored(_pieces(regions, tile, keys))
     side = [*on, (F.col("x0") + F.col("x1")).alias("mx"), (F.col("y0") + F.col("y1")).alias("my")]
     own = ["part", "kind", "x0", "y0", "x1", "y1", "d0", "d1", "points"]
-    sides = cut(
+    sides = stored(
         pieces.where("kind = 'side'")
         .groupBy(*side)
         .agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b"), F.first(F.struct(*own)).alias("s"))
     )
     joined = components_of_edges(sides.where("n > 1 and a <> b").select(_part_name("a", keys).alias("a"), _part_name("b", keys).alias("b")))
-    links = cut(pieces.where("kind = 'chain'").select(*on, *own).unionByName(sides.where("n = 1").select(*on, "s.*"))).withColumn("id", F.monotonically_increasing_id())
+    links = stored(pieces.where("kind = 'chain'").select(*on, *own).unionByName(sides.where("n = 1").select(*on, "s.*")).withColumn("id", F.monotonically_increasing_id()))
     order = ring_order(_followed(links, on))
     # the piece that names the ring comes first, then those with the longest way to it
     place = F.when(F.col("steps") == 0, F.lit(-(2**62))).otherwise(-F.col("steps"))

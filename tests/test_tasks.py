@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inundata.operators import delineate, halo, raster, regions, stats, tiles
+from inundata.functions import kernels
+from inundata.operators import delineate, halo, outlines, raster, regions, stats, tiles
 from tests.test_neighbourhoods import frame, sequential_growth
 
 
@@ -114,3 +115,17 @@ def test_morphology_joins_labels_and_not_places(spark):
         assert found.count() == 17 * 14 and found.where("flag is null").count() <= 1
     by_tile = [sorted(map(tuple, regions.morphology(keyed, 400, 100, tile, ("stripe",)).collect())) for tile in (3, 64)]
     assert by_tile[0] == by_tile[1] and {x[-1] for x in by_tile[0]} == {True, False}
+
+
+def test_tiles_are_traced_many_at_once(spark):
+    """Tiles one below the other give what each gives alone; tracing has no call per tile."""
+    rng = np.random.default_rng(8)
+    grids = [rng.integers(0, 3, (5, 6)) for _ in range(7)]
+    tall = np.concatenate([np.pad(g, ((0, 1), (0, 0))) for g in grids])
+    moved = lambda k, found: [(p + 36 * k, kind, [(x, y + 6 * k) for x, y in ring], a, b) for p, kind, ring, a, b in found]
+    assert sorted(kernels.traced(tall, 5)) == sorted(x for k, g in enumerate(grids) for x in moved(k, kernels.traced(g)))
+    mask = rng.random((20, 23)) < 0.5
+    found = regions.connected_components(frame(spark, mask, "flag").where("flag").select("row", "col", F.lit("a").alias("area")), tile=8, keys=("area",)).cache()
+    rows = {cells: sorted(map(repr, outlines._pieces(found, 4, ("area",), cells).collect())) for cells in (1, 100_000)}
+    assert rows[1] == rows[100_000] and len(rows[1]) > 100
+    assert "FlatMapGroupsInPandas" not in plan(outlines._pieces(found, 4, ("area",)))
